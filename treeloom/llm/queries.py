@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, line_dedup, line_rules, mixing
+from . import decontam, lang_id, line_dedup, line_rules, mixing, superminhash, token_hist
 from .common import public_id
 
 
@@ -15,6 +15,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    fold = lang_id.held_out(F.col("doc_id"))
+    trained = lang_id.train(docs, fold=F.coalesce(~fold, F.lit(False)))
+    found = lang_id.predict(docs, trained)
+    return found.select("doc_id", F.coalesce(lang_id.held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -29,12 +37,20 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select(public_id().alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return superminhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_hist.length_histogram(token_hist.token_lengths(table(spark, sf_dir, "documents").select("text")))
+
+
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     return d.select("doc_id", F.col("_size").alias("size"), "source_size", "target", (F.col("copies") * F.col("_size")).alias("taken"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_decontaminate, op3_line_dedup, op5_quality_rules, op9_mix_sources)
+    f.__name__: f for f in (op1_language_id, op2_decontaminate, op3_line_dedup, op5_quality_rules, op6_near_duplicates, op8_token_counts, op9_mix_sources)
 }
 ORACLE_SQL: dict[str, str] = {}
