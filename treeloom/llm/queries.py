@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, lang_id, line_dedup, line_rules, mixing, superminhash, token_hist
+from . import decontam, lang_id, line_dedup, line_rules, mixing, quality_pu, superminhash, token_hist
 from .common import public_id
 
 
@@ -32,6 +32,13 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, fold = table(spark, sf_dir, "documents").select("doc_id", "text"), quality_pu.held_out(F.col("doc_id"))
+    trained = quality_pu.train(docs, table(spark, sf_dir, "labels"), fold=F.coalesce(~fold, F.lit(False)))
+    found = quality_pu.score(docs, trained)
+    return found.select("doc_id", F.coalesce(fold, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = line_rules.apply_rules(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     return d.select(public_id().alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -51,6 +58,6 @@ def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_language_id, op2_decontaminate, op3_line_dedup, op5_quality_rules, op6_near_duplicates, op8_token_counts, op9_mix_sources)
+    f.__name__: f for f in (op1_language_id, op2_decontaminate, op3_line_dedup, op4_quality_classifier, op5_quality_rules, op6_near_duplicates, op8_token_counts, op9_mix_sources)
 }
 ORACLE_SQL: dict[str, str] = {}
