@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, lang_id, line_dedup, line_rules, mixing, quality_pu, superminhash, token_hist
+from . import decontam, lang_id, line_dedup, line_rules, mixing, quality_pu, superminhash, token_hist, warc_zip
 from .common import public_id
 
 
@@ -48,6 +48,11 @@ def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return superminhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op7_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc_zip.package_and_read(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_hist.length_histogram(token_hist.token_lengths(table(spark, sf_dir, "documents").select("text")))
 
@@ -58,6 +63,6 @@ def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_language_id, op2_decontaminate, op3_line_dedup, op4_quality_classifier, op5_quality_rules, op6_near_duplicates, op8_token_counts, op9_mix_sources)
+    f.__name__: f for f in (op1_language_id, op2_decontaminate, op3_line_dedup, op4_quality_classifier, op5_quality_rules, op6_near_duplicates, op7_warc_archives, op8_token_counts, op9_mix_sources)
 }
 ORACLE_SQL: dict[str, str] = {}
