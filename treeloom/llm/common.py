@@ -79,7 +79,9 @@ def public_id(column: str = "_id") -> Column:
 
 
 def ascii_lower(column: Column) -> Column:
-    return F.translate(column, UPPER, LOWER)
+    """A-Z lower-cased, no other letter: ``lower`` where that is the same (pure ASCII),
+    the much dearer ``translate`` elsewhere."""
+    return F.when(F.octet_length(column) == F.length(column), F.lower(column)).otherwise(F.translate(column, UPPER, LOWER))
 
 
 def strip(column: Column) -> Column:

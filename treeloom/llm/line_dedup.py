@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, ascii_lower, let, partitions, row_key, strip
+from .common import NULL_ID, ascii_lower, let, materialize, partitions, row_key, strip
 
 HOT_KEYS = 256
 
@@ -75,7 +75,8 @@ def drop_bitmaps(dropped: DataFrame) -> DataFrame:
 def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_chars: int = 10) -> DataFrame:
     """The input with ``kept_text, n_lines, n_dropped`` and ``drop_words`` (the
     sparse bitmap, null where nothing goes) added."""
-    bitmaps = drop_bitmaps(dropped_lines(line_rows(docs, doc_id, text, min_chars)))
+    rows = materialize(line_rows(docs, doc_id, text, min_chars), "line_rows")  # hashes only; read three times
+    bitmaps = drop_bitmaps(dropped_lines(rows))
     d = docs.withColumns(dict(zip(("_id", "_h"), row_key(doc_id, text), strict=True)))
     d = d.withColumn("_lines", F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1))
     bitmaps = bitmaps.select(F.col("_id").alias("_bi"), F.col("_h").alias("_bh"), "_words")
@@ -87,11 +88,11 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min
         return (F.call_function("shiftright", word, (i % 64).cast("int")).bitwiseAND(F.lit(1).cast("long"))) == 0
 
     kept = let(dense, lambda bits: F.filter("_lines", lambda x, i: stays(bits, i)))
-    joined = joined.withColumn("_kept", F.when(F.col("_words").isNull(), F.col("_lines")).otherwise(kept))
+    n_dropped = F.aggregate(F.map_values("_words"), F.lit(0), lambda n, bits: n + F.bit_count(bits))
     joined = joined.withColumns({
-        "kept_text": F.array_join("_kept", "\n"),
+        "kept_text": F.when(F.col("_words").isNull(), F.coalesce(F.col(text), F.lit(""))).otherwise(F.array_join(kept, "\n")),
         "n_lines": F.size("_lines").cast("long"),
-        "n_dropped": (F.size("_lines") - F.size("_kept")).cast("long"),
+        "n_dropped": F.coalesce(n_dropped, F.lit(0)).cast("long"),
         "drop_words": F.col("_words"),
     })
-    return joined.drop("_bi", "_bh", "_words", "_lines", "_kept", "_h")
+    return joined.drop("_bi", "_bh", "_words", "_lines", "_h")
