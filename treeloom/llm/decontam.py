@@ -65,7 +65,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text
     by_row = by_row.select(F.col("_id").alias("_ci"), F.col("_h").alias("_ch"), "_hits")
     by_row = broadcast_if_small(by_row, hits.count(), 64)
     found = docs.select(*row_key(doc_id, text), F.col(text).alias("_text")).join(by_row, (F.col("_id") == F.col("_ci")) & (F.col("_h") == F.col("_ch")))
-    found = found.dropDuplicates(["_id", "_h"]).withColumn("_tokens", tokens_of(F.col("_text"))).select("_id", "_h", "_tokens", F.explode("_hits").alias("x"))
+    found = found.withColumn("_tokens", tokens_of(F.col("_text"))).select("_id", "_h", "_tokens", F.explode("_hits").alias("x"))
     found = found.select("_id", "_h", "_tokens", "x.*")
     items = items.select("item_id", F.xxhash64("_item").alias("_it"), "_item")
     n_items = F.col("_item")

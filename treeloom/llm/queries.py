@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, lang_id, line_dedup, line_rules, mixing, quality_pu, superminhash, token_hist, warc_zip
+from . import bwt_dedup, decontam, lang_id, line_dedup, line_rules, mixing, quality_pu, superminhash, token_hist, warc_zip
 from .common import public_id
 
 
@@ -62,7 +62,11 @@ def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", F.col("_size").alias("size"), "source_size", "target", (F.col("copies") * F.col("_size")).alias("taken"))
 
 
+def op10_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bwt_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), with_bytes=False)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_language_id, op2_decontaminate, op3_line_dedup, op4_quality_classifier, op5_quality_rules, op6_near_duplicates, op7_warc_archives, op8_token_counts, op9_mix_sources)
+    f.__name__: f for f in (op1_language_id, op2_decontaminate, op3_line_dedup, op4_quality_classifier, op5_quality_rules, op6_near_duplicates, op7_warc_archives, op8_token_counts, op9_mix_sources, op10_repeated_bytes)
 }
 ORACLE_SQL: dict[str, str] = {}
