@@ -12,10 +12,12 @@ once.
 Candidates. Texts with equal shingle sets collapse first to one class, so thousands
 of copies cost one signature. A class meets others in ``BANDS`` buckets of ``ROWS``
 slots; a pair at similarity 0.75 misses all of them with probability 2.4e-5. In a
-bucket each member is paired with one leader, never with every other. Members that
-are still in different components afterwards are paired in further rounds with the
-members of the other components of the bucket, so no link between components is
-lost, and large groups of mutual copies cost one pair per member.
+bucket each member is paired with one leader (the member with most company over all
+its buckets), never with every other.
+Buckets whose members are afterwards in different components are settled by an exact
+prefix filter over their texts (``prefix_pairs``), so no link between components is
+lost; large groups of mutual copies cost one pair per member and bucket, and passages
+that many texts share cost nothing.
 
 Verification. A pair is linked if its full shingle sets satisfy
 ``100 * intersection >= 75 * union``.
@@ -35,7 +37,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import NULL_ID, broadcast_if_small, materialize, public_id
@@ -144,6 +146,45 @@ def verified(pairs: DataFrame, n_pairs: int, docs: DataFrame, doc_id: str, text:
     return pairs.select("a", "b").distinct().join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b").mapInArrow(_links, "a long, b long").distinct()
 
 
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    schema = pa.schema([("rep", pa.int64()), ("comp", pa.int64()), ("tokens", pa.list_(pa.int64()))])
+    for batch in batches:
+        for at in range(0, batch.num_rows, 500):
+            part = batch.slice(at, 500)
+            sets = [s.view(np.int64) for s in shingle_sets(part.column(2).to_pylist())]
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(sets, pa.list_(pa.int64()))], schema=schema)
+
+
+def prefix_pairs(left: DataFrame, n_left: int, docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """Pairs ``a, b`` of texts of different components that may still be linked.
+
+    Exact prefix filter: order a set's shingles by how many of these texts hold them.
+    Two linked texts share a shingle among the first ``n - ceil(0.75 n) + 1`` of both.
+    Shingles of one text only come first and meet nothing, so a text with enough of them
+    has no candidate at all; shingles of passages that many texts share come last. The
+    places of a shared shingle bound what a pair can still share. Per shingle, members
+    of its largest component meet the others only."""
+    want = broadcast_if_small(left.select(F.col("rep").alias("_want"), "comp"), n_left, 24)
+    d = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NULL_ID)).alias("_id"), F.col(text).alias("_text")).where(F.length("_text") > 0)
+    sets = d.join(want, F.col("_id") == F.col("_want")).select(F.col("_id").alias("rep"), "comp", "_text").mapInArrow(_sets, "rep long, comp long, tokens array<long>").where(F.size("tokens") > 0)
+    sets = materialize(sets.withColumn("set", F.xxhash64("tokens")).dropDuplicates(["rep", "set"]), "sets")
+    tokens = sets.select("rep", "comp", "set", F.size("tokens").alias("n"), F.explode("tokens").alias("t"))
+    held = tokens.groupBy("t").agg(F.count("*").alias("c")).where("c > 1")
+    shared = tokens.join(held, "t").groupBy("rep", "comp", "set", "n").agg(F.sort_array(F.collect_list(F.struct("c", "t"))).alias("s"))
+    slots = F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1 - (F.col("n") - F.size("s"))
+    first = shared.where(slots > 0).select("rep", "comp", "n", (F.col("n") - F.size("s")).alias("own"), F.posexplode(F.slice("s", F.lit(1), slots.cast("int"))["t"]).alias("i", "t"))
+    first = first.select("rep", "comp", "n", "t", (F.col("n") - F.col("own") - F.col("i")).alias("rest"))
+    first = materialize(first, "prefixes")
+    sizes = first.groupBy("t", "comp").agg(F.count("*").alias("size"))
+    torn = sizes.groupBy("t").agg(F.max(F.struct("size", "comp"))["comp"].alias("main"), F.count("*").alias("parts")).where("parts > 1").select("t", "main")
+    torn = materialize(first.join(torn, "t"), "torn")
+    outside = torn.where("comp != main").select("t", F.col("rep").alias("x"), F.col("n").alias("n_x"), F.col("comp").alias("comp_x"), F.col("rest").alias("rest_x"))
+    # at the first shingle that a pair shares, all further ones lie among the rest of both
+    reach = (100 + PERCENT) * F.least("rest_x", "rest") >= PERCENT * (F.col("n_x") + F.col("n"))
+    close = (F.col("comp") != F.col("comp_x")) & reach & (100 * F.least("n_x", "n") >= PERCENT * F.greatest("n_x", "n"))
+    return outside.join(torn, "t").where(close).select(F.least("x", "rep").alias("a"), F.greatest("x", "rep").alias("b")).distinct()
+
+
 def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Union-find over a partition's links; a star for each of its trees."""
     parent: dict[int, int] = {}
@@ -198,37 +239,30 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     placed = rows.select("_id", "n", "f1", "f2").join(shared, same, "left").select("_id", "n", F.coalesce("rep", "_id").alias("rep"))
     placed = materialize(placed, "placed")
     buckets = classes.select("rep", "n", F.posexplode("bands").alias("band", "hash"))
-    full = buckets.groupBy("band", "hash").agg(F.min(F.struct("rep", "n")).alias("lead"), F.max("rep").alias("top")).where("lead.rep != top")
-    full = full.select("band", "hash", F.col("lead.rep").alias("a"), F.col("lead.n").alias("n_a"))
+    full = buckets.groupBy("band", "hash").agg(F.count("*").alias("size")).where("size > 1")
     members = materialize(buckets.join(full, ["band", "hash"]), "members")
-    close = (100 * F.least("n_a", "n") >= PERCENT * F.greatest("n_a", "n")) & (F.col("a") != F.col("rep"))
-    pairs = materialize(members.where(close).select("a", F.col("rep").alias("b")).distinct(), "pairs")
+    # the member that shares most with the others of its buckets leads: near the middle of
+    # a group of copies, so one star reaches most of them
+    central = members.groupBy("rep").agg(F.sum("size").alias("weight")).select(F.col("rep").alias("_w"), "weight")
+    led = members.join(central, F.col("rep") == F.col("_w")).groupBy("band", "hash").agg(F.max(F.struct("weight", (-F.col("rep")).alias("back"), F.col("n").alias("n_a"))).alias("lead"))
+    led = led.select("band", "hash", (-F.col("lead.back")).alias("lead"), "lead.n_a")
+    close = (100 * F.least("n_a", "n") >= PERCENT * F.greatest("n_a", "n")) & (F.col("lead") != F.col("rep"))
+    pairs = members.join(led, ["band", "hash"]).where(close).select(F.least("lead", "rep").alias("a"), F.greatest("lead", "rep").alias("b"))
+    pairs = materialize(pairs.distinct(), "pairs")
     links = materialize(verified(pairs, pairs.count(), docs, doc_id, text), "links")
     # one document under several texts holds its classes together
     several = placed.groupBy("_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a != b").select("a", F.col("_id").alias("b"))
     several = several.union(placed.where("_id != rep").join(several.select(F.col("b").alias("_id")), "_id", "left_semi").select(F.col("rep").alias("a"), F.col("_id").alias("b")))
     links = materialize(links.union(several), "links")
-    tried = pairs
-    while True:
-        groups = components(links)
-        found = members.join(groups, F.col("rep") == F.col("node"), "left").select("band", "hash", "rep", "n", F.coalesce("component", "rep").alias("comp"))
-        # per bucket: the members outside the component that holds most of it
-        sizes = found.groupBy("band", "hash", "comp").agg(F.count("*").alias("size"))
-        torn = sizes.groupBy("band", "hash").agg(F.max(F.struct("size", "comp")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
-        torn = torn.select("band", "hash", F.col("main.comp").alias("main"))
-        left = materialize(found.join(torn, ["band", "hash"]), "torn")
-        outside = left.where("comp != main").select("band", "hash", F.col("rep").alias("x"), F.col("n").alias("n_x"), F.col("comp").alias("comp_x"))
-        cross = outside.join(left, ["band", "hash"]).where("comp != comp_x").where(100 * F.least("n_x", "n") >= PERCENT * F.greatest("n_x", "n"))
-        fresh = cross.select(F.least("x", "rep").alias("a"), F.greatest("x", "rep").alias("b")).distinct().join(tried.select("a", "b"), ["a", "b"], "left_anti")
-        fresh = materialize(fresh, "pairs")
-        n_fresh = fresh.count()
-        if not n_fresh:
-            break
+    groups = components(links)
+    found = members.join(groups, F.col("rep") == F.col("node"), "left").select("band", "hash", "rep", F.coalesce("component", "rep").alias("comp"))
+    mixed = found.groupBy("band", "hash").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).where("_lo != _hi").select("band", "hash")
+    left = materialize(found.join(mixed, ["band", "hash"], "left_semi").select("rep", "comp").distinct(), "torn")
+    fresh = materialize(prefix_pairs(left, left.count(), docs, doc_id, text), "pairs")
+    if n_fresh := fresh.count():
         more = materialize(verified(fresh, n_fresh, docs, doc_id, text), "links")
-        tried = tried.union(fresh)
-        if not more.limit(1).count():
-            break
-        links = links.union(more)
+        if not more.isEmpty():
+            groups = components(links.union(more))
     named = placed.join(groups, F.col("rep") == F.col("node"), "left")
     return named.select("_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component"))
 
