@@ -7,14 +7,15 @@ import math
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _erfc_root(x: pd.Series) -> pd.Series:
     return x.map(lambda v: None if v is None or v != v else math.erfc(math.sqrt(v / 2)) if v > 0 else 1.0)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _short_p(x: pd.Series) -> pd.Series:
     def one(v):
         if v is None or v != v:
