@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from treeloom.llm import decontam, line_dedup, line_rules, mixing, superminhash
+from treeloom.llm import decontam, line_dedup, line_rules, mixing, oracles, superminhash
 from treeloom.llm.common import fresh_path
+from treeloom.llm.queries import PARAMETERS
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,7 +44,12 @@ STAGES = [
     ("benchmark decontamination", decontaminate),
     ("mixing sources", mix_sources),
 ]
-ORACLE_SQL = None
+ORACLE_SQL = f"""WITH RECURSIVE {oracles.quality_rules('documents', 'a_', *PARAMETERS['rules'])},
+s1 AS (SELECT d.* FROM documents d JOIN a_out a USING (doc_id) WHERE a.kept), {oracles.line_dedup('s1', 'b_')},
+s2 AS (SELECT d.doc_id, b.kept AS text, d.lang, d.source, length(b.kept)::BIGINT AS n_chars FROM s1 d JOIN b_out b USING (doc_id)), {oracles.near_duplicates('s2', 'c_')},
+s3 AS (SELECT d.* FROM s2 d JOIN c_out c USING (doc_id) WHERE c.kept), {oracles.contaminated('s3', 'd_', *PARAMETERS['leaks'])},
+s4 AS (SELECT * FROM s3 WHERE doc_id NOT IN (SELECT doc_id FROM d_out)), {oracles.mixing('s4', 'e_', *PARAMETERS['mix'])}
+SELECT d.* FROM s4 d JOIN (SELECT doc_id, unnest(range(copies)) AS copy FROM e_out) c USING (doc_id)"""
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

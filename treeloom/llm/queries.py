@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bwt_dedup, decontam, lang_id, line_dedup, line_rules, mixing, quality_pu, superminhash, token_hist, warc_zip
+from . import bwt_dedup, decontam, lang_id, line_dedup, line_rules, mixing, oracles, quality_pu, superminhash, token_hist, warc_zip
 from .common import public_id
 
 
@@ -69,4 +69,18 @@ def op10_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_language_id, op2_decontaminate, op3_line_dedup, op4_quality_classifier, op5_quality_rules, op6_near_duplicates, op7_warc_archives, op8_token_counts, op9_mix_sources, op10_repeated_bytes)
 }
-ORACLE_SQL: dict[str, str] = {}
+
+PARAMETERS = {
+    "rules": (line_rules.MAX_DOCS_PER_HOST, line_rules.MIN_WORDS, line_rules.MIN_LEFT_PERCENT, line_rules.MAX_REPEAT_PERCENT),
+    "leaks": (decontam.WINDOW, decontam.MISSES, decontam.MIN_TOKENS),
+    "mix": (mixing.WEIGHTS, mixing.CAP, mixing.CHUNKS, mixing.SEED),
+}
+#: Not here: op1, op4 (learnt models), op8 (a tokenizer), op10 (byte strings).
+ORACLE_SQL: dict[str, str] = {
+    "op2_decontaminate": f"WITH {oracles.contaminated('documents', 'q_', *PARAMETERS['leaks'])} SELECT * FROM q_out",
+    "op3_line_dedup": f"WITH {oracles.line_dedup('documents', 'q_')} SELECT doc_id, n_lines, n_dropped, sha256(kept) AS kept_sha256 FROM q_out",
+    "op5_quality_rules": f"WITH {oracles.quality_rules('documents', 'q_', *PARAMETERS['rules'])} SELECT * FROM q_out",
+    "op6_near_duplicates": f"WITH RECURSIVE {oracles.near_duplicates('documents', 'q_')} SELECT * FROM q_out",
+    "op7_warc_archives": oracles.archives(),
+    "op9_mix_sources": f"WITH {oracles.mixing('documents', 'q_', *PARAMETERS['mix'])} SELECT doc_id, size, source_size, target, copies*size AS taken FROM q_out",
+}
