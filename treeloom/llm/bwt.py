@@ -25,7 +25,7 @@ def _spans(prefix: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray
 
 def anchors(data: bytes, length: int) -> Iterator[tuple[np.ndarray, ...]]:
     """Runs of window starts that choose the same anchor: arrays ``lo, hi`` (first
-    and last start), ``anchor`` hash and ``segment`` hash, piece by piece.
+    and last start), ``anchor`` hash, ``segment`` hash and the anchor's place, piece by piece.
 
     A window of ``length`` bytes chooses its ``GRAM``-byte gram of least hash, the
     leftmost of equals, so equal windows choose equal anchors at equal offsets.
@@ -50,7 +50,7 @@ def anchors(data: bytes, length: int) -> Iterator[tuple[np.ndarray, ...]]:
             hi = np.concatenate([lo[1:] - 1, [len(place) - 1]])
             anchor = place[lo]
             segment = mix(_spans(prefix, lo, hi + length) ^ (anchor - lo).astype(np.uint64))
-        yield lo + at, hi + at, grams[anchor], segment
+        yield lo + at, hi + at, grams[anchor], segment, anchor + at
 
 
 def suffix_array(text: np.ndarray) -> np.ndarray:

@@ -17,8 +17,10 @@ possible in bounded memory, so the work is cut without losing a repeat:
    that is alone with its content is itself the only place, so the result is a span
    of its document; the others are settled by step 2.
 4. Anchors with more than ``HOT_SEGMENTS`` different segments would not fit a block.
-   They go the exact other way: their windows are hashed and counted with map-side
-   combine, so no task holds the anchor.
+   They go an exact other way (``hot_spans``): their windows are cut into cells of
+   neighbouring offsets to the anchor, whose common core and whole content are hashed
+   and counted with map-side combine, so no task holds the anchor; cells that differ
+   in content under one core are cut finer, down to single windows.
 
 Texts move only in steps 3 and at the end, joined by broadcast where the counted
 rows prove the other side small, else shuffled.
@@ -45,6 +47,8 @@ LENGTH = 200
 #: Bytes of a block, and different segments of an anchor that still go into blocks.
 BLOCK = 1_200_000
 HOT_SEGMENTS = 2000
+#: Widths of the cells of such anchors, each dividing the one before; the last is 1.
+CELLS = (64, 16, 4, 1)
 
 _RUNS = "_id long, _h long, lo long, n int, a long, s long"
 _SPANS = "_id long, _h long, b long, e long"
@@ -63,7 +67,7 @@ def window_runs(docs: DataFrame, doc_id: str, text: str, length: int) -> DataFra
             for at in range(0, batch.num_rows, 200):
                 part, rows = batch.slice(at, 200), []
                 for i, h, t in zip(*(c.to_pylist() for c in part.columns), strict=True):
-                    for lo, hi, a, s in bwt.anchors(t.encode("utf-8", "surrogatepass"), length):
+                    for lo, hi, a, s, _ in bwt.anchors(t.encode("utf-8", "surrogatepass"), length):
                         rows.append((np.full(len(lo), i), np.full(len(lo), h), lo, (hi - lo + 1).astype(np.int32), a.view(np.int64), s.view(np.int64)))
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*rows, strict=True)], schema=schema)
@@ -71,10 +75,10 @@ def window_runs(docs: DataFrame, doc_id: str, text: str, length: int) -> DataFra
     return _texts(docs, doc_id, text).where(F.octet_length("_text") >= length).mapInArrow(run, _RUNS)
 
 
-def _segments(docs: DataFrame, wanted: DataFrame, n_wanted: int, doc_id: str, text: str, length: int) -> DataFrame:
+def _segments(docs: DataFrame, wanted: DataFrame, doc_id: str, text: str, length: int) -> DataFrame:
     """Wanted runs (``_id, _h, lo, n, a, s``) with their bytes as ``seg``."""
     by_row = wanted.groupBy("_id", "_h").agg(F.collect_list(F.struct("lo", "n", "a", "s")).alias("_runs"))
-    by_row = broadcast_if_small(by_row.select(F.col("_id").alias("_wi"), F.col("_h").alias("_wh"), "_runs"), n_wanted, 48)
+    by_row = by_row.select(F.col("_id").alias("_wi"), F.col("_h").alias("_wh"), "_runs")
     d = _texts(docs, doc_id, text).join(by_row, (F.col("_id") == F.col("_wi")) & (F.col("_h") == F.col("_wh")))
     cut = F.transform("_runs", lambda x: F.struct(x["lo"].alias("lo"), x["n"].alias("n"), x["a"].alias("a"), x["s"].alias("s"), F.substring(F.col("_bytes"), x["lo"].cast("int") + 1, x["n"] + (length - 1)).alias("seg")))
     d = d.withColumn("_bytes", F.encode("_text", "UTF-8")).withColumn("_cut", cut)
@@ -115,20 +119,51 @@ def block_spans(segments: DataFrame, length: int, block: int = BLOCK) -> DataFra
     return dealt.mapInArrow(blocks, _SPANS)
 
 
-def hot_spans(segments: DataFrame, length: int) -> DataFrame:
-    """The same for anchors beyond a block, by counting hashed windows."""
-    schema = pa.schema([("_id", pa.int64()), ("_h", pa.int64()), ("at", pa.int64()), ("a", pa.int64()), ("w1", pa.int64()), ("w2", pa.int64())])
+def _hash64(data: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(data, digest_size=8).digest(), "little", signed=True)
+
 
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _cells(length: int, width: int):
+    """Cuts parts (``seg`` holds the bytes of windows with offsets off - n + 1 to off) into
+    cells of ``width`` offsets. All windows of a cell share its core; equal windows have
+    equal offsets, so they lie in equal cells with equal cores."""
+    schema = pa.schema([("_id", pa.int64()), ("_h", pa.int64()), ("lo", pa.int64()), ("n", pa.int32()), ("a", pa.int64()), ("off", pa.int64()), ("cell", pa.int64()), ("core", pa.int64()), ("content", pa.int64()), ("seg", pa.binary())])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, h, lo, a, seg in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                n = len(seg) - length + 1
-                digests = np.frombuffer(b"".join(hashlib.blake2b(seg[k : k + length], digest_size=16).digest() for k in range(n)), dtype=np.int64).reshape(n, 2)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, i)), pa.array(np.full(n, h)), pa.array(lo + np.arange(n)), pa.array(np.full(n, a)), pa.array(digests[:, 0].copy()), pa.array(digests[:, 1].copy())], schema=schema)
+            rows = []
+            for i, h, lo, n, a, off, seg in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if off is None:
+                    off = int(next(bwt.anchors(seg, length))[4][0])
+                for cell in range(off // width, (off - n + 1) // width - 1, -1):
+                    top, low = min(off, (cell + 1) * width - 1), max(off - n + 1, cell * width)
+                    first, count = off - top, top - low + 1
+                    part = seg[first : first + count + length - 1]
+                    place = off - cell * width  # of the cell's last window; its first is width - 1 before
+                    core = seg[place : place - width + 1 + length]
+                    rows.append((i, h, lo + first, count, a, top, cell, _hash64(core), _hash64(b"%d %d " % (top, count) + part), part))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
+
+    return cut
 
-    windows = segments.select("_id", "_h", "lo", "a", "seg").mapInArrow(hashed, "_id long, _h long, at long, a long, w1 long, w2 long")
-    counts = windows.groupBy("a", "w1", "w2").agg(F.count("*").alias("c")).where("c > 1").select("a", "w1", "w2")
-    return windows.join(counts, ["a", "w1", "w2"]).select("_id", "_h", F.col("at").alias("b"), (F.col("at") + length).alias("e"))
+
+def hot_spans(segments: DataFrame, length: int) -> DataFrame:
+    """The same for anchors beyond a block, by counting cells of windows."""
+    parts, spans = segments.select("_id", "_h", "lo", "n", "a", F.lit(None).cast("long").alias("off"), "seg"), None
+    keys = ["a", "cell", "core"]
+    for width in CELLS:
+        cells = materialize(parts.mapInArrow(_cells(length, width), "_id long, _h long, lo long, n int, a long, off long, cell long, core long, content long, seg binary"), "cells")
+        contents = cells.groupBy(*keys, "content").agg(F.count("*").alias("c"), F.min(F.struct("_id", "_h", "lo")).alias("one"))
+        contents = materialize(contents, "contents")
+        twice = cells.drop("seg").join(contents.where("c > 1").select(*keys, "content"), [*keys, "content"])
+        found = twice.select("_id", "_h", F.col("lo").alias("b"), (F.col("lo") + F.col("n") + (length - 1)).alias("e"))
+        spans = found if spans is None else spans.union(found)
+        mixed = contents.groupBy(*keys).agg(F.count("*").alias("k")).where("k > 1").select(*keys)
+        # one copy of each content goes on; the others of it are settled
+        again = contents.join(mixed, keys, "left_semi").select("a", "one.*")
+        parts = cells.join(again, ["a", "_id", "_h", "lo"], "left_semi").select("_id", "_h", "lo", "n", "a", "off", "seg")
+    return spans
 
 
 def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, hot_segments: int = HOT_SEGMENTS) -> DataFrame:
@@ -144,12 +179,11 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     several = segments.groupBy("a").agg(F.count("*").alias("k")).where("k > 1").select(F.col("a").alias("_ma"), "k")
     wanted = materialize(segments.join(several, F.col("a") == F.col("_ma")).select("rep.*", "a", "s", "k"), "wanted")
     cold, hot = wanted.where(F.col("k") <= hot_segments), wanted.where(F.col("k") > hot_segments)
-    n_cold, n_hot = cold.count(), hot.count()
     spans = whole
-    if n_cold:
-        spans = spans.union(block_spans(_segments(docs, cold, n_cold, doc_id, text, length), length))
-    if n_hot:
-        spans = spans.union(hot_spans(materialize(_segments(docs, hot, n_hot, doc_id, text, length), "hot"), length))
+    if not cold.isEmpty():
+        spans = spans.union(block_spans(_segments(docs, cold, doc_id, text, length), length))
+    if not hot.isEmpty():
+        spans = spans.union(hot_spans(materialize(_segments(docs, hot, doc_id, text, length), "hot"), length))
     return spans
 
 
