@@ -128,8 +128,9 @@ def read_phenotypes(spark: SparkSession, path: str) -> DataFrame:
 
 def read_samples(spark: SparkSession, path: str) -> DataFrame:
     """``row, sample`` of a sample file: two header lines, ids in the first column."""
-    t = spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.rtrim("value"), "\n")).alias("row", "line"))
-    return t.where("row >= 2").select((F.col("row") - 2).alias("row"), F.split(F.trim("line"), r"\s+")[0].cast("long").alias("sample"))
+    t = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("row", "line"))
+    t = t.where((F.col("row") >= 2) & (F.trim("line") != ""))
+    return t.select((F.col("row") - 2).alias("row"), F.split(F.trim("line"), r"\s+")[0].try_cast("long").alias("sample"))
 
 
 def match_phenotypes(samples: DataFrame, phenotypes: DataFrame) -> DataFrame:
