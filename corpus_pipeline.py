@@ -17,9 +17,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without their repeated lines; ``n_chars`` follows the text."""
-    d = line_dedup.dedup_lines(docs)
-    d = d.withColumns({"text": F.col("kept_text"), "n_chars": F.length("kept_text").cast("long")})
-    return d.select(*docs.columns)
+    now = {"text": F.col("kept_text"), "n_chars": F.length("kept_text").cast("long")}
+    return line_dedup.dedup_lines(docs).select(*[now.get(c, F.col("doc")[c]).alias(c) for c in docs.columns])
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,8 +1,8 @@
 """Helpers shared by the training-data operators.
 
 Conventions of every operator in this subpackage
-* Only the named key and text columns are read, under internal names, so extra
-  columns and clashing names in the input can neither break nor leak.
+* Only the named key and text columns are read, under internal names; other columns of
+  the input travel inside one struct, ``doc``, so that no name can clash.
 * A null text counts as empty. A null ``doc_id`` is carried as the largest long
   internally: such rows form one document that sorts after all others, and the
   id is null again in results.
@@ -74,6 +74,11 @@ def row_key(doc_id: str = "doc_id", text: str = "text") -> list[Column]:
     ]
 
 
+def carried(docs: DataFrame, columns: tuple[str, ...] | None = None) -> Column:
+    """``doc``: the input's own columns (or those named), kept apart in a struct."""
+    return F.struct(*[F.col(f"`{c}`") for c in (docs.columns if columns is None else columns)]).alias("doc")
+
+
 def public_id(column: str = "_id") -> Column:
     return F.when(F.col(column) != NULL_ID, F.col(column))
 

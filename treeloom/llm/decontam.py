@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, let, materialize, public_id, row_key
+from .common import broadcast_if_small, carried, let, materialize, public_id, row_key
 
 #: Fixed masks of weight 6: 1 is compared, 0 is ignored.
 MASKS = ("11011101", "101001111")
@@ -93,5 +93,5 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
 def clean_documents(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The documents that overlap no benchmark item, unchanged."""
     bad = overlaps(docs, benchmark, doc_id, text, **options).select(F.col("_id").alias("_bi"), F.col("_h").alias("_bh")).distinct()
-    d = docs.withColumns(dict(zip(("_id", "_h"), row_key(doc_id, text), strict=True)))
-    return d.join(bad, (F.col("_id") == F.col("_bi")) & (F.col("_h") == F.col("_bh")), "left_anti").drop("_id", "_h")
+    d = docs.select(*row_key(doc_id, text), carried(docs))
+    return d.join(bad, (F.col("_id") == F.col("_bi")) & (F.col("_h") == F.col("_bh")), "left_anti").select("doc.*")

@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, ascii_lower, let, materialize, partitions, row_key, strip
+from .common import NULL_ID, ascii_lower, carried, let, materialize, partitions, row_key, strip
 
 HOT_KEYS = 256
 
@@ -73,12 +73,12 @@ def drop_bitmaps(dropped: DataFrame) -> DataFrame:
 
 
 def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_chars: int = 10) -> DataFrame:
-    """The input with ``kept_text, n_lines, n_dropped`` and ``drop_words`` (the
-    sparse bitmap, null where nothing goes) added."""
+    """``doc`` (the input's columns), ``kept_text, n_lines, n_dropped`` and ``drop_words``
+    (the sparse bitmap, null where nothing goes) of each row."""
     rows = materialize(line_rows(docs, doc_id, text, min_chars), "line_rows")  # hashes only; read three times
     bitmaps = drop_bitmaps(dropped_lines(rows))
-    d = docs.withColumns(dict(zip(("_id", "_h"), row_key(doc_id, text), strict=True)))
-    d = d.withColumn("_lines", F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1))
+    own = F.coalesce(F.col(text), F.lit(""))
+    d = docs.select(*row_key(doc_id, text), carried(docs), own.alias("_text"), F.split(own, "\n", -1).alias("_lines"))
     bitmaps = bitmaps.select(F.col("_id").alias("_bi"), F.col("_h").alias("_bh"), "_words")
     joined = d.join(bitmaps, (F.col("_id") == F.col("_bi")) & (F.col("_h") == F.col("_bh")), "left")
     dense = F.transform(F.sequence(F.lit(0), F.array_max(F.map_keys("_words"))), lambda w: F.coalesce(F.element_at("_words", w), F.lit(0).cast("long")))
@@ -89,10 +89,10 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min
 
     kept = let(dense, lambda bits: F.filter("_lines", lambda x, i: stays(bits, i)))
     n_dropped = F.aggregate(F.map_values("_words"), F.lit(0), lambda n, bits: n + F.bit_count(bits))
-    joined = joined.withColumns({
-        "kept_text": F.when(F.col("_words").isNull(), F.coalesce(F.col(text), F.lit(""))).otherwise(F.array_join(kept, "\n")),
-        "n_lines": F.size("_lines").cast("long"),
-        "n_dropped": F.coalesce(n_dropped, F.lit(0)).cast("long"),
-        "drop_words": F.col("_words"),
-    })
-    return joined.drop("_bi", "_bh", "_words", "_lines", "_h")
+    return joined.select(
+        "doc",
+        F.when(F.col("_words").isNull(), F.col("_text")).otherwise(F.array_join(kept, "\n")).alias("kept_text"),
+        F.size("_lines").cast("long").alias("n_lines"),
+        F.coalesce(n_dropped, F.lit(0)).cast("long").alias("n_dropped"),
+        F.col("_words").alias("drop_words"),
+    )

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, WORD
+from .common import NULL_ID, WORD, carried
 
 CHUNKS = 256
 WEIGHTS = (1, 2, 3)
@@ -62,15 +62,16 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, cap: int = CAP) -> DataFra
     return s.select("_source", "source_size", target.alias("target"))
 
 
-def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights=WEIGHTS, cap: int = CAP, seed: str = SEED) -> DataFrame:
-    """The input with ``_size, source_size, target, copies`` added: how often each
-    row is taken. Deterministic for a seed."""
-    d = docs.withColumns({
-        "_id": F.coalesce(F.col(doc_id).cast("long"), F.lit(NULL_ID)),
-        "_source": F.col(source).cast("string"),
-        "_size": word_count(F.col(text)),
-        "_tie": F.xxhash64(F.coalesce(F.col(text), F.lit(""))),
-    })
+def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights=WEIGHTS, cap: int = CAP, seed: str = SEED, carry: tuple[str, ...] | None = None) -> DataFrame:
+    """``doc`` (the input columns named by ``carry``, None: all) with ``size, source_size,
+    target, copies``: how often each row is taken. Deterministic for a seed."""
+    d = docs.select(
+        carried(docs, carry),
+        F.coalesce(F.col(doc_id).cast("long"), F.lit(NULL_ID)).alias("_id"),
+        F.col(source).cast("string").alias("_source"),
+        word_count(F.col(text)).alias("_size"),
+        F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("_tie"),
+    )
     d = d.withColumns({"_class": size_class(F.col("_size")), "_chunk": F.pmod(F.col("_id"), F.lit(CHUNKS)).cast("int")})
     chunk = ["_source", "_class", "_chunk"]
     counts = d.groupBy(*chunk).agg(F.count("*").alias("_n"), F.sum("_size").alias("_size"))
@@ -92,11 +93,11 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     offset = (F.conv(F.substring(F.md5(F.concat(F.lit(seed), F.lit("|"), F.coalesce(F.col("_source"), F.lit("")))), 1, 5), 16, 10).cast("double") + 0.5) / 1048576.0
     crossed = F.floor(rate * rank + offset) - F.floor(rate * (rank - 1) + offset)
     copies = F.least(crossed, F.lit(cap)).cast("long")
-    return joined.withColumn("copies", copies).drop("_s", "_c", "_k", "_start", "_place", "_tie", "_class", "_chunk")
+    return joined.select("doc", F.col("_size").alias("size"), "source_size", "target", copies.alias("copies"))
 
 
 def mixed_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
     """The mix itself: each row as often as it is taken, with its own columns."""
     taken = mix(docs, doc_id, text, source, **options).where(F.col("copies") > 0)
     again = F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))
-    return taken.withColumn("_copy", again).select(*docs.columns)
+    return taken.select("doc", again).select("doc.*")

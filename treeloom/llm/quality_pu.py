@@ -12,8 +12,8 @@ non-negative unbiased risk
 over trusted positives and unlabelled web text; when a batch's second term falls
 below zero its gradient is turned round, which keeps the flexible part of the risk
 from over-fitting. The class prior is estimated from the labelled rows of the
-learning folds as the smoothed share of positives (the labels are drawn from the
-same web); without labelled negatives it falls back to the mean score that a
+learning folds as the smoothed share of positives, less one standard error (the labels
+are drawn from the same web); without labelled negatives it falls back to the mean score that a
 positive-against-unlabelled model gives to held-back positives.
 
 Learning uses a bounded sample (``LEARN_POSITIVES`` positives and
@@ -41,6 +41,8 @@ LEARN_POSITIVES = 3000
 LEARN_UNLABELLED = 6000
 THRESHOLD = 0.3
 EPOCHS = 60
+#: Small samples get more epochs, up to so many steps.
+STEPS = 600
 BATCH = 512
 CLASSES = 9
 GRAMS = CLASSES**3
@@ -105,6 +107,7 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, epochs: int
     rng = np.random.default_rng(seed)
     w, m, v, step = np.zeros(positive.shape[1]), 0.0, 0.0, 0
     rounds = max(1, -(-len(unlabelled) // BATCH))
+    epochs = max(epochs, -(-STEPS // rounds))
     for epoch in range(epochs):
         p_order, u_order = rng.permutation(len(positive)), rng.permutation(len(unlabelled))
         for p_part, u_part in zip(np.array_split(p_order, rounds), np.array_split(u_order, rounds), strict=True):
@@ -126,8 +129,9 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, epochs: int
 def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray, labelled: tuple[int, int]) -> float:
     """Share of positives in the unlabelled text; ``labelled``: counts of 1 and 0."""
     ones, zeros = labelled
-    if zeros:
-        return (ones + 1) / (ones + zeros + 2)
+    if zeros:  # one standard error low: too high a prior pulls unlabelled negatives up
+        share, n = (ones + 1) / (ones + zeros + 2), ones + zeros + 2
+        return share - (share * (1 - share) / n) ** 0.5
     half = max(1, len(positive) // 2)
     w = fit(positive[:half], unlabelled, 0.5, epochs=10)
     top = sigmoid(positive[half:] @ w).mean() if len(positive) > half else 1.0

@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bwt_dedup, decontam, lang_id, line_dedup, line_rules, mixing, oracles, quality_pu, superminhash, token_hist, warc_zip
-from .common import public_id
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,7 +28,7 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return d.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+    return d.select("doc.doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,7 +40,7 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = line_rules.apply_rules(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
-    return d.select(public_id().alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    return d.select("doc.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,8 +57,8 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
-    return d.select("doc_id", F.col("_size").alias("size"), "source_size", "target", (F.col("copies") * F.col("_size")).alias("taken"))
+    d = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), carry=("doc_id",))
+    return d.select("doc.doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def op10_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, broadcast_if_small, materialize, public_id
+from .common import NULL_ID, broadcast_if_small, carried, materialize, public_id
 from .shingles import WIDTH, mix, shingle_sets
 
 BANDS, ROWS = 28, 4
@@ -276,5 +276,5 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 def kept_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One document of each group, the smallest: its first row, unchanged."""
     lost = near_groups(docs, doc_id, text).where("_id != component").select(F.col("_id").alias("_lost")).distinct()
-    d = docs.withColumn("_id", F.coalesce(F.col(doc_id).cast("long"), F.lit(NULL_ID)))
-    return d.join(lost, F.col("_id") == F.col("_lost"), "left_anti").drop("_id")
+    d = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NULL_ID)).alias("_id"), carried(docs))
+    return d.join(lost, F.col("_id") == F.col("_lost"), "left_anti").select("doc.*")
