@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -63,3 +64,24 @@ def standardise(df: DataFrame, column: str, mask: str | None = None) -> DataFram
     z = (F.col(column) - F.col("_m")) / F.col("_s")
     z = z if mask is None else F.when(F.col(mask), z).otherwise(F.lit(-9.0))
     return df.crossJoin(F.broadcast(s)).withColumn(column, z).drop("_m", "_s")
+
+
+def harrell_davis(values: list[float], share: float, grid: int = 20001) -> float:
+    """The Harrell-Davis quantile: order statistics weighted by a beta distribution, whose
+    mass over each step is integrated numerically."""
+    x = np.sort(np.asarray(values, dtype=float))
+    n = len(x)
+    a, b = share * (n + 1), (1 - share) * (n + 1)
+    t = np.linspace(0.0, 1.0, grid)[1:-1]
+    log_pdf = (a - 1) * np.log(t) + (b - 1) * np.log1p(-t) + math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b)
+    mass = np.concatenate([[0.0], np.cumsum(np.exp(log_pdf)) / (grid - 1)])
+    at = np.interp(np.arange(n + 1) / n, np.concatenate([[0.0], t]), mass)
+    w = np.diff(at)
+    return float((w * x).sum() / w.sum())
+
+
+def harrell_davis_interval(values: list[float], share: float, level: float = 0.95, rounds: int = 200, seed: int = 1) -> tuple[float, float]:
+    """Bootstrap interval of the quantile."""
+    rng, x = np.random.default_rng(seed), np.asarray(values, dtype=float)
+    found = [harrell_davis(rng.choice(x, len(x)), share) for _ in range(rounds)]
+    return tuple(float(v) for v in np.quantile(found, [(1 - level) / 2, (1 + level) / 2]))

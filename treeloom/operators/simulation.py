@@ -80,38 +80,6 @@ def caterpillar(spark: SparkSession, start: float, end: float, n_samples: int, n
     return Genealogy(nodes, edges, spark.createDataFrame([], MUTATION_SCHEMA), float(start), float(end))
 
 
-def random_resolution(children: list[int], seed: int) -> list[tuple[int, ...]]:
-    """Leaf sets that a random binary resolution of a polytomy adds: shuffle, then split at
-    random places."""
-    rng = np.random.default_rng(seed)
-    order, out = list(rng.permutation(children)), []
-    stack = [order]
-    while stack:
-        part = stack.pop()
-        if len(part) < 2:
-            continue
-        if len(part) < len(children):
-            out.append(tuple(sorted(int(x) for x in part)))
-        cut = int(rng.integers(1, len(part)))
-        stack += [part[:cut], part[cut:]]
-    return out
-
-
-def resolved_overlap(one: list[frozenset], two: list[frozenset]) -> tuple[int, int, int]:
-    a, b = set(one), set(two)
-    return len(a), len(b), len(a & b)
-
-
-def merge_candidates(branches: DataFrame, fraction: float, by: str = "smallest", seed: int = 1) -> DataFrame:
-    """Inner branches ``k, child, height_child, height_parent`` to merge into their parent:
-    per tree the first floor(fraction * count), by rising relative length or at random."""
-    key = 1 - F.col("height_child") / F.col("height_parent") if by == "smallest" else F.rand(seed)
-    b = branches.where("height_child > 0").withColumn("_key", key)
-    w = Window.partitionBy("k").orderBy("_key", "child")
-    b = b.withColumns({"_r": F.row_number().over(w), "_n": F.count("*").over(Window.partitionBy("k"))})
-    return b.where(F.col("_r") <= F.floor(F.lit(fraction) * F.col("_n"))).drop("_key", "_r", "_n")
-
-
 def exponential(rate: float, seed: int):
     return -F.log1p(-F.rand(seed)) / F.lit(rate)
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import chi2_pvalue
 from ..model import Genealogy, materialize
-from ..operators import access, association, checks, closure, editing, export, mapping, relatedness, simulation, statistics
+from ..operators import access, association, checks, closure, editing, export, mapping, relatedness, resolution, simulation, statistics
 from ..operators.intervals import stab_join
 from . import canonical
 from . import oracles as o
@@ -377,6 +377,24 @@ def stab_all_bitsets(spark, d):
     return statistics.sets_at(g, closure.ancestry(g), at).select("n_desc", "length", F.col("desc").alias("leaves"))
 
 
+@query()
+def kc_random_resolve(spark, d):
+    one, two = suppliers(spark, d), second(spark, d)
+    return resolution.special_metrics(one, two, closure.golden_stabs(one, STABS), "random_resolve", seed=5)
+
+
+@query()
+def kc_merge(spark, d):
+    one, two = suppliers(spark, d), second(spark, d)
+    return resolution.special_metrics(one, two, closure.golden_stabs(one, STABS), "heuristic_merge", fraction=0.3)
+
+
+@query()
+def rf_resolve(spark, d):
+    one, two, a, b = both(spark, d)
+    return resolution.resolved_overlap(one, two, a, b, closure.golden_stabs(one, STABS), [1, 2])
+
+
 # ---- genotypes ------------------------------------------------------------------------------
 
 _GENO = (SUPPLIER, o.GENOTYPES, o.KNOWN, o.counts("known"))
