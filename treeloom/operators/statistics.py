@@ -58,12 +58,6 @@ def set_volumes_by_tree(g: Genealogy, anc: DataFrame, breakpoints: DataFrame) ->
     return rows.groupBy("desc").agg(F.sum(F.col("_len") * (F.col("y") - F.col("x"))).alias("volume"))
 
 
-def pair_facts(g: Genealogy, anc: DataFrame) -> DataFrame:
-    """Pairs with TMRCA, depth and clade size of their ancestor, on intervals."""
-    p = pairs(anc, g.nodes)
-    return at_node(at_node(p, depths(g), "depth"), clades(anc), "n_desc")
-
-
 def compared(one: DataFrame, two: DataFrame, columns: list[str]) -> DataFrame:
     """Pairs of two genealogies on common intervals; the second's columns end in 2."""
     t = two.select(F.col("i").alias("_i"), F.col("j").alias("_j"), F.col("lft").alias("_l"), F.col("rgt").alias("_r"), *[F.col(c).alias(f"{c}2") for c in columns])
@@ -93,12 +87,26 @@ def at_stabs(rows: DataFrame, stabs: DataFrame, span: float) -> DataFrame:
     return stab_join(stabs, rows, "x", max(span / 64, 1e-9))
 
 
+def pairs_at(g: Genealogy, anc: DataFrame, stabs: DataFrame) -> DataFrame:
+    """``k, i, j, depth, height, n_desc`` of each pair's ancestor in the trees at the stabs.
+    The ancestry is cut to the trees first, so pairs meet by plain equality."""
+    at = stab_join(stabs, anc.select("leaf", "node", "via", "level", "lft", "rgt"), "x", max(g.span / 64, 1e-9)).select("k", "leaf", "node", "via", "level")
+    top = at.groupBy("k", "leaf").agg(F.max("level").alias("_top"))
+    size = at.groupBy("k", "node").agg(F.count("*").alias("n_desc"))
+    facts = size.join(g.nodes.select(F.col("node_id").alias("_id"), "height"), F.col("node") == F.col("_id")).select(F.col("k").alias("_fk"), F.col("node").alias("_fn"), "n_desc", "height")
+    up = at.where("level > 0")
+    a = up.join(top, ["k", "leaf"]).select("k", F.col("leaf").alias("i"), "node", F.col("via").alias("_vi"), (F.col("_top") - F.col("level")).cast("long").alias("depth"))
+    b = up.select(F.col("k").alias("_k"), F.col("leaf").alias("j"), F.col("node").alias("_n"), F.col("via").alias("_vj"))
+    met = a.join(b, (F.col("k") == F.col("_k")) & (F.col("node") == F.col("_n")) & (F.col("i") < F.col("j")) & (F.col("_vi") != F.col("_vj")))
+    return met.join(facts, (F.col("k") == F.col("_fk")) & (F.col("node") == F.col("_fn"))).select("k", "i", "j", "depth", "height", "n_desc")
+
+
 def stab_metrics(one: Genealogy, two: Genealogy, anc1: DataFrame, anc2: DataFrame, stabs: DataFrame) -> DataFrame:
     """``kc, tmrca_mse, split``: means over the stabs ``k, x`` of the squared differences
     of depth (summed over pairs), TMRCA and clade size (averaged over pairs)."""
     columns = ["depth", "height", "n_desc"]
-    both = compared(at_stabs(pair_facts(one, anc1), stabs, one.span).drop("k", "x"), at_stabs(pair_facts(two, anc2), stabs, two.span).drop("k", "x"), columns)
-    both = at_stabs(both.distinct(), stabs, one.span)
+    other = pairs_at(two, anc2, stabs).select("k", "i", "j", *[F.col(c).alias(f"{c}2") for c in columns])
+    both = pairs_at(one, anc1, stabs).join(other, ["k", "i", "j"])
     n = one.leaves.agg(F.count("*").alias("_n"))
     k = stabs.agg(F.count("*").alias("_k"))
     s = both.agg(F.sum(_squares("depth")).alias("_d"), F.sum(_squares("height")).alias("_h"), F.sum(_squares("n_desc")).alias("_s"))
@@ -109,7 +117,7 @@ def stab_metrics(one: Genealogy, two: Genealogy, anc1: DataFrame, anc2: DataFram
 def averaged_stab_metrics(ones: list, twos: list, stabs: DataFrame) -> DataFrame:
     """Depths and TMRCAs averaged over lists of (genealogy, ancestry) first."""
     def mean(side):
-        rows = [at_stabs(pair_facts(g, a), stabs, g.span).select("k", "i", "j", "depth", "height") for g, a in side]
+        rows = [pairs_at(g, a, stabs).select("k", "i", "j", "depth", "height") for g, a in side]
         return reduce(DataFrame.union, rows).groupBy("k", "i", "j").agg(F.avg("depth").alias("depth"), F.avg("height").alias("height"))
 
     two = mean(twos).select("k", "i", "j", F.col("depth").alias("depth2"), F.col("height").alias("height2"))
@@ -123,7 +131,7 @@ def kc_lengths(one: Genealogy, two: Genealogy, anc1: DataFrame, anc2: DataFrame,
     def entries(g, anc):
         top = roots(g).join(g.nodes.select(F.col("node_id").alias("_id"), F.col("height").alias("top")), F.col("node") == F.col("_id")).select("lft", "rgt", "top")
         top = stab_join(stabs, top, "x", max(g.span / 64, 1e-9)).select("k", "x", "top")
-        p = at_stabs(at_node(pairs(anc, g.nodes), depths(g), "depth"), stabs, g.span).select("k", "i", "j", "depth", "height").join(F.broadcast(top), "k")
+        p = pairs_at(g, anc, stabs).join(F.broadcast(top), "k")  # a row per stab
         p = p.select("k", "i", "j", F.col("depth").cast("double").alias("m"), (F.col("top") - F.col("height")).alias("t"))
         e = at_stabs(edge_heights(g).join(g.leaves, F.col("child") == F.col("leaf"), "left_semi"), stabs, g.span)
         return p.union(e.select("k", F.col("child").alias("i"), F.col("child").alias("j"), F.lit(1.0).alias("m"), (F.col("height_parent") - F.col("height_child")).alias("t")))
