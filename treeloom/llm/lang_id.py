@@ -33,6 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import broadcast_if_small, materialize
 from .shingles import mix
 
 ORDER = 5
@@ -219,7 +220,8 @@ def learning_sample(docs: DataFrame, doc_id: str, text: str, lang: str, fold: Co
     """``lang, rank, text`` of the bounded sample. The share of each language is
     cut by its count before any text moves."""
     usable = docs.where(F.col(lang).isNotNull() & fold & (F.length(text) > 0))
-    counts = usable.groupBy(F.col(lang).cast("string").alias("_cl")).agg(F.count("*").alias("_c"))
+    counts = materialize(usable.groupBy(F.col(lang).cast("string").alias("_cl")).agg(F.count("*").alias("_c")), "languages")
+    counts = broadcast_if_small(counts, counts.count(), 64)  # a row per language: the cut comes before any shuffle of text
     u = usable.select(F.col(lang).cast("string").alias("lang"), F.xxhash64(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))).alias("_r"), F.col(text).alias("text"))
     low = (F.shiftrightunsigned("_r", 11) / float(1 << 53)) * F.col("_c") < 1.3 * n_docs + 50
     u = u.join(counts, F.col("lang") == F.col("_cl")).where(low)
