@@ -104,6 +104,16 @@ def test_boilerplate_depletes_and_copies_do_not(spark):
     assert kept.columns == frame(spark, []).columns and kept.count() == 33
 
 
+def test_every_line_of_a_block_in_many_documents_is_removed(spark):
+    letter = lambda k: chr(97 + k // 26 % 26) + chr(97 + k % 26)
+    own = lambda k, n: " ".join(f"own{letter(k)}x{letter(j)}" for j in range(n))
+    block = "\n".join(" ".join(f"menu{letter(i)}{letter(j)}" for j in range(12)) for i in range(5))
+    rows = [(k, f"{own(k, 10)}\n{block}", "end") for k in range(8)] + [(100 + k, f"{own(k, 10)}\n{block}\n{own(k, 9)}b", "middle") for k in range(8)]
+    rows += [(200 + k, f"order {k}\n{block}", "digits") for k in range(8)]  # different texts, though their lines are made alike
+    got = {r.doc.doc_id: r for r in line_rules.apply_rules(frame(spark, rows), max_docs=5).collect()}
+    assert len(got) == 24 and all(not r.kept and r.removed_words == (62 if k >= 200 else 60) for k, r in got.items())  # "order 0" is common too
+
+
 def test_masks_find_every_window_with_two_substitutions():
     n = decontam.WINDOW
     for bad in itertools.combinations(range(n), decontam.MISSES):

@@ -5,12 +5,10 @@ digits made one) and hashed. Within each host a line's distinct documents are
 counted; a line above the limits is boilerplate and is removed, and a document
 left with too little is rejected.
 
-A document counts for a line once per *neighbourhood* (the lines before and after
-it): exact and near copies of one page repeat their neighbourhoods, so they are
-not taken for boilerplate, which stands among ever new neighbours. Copies are the
-business of the near-duplicate operator, which keeps one of each group. A line is
-removed when more than ``max_docs`` neighbourhoods hold it and these are at least
-half of the documents that hold it; a line that stands mostly in copies is left alone.
+Rows of a host with equal text are copies of one document and count once; texts
+that differ anywhere are different documents. A line is removed when more than
+``max_docs`` documents of the host hold it and these are at least half of the rows
+that hold it.
 
 All counts are map-side combined; one row per document and line is shuffled, never
 a text.
@@ -86,17 +84,13 @@ def removed_words(docs: DataFrame, doc_id: str, text: str, host: str, max_docs:
     full = F.filter(F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1), lambda x: strip(x) != "")
     d = docs.select(*row_key(doc_id, text), F.col(host).cast("string").alias("_host"), full.alias("_full"))
 
-    # a line that a document repeats has the neighbourhood of its first occurrence
-    def entry(hashes: Column) -> Column:
-        return F.transform(hashes, lambda x, i: F.struct(x["h"].alias("h"), x["n"].alias("n"), F.struct(i.alias("i"), F.xxhash64(F.coalesce(F.get(hashes, i - 1)["h"], F.lit(0).cast("long")), F.coalesce(F.get(hashes, i + 1)["h"], F.lit(0).cast("long"))).alias("c")).alias("ctx")))
-
     hashed = F.transform("_full", lambda x: F.struct(F.xxhash64(normal_line(x)).alias("h"), F.size(F.split(strip(x), WORD_SEPARATOR)).alias("n")))
-    d = d.select("_id", "_h", "_host", let(hashed, entry).alias("_lines")).dropDuplicates(["_id", "_h", "_host"])  # hashes only
+    d = d.select("_id", "_h", "_host", hashed.alias("_lines")).dropDuplicates(["_id", "_h", "_host"])  # hashes only
     lines = d.select("_id", "_h", "_host", F.explode("_lines").alias("x")).select("_id", "_h", "_host", "x.*")
-    lines = lines.groupBy("_id", "_h", "_host", "h").agg(F.sum("n").alias("n"), F.min("ctx").alias("ctx"))
-    around = lines.groupBy("_host", "h", F.col("ctx.c").alias("ctx")).agg(F.count("*").alias("docs"))
-    common = around.groupBy("_host", "h").agg(F.count("*").alias("contexts"), F.sum("docs").alias("docs"))
-    common = common.where((F.col("contexts") > max_docs) & (2 * F.col("contexts") >= F.col("docs")))
+    lines = lines.groupBy("_id", "_h", "_host", "h").agg(F.sum("n").alias("n"))
+    held = lines.groupBy("_host", "h", "_h").agg(F.count("*").alias("rows"))
+    common = held.groupBy("_host", "h").agg(F.count("*").alias("docs"), F.sum("rows").alias("rows"))
+    common = common.where((F.col("docs") > max_docs) & (2 * F.col("docs") >= F.col("rows")))
     common = common.select(F.col("_host").alias("_ch"), F.col("h").alias("_ck"))
     hit = lines.join(common, F.col("_host").eqNullSafe(F.col("_ch")) & (F.col("h") == F.col("_ck")))
     return hit.groupBy("_id", "_h").agg(F.sum("n").alias("removed"))
