@@ -114,6 +114,17 @@ def test_every_line_of_a_block_in_many_documents_is_removed(spark):
     assert len(got) == 24 and all(not r.kept and r.removed_words == (62 if k >= 200 else 60) for k, r in got.items())  # "order 0" is common too
 
 
+def test_copies_of_one_page_do_not_shield_a_line(spark):
+    letter = lambda k: chr(97 + k // 26 % 26) + chr(97 + k % 26)
+    own = lambda k, n: " ".join(f"own{letter(k)}x{letter(j)}" for j in range(n))
+    notice = " ".join(f"notice{j}" for j in range(25))
+    rows = [(k, f"{own(k, 12)}\n{notice}", "one hot") for k in range(8)] + [(100 + k, f"{own(50, 90)}\n{notice}", "one hot") for k in range(40)]
+    rows += [(200 + k, f"{own(k // 3, 12)}\n{notice}", "each thrice") for k in range(24)]
+    got = {r.doc.doc_id: r for r in line_rules.apply_rules(frame(spark, rows), max_docs=5).collect()}
+    assert all(r.removed_words == 25 for r in got.values()) and len(got) == 72
+    assert all(r.kept == (100 <= k < 140) for k, r in got.items())
+
+
 def test_masks_find_every_window_with_two_substitutions():
     n = decontam.WINDOW
     for bad in itertools.combinations(range(n), decontam.MISSES):

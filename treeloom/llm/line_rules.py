@@ -7,8 +7,7 @@ left with too little is rejected.
 
 Rows of a host with equal text are copies of one document and count once; texts
 that differ anywhere are different documents. A line is removed when more than
-``max_docs`` documents of the host hold it and these are at least half of the rows
-that hold it.
+``max_docs`` documents of the host hold it, however often any of them was copied.
 
 All counts are map-side combined; one row per document and line is shuffled, never
 a text.
@@ -88,9 +87,8 @@ def removed_words(docs: DataFrame, doc_id: str, text: str, host: str, max_docs:
     d = d.select("_id", "_h", "_host", hashed.alias("_lines")).dropDuplicates(["_id", "_h", "_host"])  # hashes only
     lines = d.select("_id", "_h", "_host", F.explode("_lines").alias("x")).select("_id", "_h", "_host", "x.*")
     lines = lines.groupBy("_id", "_h", "_host", "h").agg(F.sum("n").alias("n"))
-    held = lines.groupBy("_host", "h", "_h").agg(F.count("*").alias("rows"))
-    common = held.groupBy("_host", "h").agg(F.count("*").alias("docs"), F.sum("rows").alias("rows"))
-    common = common.where((F.col("docs") > max_docs) & (2 * F.col("docs") >= F.col("rows")))
+    held = lines.select("_host", "h", "_h").distinct()
+    common = held.groupBy("_host", "h").agg(F.count("*").alias("docs")).where(F.col("docs") > max_docs)
     common = common.select(F.col("_host").alias("_ch"), F.col("h").alias("_ck"))
     hit = lines.join(common, F.col("_host").eqNullSafe(F.col("_ch")) & (F.col("h") == F.col("_ck")))
     return hit.groupBy("_id", "_h").agg(F.sum("n").alias("removed"))
