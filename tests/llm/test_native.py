@@ -131,6 +131,15 @@ def test_masks_find_every_window_with_two_substitutions():
         assert any(all(s + i not in bad for i, c in enumerate(m) if c == "1") for m in decontam.MASKS for s in range(n - len(m) + 1))
 
 
+def test_short_items_are_found_with_any_one_substitution(spark):
+    items = {n: [f"item{n}tok{k}" for k in range(n)] for n in range(8, 13)}
+    rows = [(100 * n + k, "before it " + " ".join("changed" if j == k else w for j, w in enumerate(t)) + " after it", "a") for n, t in items.items() for k in range(n)]
+    rows += [(100 * n + 50, " ".join(t[1:]), "a") for n, t in items.items()] + [(100 * n + 60, " ".join(["x", *t[1:-1], "y"]), "a") for n, t in items.items()]
+    bench = spark.createDataFrame([(n, " ".join(t)) for n, t in items.items()], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.matched_tokens, r.start) for r in decontam.contaminated(frame(spark, rows), bench).collect()}
+    assert got == {(100 * n + k, n): (n - 1, 2) for n in items for k in range(n)} | {(100 * n + 50, n): (n - 1, -1) for n in items}
+
+
 def test_decontamination(spark):
     item = [f"tok{k}" for k in range(30)]
     changed = list(item)

@@ -10,7 +10,9 @@ token: a window of ``WINDOW`` aligned tokens with at most ``MISSES`` substitutio
 of substitutions).
 
 The masks find every window of 13 tokens with up to two substitutions (shown by
-enumeration in the tests); shorter items are sure to be found where unchanged.
+enumeration in the tests) and every item of 10 to 12 with its one. Items of 8 and 9
+tokens also meet by their first or last four tokens, one of which a single
+substitution leaves whole; this hash is made only where the benchmark has such items.
 
 The benchmark side is broadcast only if its counted hashes prove it small;
 otherwise both sides are shuffled. Only hits leave the scan: one row for each
@@ -32,6 +34,9 @@ MASKS = ("11011101", "101001111")
 WINDOW = 13
 MISSES = 2
 MIN_TOKENS = 8
+#: Items under so many tokens also meet by this mask at their first and last tokens.
+SHORT = 10
+HALF = "1111"
 
 
 def tokens_of(text: Column) -> Column:
@@ -39,15 +44,15 @@ def tokens_of(text: Column) -> Column:
     return F.transform(F.filter(words, lambda w: w != ""), lambda w: F.xxhash64(w))
 
 
-def seed_hashes(hashes: Column, masks=MASKS) -> Column:
-    """Array of (position, hash) over all masks."""
+def seed_hashes(hashes: Column, masks=MASKS, first: int = 0) -> Column:
+    """Array of (position, hash) over all masks, numbered from ``first``."""
     def one(k: int, mask: str) -> Column:
         kept = [i for i, c in enumerate(mask) if c == "1"]
         last = F.size(hashes) - len(mask)
         at = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
         return F.transform(at, lambda p: F.struct(p.alias("pos"), F.xxhash64(F.lit(k), *[F.get(hashes, p + i) for i in kept]).alias("seed")))
 
-    return F.concat(*[one(k, mask) for k, mask in enumerate(masks)])
+    return F.concat(*[one(k, mask) for k, mask in enumerate(masks, first)])
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, misses: int = MISSES, masks=MASKS) -> DataFrame:
@@ -55,9 +60,12 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text
     row and benchmark item that overlap: ``start`` is the token of the document
     under the item's first one (negative if the overlap starts inside the item)."""
     items = benchmark.select(F.col(item_id).cast("long").alias("item_id"), tokens_of(F.col(item_text)).alias("_item")).where(F.size("_item") >= MIN_TOKENS).distinct()
-    test = materialize(items.select("item_id", "_item", F.explode(seed_hashes(F.col("_item"), masks)).alias("s")).select("item_id", F.xxhash64("_item").alias("_it"), F.col("s.pos").alias("_at"), F.col("s.seed").alias("seed")).distinct(), "seeds")
+    ends = F.filter(seed_hashes(F.col("_item"), (HALF,), len(masks)), lambda s: (s["pos"] == 0) | (s["pos"] == F.size("_item") - len(HALF)))
+    seeds = F.when(F.size("_item") < SHORT, F.concat(seed_hashes(F.col("_item"), masks), ends)).otherwise(seed_hashes(F.col("_item"), masks))
+    used = masks if items.where(F.size("_item") < SHORT).isEmpty() else (*masks, HALF)
+    test = materialize(items.select("item_id", "_item", F.explode(seeds).alias("s")).select("item_id", F.xxhash64("_item").alias("_it"), F.col("s.pos").alias("_at"), F.col("s.seed").alias("seed")).distinct(), "seeds")
     train = docs.select(*row_key(doc_id, text), tokens_of(F.col(text)).alias("_tokens"))
-    train = train.select("_id", "_h", F.explode(let(F.col("_tokens"), lambda t: seed_hashes(t, masks))).alias("s"))
+    train = train.select("_id", "_h", F.explode(let(F.col("_tokens"), lambda t: seed_hashes(t, used))).alias("s"))
     train = train.select("_id", "_h", F.col("s.pos").alias("pos"), F.col("s.seed").alias("seed"))
     hits = train.join(broadcast_if_small(test, test.count(), 64), "seed")
     hits = materialize(hits.select("_id", "_h", "item_id", "_it", (F.col("pos") - F.col("_at")).alias("shift")).distinct(), "hits")
