@@ -52,6 +52,15 @@ def test_language_id_on_held_out_rows(spark):
     assert by[None].lang_pred == "xx" and all(0 <= r.score <= 1 for r in got.values())
 
 
+def test_a_long_text_does_not_end_the_sample(spark):
+    rows = [(1000 * n + k, f"{lang} short text", lang) for n, lang in enumerate(SYLLABLES) for k in range(30)]
+    rows += [(9000 + 10 * n + k, "long " * 1000, lang) for n, lang in enumerate(SYLLABLES) for k in range(4)] + [(9999, "alone " * 1000, "vv")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = lang_id.learning_sample(d, "doc_id", "text", "lang", F.lit(True), 1500, 2500).collect()
+    assert sorted((r.lang, len(r.text)) for r in got) == sorted([(lang, 13) for lang in SYLLABLES for _ in range(30)] + [("vv", 2500)])
+    assert lang_id.fitting(["a" * 9, "b" * 3, "c" * 8, "d" * 2], 6) == ["bbb", "dd"] and lang_id.fitting(["a" * 9], 6) == ["a" * 6]
+
+
 def test_nothing_to_learn_from(spark):
     d = spark.createDataFrame([(1, "some text", None)], "doc_id long, text string, lang string")
     assert lang_id.train(d) is None

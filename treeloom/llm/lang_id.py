@@ -12,8 +12,10 @@ language's rejection limit: a text whose cross-entropy exceeds what
 ``ACCEPT`` of the language's own texts show is ``rejected``.
 
 Learning uses a bounded sample: at most ``LEARN_DOCS`` whole texts and
-``LEARN_CHARS`` characters per language, taken by rank of a hash of the id. One
-language's sample is one task; nothing else depends on a sample. Prediction covers
+``LEARN_CHARS`` characters per language, taken by rank of a hash of the id; a text that
+does not fit the characters left is passed over, not the end of the sample (where none
+fits alone, the first is cut). The calibration texts are bounded in the same way by
+``CALIBRATE_CHARS``. One language's sample is one task; nothing else depends on a sample. Prediction covers
 every whole text, in pieces of bounded size.
 
 Defined results: null text, or text without a letter: ``und``, score 0, rejected.
@@ -39,6 +41,7 @@ from .shingles import mix
 ORDER = 5
 LEARN_DOCS = 1500
 LEARN_CHARS = 3_000_000
+CALIBRATE_CHARS = 300_000
 ACCEPT = 0.995
 UNKNOWN = "und"
 #: Characters scored at once, and scored n-grams remembered by a worker.
@@ -227,23 +230,37 @@ def learning_sample(docs: DataFrame, doc_id: str, text: str, lang: str, fold: Co
     u = u.join(counts, F.col("lang") == F.col("_cl")).where(low)
     order = Window.partitionBy("lang").orderBy("_r", "text")
     u = u.withColumns({"rank": F.row_number().over(order)}).where(F.col("rank") <= n_docs)
-    u = u.withColumn("_sum", F.sum(F.length("text")).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    return u.where((F.col("_sum") <= n_chars) | (F.col("rank") == 1)).select("lang", "rank", "text")
+    size = F.length("text").cast("long")
+    before = F.collect_list(size).over(order.rowsBetween(Window.unboundedPreceding, -1))  # lengths only
+    taken = F.aggregate(before, F.lit(0).cast("long"), lambda a, x: F.when(a + x <= n_chars, a + x).otherwise(a))
+    u = u.withColumns({"_taken": taken, "_least": F.min(size).over(Window.partitionBy("lang"))})
+    u = u.where((F.col("_taken") + size <= n_chars) | ((F.col("rank") == 1) & (F.col("_least") > n_chars)))
+    return u.select("lang", "rank", F.substring("text", 1, n_chars).alias("text"))
 
 
-def _learn(group: pd.DataFrame) -> pd.DataFrame:
+def fitting(texts: list[str], n_chars: int) -> list[str]:
+    """The texts that fit in turn; where none does, the first one cut."""
+    found, left = [], n_chars
+    for t in texts:
+        if len(t) <= left:
+            found.append(t)
+            left -= len(t)
+    return found or [t[:n_chars] for t in texts[:1]]
+
+
+def _learn(group: pd.DataFrame, n_apart: int) -> pd.DataFrame:
     texts = [normal(t) for t in group["text"]]
     apart = group["rank"].to_numpy() % 5 == 0
     model = Model.learn([t for t, x in zip(texts, apart, strict=True) if not x and t] or [t for t in texts if t] or ["?"])
-    kept = "\x00".join(t for t, x in zip(texts, apart, strict=True) if x and t)
-    return pd.DataFrame({"lang": [group["lang"].iloc[0]], "model": [pack(model.arrays)], "apart": [kept[: LEARN_CHARS // 10]]})
+    kept = "\x00".join(fitting([t for t, x in zip(texts, apart, strict=True) if x and t], n_apart))
+    return pd.DataFrame({"lang": [group["lang"].iloc[0]], "model": [pack(model.arrays)], "apart": [kept]})
 
 
-def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", fold: Column | None = None, n_docs: int = LEARN_DOCS, n_chars: int = LEARN_CHARS) -> dict | None:
-    """Models, temperature and rejection limits; None with nothing to learn. Models
-    are bounded by the sample, so they may come to the driver."""
+def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", fold: Column | None = None, n_docs: int = LEARN_DOCS, n_chars: int = LEARN_CHARS, n_apart: int = CALIBRATE_CHARS) -> dict | None:
+    """Models, temperature and rejection limits; None with nothing to learn. At most
+    ``n_apart`` characters of a language calibrate. Models are bounded by the sample, so they may come to the driver."""
     sample = learning_sample(docs, doc_id, text, lang, F.lit(True) if fold is None else fold, n_docs, n_chars)
-    rows = sample.groupBy("lang").applyInPandas(_learn, "lang string, model binary, apart string").collect()
+    rows = sample.groupBy("lang").applyInPandas(lambda group: _learn(group, n_apart), "lang string, model binary, apart string").collect()
     if not rows:
         return None
     packed = {r["lang"]: bytes(r["model"]) for r in rows}
