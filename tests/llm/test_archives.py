@@ -103,3 +103,14 @@ def test_repeated_bytes(spark, monkeypatch, hot):
 
 def test_no_text(spark):
     assert bwt_dedup.remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_repeated_rows_enter_blocks_once(spark):
+    tail = "".join(chr(97 + (k * k + k // 7) % 26) for k in range(230))
+    row = (1, "first " + tail + " end of the first")
+    d = spark.createDataFrame([row] * 40 + [(2, "second " + tail + " and then the second")] + [(None, row[1])] * 30, "doc_id long, text string")
+    runs = bwt_dedup.window_runs(d, "doc_id", "text", bwt_dedup.LENGTH)
+    cut = bwt_dedup._segments(d, runs.distinct(), "doc_id", "text", bwt_dedup.LENGTH)
+    assert cut.count() == runs.distinct().count() < runs.count()
+    got = {(r.doc_id, r.n_bytes): r.n_removed for r in bwt_dedup.remove_repeats(d).collect()}
+    assert got == {(1, len(row[1])): len(row[1]), (None, len(row[1])): len(row[1]), (2, 7 + 230 + 20): 232}

@@ -76,10 +76,12 @@ def window_runs(docs: DataFrame, doc_id: str, text: str, length: int) -> DataFra
 
 
 def _segments(docs: DataFrame, wanted: DataFrame, doc_id: str, text: str, length: int) -> DataFrame:
-    """Wanted runs (``_id, _h, lo, n, a, s``) with their bytes as ``seg``."""
+    """Wanted runs (``_id, _h, lo, n, a, s``) with their bytes as ``seg``, once however
+    often the row is repeated: what repeats with the row is settled by its hashes."""
     by_row = wanted.groupBy("_id", "_h").agg(F.collect_list(F.struct("lo", "n", "a", "s")).alias("_runs"))
     by_row = by_row.select(F.col("_id").alias("_wi"), F.col("_h").alias("_wh"), "_runs")
     d = _texts(docs, doc_id, text).join(by_row, (F.col("_id") == F.col("_wi")) & (F.col("_h") == F.col("_wh")))
+    d = d.dropDuplicates(["_id", "_h"])
     cut = F.transform("_runs", lambda x: F.struct(x["lo"].alias("lo"), x["n"].alias("n"), x["a"].alias("a"), x["s"].alias("s"), F.substring(F.col("_bytes"), x["lo"].cast("int") + 1, x["n"] + (length - 1)).alias("seg")))
     d = d.withColumn("_bytes", F.encode("_text", "UTF-8")).withColumn("_cut", cut)
     return d.select("_id", "_h", F.explode("_cut").alias("x")).select("_id", "_h", "x.*")
