@@ -10,11 +10,14 @@ that differ anywhere are different documents. A line is removed when more than
 ``max_docs`` documents of the host hold it, however often any of them was copied.
 
 All counts are map-side combined; one row per document and line is shuffled, never
-a text.
+a text. Lines meet the common ones of their host by broadcast where their count proves
+them small, else in ``SPLITS`` parts of each line, so that a line that a third of all
+documents hold is no single task. ``kept_documents`` cuts the lines from the texts, by
+broadcast or a join on the row's hash.
 
 Defined results: null text has no words and fails the base rules; a null host is a
-host of its own; empty lines are never counted; repeated rows count as documents
-only once per doc_id and text.
+host of its own; empty lines are never counted and never cut; repeated rows count as
+documents only once per doc_id, text and host.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, WORD_SEPARATOR, ascii_lower, carried, let, row_key, strip
+from .common import SPACES, WORD_SEPARATOR, ascii_lower, broadcast_if_small, carried, let, materialize, row_key, strip
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
@@ -30,6 +33,10 @@ MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
 MAX_DOCS_PER_HOST = 50
 MIN_LEFT_PERCENT = 25
+#: Parts of a line's documents when the common lines are too many to broadcast.
+SPLITS = 16
+#: MB of common lines that may be broadcast.
+BROADCAST_MB = 32
 
 
 def words_of(text: Column) -> Column:
@@ -78,34 +85,57 @@ def normal_line(line: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(ascii_lower(strip(line)), WORD_SEPARATOR, " "), "[0-9]+", "0")
 
 
-def removed_words(docs: DataFrame, doc_id: str, text: str, host: str, max_docs: int) -> DataFrame:
-    """``_id, _h, removed``: words of each document in lines above the limits."""
-    full = F.filter(F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1), lambda x: strip(x) != "")
-    d = docs.select(*row_key(doc_id, text), F.col(host).cast("string").alias("_host"), full.alias("_full"))
+def full_lines(text: Column) -> Column:
+    return F.filter(F.split(F.coalesce(text, F.lit("")), "\n", -1), lambda x: strip(x) != "")
 
-    hashed = F.transform("_full", lambda x: F.struct(F.xxhash64(normal_line(x)).alias("h"), F.size(F.split(strip(x), WORD_SEPARATOR)).alias("n")))
+
+def line_hash(line: Column) -> Column:
+    return F.xxhash64(normal_line(line))
+
+
+def removed_lines(docs: DataFrame, doc_id: str, text: str, host: str, max_docs: int) -> DataFrame:
+    """``_ri, _rh, _rs, removed, cut``: of each row with lines above the limits (by id, text
+    hash and host) the words in them and their hashes."""
+    d = docs.select(*row_key(doc_id, text), F.col(host).cast("string").alias("_host"), full_lines(F.col(text)).alias("_full"))
+    hashed = F.transform("_full", lambda x: F.struct(line_hash(x).alias("h"), F.size(F.split(strip(x), WORD_SEPARATOR)).alias("n")))
     d = d.select("_id", "_h", "_host", hashed.alias("_lines")).dropDuplicates(["_id", "_h", "_host"])  # hashes only
     lines = d.select("_id", "_h", "_host", F.explode("_lines").alias("x")).select("_id", "_h", "_host", "x.*")
     lines = lines.groupBy("_id", "_h", "_host", "h").agg(F.sum("n").alias("n"))
     held = lines.select("_host", "h", "_h").distinct()
     common = held.groupBy("_host", "h").agg(F.count("*").alias("docs")).where(F.col("docs") > max_docs)
-    common = common.select(F.col("_host").alias("_ch"), F.col("h").alias("_ck"))
-    hit = lines.join(common, F.col("_host").eqNullSafe(F.col("_ch")) & (F.col("h") == F.col("_ck")))
-    return hit.groupBy("_id", "_h").agg(F.sum("n").alias("removed"))
+    common = materialize(common.select(F.col("_host").alias("_ch"), F.col("h").alias("_ck")), "common")
+    size = common.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.octet_length("_ch")), F.lit(0)).alias("bytes")).first()
+    same = F.col("_host").eqNullSafe(F.col("_ch")) & (F.col("h") == F.col("_ck"))
+    if size["rows"] * 64 + size["bytes"] <= BROADCAST_MB << 20:
+        hit = lines.join(F.broadcast(common), same)
+    else:
+        parts = common.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(SPLITS - 1))))
+        hit = lines.join(parts, same & (F.pmod("_h", F.lit(SPLITS)).cast("int") == F.col("_part")))
+    cut = hit.groupBy("_id", "_h", "_host").agg(F.sum("n").alias("removed"), F.collect_list("h").alias("cut"))
+    return cut.select(F.col("_id").alias("_ri"), F.col("_h").alias("_rh"), F.col("_host").alias("_rs"), "removed", "cut")
 
 
 def apply_rules(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source", max_docs: int = MAX_DOCS_PER_HOST, min_words: int = MIN_WORDS, min_left_percent: int = MIN_LEFT_PERCENT, carry: tuple[str, ...] | None = ()) -> DataFrame:
     """Statistics, ``removed_words`` and the verdict ``kept`` of each row, with ``doc``:
     the input columns named by ``carry`` (None: all)."""
-    own = [*row_key(doc_id, text), carried(docs, (doc_id, *carry) if carry is not None else None)]
+    own = [*row_key(doc_id, text), F.col(host).cast("string").alias("_host"), carried(docs, (doc_id, *carry) if carry is not None else None)]
     stats = base_statistics(docs.select(*own, F.col(text).alias("_text")), "_text").drop("_text")
-    removed = removed_words(docs, doc_id, text, host, max_docs).select(F.col("_id").alias("_ri"), F.col("_h").alias("_rh"), "removed")
-    d = stats.join(removed, (F.col("_id") == F.col("_ri")) & (F.col("_h") == F.col("_rh")), "left")
+    removed = removed_lines(docs, doc_id, text, host, max_docs)
+    d = stats.join(removed, (F.col("_id") == F.col("_ri")) & (F.col("_h") == F.col("_rh")) & F.col("_host").eqNullSafe(F.col("_rs")), "left")
     left = F.col("n_words") - F.coalesce(F.col("removed"), F.lit(0))
     depleted = F.col("removed").isNotNull() & ((left < min_words) | (100 * left < min_left_percent * F.col("n_words")))
-    return d.select("doc", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", F.coalesce(F.col("removed"), F.lit(0)).cast("long").alias("removed_words"), (~F.col("base_failed") & ~depleted).alias("kept"))
+    return d.select("doc", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", F.coalesce(F.col("removed"), F.lit(0)).cast("long").alias("removed_words"), (~F.col("base_failed") & ~depleted).alias("kept"), F.col("cut").alias("removed_hashes"))
+
+
+def without_lines(text: Column, cut: Column) -> Column:
+    """The text less the lines whose hashes are in ``cut``; unchanged where that is null."""
+    kept = F.filter(F.split(text, "\n", -1), lambda x: (strip(x) == "") | ~F.array_contains(cut, line_hash(x)))
+    return F.when(cut.isNull(), text).otherwise(F.array_join(kept, "\n"))
 
 
 def kept_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source", **options) -> DataFrame:
-    """The documents that no rule rejects, unchanged."""
-    return apply_rules(docs, doc_id, text, host, carry=None, **options).where("kept").select("doc.*")
+    """The documents that no rule rejects, with the input's columns; their texts have
+    lost the lines above the limits."""
+    d = apply_rules(docs, doc_id, text, host, carry=None, **options).where("kept")
+    cleaned = without_lines(F.col("doc")[text], F.col("removed_hashes"))
+    return d.select(*[(cleaned if c == text else F.col("doc")[c]).alias(c) for c in docs.columns])

@@ -27,7 +27,9 @@ def line_dedup(src: str, p: str, min_chars: int = 10) -> str:
 
 
 def quality_rules(src: str, p: str, max_docs: int, min_words: int, left_percent: int, repeat_percent: int) -> str:
-    """``{p}out``: the statistics and verdict of each document."""
+    """``{p}out``: the statistics and verdict of each document; ``{p}text``: doc_id and
+    ``clean``, the texts of the kept ones less the lines that more than ``max_docs``
+    different texts of their host hold."""
     return f"""
 {p}w AS (SELECT doc_id, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS words, list_filter({_LINES}, lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS full_lines FROM {src}),
 {p}win AS (SELECT doc_id, i, array_to_string(words[i:i+7], ' ') AS v FROM (SELECT doc_id, words, unnest(range(1, len(words) - 6)) AS i FROM {p}w)),
@@ -36,12 +38,12 @@ def quality_rules(src: str, p: str, max_docs: int, min_words: int, left_percent:
   (len(full_lines) - len(list_distinct(full_lines)))::BIGINT AS n_dup_lines, coalesce(r.n, 0)::BIGINT AS n_repeat_words FROM {p}w w LEFT JOIN {p}rep r USING (doc_id)),
 {p}ln AS (SELECT doc_id, source, unnest(full_lines) AS line, generate_subscripts(full_lines, 1) AS pos FROM {p}w),
 {p}nl AS (SELECT *, len(regexp_extract_all(line, '{_WORD}')) AS nw, regexp_replace(regexp_replace({_lower(f"trim(line, {_SPACES})")}, '{_SEP}', ' ', 'g'), '[0-9]+', '0', 'g') AS h FROM {p}ln),
-{p}cx AS (SELECT *, [lag(h) OVER (PARTITION BY doc_id ORDER BY pos), lead(h) OVER (PARTITION BY doc_id ORDER BY pos)] AS ctx FROM {p}nl),
-{p}dl AS (SELECT doc_id, source, h, sum(nw) AS nw, arg_min(ctx, pos) AS ctx FROM {p}cx GROUP BY ALL),
-{p}com AS (SELECT source, h FROM {p}dl GROUP BY source, h HAVING count(DISTINCT ctx) > {max_docs} AND 2*count(DISTINCT ctx) >= count(*)),
-{p}cut AS (SELECT d.doc_id, sum(d.nw) AS removed FROM {p}dl d JOIN {p}com c ON c.h = d.h AND c.source IS NOT DISTINCT FROM d.source GROUP BY d.doc_id),
+{p}dl AS (SELECT DISTINCT n.source, n.h, w.text FROM {p}nl n JOIN {p}w w USING (doc_id)),
+{p}com AS (SELECT source, h FROM {p}dl GROUP BY source, h HAVING count(*) > {max_docs}),
+{p}cut AS (SELECT n.doc_id, sum(n.nw) AS removed, list(n.line) AS lines FROM {p}nl n JOIN {p}com c ON c.h = n.h AND c.source IS NOT DISTINCT FROM n.source GROUP BY n.doc_id),
 {p}st AS (SELECT b.*, c.removed, n_words < {min_words} OR 100*n_repeat_words > {repeat_percent}*n_words AS base_failed FROM {p}base b LEFT JOIN {p}cut c USING (doc_id)),
-{p}out AS (SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT coalesce(n_words - removed < {min_words} OR 100*(n_words - removed) < {left_percent}*n_words, false) AS kept FROM {p}st)"""
+{p}out AS (SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT coalesce(n_words - removed < {min_words} OR 100*(n_words - removed) < {left_percent}*n_words, false) AS kept FROM {p}st),
+{p}text AS (SELECT doc_id, CASE WHEN c.lines IS NULL THEN w.text ELSE array_to_string(list_filter(string_split(w.text, chr(10)), lambda x: NOT list_contains(c.lines, x)), chr(10)) END AS clean FROM {p}w w JOIN {p}out o USING (doc_id) LEFT JOIN {p}cut c USING (doc_id) WHERE o.kept)"""
 
 
 def near_duplicates(src: str, p: str) -> str:
