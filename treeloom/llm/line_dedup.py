@@ -7,13 +7,15 @@ document and position; the first row of a key names the document that keeps it,
 and each later row of another document is dropped. Hashes are uniform, so ranges
 of equal width are even without sampling.
 
-Keys that hold many rows would land in one range. They are found with a frequent
-items sketch over all rows (at most ``HOT_KEYS``, so the list is bounded) and go
-another exact way: their first document is a map-side combined minimum, joined
-back by broadcast of that bounded list.
+Keys that hold more than an eighth of a partition's fair share of the rows would make
+ranges uneven. There are at most ``8 n`` of them for ``n`` partitions; they are found
+with a frequent items sketch over all rows and go another exact way: their first
+document is a map-side combined minimum, joined back by broadcast of that bounded list.
 
 Dropped positions return as words of 64 bits, only non-zero words kept: a sparse
-bitmap whose complement is the keep bitmap. The text is filtered with it once.
+bitmap whose complement is the keep bitmap. It meets the text once (by broadcast where
+the counted rows prove the bitmaps small, else in a shuffle that carries each text once)
+and lines are split only after that.
 
 Defined results: null or empty text is one empty line, never dropped; keys
 shorter than ``min_chars`` stay; rows sharing a doc_id are one document for the
@@ -25,9 +27,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, ascii_lower, carried, let, materialize, partitions, row_key, strip
+from .common import ascii_lower, broadcast_if_small, carried, let, materialize, partitions, row_key, strip
 
-HOT_KEYS = 256
+#: A key is hot above this part of a partition's fair share of the rows.
+HOT_PART = 8
+#: Counters of the sketch for each hot key there may be: errors stay below a quarter of the share.
+SKETCH = 16
 
 
 def line_key(line: Column) -> Column:
@@ -44,8 +49,9 @@ def line_rows(docs: DataFrame, doc_id: str, text: str, min_chars: int) -> DataFr
 
 def hot_keys(rows: DataFrame, n: int) -> list[int]:
     """First halves of the hashes that hold more than a fair share of the rows."""
-    found = rows.agg(F.count("*").alias("rows"), F.expr(f"approx_top_k(k1, {HOT_KEYS}, {HOT_KEYS * 40})").alias("top")).first()
-    share = max(1000, found["rows"] // (8 * n))
+    most = HOT_PART * max(n, 32)
+    found = rows.agg(F.count("*").alias("rows"), F.expr(f"approx_top_k(k1, {most}, {min(SKETCH * most, 1_000_000)})").alias("top")).first()
+    share = max(1000, found["rows"] // (HOT_PART * n))
     return [x["item"] for x in found["top"] or () if x["count"] > share]
 
 
@@ -76,10 +82,11 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min
     """``doc`` (the input's columns), ``kept_text, n_lines, n_dropped`` and ``drop_words``
     (the sparse bitmap, null where nothing goes) of each row."""
     rows = materialize(line_rows(docs, doc_id, text, min_chars), "line_rows")  # hashes only; read three times
-    bitmaps = drop_bitmaps(dropped_lines(rows))
-    own = F.coalesce(F.col(text), F.lit(""))
-    d = docs.select(*row_key(doc_id, text), carried(docs), own.alias("_text"), F.split(own, "\n", -1).alias("_lines"))
+    bitmaps = materialize(drop_bitmaps(dropped_lines(rows)), "bitmaps")
+    size = bitmaps.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.size("_words")), F.lit(0)).alias("words")).first()
     bitmaps = bitmaps.select(F.col("_id").alias("_bi"), F.col("_h").alias("_bh"), "_words")
+    bitmaps = broadcast_if_small(bitmaps, 4 * size["rows"] + size["words"], 24)
+    d = docs.select(*row_key(doc_id, text), carried(docs), F.coalesce(F.col(text), F.lit("")).alias("_text"))
     joined = d.join(bitmaps, (F.col("_id") == F.col("_bi")) & (F.col("_h") == F.col("_bh")), "left")
     dense = F.transform(F.sequence(F.lit(0), F.array_max(F.map_keys("_words"))), lambda w: F.coalesce(F.element_at("_words", w), F.lit(0).cast("long")))
 
@@ -87,12 +94,12 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min
         word = F.coalesce(F.get(bits, (i / 64).cast("int")), F.lit(0).cast("long"))
         return (F.call_function("shiftright", word, (i % 64).cast("int")).bitwiseAND(F.lit(1).cast("long"))) == 0
 
-    kept = let(dense, lambda bits: F.filter("_lines", lambda x, i: stays(bits, i)))
+    kept = let(dense, lambda bits: F.filter(F.split("_text", "\n", -1), lambda x, i: stays(bits, i)))
     n_dropped = F.aggregate(F.map_values("_words"), F.lit(0), lambda n, bits: n + F.bit_count(bits))
     return joined.select(
         "doc",
         F.when(F.col("_words").isNull(), F.col("_text")).otherwise(F.array_join(kept, "\n")).alias("kept_text"),
-        F.size("_lines").cast("long").alias("n_lines"),
+        (F.length("_text") - F.length(F.translate("_text", "\n", "")) + 1).cast("long").alias("n_lines"),
         F.coalesce(n_dropped, F.lit(0)).cast("long").alias("n_dropped"),
         F.col("_words").alias("drop_words"),
     )
