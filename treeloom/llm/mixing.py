@@ -9,7 +9,9 @@ source's words stay near the target although copies are drawn per document.
 
 The prefix sum needs no task that holds a source: ranks are the sum of three
 exclusive prefixes, over size classes of a source (at most ``64 * 8`` rows),
-over the chunks of a class (at most ``CHUNKS`` rows) and inside one chunk.
+over the chunks of a class (at most ``CHUNKS`` rows) and inside one chunk. A row's chunk
+comes from a digest of its id and text, so that neither ids in steps nor a shared
+or missing id gather in one chunk. Only the list of sources (a row each) is ranked in one task.
 
 Defined results: null text has size 0; a null source is a source of its own, the
 last; a source of size 0 has target 0 and none of its documents is taken; rows
@@ -23,7 +25,8 @@ from pyspark.sql import functions as F
 
 from .common import NULL_ID, WORD, carried
 
-CHUNKS = 256
+#: A power of 16, so that SQL can cut it from a digest.
+CHUNKS = 4096
 WEIGHTS = (1, 2, 3)
 CAP = 3
 SEED = "mix-1"
@@ -70,9 +73,9 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
         F.coalesce(F.col(doc_id).cast("long"), F.lit(NULL_ID)).alias("_id"),
         F.col(source).cast("string").alias("_source"),
         word_count(F.col(text)).alias("_size"),
-        F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("_tie"),
+        F.md5(F.concat(F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.lit("|"), F.coalesce(F.col(text), F.lit("")))).alias("_tie"),
     )
-    d = d.withColumns({"_class": size_class(F.col("_size")), "_chunk": F.pmod(F.col("_id"), F.lit(CHUNKS)).cast("int")})
+    d = d.withColumns({"_class": size_class(F.col("_size")), "_chunk": (F.conv(F.substring("_tie", 1, 8), 16, 10).cast("long") % CHUNKS).cast("int")})
     chunk = ["_source", "_class", "_chunk"]
     counts = d.groupBy(*chunk).agg(F.count("*").alias("_n"), F.sum("_size").alias("_size"))
     per_source = source_targets(counts.select("_source", "_size"), weights, cap)

@@ -76,13 +76,13 @@ def mixing(src: str, p: str, weights, cap: int, chunks: int, seed: str) -> str:
     """``{p}out``: doc_id, size, source_size, target, copies."""
     weight = "CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % " + str(len(weights)) + " " + " ".join(f"WHEN {k} THEN {w}.0" for k, w in enumerate(weights)) + " END"
     return f"""
-{p}d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{_WORD}'))::BIGINT AS size FROM {src}),
-{p}c AS (SELECT *, length(bin(size))*16 + (size >> greatest(length(bin(size)) - 4, 0)) AS class, doc_id % {chunks} AS chunk FROM {p}d),
+{p}d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{_WORD}'))::BIGINT AS size, md5(coalesce(doc_id::VARCHAR, '') || '|' || coalesce(text, '')) AS tie FROM {src}),
+{p}c AS (SELECT *, length(bin(size))*16 + (size >> greatest(length(bin(size)) - 4, 0)) AS class, ('0x' || substr(tie, 1, 8))::BIGINT % {chunks} AS chunk FROM {p}d),
 {p}s0 AS (SELECT source, sum(size)::BIGINT AS source_size FROM {p}d GROUP BY source),
 {p}s1 AS (SELECT *, ({weight})::DOUBLE AS w, (source_size*{cap})::DOUBLE AS cap FROM {p}s0),
 {p}s2 AS (SELECT *, ((SELECT sum(source_size) FROM {p}s0) - coalesce(sum(cap) OVER (ORDER BY cap/w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))/sum(w) OVER (ORDER BY cap/w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM {p}s1),
 {p}s3 AS (SELECT source, source_size, CASE WHEN level*w >= cap THEN cap ELSE max(CASE WHEN level*w < cap THEN level END) OVER ()*w END AS target FROM {p}s2),
-{p}r AS (SELECT c.*, row_number() OVER (PARTITION BY source ORDER BY class, chunk, size, doc_id)::DOUBLE AS place FROM {p}c c),
+{p}r AS (SELECT c.*, row_number() OVER (PARTITION BY source ORDER BY class, chunk, size, doc_id, tie)::DOUBLE AS place FROM {p}c c),
 {p}t AS (SELECT r.*, s.source_size, s.target, CASE WHEN s.source_size > 0 THEN s.target/s.source_size ELSE 0.0 END AS rate, (('0x' || substr(md5('{seed}|' || coalesce(r.source, '')), 1, 5))::BIGINT::DOUBLE + 0.5)/1048576.0 AS off FROM {p}r r JOIN {p}s3 s ON s.source IS NOT DISTINCT FROM r.source),
 {p}out AS (SELECT doc_id, size, source_size, target, least(floor(rate*place + off) - floor(rate*(place - 1) + off), {cap})::BIGINT AS copies FROM {p}t)"""
 
