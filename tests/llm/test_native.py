@@ -140,6 +140,55 @@ def test_short_items_are_found_with_any_one_substitution(spark):
     assert got == {(100 * n + k, n): (n - 1, 2) for n in items for k in range(n)} | {(100 * n + 50, n): (n - 1, -1) for n in items}
 
 
+WAYS = [{}, {"BROADCAST_MB": 0}]  # by broadcast; by Bloom filter and shuffle
+
+
+def plain_overlaps(rows, bench):
+    """Every alignment of every text with every item, token by token."""
+    split = lambda t: [w for w in re.split(r"[\W_]+", (t or "").lower()) if w]
+    found = {}
+    for i, t, *_ in rows:
+        t = split(t)
+        for j, b in bench:
+            b = split(b)
+            width = min(13, len(b))
+            need = width - (0 if len(b) < 8 else width * 2 // 13)
+            for shift in range(1 - len(b), len(t) if b else 0):
+                equal = [0 <= shift + k < len(t) and t[shift + k] == w for k, w in enumerate(b)]
+                if any(sum(equal[s : s + width]) >= need for s in range(len(b) - width + 1)):
+                    key = (sum(equal), -shift)
+                    found[i, j] = max(found.get((i, j), key), key)
+    return {k: (n, -back) for k, (n, back) in found.items()}
+
+
+@pytest.mark.parametrize("way", WAYS)
+def test_every_item_length_against_all_alignments(spark, monkeypatch, way):
+    for k, v in way.items():
+        monkeypatch.setattr(decontam, k, v)
+    items = {n: [f"item{n}tok{k}" for k in range(n)] for n in range(1, 15)}
+    bench = [(n, " ".join(t)) for n, t in items.items()] + [(50, "これは空白のない文です"), (51, "!? .")]
+    rows = []
+    for n, t in items.items():
+        for bad in itertools.chain([()], itertools.combinations(range(n), 1), itertools.combinations(range(n), 2) if n in (7, 8, 12, 13) else ()):
+            rows.append((len(rows), "before it " + " ".join("changed" if k in bad else w for k, w in enumerate(t)) + " after it", "a"))
+        rows.append((len(rows), " ".join(t[1:]), "a"))
+    rows += [(len(rows), "x これは空白のない文です。 y", "a"), (len(rows) + 1, "これは空白のない", "a"), (len(rows) + 2, None, "a")]
+    got = {(r.doc_id, r.item_id): (r.matched_tokens, r.start) for r in decontam.contaminated(frame(spark, rows), spark.createDataFrame(bench, "item_id long, text string")).collect()}
+    assert got == plain_overlaps(rows, bench) and len(got) > 150
+
+
+@pytest.mark.parametrize("way", WAYS)
+def test_hot_seeds_and_long_texts(spark, monkeypatch, way):
+    for k, v in way.items():
+        monkeypatch.setattr(decontam, k, v)
+    phrase = "in the beginning of the same old story that everybody knows by heart".split()
+    bench = [(j, " ".join([*phrase, f"tail{j}a", f"tail{j}b"])) for j in range(6)]
+    rows = [(k, " ".join([f"own{k}", *phrase, f"tail{k % 6}a"]), "a") for k in range(60)]
+    rows += [(100, " ".join([f"w{k % 977}" for k in range(40000)] + phrase + [f"v{k % 977}" for k in range(40000)]), "a")]
+    got = {(r.doc_id, r.item_id): (r.matched_tokens, r.start) for r in decontam.contaminated(frame(spark, rows), spark.createDataFrame(bench, "item_id long, text string")).collect()}
+    assert got == plain_overlaps(rows[:60], bench) | {(100, j): (13, 40000) for j in range(6)}
+
+
 def test_decontamination(spark):
     item = [f"tok{k}" for k in range(30)]
     changed = list(item)

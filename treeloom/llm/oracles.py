@@ -59,16 +59,16 @@ def near_duplicates(src: str, p: str) -> str:
 {p}out AS (SELECT c.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.component_id, c.doc_id = c.component_id AS kept FROM {p}comp c LEFT JOIN {p}n n USING (doc_id))"""
 
 
-def contaminated(src: str, p: str, window: int, misses: int, min_tokens: int) -> str:
-    """``{p}out``: doc_id, item_id, item_tokens, matched_tokens, start. For items of at
-    least ``window`` tokens; all items of these tables are."""
+def contaminated(src: str, p: str, window: int, misses: int, min_substituted: int) -> str:
+    """``{p}out``: doc_id, item_id, item_tokens, matched_tokens, start. Items of
+    under ``min_substituted`` tokens must match token for token."""
     tokens = r"list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '')"
     return f"""
 {p}d AS (SELECT doc_id, unnest(t) AS tok, generate_subscripts(t, 1) - 1 AS ix FROM (SELECT doc_id, {tokens} AS t FROM {src})),
-{p}b AS (SELECT item_id, len(t) AS n, unnest(t) AS tok, generate_subscripts(t, 1) - 1 AS j FROM (SELECT item_id, {tokens} AS t FROM benchmark) WHERE len(t) >= {min_tokens}),
+{p}b AS (SELECT item_id, len(t) AS n, unnest(t) AS tok, generate_subscripts(t, 1) - 1 AS j FROM (SELECT item_id, {tokens} AS t FROM benchmark)),
 {p}m AS (SELECT d.doc_id, b.item_id, b.n, d.ix - b.j AS shift, b.j FROM {p}d d JOIN {p}b b ON b.tok = d.tok),
 {p}v AS (SELECT *, count(*) OVER (PARTITION BY doc_id, item_id, shift ORDER BY j RANGE BETWEEN CURRENT ROW AND {window - 1} FOLLOWING) AS c, count(*) OVER (PARTITION BY doc_id, item_id, shift) AS total FROM {p}m),
-{p}ok AS (SELECT DISTINCT doc_id, item_id, n, shift, total FROM {p}v WHERE c >= least({window}, n) - floor(least({window}, n)*{misses}/{window})),
+{p}ok AS (SELECT DISTINCT doc_id, item_id, n, shift, total FROM {p}v WHERE c >= least({window}, n) - CASE WHEN n < {min_substituted} THEN 0 ELSE floor(least({window}, n)*{misses}/{window}) END),
 {p}out AS (SELECT doc_id, item_id, n::BIGINT AS item_tokens, total::BIGINT AS matched_tokens, shift::BIGINT AS start FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY total DESC, shift) AS r FROM {p}ok) WHERE r = 1)"""
 
 

@@ -71,7 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 PARAMETERS = {
     "rules": (line_rules.MAX_DOCS_PER_HOST, line_rules.MIN_WORDS, line_rules.MIN_LEFT_PERCENT, line_rules.MAX_REPEAT_PERCENT),
-    "leaks": (decontam.WINDOW, decontam.MISSES, decontam.MIN_TOKENS),
+    "leaks": (decontam.WINDOW, decontam.MISSES, decontam.MIN_SUBSTITUTED),
     "mix": (mixing.WEIGHTS, mixing.CAP, mixing.CHUNKS, mixing.SEED),
 }
 #: Not here: op1, op4 (learnt models), op8 (a tokenizer), op10 (byte strings).
