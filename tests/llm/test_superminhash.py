@@ -100,3 +100,52 @@ def test_kept_documents_leave_one_of_each_group(spark):
     rows = [(3, "a b c d e f g", "x"), (1, "a b c d e f g", "y"), (2, "z y x w v u", "z"), (4, "", "q")]
     got = superminhash.kept_documents(spark.createDataFrame(rows, SCHEMA)).collect()
     assert sorted(r.doc_id for r in got) == [1, 2, 4]
+
+
+def test_blocks_of_elements_do_not_change_a_signature(monkeypatch):
+    pool = np.random.default_rng(9).integers(0, 2**63, 3000).astype(np.uint64)
+    for n in (1, 2, 150, 3000):
+        whole = superminhash.signature(pool[:n])
+        monkeypatch.setattr(superminhash, "ELEMENTS", 7)
+        cut = superminhash.signature(pool[:n])
+        monkeypatch.undo()
+        assert (whole == cut).all() and (whole == np.min([superminhash.signature(pool[k : k + 1]) for k in range(n)], axis=0)).all()
+
+
+def test_long_texts_are_hashed_in_pieces(monkeypatch):
+    rng = np.random.default_rng(4)
+    texts = [" ".join(f"{'LongerWord' if k % 3 else 'w'}{k}" for k in rng.integers(0, 500, n)) for n in (3, 4, 5, 6, 40, 900)] + ["a" * 300, f"x {'b' * 400} y", "c d\n" * 90]
+    whole = [set(s.tolist()) for s in shingles.shingle_sets(texts)]
+    assert [len(s) for s in whole] == [len(shingle_set(t)) for t in texts]
+    for size in (16, 64, 1000):
+        monkeypatch.setattr(shingles, "CHUNK", size)
+        assert [set(s.tolist()) for s in shingles.shingle_sets(texts)] == whole
+
+
+def test_words_that_fool_polynomials_have_hashes_of_their_own():
+    a, b = "a", "b"
+    for _ in range(10):  # Thue-Morse words: equal under any polynomial over odd multipliers modulo 2^64
+        a, b = a + b, b + a
+    assert len(a) == 1024
+    short = ["a", "a\0", "aa", "aaaaaaa", "aaaaaa\x07", "aaaaaaa\x07", "aaaaaaa\x01", "\x01", "\0"]
+    hashes = shingles.word_hashes([x.encode() for x in [a, b, *short]])[0]
+    assert len(set(hashes.tolist())) == 2 + len(short)
+
+
+def test_hot_leaders_are_split(spark, monkeypatch):
+    monkeypatch.setattr(superminhash, "PART", 3)
+    base = [f"t{i}" for i in range(60)]
+    rows = [(k, " ".join([f"new{k}" if j == k % 60 else w for j, w in enumerate(base)]), "") for k in range(40)]
+    rows += [(100 + k, " ".join(f"own{k}x{j}" for j in range(30)), "") for k in range(5)] + [(7, rows[7][1], "again")]
+    assert sorted(map(tuple, superminhash.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect())) == brute(rows)
+
+
+@pytest.mark.parametrize("limit", [0, 32])
+def test_grouping_does_not_depend_on_broadcasts(spark, monkeypatch, limit):
+    monkeypatch.setattr(superminhash, "broadcast_if_small", lambda df, *a: df.hint("merge") if not limit else df)
+    rng = np.random.default_rng(8)
+    rows = []
+    for g in range(8):
+        w = [f"g{g}w{j}" for j in range(40)]
+        rows += [(10 * g + k, " ".join(w[:j] + ["x"] + w[j + 1 :]), "") for k, j in enumerate(rng.integers(0, 40, 6).tolist())]
+    assert sorted(map(tuple, superminhash.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect())) == brute(rows)

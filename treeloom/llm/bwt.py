@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 
-from .shingles import mix, powers
+from .shingles import mix
 
 GRAM = 32
 #: Starts handled at once; positions inside a piece fit 24 bits.
@@ -16,6 +16,18 @@ PIECE = 1 << 20
 _BASE = np.uint64(0xC2B2AE3D27D4EB4F)
 _BASE_INVERSE = np.uint64(pow(0xC2B2AE3D27D4EB4F, -1, 1 << 64))
 _PLACE = np.uint64((1 << 24) - 1)
+_powers: dict[int, np.ndarray] = {}
+
+
+def powers(base: np.uint64, n: int) -> np.ndarray:
+    """The first ``n`` powers modulo 2^64; those for a piece are kept."""
+    have = _powers.get(int(base))
+    if have is None or len(have) < n:
+        have = np.full(max(n, PIECE + 1024), base, dtype=np.uint64)
+        have[0] = 1
+        with np.errstate(over="ignore"):
+            have = _powers[int(base)] = np.cumprod(have, dtype=np.uint64)
+    return have[:n]
 
 
 def _spans(prefix: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:

@@ -1,43 +1,35 @@
 """Vectorised hashing of word shingles: 64-bit hashes of whole texts with numpy.
 
 Words are maximal runs of bytes outside space and U+0009 to U+000D, A-Z lowered.
-A word's hash is a polynomial of its bytes over odd multipliers modulo 2^64, taken
-as a difference of prefix sums, and mixed; a shingle's hash chains five words.
+A word of up to seven bytes is told apart by its bytes and length in one 64-bit
+integer, which a bijection mixes, so such words never collide; a longer word is
+hashed by BLAKE2b. A shingle's hash chains five words, mixed after each.
+
+Texts are hashed in pieces of bounded size that end between words, so the arrays in
+use do not grow with a text; what grows is its set.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Iterator
+from hashlib import blake2b
 
 import numpy as np
 
 WIDTH = 5
-#: Bytes hashed at once; a longer text is its own chunk.
-CHUNK = 1 << 21
+#: Bytes hashed at once.
+CHUNK = 1 << 20
+#: Longer words that a worker remembers, and their greatest length.
+REMEMBER = 1 << 18
+MEMORABLE = 64
 
-_P = np.uint64(0x9E3779B97F4A7C15)
-_P_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _STEP = np.uint64(0xD6E8FEB86659FD93)
-
-_FOLD = np.arange(256, dtype=np.uint64)
-_FOLD[65:91] += np.uint64(32)
-_FOLD += np.uint64(1)
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
-_powers: dict[int, np.ndarray] = {}
-
-
-def powers(base: np.uint64, n: int) -> np.ndarray:
-    have = _powers.get(int(base))
-    if have is None or len(have) < n:
-        size = max(n, CHUNK + 1)
-        with np.errstate(over="ignore"):
-            have = np.full(size, base, dtype=np.uint64)
-            have[0] = 1
-            have = np.cumprod(have, dtype=np.uint64)
-        if size <= 4 * CHUNK:
-            _powers[int(base)] = have
-    return have[:n]
+_BREAK = re.compile(rb"[\x20\x09-\x0d]")
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(8)], dtype=np.uint64)
+_known: dict[bytes, int] = {}
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -50,23 +42,22 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _chunks(texts: Iterable[str | None]) -> Iterator[list[bytes]]:
-    held, size = [], 0
-    for t in texts:
-        b = t.encode("utf-8", "surrogatepass") if t else b""
-        if held and size + len(b) > CHUNK:
-            yield held
-            held, size = [], 0
-        held.append(b)
-        size += len(b)
-    if held:
-        yield held
+def _long_word(word: bytes) -> int:
+    found = _known.get(word)
+    if found is None:
+        found = int.from_bytes(blake2b(word, digest_size=8).digest(), "little")
+        if len(word) <= MEMORABLE:
+            if len(_known) >= REMEMBER:
+                _known.clear()
+            _known[word] = found
+    return found
 
 
 def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words in turn, and the number of words of each text."""
-    joined = np.frombuffer(b"\n".join(texts) + b"\n", dtype=np.uint8)
-    space = _SPACE[joined]
+    raw = (b"\n".join(texts) + b"\n" + bytes(8)).lower()  # of bytes: A-Z alone
+    data = np.frombuffer(raw, dtype=np.uint8)[:-8]
+    space = _SPACE[data]
     inside = ~space
     first = inside.copy()
     first[1:] &= space[:-1]
@@ -74,36 +65,83 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     last = np.zeros_like(inside)
     last[1:] = space[1:] & inside[:-1]
     end = np.flatnonzero(last)
+    size = end - begin
+    eight = np.ndarray(len(data), dtype="<u8", buffer=raw, strides=(1,))  # the eight bytes from each place
+    short = np.minimum(size, 7)
     with np.errstate(over="ignore"):
-        total = np.cumsum(_FOLD[joined] * powers(_P, len(joined)), dtype=np.uint64)
-        before = np.where(begin > 0, total[np.maximum(begin - 1, 0)], np.uint64(0))
-        hashes = (total[end - 1] - before) * powers(_P_INVERSE, len(joined))[begin]
-        hashes = mix(hashes + (end - begin).astype(np.uint64))
+        hashes = mix((eight[begin] & _MASKS[short]) | (short.astype(np.uint64) << np.uint64(56)))
+    big = np.flatnonzero(size > 7)
+    if len(big):
+        hashes[big] = np.fromiter((_long_word(raw[x:y]) for x, y in zip(begin[big].tolist(), end[big].tolist(), strict=True)), dtype=np.uint64, count=len(big))
     bounds = np.cumsum([len(t) + 1 for t in texts])
-    at = np.searchsorted(begin, bounds)
-    return hashes, np.diff(at, prepend=0)
+    return hashes, np.diff(np.searchsorted(begin, bounds), prepend=0)
+
+
+def _chained(hashes: np.ndarray, width: int) -> np.ndarray:
+    n = max(len(hashes) - width + 1, 0)
+    chained = np.full(n, width, dtype=np.uint64)
+    with np.errstate(over="ignore"):
+        for k in range(width):
+            chained = mix(chained * _STEP + hashes[k : k + n])
+    return chained
+
+
+def pieces(data: bytes, size: int) -> Iterator[bytes]:
+    """``data`` cut between words, into pieces of about ``size`` bytes (a longer word stays whole)."""
+    at = 0
+    while len(data) - at > size:
+        cut = _BREAK.search(data, at + size)
+        if cut is None:
+            break
+        yield data[at : cut.start()]
+        at = cut.start()
+    yield data[at:]
+
+
+def _long_set(data: bytes, width: int) -> np.ndarray:
+    """The set of a text over ``CHUNK`` bytes, piece by piece."""
+    tail, found, held, many = np.empty(0, np.uint64), [], 0, 1 << 18
+    for piece in pieces(data, CHUNK):
+        tail = np.concatenate([tail, word_hashes([piece])[0]])
+        if len(tail) >= width:
+            found.append(np.unique(_chained(tail, width)))
+            held += len(found[-1])
+            tail = tail[1 - width :]
+            if held > many:  # merge when the set may have doubled
+                found = [np.unique(np.concatenate(found))]
+                held, many = len(found[0]), max(1 << 18, 2 * len(found[0]))
+    if not found:
+        return _chained(tail, len(tail)) if len(tail) else tail
+    return np.unique(np.concatenate(found))
 
 
 def shingle_sets(texts: Iterable[str | None], width: int = WIDTH) -> Iterator[np.ndarray]:
     """For each text its sorted distinct shingle hashes; a shorter text is one
     shingle, a text without words none."""
-    for chunk in _chunks(texts):
-        hashes, counts = word_hashes(chunk)
-        with np.errstate(over="ignore"):
-            n = len(hashes) - width + 1
-            chained = np.zeros(max(n, 0), dtype=np.uint64)
-            for k in range(width):
-                chained = chained * _STEP + hashes[k : k + max(n, 0)]
-            chained = mix(chained)
-            at = 0
-            for c in counts:
-                if c >= width:
-                    yield np.unique(chained[at : at + c - width + 1])
-                elif c:
-                    whole = np.uint64(int(c))
-                    for h in hashes[at : at + c]:
-                        whole = whole * _STEP + h
-                    yield mix(np.array([whole], dtype=np.uint64))
-                else:
-                    yield np.empty(0, dtype=np.uint64)
-                at += c
+    held: list[bytes] = []
+    size = 0
+    for t in texts:
+        data = t.encode("utf-8", "surrogatepass") if t else b""
+        if held and size + len(data) > CHUNK:
+            yield from _small_sets(held, width)
+            held, size = [], 0
+        if len(data) > CHUNK:
+            yield _long_set(data, width)
+            continue
+        held.append(data)
+        size += len(data)
+    if held:
+        yield from _small_sets(held, width)
+
+
+def _small_sets(texts: list[bytes], width: int) -> Iterator[np.ndarray]:
+    hashes, counts = word_hashes(texts)
+    chained, at = _chained(hashes, width), 0
+    for c in counts:
+        if c >= width:
+            yield np.unique(chained[at : at + c - width + 1])
+        elif c:
+            yield _chained(hashes[at : at + c], int(c))
+        else:
+            yield np.empty(0, dtype=np.uint64)
+        at += c

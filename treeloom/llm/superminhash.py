@@ -6,8 +6,8 @@ one fraction per rank; slot ``p(j)`` sees the value ``j + fraction``. The ranks
 an element are correlated, so no slot is served twice before all are served once,
 which lowers the variance against independent minima. Values of rank ``j`` are
 below ``j + 1``: once every slot holds less, later ranks cannot matter and the
-element loop stops. Here ranks are the outer loop, over all elements of a text at
-once.
+element loop stops. Here ranks are the outer loop, over blocks of ``ELEMENTS`` elements
+that share the values reached, so later blocks of a text stop after few ranks.
 
 Candidates. Texts with equal shingle sets collapse first to one class, so thousands
 of copies cost one signature. A class meets others in ``BANDS`` buckets of ``ROWS``
@@ -46,6 +46,9 @@ from .shingles import WIDTH, mix, shingle_sets
 BANDS, ROWS = 28, 4
 SLOTS = BANDS * ROWS
 PERCENT = 75
+#: Elements served at once; pairs of one document that are verified in one part.
+ELEMENTS = 4096
+PART = 1000
 
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _PICK = np.uint64(0xA0761D6478BD642F)
@@ -54,32 +57,33 @@ _PICK = np.uint64(0xA0761D6478BD642F)
 def signature(elements: np.ndarray, slots: int = SLOTS) -> np.ndarray:
     """SuperMinHash of distinct 64-bit element hashes; infinite without elements."""
     values = np.full(slots, np.inf)
-    n = len(elements)
-    if not n:
-        return values
-    swaps = None
+    for at in range(0, len(elements), ELEMENTS):
+        _serve(values, elements[at : at + ELEMENTS])
+    return values
+
+
+def _serve(values: np.ndarray, elements: np.ndarray) -> None:
+    """Lower the slots' values by these elements, rank by rank, until no rank can matter."""
+    slots, n, swaps = len(values), len(elements), None
+    rows = np.arange(n)
     with np.errstate(over="ignore"):
         for j in range(slots):
+            if values.max() < j:
+                break
             seed = elements + _GOLD * np.uint64(j + 1)
             fraction = (mix(seed) >> np.uint64(11)).astype(np.float64) * 2.0**-53
-            other = j + ((mix(seed ^ _PICK) >> np.uint64(32)) * np.uint64(slots - j) >> np.uint64(32)).astype(np.int64)
+            served = j + ((mix(seed ^ _PICK) >> np.uint64(32)) * np.uint64(slots - j) >> np.uint64(32)).astype(np.int64)
             if j == 0:
-                served = other
+                first = served
             else:
                 if swaps is None:  # the swap of rank 0, made up for
                     swaps = np.tile(np.arange(slots, dtype=np.int16), (n, 1))
-                    rows = np.arange(n)
-                    swaps[rows, first_pick] = 0
-                    swaps[rows, 0] = first_pick
-                served = swaps[rows, other].astype(np.int64)
+                    swaps[rows, first] = 0
+                    swaps[rows, 0] = first
+                other, served = served, swaps[rows, served].astype(np.int64)
                 swaps[rows, other] = swaps[rows, j]
                 swaps[rows, j] = served
-            if j == 0:
-                first_pick = other
             np.minimum.at(values, served, fraction + j)
-            if values.max() < j + 1:
-                break
-    return values
 
 
 def band_hashes(values: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
@@ -135,15 +139,32 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def verified(pairs: DataFrame, n_pairs: int, docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """The pairs ``a, f_a, b, f_b`` whose texts are linked. Only texts that occur in
-    pairs are moved; a class is read from the row that stands for it."""
-    sides = pairs.select(F.col("a").alias("_want")).union(pairs.select(F.col("b").alias("_want"))).distinct()
-    sides = broadcast_if_small(sides, 2 * n_pairs, 16)
+    """The pairs ``a, b`` whose texts are linked. Only texts that occur in pairs are
+    moved; a class is read from the row that stands for it.
+
+    A document that leads a large group is in many pairs. Each pair is dealt by that of its
+    two that has more pairs, in parts of about ``PART`` by the other one's hash, and the
+    leader's text is sent once to each part. The other side meets its text before,
+    under a key that at most the square root of twice the pairs can share."""
+    pairs = pairs.select("a", "b").distinct()
+    ends = pairs.select(F.col("a").alias("_want")).union(pairs.select(F.col("b").alias("_want")))
+    degree = materialize(ends.groupBy("_want").agg(F.count("*").alias("_deg")), "degrees")
+    n_ends = min(degree.count(), 2 * n_pairs)
     d = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NULL_ID)).alias("_id"), F.col(text).alias("_text"))
-    texts = d.join(sides, F.col("_id") == F.col("_want"), "left_semi").where(F.length("_text") > 0).distinct()
-    left = texts.select(F.col("_id").alias("a"), F.col("_text").alias("text_a"))
-    right = texts.select(F.col("_id").alias("b"), F.col("_text").alias("text_b"))
-    return pairs.select("a", "b").distinct().join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b").mapInArrow(_links, "a long, b long").distinct()
+    texts = d.join(broadcast_if_small(degree, n_ends, 24), F.col("_id") == F.col("_want")).where(F.length("_text") > 0).dropDuplicates(["_id", "_text"])
+    many = degree.where(F.col("_deg") > PART)
+    many = broadcast_if_small(many, 2 * n_pairs // PART, 24)
+    led = pairs.join(many.select(F.col("_want").alias("_wa"), F.col("_deg").alias("_da")), F.col("a") == F.col("_wa"), "left")
+    led = led.join(many.select(F.col("_want").alias("_wb"), F.col("_deg").alias("_db")), F.col("b") == F.col("_wb"), "left")
+    more_b = F.coalesce("_db", F.lit(0)) > F.coalesce("_da", F.lit(0))
+    led = led.select("a", "b", F.when(more_b, F.col("b")).otherwise(F.col("a")).alias("lead"), F.when(more_b, F.col("a")).otherwise(F.col("b")).alias("other"), F.greatest("_da", "_db").alias("_deg"))
+    n_parts = lambda deg: F.coalesce(F.ceil(deg / PART), F.lit(1).cast("long"))
+    led = led.select("a", "b", "lead", "other", F.pmod(F.xxhash64("other"), n_parts(F.col("_deg"))).alias("part"))
+    others = texts.select(F.col("_id").alias("other"), F.col("_text").alias("text_b"))
+    last = F.when(F.col("_deg") > PART, n_parts(F.col("_deg"))).otherwise(F.lit(1).cast("long")) - 1
+    leads = texts.select(F.col("_id").alias("lead"), F.col("_text").alias("text_a"), F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("part"))
+    both = led.join(others, "other").join(leads, ["lead", "part"])
+    return both.select("a", "b", "text_a", "text_b").mapInArrow(_links, "a long, b long").distinct()
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
