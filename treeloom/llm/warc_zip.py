@@ -38,6 +38,9 @@ from pyspark.sql import functions as F
 from .common import fresh_path, materialize
 
 MIN_REVISIT = 1000
+#: MB of shared payloads' digests that may be broadcast; parts of a digest beyond that.
+BROADCAST_MB = 32
+SPLITS = 16
 #: An archive is closed beyond so many bytes; a read batch holds so many records.
 ARCHIVE_BYTES = 32 << 20
 READ_RECORDS = 200
@@ -236,7 +239,15 @@ def write_archives(pages: DataFrame, folder: str, page_id: str = "page_id", url:
     keys = large.select("_id", F.unhex(F.sha1(payload)).alias("_digest"))
     newest = keys.groupBy("_digest").agg(F.max("_id").alias("_to"), F.min("_id").alias("_least")).where("_to != _least")
     newest = newest.select(F.col("_digest").alias("_nd"), "_to")
-    revisits = keys.join(newest, F.col("_digest") == F.col("_nd")).where("_id != _to").select(F.col("_id").alias("_ri"), F.col("_digest").alias("_rd"), "_to").distinct()
+    newest = materialize(newest, "newest")
+    # beyond a broadcast, a payload that very many pages share is dealt in SPLITS parts
+    n_newest = newest.count()
+    if n_newest * 64 <= BROADCAST_MB << 20:
+        copies = keys.join(F.broadcast(newest), F.col("_digest") == F.col("_nd"))
+    else:
+        parts = newest.withColumn("_np", F.explode(F.sequence(F.lit(0), F.lit(SPLITS - 1))))
+        copies = keys.join(parts, (F.col("_digest") == F.col("_nd")) & (F.pmod(F.xxhash64("_id"), F.lit(SPLITS)).cast("int") == F.col("_np")))
+    revisits = copies.where("_id != _to").select(F.col("_id").alias("_ri"), F.col("_digest").alias("_rd"), "_to").distinct()
     p = p.withColumn("_digest", F.unhex(F.sha1(payload)))
     p = p.join(revisits, (F.col("_id") == F.col("_ri")) & (F.col("_digest") == F.col("_rd")), "left").select("_id", "_url", F.when(F.col("_to").isNull(), F.col("_html")).alias("_html"), F.coalesce(F.octet_length("_html"), F.lit(0)).cast("long").alias("_n"), F.hex("_digest").alias("_hex"), "_to")
 
