@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +11,10 @@ from pyspark.sql import functions as F
 from . import bwt_dedup, decontam, lang_id, line_dedup, line_rules, mixing, oracles, quality_pu, superminhash, token_hist, warc_zip
 
 
+#: Where the rank file of op8 lies.
+VOCABULARY = os.environ.get("TREELOOM_VOCABULARY", "/opt/tokenizers/byte_bpe_50k.tiktoken")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -53,7 +58,7 @@ def op7_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_hist.length_histogram(token_hist.token_lengths(table(spark, sf_dir, "documents").select("text")))
+    return token_hist.length_histogram(token_hist.token_lengths(table(spark, sf_dir, "documents").select("text"), VOCABULARY))
 
 
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,7 +23,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: how this vocabulary cuts a text into pieces.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 SPAN = 4096
@@ -42,9 +41,9 @@ def load_encoding(ranks_file: bytes, pieces: str = PIECES):
     return _encodings[key]
 
 
-def token_lengths(docs: DataFrame, text: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
-    """``n_tokens`` of each row. The vocabulary file is read by the driver and sent
-    once to each executor; its size does not depend on the data."""
+def token_lengths(docs: DataFrame, vocabulary: str, text: str = "text") -> DataFrame:
+    """``n_tokens`` of each row. ``vocabulary`` is the path of a rank file, which is read by
+    the driver and sent once to each executor; its size does not depend on the data."""
     with open(vocabulary, "rb") as f:
         ranks = docs.sparkSession.sparkContext.broadcast(f.read())
 
@@ -90,14 +89,13 @@ def length_histogram(lengths: DataFrame) -> DataFrame:
 
 
 def at_limits(histogram: DataFrame, limits: list[int]) -> DataFrame:
-    """``limit, truncated_total`` for any context limits."""
-    asked = histogram.sparkSession.createDataFrame([(int(x),) for x in limits], "limit long")
-    each = histogram.crossJoin(F.broadcast(asked))  # the limits asked for are a stated list
-    return each.groupBy("limit").agg(F.sum(F.least("limit", "context_limit") * F.col("n_docs")).alias("truncated_total"))
+    """``limit, truncated_total`` for any context limits, all in one pass; nothing for an
+    empty histogram."""
+    sums = [F.struct(F.lit(int(x)).cast("long").alias("limit"), F.sum(F.least(F.lit(int(x)), "context_limit") * F.col("n_docs")).alias("truncated_total")) for x in dict.fromkeys(limits)]
+    return histogram.agg(F.array(*sums).alias("_all")).select(F.explode("_all").alias("x")).select("x.*").where("truncated_total is not null")
 
 
 def quantiles(histogram: DataFrame, shares: list[float]) -> DataFrame:
     """``share, n_tokens``: the least length that a share of the documents does not exceed."""
-    asked = histogram.sparkSession.createDataFrame([(float(x),) for x in shares], "share double")
-    each = histogram.join(F.broadcast(asked), F.col("quantile") >= F.col("share"))
-    return each.groupBy("share").agg(F.min("context_limit").alias("n_tokens"))
+    least = [F.struct(F.lit(float(x)).alias("share"), F.min(F.when(F.col("quantile") >= float(x), F.col("context_limit"))).alias("n_tokens")) for x in dict.fromkeys(shares)]
+    return histogram.agg(F.array(*least).alias("_all")).select(F.explode("_all").alias("x")).select("x.*").where("n_tokens is not null")
