@@ -223,3 +223,42 @@ def test_mixing(spark):
     assert sorted(map(str, d.select("doc.doc_id", "copies").collect())) == sorted(map(str, again.select("doc.doc_id", "copies").collect()))
     out = mixing.mixed_documents(frame(spark, rows))
     assert out.columns == frame(spark, []).columns and out.count() == d.agg(F.sum("copies")).first()[0]
+
+
+@pytest.mark.parametrize("ids", [lambda k: 4096 * k, lambda k: None, lambda k: 5])
+def test_mixing_spreads_ids_in_steps_shared_and_missing_ids(spark, ids):
+    rows = [(ids(k), " ".join(f"t{k}w{j}" for j in range(1 + k % 30)), "ab"[k % 2]) for k in range(3000)]
+    d = mixing.mix(frame(spark, rows), carry=("doc_id", "text")).cache()
+    for r in d.groupBy("source_size", "target").agg(F.sum(F.col("copies") * F.col("size")).alias("taken"), F.max("copies").alias("most"), F.sum("size").alias("size")).collect():
+        assert r.size == r.source_size and r.most <= 3 and abs(r.taken - r.target) <= 0.02 * r.target
+    again = mixing.mix(frame(spark, rows).repartition(5), carry=("doc_id", "text"))
+    assert sorted(map(str, d.select("doc", "copies").collect())) == sorted(map(str, again.select("doc", "copies").collect()))
+    tie = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("|"), "text"))
+    chunks = frame(spark, rows).groupBy(F.substring(tie, 1, 3)).count().agg(F.max("count")).first()[0]
+    assert chunks < 12  # no chunk gathers the rows
+
+
+@pytest.mark.parametrize("mb", [0, 32])
+def test_lines_above_the_limit_leave_the_texts(spark, monkeypatch, mb):
+    monkeypatch.setattr(line_rules, "BROADCAST_MB", mb)
+    letter = lambda k: chr(97 + k // 26 % 26) + chr(97 + k % 26)
+    own = lambda k, n: " ".join(f"own{letter(k)}x{letter(j)}" for j in range(n))
+    texts = {k: f"{own(k, 30)}\n\n  Shared   LINE {k}\n{own(k, 5)}b" for k in range(8)}
+    rows = [(k, t, "host") for k, t in texts.items()] + [(50, texts[0], "other"), (0, texts[0], None), (0, texts[0], "host"), (60, None, "host"), (61, "too short", "host")]
+    out = line_rules.kept_documents(frame(spark, rows), max_docs=5)
+    assert out.columns == frame(spark, []).columns
+    got = sorted((r.doc_id, r.source or "", r.text) for r in out.collect())
+    cut = {k: f"{own(k, 30)}\n\n{own(k, 5)}b" for k in texts}
+    assert got == sorted([(k, "host", t) for k, t in cut.items()] + [(0, "host", cut[0]), (50, "other", texts[0]), (0, "", texts[0])])
+
+
+def test_line_dedup_without_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "broadcast_if_small", lambda df, *a: df.hint("merge"))
+    d = line_dedup.dedup_lines(frame(spark, ODD))
+    got = d.select(F.coalesce("doc.doc_id", F.lit(-1)), "n_lines", "n_dropped", F.sha2("kept_text", 256)).collect()
+    assert sorted(map(tuple, got)) == expected_lines(ODD)
+
+
+def test_hot_keys_grow_with_partitions(spark):
+    rows = spark.range(60000).select(F.when(F.col("id") < 40000, F.col("id") % 20).otherwise(F.col("id")).alias("k1"))
+    assert sorted(line_dedup.hot_keys(rows, 8)) == list(range(20))  # each holds 2000 rows of 60000, above 60000 / 64
