@@ -4,10 +4,6 @@ Intervals are half-open. Every DataFrame is immutable; operators return new ones
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
 from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
@@ -87,25 +83,3 @@ def from_rows(spark: SparkSession, nodes: list, edges: list, start: float, end:
     e = [(float(a), float(b), int(p), int(c)) for a, b, p, c in edges]
     m = [(int(i), float(x), None if h is None else float(h), s, int(c), int(p)) for i, x, h, s, c, p in mutations]
     return Genealogy(spark.createDataFrame(n, NODE_SCHEMA), spark.createDataFrame(e, EDGE_SCHEMA), spark.createDataFrame(m, MUTATION_SCHEMA), float(start), float(end))
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; one is made only where it is unset and the
-    session is local."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        made = tempfile.mkdtemp(prefix="treeloom-")
-        atexit.register(shutil.rmtree, made, True)
-        found = f"file://{made}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def materialize(df: DataFrame) -> DataFrame:
-    """Write to the shared folder and read back: cuts the lineage of loops and
-    survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/treeloom/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..model import Genealogy, materialize
+from ..model import Genealogy
+from ..storage import materialize
 from .intervals import clip, islands, overlap, subtract, sweep
 
 

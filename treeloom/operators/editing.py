@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..model import EDGE_SCHEMA, NODE_SCHEMA, Genealogy, materialize
+from ..model import EDGE_SCHEMA, NODE_SCHEMA, Genealogy
+from ..storage import materialize
 from .closure import pairs
 from .intervals import clip, islands, subtract
 

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import chi2_pvalue_text
-from ..model import NODE_IS_NOT_SAMPLE, NODE_IS_SAMPLE, Genealogy, materialize
+from ..model import NODE_IS_NOT_SAMPLE, NODE_IS_SAMPLE, Genealogy
+from ..storage import materialize
 from .closure import branches, carriers, clade_sets, clades, roots
 from .intervals import islands, stab_join
 from .statistics import edge_heights

@@ -13,7 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..model import Genealogy, materialize
+from ..model import Genealogy
+from ..storage import materialize
 from .intervals import stab_join
 from .statistics import edge_heights, sets_at
 

@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import chi2_pvalue
-from ..model import Genealogy, materialize
+from ..model import Genealogy
+from ..storage import materialize
 from ..operators import access, association, checks, closure, editing, export, mapping, relatedness, resolution, simulation, statistics
 from ..operators.intervals import stab_join
 from . import canonical
