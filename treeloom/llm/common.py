@@ -13,14 +13,11 @@ Conventions of every operator in this subpackage
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import fresh_path, materialize, scratch  # noqa: F401  used through this module
+
 NULL_ID = 9223372036854775807
 #: White space of all contracts: the space and U+0009 to U+000D.
 SPACES = " \t\n\x0b\x0c\r"
@@ -30,32 +27,6 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir of the
-    session. Only where that is unset, as in tests, one is made."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        made = tempfile.mkdtemp(prefix="treeloom-")
-        atexit.register(shutil.rmtree, made, True)
-        found = f"file://{made}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/treeloom/{uuid.uuid4().hex}/{name}"
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write to the shared folder and read back: cuts the lineage, survives lost
-    executors and gives later joins true sizes."""
-    path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def broadcast_if_small(df: DataFrame, rows: int, row_bytes: int, limit_mb: int = 32) -> DataFrame:
     """A broadcast hint only where the counted rows prove the size."""
     return F.broadcast(df) if rows * row_bytes <= limit_mb << 20 else df
