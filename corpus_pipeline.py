@@ -6,13 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from treeloom.llm import decontam, line_dedup, line_rules, mixing, oracles, superminhash
-from treeloom.llm.common import fresh_path
 from treeloom.llm.queries import PARAMETERS
+from treeloom.storage import discard, fresh_path, scratch
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that no rule rejects, unchanged."""
-    return line_rules.kept_documents(docs)
+    """Documents that no rule rejects, without the lines above the limits; ``n_chars``
+    follows the text."""
+    kept = line_rules.kept_documents(docs)
+    return kept.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,7 +46,7 @@ STAGES = [
     ("mixing sources", mix_sources),
 ]
 ORACLE_SQL = f"""WITH RECURSIVE {oracles.quality_rules('documents', 'a_', *PARAMETERS['rules'])},
-s1 AS (SELECT d.* FROM documents d JOIN a_out a USING (doc_id) WHERE a.kept), {oracles.line_dedup('s1', 'b_')},
+s1 AS (SELECT d.doc_id, a.clean AS text, d.lang, d.source, length(a.clean)::BIGINT AS n_chars FROM documents d JOIN a_text a USING (doc_id)), {oracles.line_dedup('s1', 'b_')},
 s2 AS (SELECT d.doc_id, b.kept AS text, d.lang, d.source, length(b.kept)::BIGINT AS n_chars FROM s1 d JOIN b_out b USING (doc_id)), {oracles.near_duplicates('s2', 'c_')},
 s3 AS (SELECT d.* FROM s2 d JOIN c_out c USING (doc_id) WHERE c.kept), {oracles.contaminated('s3', 'd_', *PARAMETERS['leaks'])},
 s4 AS (SELECT * FROM s3 WHERE doc_id NOT IN (SELECT doc_id FROM d_out)), {oracles.mixing('s4', 'e_', *PARAMETERS['mix'])}
@@ -52,10 +54,14 @@ SELECT d.* FROM s4 d JOIN (SELECT doc_id, unnest(range(copies)) AS copy FROM e_o
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written as Parquet and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over ``documents``, each written as Parquet and read again. What a
+    stage leaves behind, and the table before it, go as soon as it is written."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
         path = fresh_path(spark, name.replace(" ", "_"))
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        with scratch(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
+        if before is not None:
+            discard(spark, before)
+        docs, before = spark.read.parquet(path), path
     return docs
