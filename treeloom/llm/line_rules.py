@@ -85,8 +85,10 @@ def normal_line(line: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(ascii_lower(strip(line)), WORD_SEPARATOR, " "), "[0-9]+", "0")
 
 
-def full_lines(text: Column) -> Column:
-    return F.filter(F.split(F.coalesce(text, F.lit("")), "\n", -1), lambda x: strip(x) != "")
+def normal_lines(text: Column) -> Column:
+    """``normal_line`` of every line with a word, the runs made one in the whole text at once."""
+    one = F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), "[\\x20\\x09\\x0B-\\x0D]+", " "), "[0-9]+", "0")
+    return F.filter(F.transform(F.split(one, "\n", -1), lambda x: ascii_lower(F.btrim(x))), lambda x: x != "")
 
 
 def line_hash(line: Column) -> Column:
@@ -96,9 +98,9 @@ def line_hash(line: Column) -> Column:
 def removed_lines(docs: DataFrame, doc_id: str, text: str, host: str, max_docs: int) -> DataFrame:
     """``_ri, _rh, _rs, removed, cut``: of each row with lines above the limits (by id, text
     hash and host) the words in them and their hashes."""
-    d = docs.select(*row_key(doc_id, text), F.col(host).cast("string").alias("_host"), full_lines(F.col(text)).alias("_full"))
-    hashed = F.transform("_full", lambda x: F.struct(line_hash(x).alias("h"), F.size(F.split(strip(x), WORD_SEPARATOR)).alias("n")))
-    d = d.select("_id", "_h", "_host", hashed.alias("_lines")).dropDuplicates(["_id", "_h", "_host"])  # hashes only
+    d = docs.select(*row_key(doc_id, text), F.col(host).cast("string").alias("_host"), normal_lines(F.col(text)).alias("_full"))
+    hashed = F.transform("_full", lambda x: F.struct(F.xxhash64(x).alias("h"), F.size(F.split(x, " ")).alias("n")))
+    d = materialize(d.select("_id", "_h", "_host", hashed.alias("_lines")).dropDuplicates(["_id", "_h", "_host"]), "lines")  # hashes only; read twice
     lines = d.select("_id", "_h", "_host", F.explode("_lines").alias("x")).select("_id", "_h", "_host", "x.*")
     lines = lines.groupBy("_id", "_h", "_host", "h").agg(F.sum("n").alias("n"))
     held = lines.select("_host", "h", "_h").distinct()
