@@ -7,9 +7,10 @@ per source is added, and a document is emitted once for each integer that its
 step of the prefix sum crosses. The order is by size class first, so that a
 source's words stay near the target although copies are drawn per document.
 
-The prefix sum needs no task that holds a source: ranks are the sum of three
-exclusive prefixes, over size classes of a source (at most ``64 * 8`` rows),
-over the chunks of a class (at most ``CHUNKS`` rows) and inside one chunk. A row's chunk
+The prefix sum needs no task that holds a source: ranks are the sum of four
+exclusive prefixes, over size classes of a source (at most ``64 * 8`` rows), over the
+groups of chunks of a class and the chunks of a group (at most ``GROUP`` rows each) and
+inside one chunk. A row's chunk
 comes from a digest of its id and text, so that neither ids in steps nor a shared
 or missing id gather in one chunk. Only the list of sources (a row each) is ranked in one task.
 
@@ -23,10 +24,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, WORD, carried
+from .common import NULL_ID, WORD, carried, materialize
 
 #: A power of 16, so that SQL can cut it from a digest.
 CHUNKS = 4096
+GROUP = 64
 WEIGHTS = (1, 2, 3)
 CAP = 3
 SEED = "mix-1"
@@ -77,18 +79,25 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     )
     d = d.withColumns({"_class": size_class(F.col("_size")), "_chunk": (F.conv(F.substring("_tie", 1, 8), 16, 10).cast("long") % CHUNKS).cast("int")})
     chunk = ["_source", "_class", "_chunk"]
-    counts = d.groupBy(*chunk).agg(F.count("*").alias("_n"), F.sum("_size").alias("_size"))
+    counts = materialize(d.groupBy(*chunk).agg(F.count("*").alias("_n"), F.sum("_size").alias("_size")), "counts")
+    counts = counts.withColumn("_group", (F.col("_chunk") / GROUP).cast("int"))
     per_source = source_targets(counts.select("_source", "_size"), weights, cap)
-    classes = counts.groupBy("_source", "_class").agg(F.sum("_n").alias("_n"))
-    before = Window.partitionBy("_source").orderBy("_class").rowsBetween(Window.unboundedPreceding, -1)
-    classes = classes.select("_source", "_class", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
-    classes = classes.withColumnRenamed("_source", "_s").withColumnRenamed("_class", "_c")
+    groups = counts.groupBy("_source", "_class", "_group").agg(F.sum("_n").alias("_n"))
+    classes = groups.groupBy("_source", "_class").agg(F.sum("_n").alias("_n"))
+
+    def before(*keys: str):
+        """Rows of the same keys but the last that come before."""
+        w = Window.partitionBy(*keys[:-1]).orderBy(keys[-1]).rowsBetween(Window.unboundedPreceding, -1)
+        return F.coalesce(F.sum("_n").over(w), F.lit(0))
+
+    classes = classes.select(F.col("_source").alias("_s"), F.col("_class").alias("_c"), before("_source", "_class").alias("_base"))
+    groups = groups.select(F.col("_source").alias("_gs"), F.col("_class").alias("_gc"), F.col("_group").alias("_gg"), before("_source", "_class", "_group").alias("_in_class"))
     targets = per_source.withColumnRenamed("_source", "_t")
-    within = Window.partitionBy("_source", "_class").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.withColumn("_off", F.coalesce(F.sum("_n").over(within), F.lit(0)))
+    starts = counts.withColumn("_off", before("_source", "_class", "_group", "_chunk"))
+    starts = starts.join(groups, F.col("_source").eqNullSafe(F.col("_gs")) & (F.col("_class") == F.col("_gc")) & (F.col("_group") == F.col("_gg")))
     starts = starts.join(classes, F.col("_source").eqNullSafe(F.col("_s")) & (F.col("_class") == F.col("_c")))
     starts = starts.join(targets, F.col("_source").eqNullSafe(F.col("_t")))
-    starts = starts.select(F.col("_source").alias("_s"), F.col("_class").alias("_c"), F.col("_chunk").alias("_k"), (F.col("_base") + F.col("_off")).alias("_start"), "source_size", "target")
+    starts = starts.select(F.col("_source").alias("_s"), F.col("_class").alias("_c"), F.col("_chunk").alias("_k"), (F.col("_base") + F.col("_in_class") + F.col("_off")).alias("_start"), "source_size", "target")
     placed = d.withColumn("_place", F.row_number().over(Window.partitionBy(*chunk).orderBy("_size", "_id", "_tie")))
     joined = placed.join(starts, F.col("_source").eqNullSafe(F.col("_s")) & (F.col("_class") == F.col("_c")) & (F.col("_chunk") == F.col("_k")))
     rank = (F.col("_start") + F.col("_place")).cast("double")
