@@ -33,6 +33,8 @@ from .common import ascii_lower, broadcast_if_small, carried, let, materialize,
 HOT_PART = 8
 #: Counters of the sketch for each hot key there may be: errors stay below a quarter of the share.
 SKETCH = 16
+#: MB of bitmaps that may be broadcast.
+BROADCAST_MB = 4
 
 
 def line_key(line: Column) -> Column:
@@ -85,7 +87,7 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min
     bitmaps = materialize(drop_bitmaps(dropped_lines(rows)), "bitmaps")
     size = bitmaps.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.size("_words")), F.lit(0)).alias("words")).first()
     bitmaps = bitmaps.select(F.col("_id").alias("_bi"), F.col("_h").alias("_bh"), "_words")
-    bitmaps = broadcast_if_small(bitmaps, 4 * size["rows"] + size["words"], 24)
+    bitmaps = broadcast_if_small(bitmaps, 4 * size["rows"] + size["words"], 24, BROADCAST_MB)
     d = docs.select(*row_key(doc_id, text), carried(docs), F.coalesce(F.col(text), F.lit("")).alias("_text"))
     joined = d.join(bitmaps, (F.col("_id") == F.col("_bi")) & (F.col("_h") == F.col("_bh")), "left")
     dense = F.transform(F.sequence(F.lit(0), F.array_max(F.map_keys("_words"))), lambda w: F.coalesce(F.element_at("_words", w), F.lit(0).cast("long")))
