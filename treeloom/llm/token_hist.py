@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 #: Fixed value: how this vocabulary cuts a text into pieces.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-SPAN = 4096
+SPAN = 512
 
 _encodings: dict[int, object] = {}
 
