@@ -252,13 +252,6 @@ def test_lines_above_the_limit_leave_the_texts(spark, monkeypatch, mb):
     assert got == sorted([(k, "host", t) for k, t in cut.items()] + [(0, "host", cut[0]), (50, "other", texts[0]), (0, "", texts[0])])
 
 
-def test_line_dedup_without_broadcast(spark, monkeypatch):
-    monkeypatch.setattr(line_dedup, "broadcast_if_small", lambda df, *a: df.hint("merge"))
-    d = line_dedup.dedup_lines(frame(spark, ODD))
-    got = d.select(F.coalesce("doc.doc_id", F.lit(-1)), "n_lines", "n_dropped", F.sha2("kept_text", 256)).collect()
-    assert sorted(map(tuple, got)) == expected_lines(ODD)
-
-
 def test_hot_keys_grow_with_partitions(spark):
     rows = spark.range(60000).select(F.when(F.col("id") < 40000, F.col("id") % 20).otherwise(F.col("id")).alias("k1"))
     assert sorted(line_dedup.hot_keys(rows, 8)) == list(range(20))  # each holds 2000 rows of 60000, above 60000 / 64

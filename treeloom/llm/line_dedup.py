@@ -13,9 +13,8 @@ with a frequent items sketch over all rows and go another exact way: their first
 document is a map-side combined minimum, joined back by broadcast of that bounded list.
 
 Dropped positions return as words of 64 bits, only non-zero words kept: a sparse
-bitmap whose complement is the keep bitmap. It meets the text once (by broadcast where
-the counted rows prove the bitmaps small, else in a shuffle that carries each text once)
-and lines are split only after that.
+bitmap whose complement is the keep bitmap. It meets the text in one shuffle, at every
+size, that carries each text once; lines are split only after that.
 
 Defined results: null or empty text is one empty line, never dropped; keys
 shorter than ``min_chars`` stay; rows sharing a doc_id are one document for the
@@ -27,14 +26,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, broadcast_if_small, carried, let, materialize, partitions, row_key, strip
+from .common import ascii_lower, carried, let, materialize, partitions, row_key, strip
 
 #: A key is hot above this part of a partition's fair share of the rows.
 HOT_PART = 8
 #: Counters of the sketch for each hot key there may be: errors stay below a quarter of the share.
 SKETCH = 16
-#: MB of bitmaps that may be broadcast.
-BROADCAST_MB = 4
 
 
 def line_key(line: Column) -> Column:
@@ -84,12 +81,9 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min
     """``doc`` (the input's columns), ``kept_text, n_lines, n_dropped`` and ``drop_words``
     (the sparse bitmap, null where nothing goes) of each row."""
     rows = materialize(line_rows(docs, doc_id, text, min_chars), "line_rows")  # hashes only; read three times
-    bitmaps = materialize(drop_bitmaps(dropped_lines(rows)), "bitmaps")
-    size = bitmaps.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.size("_words")), F.lit(0)).alias("words")).first()
-    bitmaps = bitmaps.select(F.col("_id").alias("_bi"), F.col("_h").alias("_bh"), "_words")
-    bitmaps = broadcast_if_small(bitmaps, 4 * size["rows"] + size["words"], 24, BROADCAST_MB)
+    bitmaps = drop_bitmaps(dropped_lines(rows)).select(F.col("_id").alias("_bi"), F.col("_h").alias("_bh"), "_words")
     d = docs.select(*row_key(doc_id, text), carried(docs), F.coalesce(F.col(text), F.lit("")).alias("_text"))
-    joined = d.join(bitmaps, (F.col("_id") == F.col("_bi")) & (F.col("_h") == F.col("_bh")), "left")
+    joined = d.join(bitmaps.hint("merge"), (F.col("_id") == F.col("_bi")) & (F.col("_h") == F.col("_bh")), "left")
     dense = F.transform(F.sequence(F.lit(0), F.array_max(F.map_keys("_words"))), lambda w: F.coalesce(F.element_at("_words", w), F.lit(0).cast("long")))
 
     def stays(bits: Column, i: Column) -> Column:
