@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..model import Genealogy
-from .closure import carriers
-from .intervals import overlap, stab_join
+from ..storage import materialize
+from .closure import carrier_counts, carriers, clade_sums, clades
+from .intervals import overlap, stab_join, sweep
+from .ordering import numbered, prefixes, ranges
 
 NEAR = 1e-3
 
@@ -52,7 +54,7 @@ def children_overlap(g: Genealogy, asked: DataFrame, node: str, a: str, b: str)
 def sites(g: Genealogy) -> DataFrame:
     """``site, position, n_mut``: mutations of exactly equal position."""
     s = g.mutations.groupBy("position").agg(F.count("*").alias("n_mut"))
-    return s.select((F.row_number().over(Window.orderBy("position")) - 1).cast("long").alias("site"), "position", "n_mut")
+    return numbered(s, ["position"], "site").select("site", "position", "n_mut")
 
 
 def mutation_index(g: Genealogy) -> DataFrame:
@@ -60,8 +62,8 @@ def mutation_index(g: Genealogy) -> DataFrame:
 
     Counted per position first, so the running sum sees positions, not mutations."""
     p = g.mutations.groupBy("position").agg(F.count("*").alias("n"))
-    up = Window.orderBy("position").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return p.withColumn("last", F.sum("n").over(up) - 1).withColumn("first", F.col("last") - F.col("n") + 1)
+    p = prefixes(p, ["position"], {"first": F.col("n")})
+    return p.select("position", "n", (F.col("first") + F.col("n") - 1).alias("last"), "first")
 
 
 def _below(g: Genealogy, points: DataFrame, x: str) -> DataFrame:
@@ -69,8 +71,17 @@ def _below(g: Genealogy, points: DataFrame, x: str) -> DataFrame:
     over mutations and points together, no join."""
     m = g.mutations.select(F.col("position").alias("_x"), F.lit(1).alias("_m"))
     every = m.union(points.select(F.col(x).alias("_x"), F.lit(0).alias("_m"))).groupBy("_x").agg(F.sum("_m").alias("_m"))
-    up = Window.orderBy("_x")
-    run = every.select("_x", F.coalesce(F.sum("_m").over(up.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("n_less"), F.sum("_m").over(up.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("n_upto"), F.sum("_m").over(Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("n_all"), F.max(F.when(F.col("_m") > 0, F.col("_x"))).over(up.rowsBetween(Window.unboundedPreceding, -1)).alias("_left"), F.min(F.when(F.col("_m") > 0, F.col("_x"))).over(up.rowsBetween(Window.currentRow, Window.unboundedFollowing)).alias("_right"))
+    d = ranges(every, ["_x"])
+    own = F.when(F.col("_m") > 0, F.col("_x"))
+    parts = d.groupBy("_part").agg(F.sum("_m").alias("_t"), F.max(own).alias("_hi"), F.min(own).alias("_lo"))
+    w = Window.orderBy("_part")  # a row per range
+    earlier, later = w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(1, Window.unboundedFollowing)
+    parts = parts.select(F.col("_part").alias("_tp"), F.coalesce(F.sum("_t").over(earlier), F.lit(0)).alias("_before"), F.max("_hi").over(earlier).alias("_hi"), F.min("_lo").over(later).alias("_lo"), F.sum("_t").over(Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("n_all"))
+    up = Window.partitionBy("_part").orderBy("_x")
+    less = F.col("_before") + F.coalesce(F.sum("_m").over(up.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    left = F.coalesce(F.max(own).over(up.rowsBetween(Window.unboundedPreceding, -1)), F.col("_hi"))
+    right = F.coalesce(F.min(own).over(up.rowsBetween(Window.currentRow, Window.unboundedFollowing)), F.col("_lo"))
+    run = d.join(F.broadcast(parts), F.col("_part") == F.col("_tp")).select("_x", less.alias("n_less"), (less + F.col("_m")).alias("n_upto"), "n_all", left.alias("_left"), right.alias("_right"))
     return points.join(run, F.col(x) == F.col("_x")).drop("_x")
 
 
@@ -111,10 +122,12 @@ def midpoint_heights(g: Genealogy) -> DataFrame:
 
 def genotype_rows(g: Genealogy, anc: DataFrame, diploid: bool = False) -> DataFrame:
     """Long genotype matrix without its zeros: ``mut_id, leaf|individual, dosage``."""
-    c = carriers(g, anc)
     if not diploid:
-        return c.select("mut_id", "leaf", F.lit(1).cast("long").alias("dosage"))
-    return c.groupBy("mut_id", F.expr("leaf div 2").alias("individual")).agg(F.count("*").alias("dosage"))
+        return carriers(g, anc).select("mut_id", "leaf", F.lit(1).cast("long").alias("dosage"))
+    # the two leaves are put together in the ancestry, so the product is never grouped again
+    dose = materialize(sweep(anc.select(F.expr("leaf div 2").alias("individual"), F.col("node").alias("_node"), "lft", "rgt"), ["individual", "_node"], {}).select("individual", "_node", "lft", "rgt", F.col("n_rows").cast("long").alias("dosage")))
+    m = g.mutations.select("mut_id", "position", F.col("child").alias("_m"))
+    return m.join(dose, (F.col("_m") == F.col("_node")) & (F.col("lft") <= F.col("position")) & (F.col("position") < F.col("rgt"))).select("mut_id", "individual", "dosage")
 
 
 def mutations_matrix(g: Genealogy, anc: DataFrame, start: float = float("-inf"), end: float = float("inf"), include_left: bool = True, include_right: bool = False) -> DataFrame:
@@ -136,12 +149,14 @@ def lowest_mutated_edge(g: Genealogy, anc: DataFrame, asked: DataFrame, leaf: st
     return hit.groupBy("_q", "_x").agg(F.min_by("node", "level").alias("child")).select(F.col("_q").alias("leaf"), F.col("_x").alias("x"), "child")
 
 
-def allele_counts(g: Genealogy, anc: DataFrame) -> DataFrame:
-    """Per site the carriers of its mutations, summed."""
-    return carriers(g, anc).groupBy("position").agg(F.count("*").alias("allele_count"))
+def allele_counts(g: Genealogy, anc: DataFrame | None = None) -> DataFrame:
+    """Per site the carriers of its mutations, summed: from the counts of the clades
+    below them, which come from an ancestry at hand or else from the bottom up."""
+    found = carrier_counts(g, clade_sums(g) if anc is None else clades(anc))
+    return found.groupBy("position").agg(F.sum("n_desc").alias("allele_count"))
 
 
-def keep_within_maf(g: Genealogy, anc: DataFrame, low: float = 0.0, high: float = 1.0) -> Genealogy:
+def keep_within_maf(g: Genealogy, anc: DataFrame | None = None, low: float = 0.0, high: float = 1.0) -> Genealogy:
     """Mutations whose site has its allele frequency, or one minus it, in [low, high]."""
     n = g.leaves.agg(F.count("*").alias("_n"))
     af = allele_counts(g, anc).crossJoin(F.broadcast(n)).select(F.col("position").alias("_p"), (F.col("allele_count") / F.col("_n")).alias("_af"))

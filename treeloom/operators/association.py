@@ -9,6 +9,7 @@ from ..functions.scalars import chi2_pvalue
 from ..model import Genealogy
 from .closure import branch_pieces, branches, clades, volume
 from .intervals import stab_join, sweep
+from .ordering import followed, preceded, prefixes
 
 
 def standardised(phenotypes: DataFrame) -> DataFrame:
@@ -66,7 +67,8 @@ def associate_mutations(g: Genealogy, anc: DataFrame, phenotypes: DataFrame, rat
     """Branches on which a sampled mutation falls: ``mu_star`` is exponential with the
     branch's volume as rate, and a branch is tested if the largest rate exceeds it."""
     b = branches(g, diploid_clades(anc, phenotypes)).withColumn("volume", volume()).where("volume > 0")
-    star = -F.log1p(-F.rand(seed)) / F.col("volume")
+    draw = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "child", "parent", "lft", "rgt"), 11) / float(1 << 53)  # of the branch: the same in any retry
+    star = -F.log1p(-draw) / F.col("volume")
     r = _tested(b.withColumn("mu_star", star).where(F.col("mu_star") < max(rates)), phenotypes, min_maf, max_maf, calibration, careful)
     return r.select("child", "parent", "lft", "rgt", "mac", "chi2", "mu_star", "height_child", "height_parent", "volume")
 
@@ -103,14 +105,14 @@ def haploid_max(g: Genealogy, anc: DataFrame, values: DataFrame, compress: bool
     last step reaches the end of the span."""
     c = haploid_clades(anc, values)
     cuts = c.select(F.col("lft").alias("x")).union(c.select(F.col("rgt").alias("x"))).distinct()
-    seg = cuts.select(F.col("x").alias("start"), F.lead("x").over(Window.orderBy("x")).alias("end")).where(F.col("end").isNotNull())
+    seg = followed(cuts, "x", "end").where(F.col("end").isNotNull()).withColumnRenamed("x", "start")
     wide = max(g.span / 256, 1e-9)
     s = stab_join(seg, c, "start", wide).groupBy("start", "end").agg(F.max("chi2").alias("chi2"))
     if not compress:
         return s
-    w = Window.orderBy("start")
-    new = F.lag("chi2").over(w).isNull() | (F.abs(F.col("chi2") - F.lag("chi2").over(w)) > epsilon)
-    m = s.withColumn("_n", new.cast("int")).withColumn("_r", F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    s = preceded(s, "start", "chi2", "_before")
+    new = F.col("_before").isNull() | (F.abs(F.col("chi2") - F.col("_before")) > epsilon)
+    m = prefixes(s.withColumn("_n", new.cast("long")), ["start"], {"_sum": F.col("_n")}).withColumn("_r", F.col("_sum") + F.col("_n")).drop("_before", "_sum")
     return m.groupBy("_r").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min_by("chi2", "start").alias("chi2")).drop("_r")
 
 

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..model import Genealogy
 from ..storage import materialize
-from .intervals import clip, islands, overlap, subtract, sweep
+from .intervals import clip, islands, overlap, stab_join, subtract, sweep
+
+#: Parts of a node's leaves on each side of a pair join.
+BLOCKS = 4
 
 
 def ancestry(g: Genealogy, region: tuple[float, float] | None = None, leaves: DataFrame | None = None) -> DataFrame:
@@ -25,6 +30,7 @@ def ancestry(g: Genealogy, region: tuple[float, float] | None = None, leaves: Da
     every, level = front, 0
     while True:
         level += 1
+        _bounded(g, level)
         up = front.join(step, (F.col("node") == F.col("_c")) & overlap("lft", "rgt", "_l", "_r"))
         front = materialize(up.select("leaf", F.col("_p").alias("node"), F.col("_c").alias("via"), F.greatest("lft", "_l").alias("lft"), F.least("rgt", "_r").alias("rgt"), F.lit(level).alias("level")))
         if front.isEmpty():
@@ -39,6 +45,73 @@ def clades(anc: DataFrame, values: dict[str, Column] | None = None) -> DataFrame
     return found.select("node", "lft", "rgt", F.col("n_rows").cast("long").alias("n_desc"), *(values or {}))
 
 
+def _bounded(g: Genealogy, level: int) -> None:
+    """Levels cannot outnumber nodes; a longer walk means that the edges form a cycle."""
+    if level >= 64 and level & (level - 1) == 0 and level > g.nodes.count():
+        raise ValueError("the edges form a cycle")
+
+
+def ranks(g: Genealogy, edges: DataFrame) -> tuple[DataFrame, int]:
+    """``node, rank`` of the nodes above leaves (and the leaves), and the largest rank: the
+    most edges on a way down. A loop over node ids alone."""
+    kids = materialize(edges.select("child", "parent").distinct())
+    front, level = g.leaves.select(F.col("leaf").alias("node")), 0
+    every = front.withColumn("rank", F.lit(0))
+    while True:
+        level += 1
+        _bounded(g, level)
+        front = materialize(kids.join(front, F.col("child") == F.col("node")).select(F.col("parent").alias("node")).distinct())
+        if front.isEmpty():
+            break
+        every = every.union(front.withColumn("rank", F.lit(level)))
+    return materialize(every.groupBy("node").agg(F.max("rank").alias("rank"))), level - 1
+
+
+def clade_sums(g: Genealogy, values: DataFrame | None = None, region: tuple[float, float] | None = None) -> DataFrame:
+    """``clades`` without the ancestry: counts, and sums of the columns of ``values`` (``leaf,
+    ...``; missing leaves give 0), from the bottom up. Nodes are taken by rank, so each one's
+    children are done; what moves is a row per edge and clade interval of its child, not
+    one per leaf and ancestor."""
+    start, end = region or (g.start, g.end)
+    edges = g.edges if region is None else clip(g.edges, start, end)
+    names = [] if values is None else [c for c in values.columns if c != "leaf"]
+    base = g.leaves
+    if values is not None:
+        base = base.join(values, "leaf", "left").select("leaf", *[F.coalesce(c, F.lit(0)).cast(values.schema[c].dataType).alias(c) for c in names])
+    rank, top = ranks(g, edges)
+    rank = rank.select(F.col("node").alias("_rn"), "rank")
+    up = edges.select(F.col("child").alias("_c"), F.col("parent").alias("_p"), F.col("lft").alias("_l"), F.col("rgt").alias("_r"))
+    columns = ["node", "lft", "rgt", "n_desc", *names]
+    given = base.select(F.col("leaf").alias("node"), F.lit(float(start)).alias("lft"), F.lit(float(end)).alias("rgt"), F.lit(1).cast("long").alias("n_desc"), *names)
+    given = given.join(rank, F.col("node") == F.col("_rn")).select(*columns, "rank")
+    waiting, done = [given], []
+    for level in range(top + 1):
+        here = reduce(DataFrame.unionByName, [w.where(F.col("rank") == level) for w in waiting])
+        clade = materialize(sweep(here, ["node"], {c: F.col(c) for c in columns[3:]}).select(*columns))
+        done.append(clade)
+        if level < top:
+            more = clade.join(up, (F.col("node") == F.col("_c")) & overlap("lft", "rgt", "_l", "_r"))
+            more = more.select(F.col("_p").alias("node"), F.greatest("lft", "_l").alias("lft"), F.least("rgt", "_r").alias("rgt"), *columns[3:])
+            waiting.append(materialize(more.join(rank, F.col("node") == F.col("_rn")).select(*columns, "rank").sortWithinPartitions("rank")))
+    return reduce(DataFrame.union, done)
+
+
+def clade_hashes(anc: DataFrame) -> DataFrame:
+    """``node, lft, rgt, n_desc, h1, h2``: clades with 128 bits that name their leaf sets (the
+    exclusive or of the leaves' hashes), so sets are compared without their ids."""
+    found = sweep(anc, ["node"], {}, {"h1": F.xxhash64("leaf"), "h2": F.xxhash64(F.lit("second"), "leaf")})
+    return found.select("node", "lft", "rgt", F.col("n_rows").cast("long").alias("n_desc"), "h1", "h2")
+
+
+def with_members(sets: DataFrame, anc: DataFrame, place: str = "rep") -> DataFrame:
+    """``desc``, the sorted leaf ids of each row's set, read once for each distinct set at
+    its place (a struct ``node, x``: a node and a position where it has the set)."""
+    once = materialize(sets.groupBy("h1", "h2").agg(F.min(place).alias("_at")).select("h1", "h2", F.col("_at.node").alias("_n"), F.col("_at.x").alias("_x")))
+    rows = once.join(anc, (F.col("_n") == F.col("node")) & (F.col("lft") <= F.col("_x")) & (F.col("_x") < F.col("rgt")))
+    ids = rows.groupBy("h1", "h2").agg(F.array_join(F.sort_array(F.collect_list("leaf")).cast("array<string>"), ",").alias("desc"))
+    return sets.drop(place).join(ids, ["h1", "h2"]).drop("h1", "h2")
+
+
 def clade_leaves(clade: DataFrame, anc: DataFrame) -> DataFrame:
     """A row per clade interval and leaf below it."""
     a = anc.select(F.col("node").alias("_n"), "leaf", F.col("lft").alias("_l"), F.col("rgt").alias("_r"))
@@ -74,20 +147,35 @@ def volume() -> Column:
     return (F.col("height_parent") - F.col("height_child")) * (F.col("rgt") - F.col("lft"))
 
 
+def carrier_counts(g: Genealogy, clade: DataFrame) -> DataFrame:
+    """``mut_id, position`` with the columns of the clade below each mutation: its number
+    of carriers and sums over them, without a row per carrier."""
+    m = g.mutations.select("mut_id", "position", F.col("child").alias("_m"))
+    c = clade.withColumnRenamed("node", "_cn")
+    width = max(g.span / 1024, 1e-9)  # a node may have very many intervals
+    return stab_join(m.withColumnRenamed("_m", "_cn"), c, "position", width, ["_cn"]).drop("_cn", "lft", "rgt")
+
+
 def carriers(g: Genealogy, anc: DataFrame) -> DataFrame:
     """``mut_id, position, leaf``: a row per mutation and leaf that carries it."""
     m = g.mutations.select("mut_id", "position", F.col("child").alias("_m"))
     return m.join(anc, (F.col("_m") == F.col("node")) & (F.col("lft") <= F.col("position")) & (F.col("position") < F.col("rgt"))).select("mut_id", "position", "leaf")
 
 
+def _block(leaf: str) -> Column:
+    return F.pmod(F.xxhash64(leaf), F.lit(BLOCKS)).cast("int")
+
+
 def pairs(anc: DataFrame, nodes: DataFrame) -> DataFrame:
     """``i, j, node, lft, rgt, height`` for i < j: their most recent common ancestor.
     Two leaves first meet where they come through different children of one node, so
-    no minimum over common ancestors is needed."""
-    up = anc.where("level > 0")
-    a = up.select(F.col("leaf").alias("i"), "node", F.col("via").alias("_vi"), F.col("lft").alias("_la"), F.col("rgt").alias("_ra"))
-    b = up.select(F.col("leaf").alias("j"), F.col("node").alias("_nb"), F.col("via").alias("_vj"), F.col("lft").alias("_lb"), F.col("rgt").alias("_rb"))
-    met = a.join(b, (F.col("node") == F.col("_nb")) & (F.col("i") < F.col("j")) & (F.col("_vi") != F.col("_vj")) & overlap("_la", "_ra", "_lb", "_rb"))
+    no minimum over common ancestors is needed. A node's pairs are dealt in blocks by a
+    hash of both leaves: the root, where nearly all pairs may meet, is no single task."""
+    up, blocks = anc.where("level > 0"), F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1)))
+    a = up.select(F.col("leaf").alias("i"), "node", F.col("via").alias("_vi"), F.col("lft").alias("_la"), F.col("rgt").alias("_ra"), _block("leaf").alias("_bi"), blocks.alias("_bj"))
+    b = up.select(F.col("leaf").alias("j"), F.col("node").alias("_nb"), F.col("via").alias("_vj"), F.col("lft").alias("_lb"), F.col("rgt").alias("_rb"), _block("leaf").alias("_cj"), blocks.alias("_ci"))
+    same = (F.col("node") == F.col("_nb")) & (F.col("_bi") == F.col("_ci")) & (F.col("_bj") == F.col("_cj"))
+    met = a.join(b, same & (F.col("i") < F.col("j")) & (F.col("_vi") != F.col("_vj")) & overlap("_la", "_ra", "_lb", "_rb"))
     met = met.select("i", "j", "node", F.greatest("_la", "_lb").alias("lft"), F.least("_ra", "_rb").alias("rgt"))
     return met.join(nodes.select(F.col("node_id").alias("_id"), "height"), F.col("node") == F.col("_id")).drop("_id")
 
@@ -103,8 +191,10 @@ def paths(g: Genealogy, pieces: DataFrame, value: Column) -> DataFrame:
     the root, by a closure from the roots down. ``pieces`` are branches cut at will."""
     step = pieces.select(F.col("parent").alias("_p"), F.col("child").alias("_c"), F.col("lft").alias("_l"), F.col("rgt").alias("_r"), value.cast("double").alias("_v"))
     front = roots(g).select("node", "lft", "rgt", F.lit(0.0).alias("total"))
-    every = front
+    every, level = front, 0
     while True:
+        level += 1
+        _bounded(g, level)
         down = front.join(step, (F.col("node") == F.col("_p")) & overlap("lft", "rgt", "_l", "_r"))
         front = materialize(down.select(F.col("_c").alias("node"), F.greatest("lft", "_l").alias("lft"), F.least("rgt", "_r").alias("rgt"), (F.col("total") + F.col("_v")).alias("total")))
         if front.isEmpty():

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..model import EDGE_SCHEMA, NODE_SCHEMA, Genealogy
 from ..storage import materialize
-from .closure import pairs
-from .intervals import clip, islands, subtract
+from .intervals import clip, islands, stab_join, subtract
+from .ordering import followed, numbered
 
 
 def add_edges(g: Genealogy, edges: DataFrame) -> Genealogy:
@@ -67,7 +67,7 @@ def trim(g: Genealogy, start: float, end: float) -> Genealogy:
     e = clip(g.edges, start, end)
     used = e.select(F.col("child").alias("_u")).union(e.select(F.col("parent").alias("_u"))).distinct()
     kept = g.nodes.join(used, F.col("node_id") == F.col("_u"), "left_semi")
-    ids = kept.select(F.col("node_id").alias("_old"), (F.row_number().over(Window.orderBy("node_id")) - 1).cast("long").alias("_new"))
+    ids = numbered(kept.select(F.col("node_id").alias("_old")), ["_old"], "_new")
     nodes = clip(kept, start, end, "start", "stop").join(ids, F.col("node_id") == F.col("_old"))
     nodes = nodes.select(F.col("_new").alias("node_id"), "height", (F.col("start") - start).alias("start"), (F.col("stop") - start).alias("stop"), "is_sample", "name")
     up = ids.select(F.col("_old").alias("_po"), F.col("_new").alias("_pn"))
@@ -75,8 +75,7 @@ def trim(g: Genealogy, start: float, end: float) -> Genealogy:
     edges = edges.select((F.col("lft") - start).alias("lft"), (F.col("rgt") - start).alias("rgt"), F.col("_pn").alias("parent"), F.col("_new").alias("child"))
     m = g.mutations.where((F.col("position") >= start) & (F.col("position") < end))
     m = m.join(ids, F.col("child") == F.col("_old")).join(up, F.col("parent") == F.col("_po"))
-    order = Window.orderBy("position", "mut_id")
-    m = m.withColumn("_k", (F.row_number().over(order) - 1).cast("long"))
+    m = numbered(m, ["position", "mut_id"], "_k")
     m = m.select("mut_id", (F.col("position") - start).alias("position"), "height", F.col("_k").alias("site_id"), F.col("_new").alias("child"), F.col("_pn").alias("parent"))
     return Genealogy(nodes, edges, m, 0.0, float(end - start), g.offset + int(start), g.chromosome)
 
@@ -134,11 +133,18 @@ def thread_sample(g: Genealogy, sample: int, starts: list[float], targets: list[
 
 def threading_of(anc: DataFrame, nodes: DataFrame, sample: int, others: DataFrame) -> DataFrame:
     """``lft, rgt, cousin, height``: nearest relatives of a sample among ``others``, with
-    runs of the same relative and height joined."""
-    p = pairs(anc, nodes).where((F.col("i") == sample) | (F.col("j") == sample))
-    p = p.select(F.when(F.col("i") == sample, F.col("j")).otherwise(F.col("i")).alias("cousin"), "lft", "rgt", "height")
-    p = p.join(others.select(F.col("leaf").alias("cousin")), "cousin", "left_semi")
+    runs of the same relative and height joined. Only the sample's own ancestry meets the
+    others', on the node."""
+    up = anc.where("level > 0")
+    own = up.where(F.col("leaf") == sample).select(F.col("node").alias("_n"), F.col("via").alias("_v"), F.col("lft").alias("_l"), F.col("rgt").alias("_r"))
+    rest = up.where(F.col("leaf") != sample).join(others.select("leaf"), "leaf", "left_semi")
+    p = rest.join(own, (F.col("node") == F.col("_n")) & (F.col("via") != F.col("_v")) & (F.col("lft") < F.col("_r")) & (F.col("_l") < F.col("rgt")))
+    p = p.join(nodes.select(F.col("node_id").alias("_id"), "height"), F.col("node") == F.col("_id"))
+    p = materialize(p.select(F.col("leaf").alias("cousin"), F.greatest("lft", "_l").alias("lft"), F.least("rgt", "_r").alias("rgt"), "height"))
+    ends = p.agg(F.min("lft").alias("a"), F.max("rgt").alias("b")).first()
+    if ends["a"] is None:
+        return p.select("lft", "rgt", "cousin", "height")
     cuts = p.select(F.col("lft").alias("x")).union(p.select(F.col("rgt").alias("x"))).distinct()
-    seg = cuts.select(F.col("x").alias("a"), F.lead("x").over(Window.orderBy("x")).alias("b")).where("b is not null")
-    best = seg.join(p, (F.col("lft") <= F.col("a")) & (F.col("b") <= F.col("rgt"))).groupBy("a", "b").agg(F.min(F.struct("height", "cousin")).alias("m"))
+    seg = followed(cuts, "x", "b").where("b is not null").withColumnRenamed("x", "a")
+    best = stab_join(seg, p, "a", max((ends["b"] - ends["a"]) / 256, 1e-9)).groupBy("a", "b").agg(F.min(F.struct("height", "cousin")).alias("m"))
     return islands(best.select(F.col("a").alias("lft"), F.col("b").alias("rgt"), "m.cousin", "m.height"), ["cousin", "height"])

@@ -2,21 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import chi2_pvalue_text
 from ..model import NODE_IS_NOT_SAMPLE, NODE_IS_SAMPLE, Genealogy
 from ..storage import materialize
-from .closure import branches, carriers, clade_sets, clades, roots
+from .closure import branches, carriers, clade_hashes, clade_sums, clades, roots, with_members
 from .intervals import islands, stab_join
+from .ordering import followed, numbered
 from .statistics import edge_heights
 
 
 def marginal_trees(g: Genealogy) -> DataFrame:
     """``lft, rgt`` between neighbouring breakpoints of the edges."""
     cuts = g.edges.select(F.explode(F.array("lft", "rgt")).alias("x")).distinct()
-    return cuts.select(F.col("x").alias("lft"), F.lead("x").over(Window.orderBy("x")).alias("rgt")).where("rgt is not null")
+    return followed(cuts, "x", "rgt").select(F.col("x").alias("lft"), "rgt").where("rgt is not null")
 
 
 def newick(g: Genealogy, lengths: bool = False) -> DataFrame:
@@ -59,8 +60,7 @@ def table_export(g: Genealogy, permutation: dict[int, int] | None = None) -> dic
         nodes = nodes.join(F.broadcast(p), F.col("node_id") == F.col("_a"), "left").withColumn("node_id", F.coalesce("_b", "node_id")).drop("_a", "_b")
         edges = edges.join(F.broadcast(p), F.col("child") == F.col("_a"), "left").withColumn("child", F.coalesce("_b", "child")).drop("_a", "_b")
         m = m.join(F.broadcast(p), F.col("child") == F.col("_a"), "left").withColumn("child", F.coalesce("_b", "child")).drop("_a", "_b")
-    order = Window.orderBy("position", "mut_id")
-    m = m.withColumn("site", (F.row_number().over(order) - 1).cast("long"))
+    m = numbered(m, ["position", "mut_id"], "site")
     return {
         "nodes": nodes.select(F.col("node_id").alias("id"), flag.alias("flags"), F.col("height").alias("time")),
         "edges": edges.orderBy("height_parent", "parent", "child", "lft").select("lft", "rgt", "parent", "child"),
@@ -96,20 +96,27 @@ def set_extents(g: Genealogy, anc: DataFrame, joined: bool = True) -> DataFrame:
     """``desc, n_desc, lft, rgt``: where each leaf set below a root is a clade; touching
     extents made one if asked. The offset of the genealogy is always added."""
     n = g.leaves.agg(F.count("*").alias("_n"))
-    s = clade_sets(clades(anc), anc).crossJoin(F.broadcast(n)).where("n_desc < _n").select("desc", "n_desc", "lft", "rgt").distinct()
-    s = islands(s, ["desc", "n_desc"]) if joined else s
-    return s.select("desc", "n_desc", (F.col("lft") + g.offset).alias("lft"), (F.col("rgt") + g.offset).alias("rgt"))
+    s = clade_hashes(anc).crossJoin(F.broadcast(n)).where("n_desc < _n")
+    s = s.groupBy("h1", "h2", "n_desc", "lft", "rgt").agg(F.min("node").alias("node"))
+    s = _joined(s) if joined else s.withColumn("rep", F.struct("node", F.col("lft").alias("x")))
+    return with_members(s, anc).select("desc", "n_desc", (F.col("lft") + g.offset).alias("lft"), (F.col("rgt") + g.offset).alias("rgt"))
 
 
 def set_runs(g: Genealogy, anc: DataFrame, min_mac: int = 0, max_mac: int = 0) -> DataFrame:
     """``desc, n_desc, lft, rgt``: one row per run of a set with minor count in
     [min_mac, max_mac] (0: no limit); a run ends where a gap follows."""
     n = g.leaves.agg(F.count("*").alias("_n"))
-    s = clade_sets(clades(anc), anc).crossJoin(F.broadcast(n)).where("n_desc < _n")
+    s = clade_hashes(anc).crossJoin(F.broadcast(n)).where("n_desc < _n")
     mac = F.least(F.col("n_desc"), F.col("_n") - F.col("n_desc"))
     s = s.where(mac >= min_mac) if min_mac else s
     s = s.where(mac <= max_mac) if max_mac else s
-    return islands(s.select("desc", "n_desc", "lft", "rgt"), ["desc", "n_desc"])
+    return with_members(_joined(s), anc).select("desc", "n_desc", "lft", "rgt")
+
+
+def _joined(s: DataFrame) -> DataFrame:
+    """Runs of each set, with a place where the set is found."""
+    place = s.groupBy("h1", "h2").agg(F.min(F.struct("node", F.col("lft").alias("x"))).alias("rep"))
+    return islands(s.select("h1", "h2", "n_desc", "lft", "rgt"), ["h1", "h2", "n_desc"]).join(place, ["h1", "h2"])
 
 
 def dosage_lines(runs: DataFrame, n_individuals: int) -> DataFrame:
@@ -119,11 +126,11 @@ def dosage_lines(runs: DataFrame, n_individuals: int) -> DataFrame:
     return runs.select("desc", "lft", "rgt", F.array_join(dose, " ").alias("dosage"))
 
 
-def branch_rows(g: Genealogy, anc: DataFrame) -> DataFrame:
+def branch_rows(g: Genealogy, anc: DataFrame | None = None) -> DataFrame:
     """``lft, rgt, position, height_child, height_parent, n_desc, af`` of every branch at
     its parent's intervals; position is the midpoint."""
     n = g.leaves.agg(F.count("*").alias("_n"))
-    b = branches(g, clades(anc)).crossJoin(F.broadcast(n))
+    b = branches(g, clade_sums(g) if anc is None else clades(anc)).crossJoin(F.broadcast(n))
     return b.select("parent", "child", "lft", "rgt", ((F.col("lft") + F.col("rgt")) / 2).alias("position"), "height_child", "height_parent", "n_desc", (F.col("n_desc") / F.col("_n")).alias("af"))
 
 

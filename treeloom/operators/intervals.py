@@ -17,18 +17,19 @@ def overlap(a_lft, a_rgt, b_lft, b_rgt) -> Column:
     return (c(a_lft) < c(b_rgt)) & (c(b_lft) < c(a_rgt))
 
 
-def sweep(df: DataFrame, keys: list[str], sums: dict[str, Column]) -> DataFrame:
-    """Elementary intervals of each key with the sums over the rows that cover them:
-    one sorted pass over end points, no interval join. ``n_rows`` counts the rows."""
-    sums = {"n_rows": F.lit(1)} | sums
+def sweep(df: DataFrame, keys: list[str], sums: dict[str, Column], xors: dict[str, Column] | None = None) -> DataFrame:
+    """Elementary intervals of each key with the sums (and exclusive ors) over the rows
+    that cover them: one sorted pass over end points, no interval join. ``n_rows`` counts
+    the rows."""
+    sums, xors = {"n_rows": F.lit(1)} | sums, xors or {}
     ends = df.select(*keys, F.explode(F.array(
-        F.struct(F.col("lft").alias("x"), *[v.alias(k) for k, v in sums.items()]),
-        F.struct(F.col("rgt").alias("x"), *[(-v).alias(k) for k, v in sums.items()]),
+        F.struct(F.col("lft").alias("x"), *[v.alias(k) for k, v in (sums | xors).items()]),
+        F.struct(F.col("rgt").alias("x"), *[(-v).alias(k) for k, v in sums.items()], *[v.alias(k) for k, v in xors.items()]),
     )).alias("p")).select(*keys, "p.*")
-    ends = ends.groupBy(*keys, "x").agg(*[F.sum(k).alias(k) for k in sums])
+    ends = ends.groupBy(*keys, "x").agg(*[F.sum(k).alias(k) for k in sums], *[F.bit_xor(k).alias(k) for k in xors])
     w = Window.partitionBy(*keys).orderBy("x")
     run = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    out = ends.select(*keys, F.col("x").alias("lft"), F.lead("x").over(w).alias("rgt"), *[F.sum(k).over(run).alias(k) for k in sums])
+    out = ends.select(*keys, F.col("x").alias("lft"), F.lead("x").over(w).alias("rgt"), *[F.sum(k).over(run).alias(k) for k in sums], *[F.bit_xor(k).over(run).alias(k) for k in xors])
     return out.where("n_rows > 0")
 
 
@@ -57,3 +58,16 @@ def stab_join(points: DataFrame, intervals: DataFrame, x: str, width: float, key
     binned = intervals.withColumn("_bin", F.explode(F.sequence(F.floor(F.col(lft) / width), last)))
     p = points.withColumn("_bin", F.floor(F.col(x) / width))
     return p.join(binned, ["_bin", *keys]).where((F.col(lft) <= F.col(x)) & (F.col(x) < F.col(rgt))).drop("_bin")
+
+
+def overlap_join(a: DataFrame, b: DataFrame, width: float, a_ends: tuple[str, str] = ("a", "b"), b_ends: tuple[str, str] = ("lft", "rgt"), keys: list[str] = ()) -> DataFrame:
+    """Rows of both sides whose intervals overlap, by bins of ``width`` as in ``stab_join``;
+    a pair is told in the first bin that both meet."""
+    def binned(df, lft, rgt, name):
+        low = F.floor(F.col(lft) / width)
+        last = F.greatest(F.ceil(F.col(rgt) / width) - 1, low)
+        return df.withColumn(name, low).withColumn("_bin", F.explode(F.sequence(low, last)))
+
+    x, y = binned(a, *a_ends, "_first"), binned(b, *b_ends, "_first2")
+    met = x.join(y, ["_bin", *keys]).where((F.col("_bin") == F.greatest("_first", "_first2")) & overlap(*a_ends, *b_ends))
+    return met.drop("_bin", "_first", "_first2")

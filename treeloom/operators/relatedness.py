@@ -10,9 +10,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..model import Genealogy
-from .closure import at_node, branch_pieces, carriers, clades, pairs, paths
+from .access import allele_counts
+from .closure import at_node, branch_pieces, carrier_counts, carriers, clade_sums, pairs, paths
 from .intervals import clip
 
+#: Rows of a matrix that are summed at once.
+COLUMNS = 32
+
 
 def tmrca_distance(g: Genealogy, anc: DataFrame) -> DataFrame:
     """Pairs i < j: TMRCA integrated over the span."""
@@ -24,7 +28,7 @@ def _weighted(g: Genealogy, anc: DataFrame, weight: Column, scale: float, region
     of the branches above both. Branches above both are those above their common
     ancestor, so path sums from the root give A without a pair of leaves per branch."""
     n = g.leaves.agg(F.count("*").alias("_n"))
-    pieces = branch_pieces(g, clades(anc), region).crossJoin(F.broadcast(n))
+    pieces = branch_pieces(g, clade_sums(g), region).crossJoin(F.broadcast(n))
     maf = F.least(F.col("n_desc"), F.col("_n") - F.col("n_desc")) / F.col("_n")
     pieces = pieces.withColumn("_maf", maf).withColumn("_w", weight * (F.col("height_parent") - F.col("height_child")) * scale)
     up = paths(g, pieces, F.col("_w"))
@@ -116,10 +120,10 @@ def mutation_relationship(g: Genealogy, anc: DataFrame, alpha: float = -1.0, dip
     return out.select("i", "j", (F.coalesce("_dot", z) - F.coalesce("_row", z) - F.coalesce("_col", z) + F.coalesce("_mm", z)).alias("value"))
 
 
-def site_frequencies(g: Genealogy, anc: DataFrame) -> DataFrame:
+def site_frequencies(g: Genealogy, anc: DataFrame | None = None) -> DataFrame:
     """``position, af, n``: allele count per site and number of leaves."""
     n = g.leaves.agg(F.count("*").cast("double").alias("n"))
-    return carriers(g, anc).groupBy("position").agg(F.count("*").alias("af")).crossJoin(F.broadcast(n))
+    return allele_counts(g, anc).withColumnRenamed("allele_count", "af").crossJoin(F.broadcast(n))
 
 
 def _scale(alpha: float) -> tuple[Column, Column]:
@@ -128,19 +132,28 @@ def _scale(alpha: float) -> tuple[Column, Column]:
     return F.when(spread > 0, F.pow(spread, F.lit(alpha / 2))).otherwise(F.lit(0.0)), p
 
 
-def multiply_mutations(g: Genealogy, anc: DataFrame, matrix: DataFrame, standardise: bool = False, alpha: float = 0.0, diploid: bool = False, region: tuple[float, float] | None = None) -> DataFrame:
-    """``k, position, value``: matrix (k, sample, value) times genotypes (sample, site)."""
+def multiply_mutations(g: Genealogy, anc: DataFrame | None, matrix: DataFrame, standardise: bool = False, alpha: float = 0.0, diploid: bool = False, region: tuple[float, float] | None = None) -> DataFrame:
+    """``k, position, value``: matrix (k, sample, value) times genotypes (sample, site), by sums
+    of the matrix's values over the clades below the mutations. The matrix's rows k, few
+    by nature, become columns, ``COLUMNS`` at a time."""
     if standardise and not diploid:
         raise ValueError("standardised products are defined for diploid samples")
     part = g if region is None else g.with_(mutations=g.mutations.where((F.col("position") >= region[0]) & (F.col("position") < region[1])))
-    c = carriers(part, anc).select("position", (F.expr("leaf div 2") if diploid else F.col("leaf")).alias("sample"))
-    dose = c.groupBy("position", "sample").agg(F.count("*").alias("_d"))
-    out = dose.join(matrix.select("k", F.col("sample").alias("_s"), "value"), F.col("sample") == F.col("_s")).groupBy("k", "position").agg(F.sum(F.col("_d") * F.col("value")).alias("value"))
+    ids = g.leaves.select("leaf", (F.expr("leaf div 2") if diploid else F.col("leaf")).alias("_sample"))
+    kinds, parts = sorted(r[0] for r in matrix.select("k").distinct().collect()), []
+    for at in range(0, max(len(kinds), 1), COLUMNS):
+        some = kinds[at : at + COLUMNS]
+        wide = matrix.groupBy("sample").agg(*[F.sum(F.when(F.col("k") == x, F.col("value"))).cast("double").alias(f"v{n}") for n, x in enumerate(some)])
+        values = ids.join(wide, F.col("_sample") == F.col("sample")).select("leaf", *[f"v{n}" for n in range(len(some))])
+        sums = carrier_counts(part, clade_sums(g, values)).groupBy("position").agg(*[F.sum(f"v{n}").alias(f"v{n}") for n in range(len(some))])
+        cells = [F.struct(F.lit(x).cast(matrix.schema["k"].dataType).alias("k"), F.col(f"v{n}").alias("value")) for n, x in enumerate(some)]
+        parts.append(sums.select("position", F.explode(F.array(*cells)).alias("x")).select("x.k", "position", "x.value") if some else matrix.select("k", F.lit(0.0).alias("position"), "value").limit(0))
+    out = reduce(DataFrame.union, parts)
     if not standardise:
         return out
     factor, p = _scale(alpha)
     total = matrix.groupBy("k").agg(F.sum("value").alias("_t"))
-    f = site_frequencies(part, anc).select("position", factor.alias("_f"), (2 * p).alias("_mean"))
+    f = site_frequencies(part).select("position", factor.alias("_f"), (2 * p).alias("_mean"))
     return out.join(f, "position").join(F.broadcast(total), "k").select("k", "position", (F.col("_f") * (F.col("value") - F.col("_t") * F.col("_mean"))).alias("value"))
 
 
@@ -154,7 +167,7 @@ def multiply_samples(g: Genealogy, anc: DataFrame, matrix: DataFrame, standardis
     w = matrix.select(F.col("position").alias("_p"), "k", "value")
     if standardise:
         factor, p = _scale(alpha)
-        f = site_frequencies(part, anc).select("position", factor.alias("_f"), (2 * p).alias("_mean"))
+        f = site_frequencies(part).select("position", factor.alias("_f"), (2 * p).alias("_mean"))
         w = w.join(f, F.col("_p") == F.col("position")).select("_p", "k", (F.col("value") * F.col("_f")).alias("value"), "_mean")
     out = dose.join(w, F.col("position") == F.col("_p")).groupBy("sample", "k").agg(F.sum(F.col("_d") * F.col("value")).alias("value"))
     if not standardise:

@@ -93,13 +93,16 @@ def merge_branches(trees: DataFrame, fraction: float, by: str = "smallest", seed
 
 
 def tree_ancestors(trees: DataFrame, leaves: DataFrame) -> DataFrame:
-    """``k, leaf, node, height, level``: level counts edges up from the leaf."""
+    """``k, leaf, node, via, height, level``: level counts edges up from the leaf, ``via`` is
+    the child on the way."""
     step = trees.select(F.col("k").alias("_k"), F.col("child").alias("_c"), "parent", "height_parent")
-    front = trees.join(leaves, F.col("child") == F.col("leaf"), "left_semi").select("k", F.col("child").alias("leaf"), F.col("child").alias("node"), F.col("height_child").alias("height"), F.lit(0).alias("level"))
+    front = trees.join(leaves, F.col("child") == F.col("leaf"), "left_semi").select("k", F.col("child").alias("leaf"), F.col("child").alias("node"), F.lit(None).cast("long").alias("via"), F.col("height_child").alias("height"), F.lit(0).alias("level"))
     every = [front]
     while True:
+        if len(every) >= 64 and len(every) & (len(every) - 1) == 0 and len(every) > trees.count():
+            raise ValueError("the edges form a cycle")
         up = front.join(step, (F.col("k") == F.col("_k")) & (F.col("node") == F.col("_c")))
-        front = materialize(up.select("k", "leaf", F.col("parent").alias("node"), F.col("height_parent").alias("height"), (F.col("level") + 1).alias("level")))
+        front = materialize(up.select("k", "leaf", F.col("parent").alias("node"), F.col("_c").alias("via"), F.col("height_parent").alias("height"), (F.col("level") + 1).alias("level")))
         if front.isEmpty():
             return reduce(DataFrame.union, every)
         every.append(front)
@@ -109,10 +112,11 @@ def pair_vectors(up: DataFrame) -> DataFrame:
     """``k, i, j, depth, tmrca, size`` of each pair's lowest common node."""
     depth = up.groupBy("k", "leaf").agg(F.max("level").alias("_top"))
     size = up.groupBy("k", "node").agg(F.count("*").alias("size"))
-    a = up.join(depth, ["k", "leaf"]).select("k", F.col("leaf").alias("i"), "node", "height", (F.col("_top") - F.col("level")).alias("depth"))
-    b = up.select(F.col("k").alias("_k"), F.col("leaf").alias("j"), F.col("node").alias("_n"))
-    met = a.join(b, (F.col("k") == F.col("_k")) & (F.col("node") == F.col("_n")) & (F.col("i") < F.col("j")))
-    low = met.groupBy("k", "i", "j").agg(F.max(F.struct("depth", "node", "height")).alias("m")).select("k", "i", "j", "m.depth", "m.node", F.col("m.height").alias("tmrca"))
+    up = up.where("level > 0")
+    a = up.join(depth, ["k", "leaf"]).select("k", F.col("leaf").alias("i"), "node", F.col("via").alias("_vi"), F.col("height").alias("tmrca"), (F.col("_top") - F.col("level")).alias("depth"))
+    b = up.select(F.col("k").alias("_k"), F.col("leaf").alias("j"), F.col("node").alias("_n"), F.col("via").alias("_vj"))
+    # two leaves come to their lowest common node through different children
+    low = a.join(b, (F.col("k") == F.col("_k")) & (F.col("node") == F.col("_n")) & (F.col("i") < F.col("j")) & (F.col("_vi") != F.col("_vj"))).select("k", "i", "j", "depth", "node", "tmrca")
     return low.join(size, ["k", "node"])
 
 
@@ -135,11 +139,11 @@ def special_metrics(one: Genealogy, two: Genealogy, stabs: DataFrame, behaviour:
 
 
 def resolved_sets(g: Genealogy, stabs: DataFrame, seed: int) -> DataFrame:
-    """``k, desc, n_desc, length``: leaf sets of the trees' branches, with those that a
+    """``k, h1, h2, n_desc, length``: leaf sets (by hash) of the trees' branches, with those that a
     random resolution adds (length 0)."""
     up = tree_ancestors(materialize(resolve_randomly(trees_at(g, stabs), seed)), g.leaves)
-    s = up.groupBy("k", "node", "height").agg(F.count("*").alias("n_desc"), F.array_join(F.sort_array(F.collect_list("leaf")).cast("array<string>"), ",").alias("desc"))
-    return s.where("node < 0").select("k", "desc", "n_desc", F.lit(0.0).alias("length"))
+    s = up.groupBy("k", "node", "height").agg(F.count("*").alias("n_desc"), F.bit_xor(F.xxhash64("leaf")).alias("h1"), F.bit_xor(F.xxhash64(F.lit("second"), "leaf")).alias("h2"))
+    return s.where("node < 0").select("k", "h1", "h2", "n_desc", F.lit(0.0).alias("length"))
 
 
 def resolved_overlap(one: Genealogy, two: Genealogy, anc1: DataFrame, anc2: DataFrame, stabs: DataFrame, seeds: list[int], min_mac: int = 0, max_mac: int = 0) -> DataFrame:
@@ -147,13 +151,13 @@ def resolved_overlap(one: Genealogy, two: Genealogy, anc1: DataFrame, anc2: Data
     n = one.leaves.agg(F.count("*").alias("_n"))
 
     def sets(g, anc, seed):
-        every = sets_at(g, anc, stabs).select("k", "desc", "n_desc", "length").union(resolved_sets(g, stabs, seed))
-        return every.groupBy("k", "desc", "n_desc").agg(F.sum("length").alias("l"))
+        every = sets_at(g, anc, stabs).select("k", "h1", "h2", "n_desc", "length").union(resolved_sets(g, stabs, seed))
+        return every.groupBy("k", "h1", "h2", "n_desc").agg(F.sum("length").alias("l"))
 
     parts = []
     for seed in seeds:
-        a, b = sets(one, anc1, seed), sets(two, anc2, seed + 1000003).select("k", "desc", F.col("n_desc").alias("_n2"), F.col("l").alias("l2"))
-        m = a.join(b, ["k", "desc"], "full").crossJoin(F.broadcast(n)).withColumn("_c", F.coalesce("n_desc", "_n2"))
+        a, b = sets(one, anc1, seed), sets(two, anc2, seed + 1000003).select("k", "h1", "h2", F.col("n_desc").alias("_n2"), F.col("l").alias("l2"))
+        m = a.join(b, ["k", "h1", "h2"], "full").crossJoin(F.broadcast(n)).withColumn("_c", F.coalesce("n_desc", "_n2"))
         mac = F.least(F.col("_c"), F.col("_n") - F.col("_c"))
         parts.append(m.where((mac >= min_mac) & (mac < (F.lit(max_mac) if max_mac else F.col("_n")))).select("l", "l2"))
     m, both = reduce(DataFrame.union, parts), F.col("l").isNotNull() & F.col("l2").isNotNull()

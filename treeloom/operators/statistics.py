@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..model import Genealogy
-from .closure import at_node, branch_pieces, clade_sets, clades, depths, pairs, roots, volume
-from .intervals import clip, overlap, stab_join
+from .closure import at_node, branch_pieces, clade_hashes, clade_sums, clades, depths, pairs, roots, volume, with_members
+from .intervals import clip, overlap, overlap_join, stab_join
+from .ordering import followed
 
 
 def edge_heights(g: Genealogy) -> DataFrame:
@@ -24,14 +25,15 @@ def total_volume(g: Genealogy) -> DataFrame:
 
 def local_volume(g: Genealogy, regions: DataFrame) -> DataFrame:
     """``a, b, volume`` of each region [a, b)."""
-    met = edge_heights(g).join(F.broadcast(regions), overlap("lft", "rgt", "a", "b"))  # a stated list of regions
+    met = overlap_join(regions, edge_heights(g), max(g.span / 64, 1e-9))
     met = met.withColumns({"lft": F.greatest("lft", "a"), "rgt": F.least("rgt", "b")})
     return met.groupBy("a", "b").agg(F.sum(volume()).alias("volume"))
 
 
-def frequency_spectrum(g: Genealogy, anc: DataFrame) -> DataFrame:
-    """``n_desc, volume`` for every count from 0 to the number of leaves."""
-    found = branch_pieces(g, clades(anc)).groupBy("n_desc").agg(F.sum(volume()).alias("_v"))
+def frequency_spectrum(g: Genealogy, anc: DataFrame | None = None) -> DataFrame:
+    """``n_desc, volume`` for every count from 0 to the number of leaves; counts come from an
+    ancestry at hand or else from the bottom up."""
+    found = branch_pieces(g, clade_sums(g) if anc is None else clades(anc)).groupBy("n_desc").agg(F.sum(volume()).alias("_v"))
     n = g.leaves.agg(F.count("*").alias("n")).select(F.explode(F.sequence(F.lit(0).cast("long"), F.col("n"))).alias("n_desc"))
     return n.join(found, "n_desc", "left").select("n_desc", F.coalesce("_v", F.lit(0.0)).alias("volume"))
 
@@ -46,12 +48,13 @@ def num_lineages(g: Genealogy, clade: DataFrame, asked: DataFrame) -> DataFrame:
 
 def set_volumes(g: Genealogy, anc: DataFrame) -> DataFrame:
     """``desc, n_desc, volume``: volume of the branches above each leaf set."""
-    return branch_pieces(g, clade_sets(clades(anc), anc)).groupBy("desc", "n_desc").agg(F.sum(volume()).alias("volume"))
+    rows = branch_pieces(g, clade_hashes(anc)).groupBy("h1", "h2", "n_desc")
+    return with_members(rows.agg(F.sum(volume()).alias("volume"), F.min(F.struct(F.col("child").alias("node"), F.col("lft").alias("x"))).alias("rep")), anc).select("desc", "n_desc", "volume")
 
 
 def set_volumes_by_tree(g: Genealogy, anc: DataFrame, breakpoints: DataFrame) -> DataFrame:
     """The same by another way, tree after tree between breakpoints: a test oracle."""
-    b = breakpoints.withColumn("y", F.coalesce(F.lead("x").over(Window.orderBy("x")), F.lit(g.end)))
+    b = followed(breakpoints, "x", "y").withColumn("y", F.coalesce("y", F.lit(g.end)))
     a = stab_join(b, anc, "x", max(g.span / 64, 1e-9)).groupBy("x", "y", "node").agg(F.array_join(F.sort_array(F.collect_list("leaf")).cast("array<string>"), ",").alias("desc"))
     e = edge_heights(g).select(F.col("child").alias("_c"), F.col("lft").alias("_l"), F.col("rgt").alias("_r"), (F.col("height_parent") - F.col("height_child")).alias("_len"))
     rows = a.join(e, (F.col("node") == F.col("_c")) & (F.col("_l") <= F.col("x")) & (F.col("x") < F.col("_r")))
@@ -144,41 +147,50 @@ def kc_lengths(one: Genealogy, two: Genealogy, anc1: DataFrame, anc2: DataFrame,
 
 
 def kc_tmrca_vectors(g: Genealogy, anc: DataFrame, x: float) -> DataFrame:
-    """``i, j, depth, tmrca`` at one position."""
-    p = at_node(pairs(anc, g.nodes), depths(g), "depth").where((F.col("lft") <= x) & (F.lit(x) < F.col("rgt")))
+    """``i, j, depth, tmrca`` at one position; the ancestry is cut to it before leaves meet."""
+    here = (F.col("lft") <= x) & (F.lit(x) < F.col("rgt"))
+    p = at_node(pairs(anc.where(here), g.nodes), depths(g).where(here), "depth").where(here)
     return p.select("i", "j", "depth", F.col("height").alias("tmrca"))
 
 
+def pairs_at_position(g: Genealogy, anc: DataFrame, x: float) -> DataFrame:
+    """``i, j, node, height`` of the pairs in the tree at x."""
+    here = (F.col("lft") <= x) & (F.lit(x) < F.col("rgt"))
+    return pairs(anc.where(here), g.nodes).select("i", "j", "node", "height")
+
+
 def inner_sets(g: Genealogy, anc: DataFrame) -> DataFrame:
     n = g.leaves.agg(F.count("*").alias("_n"))
-    return clade_sets(clades(anc), anc).crossJoin(F.broadcast(n)).where("n_desc < _n").drop("_n")
+    return clade_hashes(anc).crossJoin(F.broadcast(n)).where("n_desc < _n").drop("_n")
 
 
 def overlap_full(one: Genealogy, two: Genealogy, anc1: DataFrame, anc2: DataFrame, start: float | None = None, end: float | None = None) -> DataFrame:
     """``n1, n2, n_common``: distinct leaf sets below a root within a region."""
     def sets(g, a):
         s = inner_sets(g, a)
-        return (s if start is None else clip(s, start, end)).select("desc").distinct()
+        return (s if start is None else clip(s, start, end)).select("h1", "h2").distinct()
 
     s1, s2 = sets(one, anc1).withColumn("_1", F.lit(1)), sets(two, anc2).withColumn("_2", F.lit(1))
-    return s1.join(s2, "desc", "full").agg(F.count("_1").alias("n1"), F.count("_2").alias("n2"), F.count_if(F.col("_1").isNotNull() & F.col("_2").isNotNull()).alias("n_common"))
+    return s1.join(s2, ["h1", "h2"], "full").agg(F.count("_1").alias("n1"), F.count("_2").alias("n2"), F.count_if(F.col("_1").isNotNull() & F.col("_2").isNotNull()).alias("n_common"))
 
 
 def sets_at(g: Genealogy, anc: DataFrame, stabs: DataFrame) -> DataFrame:
-    """``k, x, n_desc, length, desc`` of each branch of the trees at the stabs."""
-    at = at_stabs(anc, stabs, g.span).groupBy("k", "x", "node").agg(F.count("*").alias("n_desc"), F.array_join(F.sort_array(F.collect_list("leaf")).cast("array<string>"), ",").alias("desc"))
+    """``k, x, n_desc, length, h1, h2, rep`` of each set above which the trees at the stabs
+    have a branch; ``with_members`` gives the ids."""
+    hashes = [F.bit_xor(h).alias(name) for name, h in (("h1", F.xxhash64("leaf")), ("h2", F.xxhash64(F.lit("second"), "leaf")))]
+    at = at_stabs(anc, stabs, g.span).groupBy("k", "x", "node").agg(F.count("*").alias("n_desc"), *hashes)
     e = edge_heights(g).select(F.col("child").alias("_c"), F.col("lft").alias("_l"), F.col("rgt").alias("_r"), (F.col("height_parent") - F.col("height_child")).alias("_len"))
     rows = at.join(e, (F.col("node") == F.col("_c")) & (F.col("_l") <= F.col("x")) & (F.col("x") < F.col("_r")))
-    return rows.groupBy("k", "x", "desc", "n_desc").agg(F.sum("_len").alias("length"))
+    return rows.groupBy("k", "x", "h1", "h2", "n_desc").agg(F.sum("_len").alias("length"), F.min(F.struct("node", "x")).alias("rep"))
 
 
 def overlap_stab(one: Genealogy, two: Genealogy, anc1: DataFrame, anc2: DataFrame, stabs: DataFrame, factor: float = 1.0, min_mac: int = 0, max_mac: int = 0) -> DataFrame:
     """``n1, n2, n_common, len1, len2, len_common`` over the trees at the stabs; minor
     counts in [min_mac, max_mac), where 0 is the number of leaves."""
-    s1 = sets_at(one, anc1, stabs).select("k", "desc", "n_desc", F.col("length").alias("l1"))
-    s2 = sets_at(two, anc2, stabs).select("k", "desc", F.col("n_desc").alias("_n2"), (F.col("length") * factor).alias("l2"))
+    s1 = sets_at(one, anc1, stabs).select("k", "h1", "h2", "n_desc", F.col("length").alias("l1"))
+    s2 = sets_at(two, anc2, stabs).select("k", "h1", "h2", F.col("n_desc").alias("_n2"), (F.col("length") * factor).alias("l2"))
     n = one.leaves.agg(F.count("*").alias("_n"))
-    m = s1.join(s2, ["k", "desc"], "full").crossJoin(F.broadcast(n)).withColumn("_c", F.coalesce("n_desc", "_n2"))
+    m = s1.join(s2, ["k", "h1", "h2"], "full").crossJoin(F.broadcast(n)).withColumn("_c", F.coalesce("n_desc", "_n2"))
     mac = F.least(F.col("_c"), F.col("_n") - F.col("_c"))
     m = m.where((mac >= min_mac) & (mac < (F.lit(max_mac) if max_mac else F.col("_n"))))
     both = F.col("l1").isNotNull() & F.col("l2").isNotNull()
@@ -192,10 +204,10 @@ def overlap_stab(one: Genealogy, two: Genealogy, anc1: DataFrame, anc2: DataFram
 def rf_total_variation(one: Genealogy, two: Genealogy, anc1: DataFrame, anc2: DataFrame, stabs: DataFrame, min_mac: int = 0, max_mac: int = 0) -> DataFrame:
     """Scaled Robinson-Foulds, recalls, precisions and total variation; the latter after
     the second genealogy's branches are scaled to the first one's total length."""
-    s1 = sets_at(one, anc1, stabs).select("k", "desc", "n_desc", F.col("length").alias("l1"))
-    s2 = sets_at(two, anc2, stabs).select("k", "desc", F.col("n_desc").alias("_n2"), F.col("length").alias("l2"))
+    s1 = sets_at(one, anc1, stabs).select("k", "h1", "h2", "n_desc", F.col("length").alias("l1"))
+    s2 = sets_at(two, anc2, stabs).select("k", "h1", "h2", F.col("n_desc").alias("_n2"), F.col("length").alias("l2"))
     n = one.leaves.agg(F.count("*").alias("_n"))
-    m = s1.join(s2, ["k", "desc"], "full").crossJoin(F.broadcast(n)).withColumn("_c", F.coalesce("n_desc", "_n2"))
+    m = s1.join(s2, ["k", "h1", "h2"], "full").crossJoin(F.broadcast(n)).withColumn("_c", F.coalesce("n_desc", "_n2"))
     mac = F.least(F.col("_c"), F.col("_n") - F.col("_c"))
     m = m.where((mac >= min_mac) & (mac < (F.lit(max_mac) if max_mac else F.col("_n"))))
     both = F.col("l1").isNotNull() & F.col("l2").isNotNull()

@@ -80,14 +80,14 @@ def local_volume(spark, d):
 @query(f"{o.with_(CUSTOMER, o.pieces(C))} SELECT r.n AS n_desc, coalesce(sum((hp - hc)*(rgt - lft)), 0.0) AS volume FROM range(0, (SELECT count(*) + 1 FROM leafsc)) r(n) LEFT JOIN piecesc p ON p.n_desc = r.n GROUP BY r.n")
 def afs_volume(spark, d):
     g = customers(spark, d)
-    return statistics.frequency_spectrum(g, closure.ancestry(g))
+    return statistics.frequency_spectrum(g)
 
 
 @query(f"{o.with_(CUSTOMER, o.pieces(C))}, asked AS (SELECT x + 0.5 AS x, h FROM range(0, 100) r(x), (VALUES (0.0), (5.0), (15.0), (29.5), (31.0), (39.0), (40.0), (45.0)) v(h)) SELECT x::DOUBLE AS x, h::DOUBLE AS h, CASE WHEN n = 0 THEN 1 ELSE n END::BIGINT AS n FROM (SELECT a.x, a.h, count(p.child) AS n FROM asked a LEFT JOIN piecesc p ON p.lft <= a.x AND a.x < p.rgt AND p.hc <= a.h AND a.h < p.hp GROUP BY ALL)")
 def num_lineages(spark, d):
     g = customers(spark, d)
     asked = spark.createDataFrame([(x + 0.5, h) for x in range(100) for h in (0.0, 5.0, 15.0, 29.5, 31.0, 39.0, 40.0, 45.0)], "x double, h double")
-    return statistics.num_lineages(g, closure.clades(closure.ancestry(g)), asked)
+    return statistics.num_lineages(g, closure.clade_sums(g), asked)
 
 
 # ---- accessors and lookups -----------------------------------------------------------
@@ -194,13 +194,13 @@ def node_splits(spark, d):
 
 @query(f"{o.with_(CUSTOMER, o.clades(C))} SELECT * FROM cladesc")
 def clades(spark, d):
-    return closure.clades(closure.ancestry(customers(spark, d)))
+    return closure.clade_sums(customers(spark, d))
 
 
 @query(f"{o.with_(CUSTOMER, o.pieces(C))} SELECT p.parent, p.child, c.lft, c.rgt, p.n_desc, (p.hp - p.hc)*(c.rgt - c.lft) AS volume FROM piecesc p JOIN cladesc c ON c.node = p.parent AND p.lft <= c.lft AND c.rgt <= p.rgt")
 def branches(spark, d):
     g = customers(spark, d)
-    b = closure.branches(g, closure.clades(closure.ancestry(g)))
+    b = closure.branches(g, closure.clade_sums(g))
     return b.select("parent", "child", "lft", "rgt", "n_desc", closure.volume().alias("volume"))
 
 
@@ -249,13 +249,13 @@ def mutations_matrix(spark, d):
 @query(f"{o.with_(CUSTOMER, o.carriers(C))} SELECT position, count(*) AS allele_count FROM carrc GROUP BY position")
 def allele_counts(spark, d):
     g = customers(spark, d)
-    return access.allele_counts(g, closure.ancestry(g))
+    return access.allele_counts(g)
 
 
 @query(f"{o.with_(CUSTOMER, o.carriers(C))}, af AS (SELECT position, count(*)/(SELECT count(*) FROM leafsc) AS f FROM carrc GROUP BY position) SELECT m.mut_id, m.position FROM mutsc m JOIN af USING (position) WHERE f BETWEEN 0.01 AND 0.2 OR 1 - f BETWEEN 0.01 AND 0.2")
 def keep_within_maf(spark, d):
     g = customers(spark, d)
-    return access.keep_within_maf(g, closure.ancestry(g), 0.01, 0.2).mutations.select("mut_id", "position")
+    return access.keep_within_maf(g, None, 0.01, 0.2).mutations.select("mut_id", "position")
 
 
 # ---- pairs and comparison -----------------------------------------------------------------
@@ -263,8 +263,7 @@ def keep_within_maf(spark, d):
 @query(f"{o.with_(SUPPLIER, o.pairs(S))} SELECT i, j, node, height FROM pairss WHERE lft <= 50 AND 50 < rgt")
 def mrca_pair(spark, d):
     g = suppliers(spark, d)
-    p = closure.pairs(closure.ancestry(g), g.nodes)
-    return p.where("lft <= 50 and 50 < rgt").select("i", "j", "node", "height")
+    return statistics.pairs_at_position(g, closure.ancestry(g), 50.0)
 
 
 @query(f"{o.with_(SUPPLIER)}, want AS (SELECT leaf % 25 AS query, leaf FROM leafss), atx AS (SELECT leaf, node FROM ancs WHERE lft <= 50 AND 50 < rgt), hit AS (SELECT query, node, count(*) AS c FROM want JOIN atx USING (leaf) GROUP BY ALL), k AS (SELECT query, count(*) AS k FROM want GROUP BY query) SELECT h.query, arg_min(h.node, n.height) AS node FROM hit h JOIN k ON k.query = h.query AND k.k = h.c JOIN nodess n ON n.node_id = h.node GROUP BY h.query")
@@ -375,7 +374,8 @@ def rf_total_variation(spark, d):
 def stab_all_bitsets(spark, d):
     g = suppliers(spark, d)
     at = spark.createDataFrame([(1, 50.0)], "k long, x double")
-    return statistics.sets_at(g, closure.ancestry(g), at).select("n_desc", "length", F.col("desc").alias("leaves"))
+    anc = closure.ancestry(g)
+    return closure.with_members(statistics.sets_at(g, anc, at), anc).select("n_desc", "length", F.col("desc").alias("leaves"))
 
 
 @query()
@@ -561,13 +561,13 @@ _DOSE = "dose AS (SELECT position, leaf // 2 AS sample, count(*) AS d FROM carrs
 @query(f"{o.with_(SUPPLIER, o.carriers(S), _DOSE)} SELECT k::INT AS k, position, round(sum(d*value), 6) AS value FROM dose JOIN op USING (sample) GROUP BY ALL")
 def matmul_mutations(spark, d):
     g = suppliers(spark, d)
-    return relatedness.multiply(g, closure.ancestry(g), _samples(spark, d), "mutations", diploid=True).select("k", "position", six("value").alias("value"))
+    return relatedness.multiply(g, None, _samples(spark, d), "mutations", diploid=True).select("k", "position", six("value").alias("value"))
 
 
 @query(f"{o.with_(SUPPLIER, o.carriers(S), _DOSE)} SELECT o.k::INT AS k, a.position, round(CASE WHEN a.p*(1 - a.p) > 0 THEN (2*a.p*(1 - a.p))**-0.5 ELSE 0.0 END*sum((coalesce(x.d, 0) - 2*a.p)*o.value), 6) AS value FROM af a CROSS JOIN op o LEFT JOIN dose x ON x.position = a.position AND x.sample = o.sample GROUP BY o.k, a.position, a.p")
 def matmul_mutations_standard(spark, d):
     g = suppliers(spark, d)
-    r = relatedness.multiply(g, closure.ancestry(g), _samples(spark, d), "mutations", standardise=True, alpha=-1.0, diploid=True)
+    r = relatedness.multiply(g, None, _samples(spark, d), "mutations", standardise=True, alpha=-1.0, diploid=True)
     return r.select("k", "position", six("value").alias("value"))
 
 
@@ -708,7 +708,7 @@ def bitset_runs(spark, d):
 @query(f"{o.with_(SUPPLIER, o.pieces(S))} SELECT p.parent, p.child, c.lft, c.rgt, (c.lft + c.rgt)/2 AS position, p.n_desc, round(p.n_desc/(SELECT count(*) FROM leafss), 9) AS af FROM piecess p JOIN cladess c ON c.node = p.parent AND p.lft <= c.lft AND c.rgt <= p.rgt")
 def branch_export(spark, d):
     g = suppliers(spark, d)
-    return export.branch_rows(g, closure.ancestry(g)).select("parent", "child", "lft", "rgt", "position", "n_desc", F.round("af", 9).alias("af"))
+    return export.branch_rows(g).select("parent", "child", "lft", "rgt", "position", "n_desc", F.round("af", 9).alias("af"))
 
 
 @query(f"{o.with_(SUPPLIER, o.carriers(S))}, k AS (SELECT mut_id, count(*) AS k FROM carrs GROUP BY mut_id) SELECT m.mut_id, m.position, '1 SNP_' || m.mut_id || ' ' || trunc(m.position)::INT || ' 0 1 ' || string_agg(CASE WHEN c.leaf IS NULL THEN '0' ELSE '1' END, ' ' ORDER BY l.leaf) AS line FROM mutss m JOIN k USING (mut_id) CROSS JOIN leafss l LEFT JOIN carrs c ON c.mut_id = m.mut_id AND c.leaf = l.leaf WHERE k.k < (SELECT count(*) FROM leafss) GROUP BY m.mut_id, m.position")
