@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..model import Genealogy
 from ..storage import materialize
-from .intervals import clip, islands, overlap, stab_join, subtract, sweep
+from .intervals import as_of, clip, islands, overlap, subtract, sweep
 
 #: Parts of a node's leaves on each side of a pair join.
 BLOCKS = 4
@@ -81,9 +81,11 @@ def clade_sums(g: Genealogy, values: DataFrame | None = None, region: tuple[floa
     rank, top = ranks(g, edges)
     rank = rank.select(F.col("node").alias("_rn"), "rank")
     up = edges.select(F.col("child").alias("_c"), F.col("parent").alias("_p"), F.col("lft").alias("_l"), F.col("rgt").alias("_r"))
+    # an edge knows the rank of its parent, so a clade meets its edges in one join
+    up = materialize(up.join(rank, F.col("_p") == F.col("_rn")).drop("_rn"))
     columns = ["node", "lft", "rgt", "n_desc", *names]
     given = base.select(F.col("leaf").alias("node"), F.lit(float(start)).alias("lft"), F.lit(float(end)).alias("rgt"), F.lit(1).cast("long").alias("n_desc"), *names)
-    given = given.join(rank, F.col("node") == F.col("_rn")).select(*columns, "rank")
+    given = materialize(given.join(rank, F.col("node") == F.col("_rn")).select(*columns, "rank"))
     waiting, done = [given], []
     for level in range(top + 1):
         here = reduce(DataFrame.unionByName, [w.where(F.col("rank") == level) for w in waiting])
@@ -91,8 +93,7 @@ def clade_sums(g: Genealogy, values: DataFrame | None = None, region: tuple[floa
         done.append(clade)
         if level < top:
             more = clade.join(up, (F.col("node") == F.col("_c")) & overlap("lft", "rgt", "_l", "_r"))
-            more = more.select(F.col("_p").alias("node"), F.greatest("lft", "_l").alias("lft"), F.least("rgt", "_r").alias("rgt"), *columns[3:])
-            waiting.append(materialize(more.join(rank, F.col("node") == F.col("_rn")).select(*columns, "rank").sortWithinPartitions("rank")))
+            waiting.append(materialize(more.select(F.col("_p").alias("node"), F.greatest("lft", "_l").alias("lft"), F.least("rgt", "_r").alias("rgt"), *columns[3:], "rank").sortWithinPartitions("rank")))
     return reduce(DataFrame.union, done)
 
 
@@ -150,10 +151,8 @@ def volume() -> Column:
 def carrier_counts(g: Genealogy, clade: DataFrame) -> DataFrame:
     """``mut_id, position`` with the columns of the clade below each mutation: its number
     of carriers and sums over them, without a row per carrier."""
-    m = g.mutations.select("mut_id", "position", F.col("child").alias("_m"))
-    c = clade.withColumnRenamed("node", "_cn")
-    width = max(g.span / 1024, 1e-9)  # a node may have very many intervals
-    return stab_join(m.withColumnRenamed("_m", "_cn"), c, "position", width, ["_cn"]).drop("_cn", "lft", "rgt")
+    m = g.mutations.select("mut_id", "position", F.col("child").alias("node"))
+    return as_of(m, clade, "node", "position").drop("node")
 
 
 def carriers(g: Genealogy, anc: DataFrame) -> DataFrame:

@@ -71,3 +71,17 @@ def overlap_join(a: DataFrame, b: DataFrame, width: float, a_ends: tuple[str, st
     x, y = binned(a, *a_ends, "_first"), binned(b, *b_ends, "_first2")
     met = x.join(y, ["_bin", *keys]).where((F.col("_bin") == F.greatest("_first", "_first2")) & overlap(*a_ends, *b_ends))
     return met.drop("_bin", "_first", "_first2")
+
+
+def as_of(points: DataFrame, steps: DataFrame, key: str, x: str, lft: str = "lft", rgt: str = "rgt") -> DataFrame:
+    """Points with the columns of the step of their key that holds them; a key's steps do
+    not overlap. One sorted pass over points and steps together, no join, so neither many
+    steps nor many points of a key multiply."""
+    values = [c for c in steps.columns if c not in (key, lft, rgt)]
+    own = [c for c in points.columns if c != key]
+    held = F.struct(F.col(rgt).alias("_end"), *values)
+    s = steps.select(key, F.col(lft).alias("_x"), F.lit(0).alias("_point"), held.alias("_step"), *[F.lit(None).cast(points.schema[c].dataType).alias(c) for c in own])
+    p = points.select(key, F.col(x).alias("_x"), F.lit(1).alias("_point"), F.lit(None).cast(s.schema["_step"].dataType).alias("_step"), *own)
+    w = Window.partitionBy(key).orderBy("_x", "_point").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = s.union(p).withColumn("_step", F.last("_step", ignorenulls=True).over(w)).where((F.col("_point") == 1) & (F.col("_x") < F.col("_step._end")))
+    return found.select(key, *own, *[F.col("_step")[c].alias(c) for c in values])
