@@ -104,6 +104,30 @@ def index_closest(g: Genealogy, points: DataFrame, x: str = "x") -> DataFrame:
     return _below(g, points, x).select(*points.columns, F.when(to_right, F.col("n_less")).otherwise(F.col("n_less") - 1).alias("idx"))
 
 
+def next_mutation(g: Genealogy, points: DataFrame, x: str = "x") -> DataFrame:
+    """``position`` of the first mutation at or after each point; null after the last."""
+    return _below(g, points, x).select(*points.columns, F.col("_right").alias("position"))
+
+
+def ordered_mutations(g: Genealogy) -> DataFrame:
+    """``idx``, the index in order of position (then id), with each mutation."""
+    return numbered(g.mutations, ["position", "mut_id"], "idx")
+
+
+def leaves_at(anc: DataFrame, asked: DataFrame, node: str = "node", x: str = "x") -> DataFrame:
+    """Each (node, x) asked for with the leaves below it there."""
+    a = anc.select(F.col("node").alias("_n"), "leaf", "lft", "rgt")
+    return asked.join(a, (F.col(node) == F.col("_n")) & (F.col("lft") <= F.col(x)) & (F.col(x) < F.col("rgt"))).select(*asked.columns, "leaf")
+
+
+def carriers_between(g: Genealogy, anc: DataFrame, min_time: float = 0.0, max_time: float = float("inf"), first: int = 0, last: int | None = None) -> DataFrame:
+    """``mut_id, position, leaf`` of the mutations with an index in [first, last) and a known
+    height in [min_time, max_time); those of unknown height stay."""
+    m = ordered_mutations(g).where((F.col("idx") >= first) & (F.lit(True) if last is None else F.col("idx") < last))
+    m = m.where(F.col("height").isNull() | ((F.col("height") >= min_time) & (F.col("height") < max_time))).drop("idx")
+    return carriers(g.with_(mutations=m), anc)
+
+
 def mutations_between(g: Genealogy, start: float, end: float, include_left: bool = True, include_right: bool = False) -> DataFrame:
     if start > end:
         raise ValueError("the range begins after its end")
@@ -149,6 +173,14 @@ def lowest_mutated_edge(g: Genealogy, anc: DataFrame, asked: DataFrame, leaf: st
     return hit.groupBy("_q", "_x").agg(F.min_by("node", "level").alias("child")).select(F.col("_q").alias("leaf"), F.col("_x").alias("x"), "child")
 
 
+def lowest_mutated_edge_by_site(g: Genealogy, anc: DataFrame, asked: DataFrame, leaf: str = "leaf", site: str = "site", near: float = NEAR) -> DataFrame:
+    """``leaf, site, child``: the same at the position of a site, by its index."""
+    s = sites(g).select(F.col("site").alias("_site"), F.col("position").alias("_at"))
+    q = asked.select(F.col(leaf).alias("leaf"), F.col(site).alias("site")).join(s, F.col("site") == F.col("_site")).select("leaf", "site", F.col("_at").alias("x"))
+    found = lowest_mutated_edge(g, anc, q.select("leaf", "x").distinct(), near=near)
+    return q.join(found, ["leaf", "x"]).select("leaf", "site", "child")
+
+
 def allele_counts(g: Genealogy, anc: DataFrame | None = None) -> DataFrame:
     """Per site the carriers of its mutations, summed: from the counts of the clades
     below them, which come from an ancestry at hand or else from the bottom up."""

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import chi2_pvalue
+from ..functions.scalars import chi2_pvalue, harrell_davis, harrell_davis_interval
 from ..model import Genealogy
-from .closure import branch_pieces, branches, clades, volume
+from .closure import branch_pieces, branches, carrier_counts, carriers, clades, volume
 from .intervals import stab_join, sweep
 from .ordering import followed, preceded, prefixes
 
@@ -70,7 +70,7 @@ def associate_mutations(g: Genealogy, anc: DataFrame, phenotypes: DataFrame, rat
     draw = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "child", "parent", "lft", "rgt"), 11) / float(1 << 53)  # of the branch: the same in any retry
     star = -F.log1p(-draw) / F.col("volume")
     r = _tested(b.withColumn("mu_star", star).where(F.col("mu_star") < max(rates)), phenotypes, min_maf, max_maf, calibration, careful)
-    return r.select("child", "parent", "lft", "rgt", "mac", "chi2", "mu_star", "height_child", "height_parent", "volume")
+    return r.select("child", "parent", "lft", "rgt", "mac", (F.col("mac") / (2 * F.col("n"))).alias("maf"), "chi2", (F.col("one_sum") > 0).alias("beta_positive"), "mu_star", "height_child", "height_parent", "volume")
 
 
 def max_per_rate(tested: DataFrame, rates: list[float]) -> DataFrame:
@@ -134,3 +134,63 @@ def null_model(anc: DataFrame, phenotypes: DataFrame) -> DataFrame:
     best = r.where(mac > 0).groupBy("seed").agg(F.max(F.coalesce(F.try_divide(F.col("one_sum") * F.col("one_sum"), norm), F.lit(0.0))).alias("max_chi2"))
     return best.withColumn("min_p", chi2_pvalue("max_chi2"))
 
+
+
+def residual(phenotypes: DataFrame, predictor: DataFrame) -> DataFrame:
+    """``individual, residual``: centred phenotype less centred predictor (``individual,
+    blup``), over the individuals that have both."""
+    both = phenotypes.join(predictor.select(F.col("individual").alias("_i"), "blup"), F.col("individual") == F.col("_i")).where("y is not null and blup is not null")
+    m = both.agg(F.avg("y").alias("_my"), F.avg("blup").alias("_mb"))
+    return both.crossJoin(F.broadcast(m)).select("individual", (F.col("y") - F.col("_my") - (F.col("blup") - F.col("_mb"))).alias("residual"))
+
+
+def predictor_of_scores(scores: DataFrame, n_sites: int) -> DataFrame:
+    """``individual, blup`` from average scores (``individual, average``) over ``n_sites`` sites."""
+    return scores.select("individual", (-2.0 * n_sites * F.col("average")).alias("blup"))
+
+
+def inverted_calibration(lines: DataFrame) -> float:
+    """The factor to divide by, from the lines (``value``) of a mixed model's log: 1 where
+    just one tells of calibration, else one over the last number but one of the last line but
+    one that does."""
+    told = [r["value"].strip() for r in lines.where(F.col("value").contains("alibration")).select("value").collect()]
+    if not told:
+        raise ValueError("the log names no calibration factor")
+    return 1.0 if len(told) == 1 else 1.0 / float(told[-2].split()[-2])
+
+
+def tests_from_frequency(tested: DataFrame, min_mafs: list[float]) -> DataFrame:
+    """``min_maf, tests, max_chi2, min_p``: for each bound the tests at or above it, all in
+    one pass."""
+    r = tested.withColumn("min_maf", F.explode(F.array(*[F.lit(float(x)) for x in min_mafs]))).where("maf >= min_maf")
+    r = r.groupBy("min_maf").agg(F.count("*").alias("tests"), F.max("chi2").alias("max_chi2"))
+    every = tested.sparkSession.createDataFrame([(float(x),) for x in min_mafs], "min_maf double")
+    r = every.join(r, "min_maf", "left").select("min_maf", F.coalesce("tests", F.lit(0)).alias("tests"), "max_chi2")
+    return r.withColumn("min_p", F.coalesce(chi2_pvalue("max_chi2"), F.lit(1.0)))
+
+
+def null_scaling(results: DataFrame, null_id: str) -> DataFrame:
+    """``min_maf, scaling, min_p, chunks`` over the results of all parts of a genome
+    (``arg_id, min_maf, tests, min_p``): the share of the tests that fall in ``null_id``."""
+    own = F.sum(F.when(F.col("arg_id") == null_id, F.col("tests")).otherwise(0))
+    return results.groupBy("min_maf").agg(F.try_divide(own.cast("double"), F.sum("tests").cast("double")).alias("scaling"), F.min("min_p").alias("min_p"), F.count("*").alias("chunks"))
+
+
+def genome_threshold(null: DataFrame, scaling: float, share: float = 0.05) -> DataFrame:
+    """``threshold, lower, upper, replicates`` of the least p-values of null traits (``min_p``):
+    the Harrell-Davis quantile and its interval, times the share of the genome."""
+    p = [r["min_p"] for r in null.select("min_p").collect()]  # a row per replicate
+    q, (low, high) = harrell_davis(p, share), harrell_davis_interval(p, share)
+    return null.sparkSession.createDataFrame([(q * scaling, low * scaling, high * scaling, len(p))], "threshold double, lower double, upper double, replicates long")
+
+
+def example_trait(g: Genealogy, anc: DataFrame, count: int = 20, noise: float = 1.0, seed: int = 1) -> DataFrame:
+    """``individual, dosage, y``: a noisy trait of the first mutation with ``count`` carriers."""
+    per = carrier_counts(g, clades(anc)).where(F.col("n_desc") == count)
+    chosen = per.groupBy().agg(F.min(F.struct("position", "mut_id"))["mut_id"].alias("_chosen"))
+    m = g.mutations.join(F.broadcast(chosen), F.col("mut_id") == F.col("_chosen"), "left_semi")
+    dose = carriers(g.with_(mutations=m), anc).groupBy(F.expr("leaf div 2").alias("_i")).agg(F.count("*").alias("dosage"))
+    who = g.leaves.select(F.expr("leaf div 2").alias("individual")).distinct()
+    draw = lambda k: (F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.lit(k), "individual"), 11) + 1) / float((1 << 53) + 1)
+    normal = F.sqrt(-2 * F.log(draw(1))) * F.cos(2 * F.pi() * draw(2))
+    return who.join(dose, F.col("individual") == F.col("_i"), "left").select("individual", F.coalesce("dosage", F.lit(0)).alias("dosage"), (F.coalesce("dosage", F.lit(0)) + noise * normal).alias("y"))

@@ -36,16 +36,29 @@ def keep_covered_mutations(g: Genealogy) -> Genealogy:
 
 def add_mutations(g: Genealogy, mutations: DataFrame) -> Genealogy:
     """``mut_id, position, child`` and optionally height and site_id; the parent is the
-    edge's, found as of the position. A mutation without an edge is an error."""
+    edge's, found as of the position. A mutation without an edge, or with a height that is
+    not on it, is an error."""
     for name, kind in (("height", "double"), ("site_id", "long")):
         if name not in mutations.columns:
             mutations = mutations.withColumn(name, F.lit(None).cast(kind))
     e = g.edges.select(F.col("child").alias("_c"), "parent", "lft", "rgt")
     m = mutations.drop("parent").join(e, (F.col("child") == F.col("_c")) & (F.col("lft") <= F.col("position")) & (F.col("position") < F.col("rgt")), "left")
-    parent = F.when(F.col("parent").isNull(), F.raise_error(F.lit("no edge at a mutation's position")).cast("long")).otherwise(F.col("parent"))
+    h = g.nodes.select(F.col("node_id").alias("_hn"), F.col("height").alias("_hh"))
+    m = m.join(h, F.col("child") == F.col("_hn"), "left").withColumnRenamed("_hh", "_low").drop("_hn")
+    m = m.join(h, F.col("parent") == F.col("_hn"), "left")
+    off = (F.col("height") < F.col("_low")) | (F.col("height") > F.col("_hh"))
+    wrong = F.when(F.col("parent").isNull(), "no edge at a mutation's position").when(off, "a mutation's height is not on its edge")
+    parent = F.when(wrong.isNotNull(), F.raise_error(wrong).cast("long")).otherwise(F.col("parent"))
     return g.with_(mutations=g.mutations.unionByName(m.select("mut_id", "position", "height", "site_id", "child", parent.alias("parent"))))
 
 
+def mutations_with_edges(g: Genealogy) -> DataFrame:
+    """``mut_id, position, child, parent, lft, rgt``: each mutation with its edge."""
+    e = g.edges.select(F.col("child").alias("_c"), F.col("parent").alias("_p"), "lft", "rgt")
+    at = (F.col("child") == F.col("_c")) & (F.col("parent") == F.col("_p")) & (F.col("lft") <= F.col("position")) & (F.col("position") < F.col("rgt"))
+    return g.mutations.join(e, at).select("mut_id", "position", "child", "parent", "lft", "rgt")
+
+
 def clear_mutations(g: Genealogy) -> Genealogy:
     return g.with_(mutations=g.mutations.limit(0))
 
@@ -147,4 +160,24 @@ def threading_of(anc: DataFrame, nodes: DataFrame, sample: int, others: DataFram
     cuts = p.select(F.col("lft").alias("x")).union(p.select(F.col("rgt").alias("x"))).distinct()
     seg = followed(cuts, "x", "b").where("b is not null").withColumnRenamed("x", "a")
     best = stab_join(seg, p, "a", max((ends["b"] - ends["a"]) / 256, 1e-9)).groupBy("a", "b").agg(F.min(F.struct("height", "cousin")).alias("m"))
-    return islands(best.select(F.col("a").alias("lft"), F.col("b").alias("rgt"), "m.cousin", "m.height"), ["cousin", "height"])
+    return islands(best.select(F.col("a").alias("lft"), F.col("b").alias("rgt"), "m.cousin", "m.height"), ["cousin", "height"]).select("lft", "rgt", "cousin", "height")
+
+
+def rebuild_by_threading(g: Genealogy, anc: DataFrame) -> Genealogy:
+    """The genealogy again, made by threading its leaves one after another in order of id,
+    each to its nearest relative among those before. For few leaves: a pass per leaf, whose
+    sections (as many as its nearest relative changes) are read by the driver."""
+    order = [r["leaf"] for r in g.leaves.orderBy("leaf").collect()]
+    made = g.with_(nodes=g.nodes.limit(0), edges=g.edges.limit(0), mutations=g.mutations.limit(0))
+    names = g.nodes.where("is_sample").select("node_id", "name", "height")
+    names = {r["node_id"]: r for r in names.collect()}
+    fresh = max(order, default=0) + 1
+    for k, sample in enumerate(order):
+        made = add_sample(made, sample, names[sample]["name"], names[sample]["height"])
+        if k == 0:
+            continue
+        earlier = g.leaves.where(F.col("leaf").isin(order[:k]))
+        rows = threading_of(anc, g.nodes, sample, earlier).orderBy("lft").collect()
+        made = thread_sample(made, sample, [r["lft"] for r in rows], [r["cousin"] for r in rows], [r["height"] for r in rows], fresh)
+        fresh += len(rows)
+    return made

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import struct
+from typing import BinaryIO
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import chi2_pvalue_text
@@ -151,10 +155,6 @@ def lower_triangle(m: DataFrame, n_sites: int) -> DataFrame:
 
 def triangle_bytes(m: DataFrame) -> DataFrame:
     """Binary form of the same, a row per i: 4-byte floats in order of j."""
-    import struct
-
-    import pandas as pd
-
     @F.pandas_udf("binary")
     def packed(rows: pd.Series) -> pd.Series:
         return rows.map(lambda v: struct.pack(f"<{len(v)}f", *v))
@@ -163,12 +163,54 @@ def triangle_bytes(m: DataFrame) -> DataFrame:
     return t.select("i", packed(F.col("r")["value"]).alias("data"))
 
 
-def association_table(rows: DataFrame, chromosome: int, prefix: str = "") -> DataFrame:
-    """Columns of an association file from tested clades."""
+def matrix_ids(m: DataFrame) -> DataFrame:
+    """Lines of the id file that goes with a matrix: the row number, from 1, twice."""
+    return m.select("i").distinct().orderBy("i").select(F.format_string("%d\t%d", F.col("i") + 1, F.col("i") + 1).alias("value"))
+
+
+def write_matrix(m: DataFrame, n_sites: int, prefix: str, binary: bool = False) -> None:
+    """A relationship matrix as ``prefix.grm.id`` with ``prefix.grm.gz``, or with
+    ``prefix.grm.bin`` and ``prefix.grm.N.bin`` (rows i of 4-byte floats in Parquet, each a file's
+    next bytes, since Spark writes folders; ``join_matrix`` puts them together)."""
+    write_lines(matrix_ids(m), f"{prefix}.grm.id", compressed=False)
+    if not binary:
+        write_lines(lower_triangle(m, n_sites), f"{prefix}.grm.gz")
+        return
+    triangle_bytes(m).write.mode("overwrite").parquet(f"{prefix}.grm.bin")
+    triangle_bytes(m.withColumn("value", F.lit(float(n_sites)))).write.mode("overwrite").parquet(f"{prefix}.grm.N.bin")
+
+
+def join_matrix(spark: SparkSession, path: str, out: BinaryIO) -> None:
+    """Write a binary matrix's rows, one after another, to an open file of the driver."""
+    for row in spark.read.parquet(path).orderBy("i").toLocalIterator():
+        out.write(bytes(row["data"]))
+
+
+def node_lines(g: Genealogy) -> DataFrame:
+    """A line per node in order of id, as a text dump."""
+    n = g.nodes.orderBy("node_id")
+    return n.select(F.format_string("node %d height %s on [%s, %s)%s", "node_id", F.col("height").cast("string"), F.col("start").cast("string"), F.col("stop").cast("string"), F.when(F.col("is_sample"), " sample").otherwise("")).alias("value"))
+
+
+def edge_lines(g: Genealogy) -> DataFrame:
+    """A line per edge in order of child and place."""
+    e = g.edges.orderBy("child", "lft")
+    return e.select(F.format_string("edge %d to %d on [%s, %s)", "child", "parent", F.col("lft").cast("string"), F.col("rgt").cast("string")).alias("value"))
+
+
+def mutation_association_table(rows: DataFrame, chromosome: int, prefix: str = "") -> DataFrame:
+    """The same columns from tested branches, with the drawn rate, heights and volume."""
+    more = ("mu_star", "height_child", "height_parent", "volume")
+    t = association_table(rows.withColumnRenamed("child", "node"), chromosome, prefix, more)
+    return t.withColumnsRenamed({"mu_star": "MU_STAR", "height_child": "HEIGHT_CHILD", "height_parent": "HEIGHT_PARENT", "volume": "BRANCH_VOL"})
+
+
+def association_table(rows: DataFrame, chromosome: int, prefix: str = "", more: tuple[str, ...] = ()) -> DataFrame:
+    """Columns of an association file from tested clades, and those named in ``more``."""
     place = lambda c: F.col(c).cast("int")  # noqa: E731  truncates towards zero
     return rows.select(
         F.concat(F.lit(prefix), F.col("node").cast("string"), F.lit("_"), place("lft").cast("string")).alias("SNP"), F.lit(chromosome).alias("CHR"),
         ((F.col("lft") + F.col("rgt")) / 2).cast("int").alias("BP"), place("lft").alias("START_BP"), place("rgt").alias("END_BP"),
-        F.col("mac").alias("MAC"), F.col("maf").alias("MAF"), F.col("chi2").alias("CHISQ"), chi2_pvalue_text("chi2").alias("P"), F.when(F.col("beta_positive"), 1).otherwise(-1).alias("SIGN"),
+        F.col("mac").alias("MAC"), F.col("maf").alias("MAF"), F.col("chi2").alias("CHISQ"), chi2_pvalue_text("chi2").alias("P"), F.when(F.col("beta_positive"), 1).otherwise(-1).alias("SIGN"), *more,
     )
 

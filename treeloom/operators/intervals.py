@@ -85,3 +85,8 @@ def as_of(points: DataFrame, steps: DataFrame, key: str, x: str, lft: str = "lft
     w = Window.partitionBy(key).orderBy("_x", "_point").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     found = s.union(p).withColumn("_step", F.last("_step", ignorenulls=True).over(w)).where((F.col("_point") == 1) & (F.col("_x") < F.col("_step._end")))
     return found.select(key, *own, *[F.col("_step")[c].alias(c) for c in values])
+
+
+def contained(df: DataFrame, a: float, b: float, lft: str = "lft", rgt: str = "rgt") -> DataFrame:
+    """Rows that lie within [a, b]."""
+    return df.where((F.col(lft) >= a) & (F.col(rgt) <= b))

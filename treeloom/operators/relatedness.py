@@ -13,6 +13,7 @@ from ..model import Genealogy
 from .access import allele_counts
 from .closure import at_node, branch_pieces, carrier_counts, carriers, clade_sums, pairs, paths
 from .intervals import clip
+from .simulation import generate_mutations
 
 #: Rows of a matrix that are summed at once.
 COLUMNS = 32
@@ -120,6 +121,12 @@ def mutation_relationship(g: Genealogy, anc: DataFrame, alpha: float = -1.0, dip
     return out.select("i", "j", (F.coalesce("_dot", z) - F.coalesce("_row", z) - F.coalesce("_col", z) + F.coalesce("_mm", z)).alias("value"))
 
 
+def monte_carlo_relationship(g: Genealogy, anc: DataFrame, rate: float, seed: int = 1234, alpha: float = -1.0, diploid: bool = True, centred: bool = True, min_maf: float = 0.0, max_maf: float = 0.5) -> DataFrame:
+    """The relationship matrix of mutations drawn on the genealogy at ``rate``."""
+    m = mutation_relationship(generate_mutations(g, rate, seed), anc, alpha, diploid, min_maf, max_maf)
+    return gower_centre(row_column_centre(m)) if centred else m
+
+
 def site_frequencies(g: Genealogy, anc: DataFrame | None = None) -> DataFrame:
     """``position, af, n``: allele count per site and number of leaves."""
     n = g.leaves.agg(F.count("*").cast("double").alias("n"))

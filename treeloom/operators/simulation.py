@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..model import MUTATION_SCHEMA, Genealogy
+from .closure import carriers
 from .intervals import stab_join
 from .statistics import edge_heights
 
@@ -46,6 +47,13 @@ def generate_mutations(g: Genealogy, rate: float, seed: int = 1) -> Genealogy:
     return g.with_(mutations=m.select([f.name for f in MUTATION_SCHEMA]))
 
 
+def mutation_map(g: Genealogy, anc: DataFrame, rate: float, seed: int = 1) -> DataFrame:
+    """``position, leaves``: places of drawn mutations with the sorted leaves that carry
+    them; of several at one place, all."""
+    c = carriers(generate_mutations(g, rate, seed), anc)
+    return c.groupBy("position").agg(F.sort_array(F.collect_set("leaf")).alias("leaves"))
+
+
 def generate_exactly(g: Genealogy, count: int, seed: int = 1) -> Genealogy:
     """Replaces the mutations by exactly ``count``, edges chosen by volume: cumulative
     volumes in two levels (per child, then inside it) stabbed by uniform numbers."""

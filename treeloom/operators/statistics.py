@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..model import Genealogy
@@ -61,6 +61,15 @@ def set_volumes_by_tree(g: Genealogy, anc: DataFrame, breakpoints: DataFrame) ->
     return rows.groupBy("desc").agg(F.sum(F.col("_len") * (F.col("y") - F.col("x"))).alias("volume"))
 
 
+def identical_volumes(g: Genealogy, anc: DataFrame, breakpoints: DataFrame, relative: float = 1e-6, absolute: float = 0.0) -> DataFrame:
+    """``n_sets, n_different, identical``: whether both ways to the volumes of leaf sets agree."""
+    a = set_volumes(g, anc).select("desc", F.col("volume").alias("_a"))
+    m = a.join(set_volumes_by_tree(g, anc, breakpoints).select("desc", F.col("volume").alias("_b")), "desc", "full")
+    near = F.abs(F.col("_a") - F.col("_b")) <= F.greatest(relative * F.greatest(F.abs("_a"), F.abs("_b")), F.lit(absolute))
+    m = m.agg(F.count("*").alias("n_sets"), F.count_if(~F.coalesce(near, F.lit(False))).alias("n_different"))
+    return m.withColumn("identical", F.col("n_different") == 0)
+
+
 def compared(one: DataFrame, two: DataFrame, columns: list[str]) -> DataFrame:
     """Pairs of two genealogies on common intervals; the second's columns end in 2."""
     t = two.select(F.col("i").alias("_i"), F.col("j").alias("_j"), F.col("lft").alias("_l"), F.col("rgt").alias("_r"), *[F.col(c).alias(f"{c}2") for c in columns])
@@ -90,33 +99,48 @@ def at_stabs(rows: DataFrame, stabs: DataFrame, span: float) -> DataFrame:
     return stab_join(stabs, rows, "x", max(span / 64, 1e-9))
 
 
-def pairs_at(g: Genealogy, anc: DataFrame, stabs: DataFrame) -> DataFrame:
+def pairs_at(g: Genealogy, anc: DataFrame, stabs: DataFrame, log2: bool = False) -> DataFrame:
     """``k, i, j, depth, height, n_desc`` of each pair's ancestor in the trees at the stabs.
-    The ancestry is cut to the trees first, so pairs meet by plain equality."""
+    The ancestry is cut to the trees first, so pairs meet by plain equality. With ``log2`` the
+    depth of a node is the sum of log2(children) over the nodes above it."""
     at = stab_join(stabs, anc.select("leaf", "node", "via", "level", "lft", "rgt"), "x", max(g.span / 64, 1e-9)).select("k", "leaf", "node", "via", "level")
     top = at.groupBy("k", "leaf").agg(F.max("level").alias("_top"))
     size = at.groupBy("k", "node").agg(F.count("*").alias("n_desc"))
     facts = size.join(g.nodes.select(F.col("node_id").alias("_id"), "height"), F.col("node") == F.col("_id")).select(F.col("k").alias("_fk"), F.col("node").alias("_fn"), "n_desc", "height")
     up = at.where("level > 0")
-    a = up.join(top, ["k", "leaf"]).select("k", F.col("leaf").alias("i"), "node", F.col("via").alias("_vi"), (F.col("_top") - F.col("level")).cast("long").alias("depth"))
+    if log2:
+        split = up.groupBy("k", "node").agg(F.log2(F.count_distinct("via").cast("double")).alias("_split"))
+        above = Window.partitionBy("k", "leaf").orderBy(F.col("level").desc()).rowsBetween(Window.unboundedPreceding, -1)
+        a = up.join(split, ["k", "node"]).withColumn("depth", F.coalesce(F.sum("_split").over(above), F.lit(0.0)))
+        a = a.select("k", F.col("leaf").alias("i"), "node", F.col("via").alias("_vi"), "depth")
+    else:
+        a = up.join(top, ["k", "leaf"]).select("k", F.col("leaf").alias("i"), "node", F.col("via").alias("_vi"), (F.col("_top") - F.col("level")).cast("long").alias("depth"))
     b = up.select(F.col("k").alias("_k"), F.col("leaf").alias("j"), F.col("node").alias("_n"), F.col("via").alias("_vj"))
     met = a.join(b, (F.col("k") == F.col("_k")) & (F.col("node") == F.col("_n")) & (F.col("i") < F.col("j")) & (F.col("_vi") != F.col("_vj")))
     return met.join(facts, (F.col("k") == F.col("_fk")) & (F.col("node") == F.col("_fn"))).select("k", "i", "j", "depth", "height", "n_desc")
 
 
-def stab_metrics(one: Genealogy, two: Genealogy, anc1: DataFrame, anc2: DataFrame, stabs: DataFrame) -> DataFrame:
+def stab_metrics(one: Genealogy, two: Genealogy, anc1: DataFrame, anc2: DataFrame, stabs: DataFrame, r2: bool = False, log2: bool = False) -> DataFrame:
     """``kc, tmrca_mse, split``: means over the stabs ``k, x`` of the squared differences
-    of depth (summed over pairs), TMRCA and clade size (averaged over pairs)."""
+    of depth (summed over pairs), TMRCA and clade size (averaged over pairs). With ``r2`` the
+    first is the squared correlation of the depths; ``log2``: see ``pairs_at``."""
     columns = ["depth", "height", "n_desc"]
-    other = pairs_at(two, anc2, stabs).select("k", "i", "j", *[F.col(c).alias(f"{c}2") for c in columns])
-    both = pairs_at(one, anc1, stabs).join(other, ["k", "i", "j"])
+    other = pairs_at(two, anc2, stabs, log2).select("k", "i", "j", *[F.col(c).alias(f"{c}2") for c in columns])
+    both = pairs_at(one, anc1, stabs, log2).join(other, ["k", "i", "j"])
     n = one.leaves.agg(F.count("*").alias("_n"))
     k = stabs.agg(F.count("*").alias("_k"))
-    s = both.agg(F.sum(_squares("depth")).alias("_d"), F.sum(_squares("height")).alias("_h"), F.sum(_squares("n_desc")).alias("_s"))
+    fit = F.pow(F.corr(F.col("depth").cast("double"), F.col("depth2").cast("double")), 2) if r2 else F.sum(_squares("depth"))
+    s = both.groupBy("k").agg(fit.alias("_d"), F.sum(_squares("height")).alias("_h"), F.sum(_squares("n_desc")).alias("_s"))
+    s = s.agg(F.sum("_d").alias("_d"), F.sum("_h").alias("_h"), F.sum("_s").alias("_s"))
     n_pairs = F.col("_n") * (F.col("_n") - 1) / 2
     return s.crossJoin(n).crossJoin(k).select((F.col("_d") / F.col("_k")).alias("kc"), (F.col("_h") / n_pairs / F.col("_k")).alias("tmrca_mse"), (F.col("_s") / n_pairs / F.col("_k")).alias("split"))
 
 
+def combined_stab_metrics(one: Genealogy, two: Genealogy, anc1: DataFrame, anc2: DataFrame, stabs: DataFrame) -> DataFrame:
+    """``kc2, tmrca_mse, sv2``: the metrics under the names of their squared forms."""
+    return stab_metrics(one, two, anc1, anc2, stabs).select(F.col("kc").alias("kc2"), "tmrca_mse", F.col("split").alias("sv2"))
+
+
 def averaged_stab_metrics(ones: list, twos: list, stabs: DataFrame) -> DataFrame:
     """Depths and TMRCAs averaged over lists of (genealogy, ancestry) first."""
     def mean(side):

@@ -674,9 +674,8 @@ def null_min_p(spark, d):
 def residual_pheno(spark, d):
     """Centred phenotype minus centred predictor (minus twice an average score)."""
     p = canonical.phenotypes(spark, d).where("y is not null")
-    b = p.withColumn("blup", -2 * (F.col("individual") * 13 % 17).cast("double"))
-    m = b.agg(F.avg("y").alias("my"), F.avg("blup").alias("mb"))
-    return b.crossJoin(F.broadcast(m)).select("individual", six(F.col("y") - F.col("my") - (F.col("blup") - F.col("mb"))).alias("residual"))
+    b = association.predictor_of_scores(p.select("individual", (F.col("individual") * 13 % 17).cast("double").alias("average")), 1)
+    return association.residual(p, b).select("individual", six("residual").alias("residual"))
 
 
 @query(f"{_TEST}, b AS (SELECT CASE WHEN mac/(2*n) < 0.01 THEN 0 WHEN mac/(2*n) < 0.1 THEN 1 ELSE 2 END AS bin, coalesce(os*os/nullif(norm, 0), 0) AS chi2 FROM u) SELECT bin::INT AS bin, count(*) AS n_tests, round(max(chi2), 6) AS max_chi2 FROM b GROUP BY bin")

@@ -82,8 +82,50 @@ def read_parquet(spark: SparkSession, path: str) -> Genealogy:
     return Genealogy(read("nodes", NODE_SCHEMA), read("edges", EDGE_SCHEMA), read("mutations", MUTATION_SCHEMA), h["start"], h["end"], h["offset"], h["chromosome"])
 
 
+def header_only(spark: SparkSession, start: float, end: float, offset: int = 0, chromosome: int = 1) -> Genealogy:
+    """A genealogy with a span and no rows, to which chunks are appended."""
+    if not start < end:
+        raise ValueError("a span ends after it starts")
+    return Genealogy(spark.createDataFrame([], NODE_SCHEMA), spark.createDataFrame([], EDGE_SCHEMA), spark.createDataFrame([], MUTATION_SCHEMA), float(start), float(end), int(offset), int(chromosome))
+
+
+def from_arrays(spark: SparkSession, start: float, end: float, heights: list[float], is_sample: list[bool], edge_ids: list[tuple[int, int]], edge_ranges: list[tuple[float, float]], reserved: int = -1) -> Genealogy:
+    """A genealogy from arrays: samples come first; with ``reserved`` places for samples
+    the ids of the other nodes move up behind them."""
+    n = sum(is_sample)
+    if list(is_sample) != [True] * n + [False] * (len(is_sample) - n):
+        raise ValueError("samples come before other nodes")
+    if len(heights) != len(is_sample) or len(edge_ids) != len(edge_ranges):
+        raise ValueError("arrays of one table have one length")
+    if reserved >= 0 and reserved < n:
+        raise ValueError("fewer places are reserved than there are samples")
+    shift = max(reserved, n) - n
+    place = lambda k: int(k) + (shift if k >= n else 0)
+    nodes = [(place(k), float(h), float(start), float(end), bool(s), None) for k, (h, s) in enumerate(zip(heights, is_sample, strict=True))]
+    edges = [(float(a), float(b), place(p), place(c)) for (c, p), (a, b) in zip(edge_ids, edge_ranges, strict=True)]
+    g = header_only(spark, start, end)
+    return g.with_(nodes=spark.createDataFrame(nodes, NODE_SCHEMA), edges=spark.createDataFrame(edges, EDGE_SCHEMA))
+
+
+def append_nodes(g: Genealogy, nodes: DataFrame) -> Genealogy:
+    """A further chunk of nodes, whose ids go on where those before end."""
+    have, more = g.nodes.count(), nodes.agg(F.count("*").alias("n"), F.count_distinct("node_id").alias("d"), F.min("node_id").alias("a"), F.max("node_id").alias("b")).first()
+    if more["n"] and (more["a"] != have or more["b"] != have + more["n"] - 1 or more["d"] != more["n"]):
+        raise ValueError("ids of a chunk of nodes go on where those before end")
+    return g.with_(nodes=g.nodes.unionByName(nodes))
+
+
+def append_edges(g: Genealogy, edges: DataFrame) -> Genealogy:
+    """A further chunk of edges between nodes that are there."""
+    known = g.nodes.select(F.col("node_id").alias("_n"))
+    for end in ("child", "parent"):
+        if not edges.join(known, F.col(end) == F.col("_n"), "left_anti").isEmpty():
+            raise ValueError(f"an edge's {end} is no node")
+    return g.with_(edges=g.edges.unionByName(edges))
+
+
 def append(g: Genealogy, nodes: DataFrame | None = None, edges: DataFrame | None = None, mutations: DataFrame | None = None) -> Genealogy:
-    """Further chunks of a genealogy; what is missing stays."""
+    """Further chunks of a genealogy, unchecked; what is missing stays."""
     return g.with_(
         nodes=g.nodes if nodes is None else g.nodes.unionByName(nodes),
         edges=g.edges if edges is None else g.edges.unionByName(edges),
