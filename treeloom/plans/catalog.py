@@ -716,11 +716,6 @@ def haps_export(spark, d):
     return export.haplotypes(g, closure.ancestry(g), min_maf=1e-9)
 
 
-@query()
-def newick(spark, d):
-    return export.newick(suppliers(spark, d))
-
-
 @query(f"{o.with_(SUPPLIER)} SELECT node_id AS id, is_sample::INT AS flags, height AS time FROM nodess")
 def export_nodes(spark, d):
     return export.table_export(suppliers(spark, d))["nodes"]
