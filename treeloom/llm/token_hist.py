@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import materialize
+
 #: Fixed value: how this vocabulary cuts a text into pieces.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 SPAN = 512
@@ -64,7 +66,7 @@ def length_histogram(lengths: DataFrame) -> DataFrame:
     ``docs_reaching`` and ``tokens_reaching`` (of this length or more),
     ``truncated_total`` (tokens left if all are cut to this limit), ``tokens_cut``
     and ``quantile`` (share of documents of this length or less)."""
-    h = lengths.groupBy(F.col("n_tokens").alias("context_limit")).agg(F.count("*").alias("n_docs"))
+    h = materialize(lengths.groupBy(F.col("n_tokens").alias("context_limit")).agg(F.count("*").alias("n_docs")), "lengths")  # texts are encoded once
     h = h.withColumns({"n_tokens": F.col("context_limit") * F.col("n_docs"), "_span": F.expr(f"context_limit div {SPAN}")})
     spans = h.groupBy("_span").agg(F.sum("n_docs").alias("_d"), F.sum("n_tokens").alias("_t"))
     later = Window.orderBy(F.col("_span").desc()).rowsBetween(Window.unboundedPreceding, -1)
