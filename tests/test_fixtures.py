@@ -120,6 +120,68 @@ def test_mapping(spark):
     assert rows(statistics.mrca_of_set(g, a, want, 50.0), "query", "node") == [(0, 4), (1, 6), (2, 3)]
 
 
+def _by_sets(up, length, dosage):
+    """Unphased placement with plain sets of leaves, as defined."""
+    below = {}
+    for v in (v for i in dosage for v in (2 * i, 2 * i + 1)):
+        x = v
+        while x is not None:
+            below.setdefault(x, set()).add(v)
+            x = up.get(x)
+    hom, het = {v for v in below if v // 2 in dosage and v < 2 * len(dosage) and dosage[v // 2] == 2}, {i for i, d in dosage.items() if d == 1}
+
+    def highest(x):
+        while x in up and below[up[x]] <= hom | {2 * i + k for i in het for k in (0, 1)} and not any({2 * i, 2 * i + 1} <= below[up[x]] for i in het):
+            x = up[x]
+        return x
+
+    found = []
+    while hom:
+        found.append(highest(min(hom)))
+        hom = hom - below[found[-1]]
+        het = het - {v // 2 for v in below[found[-1]]}
+    while het:
+        a, b = (highest(2 * min(het) + k) for k in (0, 1))
+        found.append(a if (len(below[a]), length[a]) > (len(below[b]), length[b]) else b)
+        het = het - {v // 2 for v in below[found[-1]]}
+    return sorted(found)
+
+
+def test_unphased_mapping_on_a_known_tree(spark):
+    # fixed values: a tree of six leaves and the edges (child) each genotype may go to
+    edges = ((7, 0), (7, 4), (6, 1), (6, 3), (8, 7), (8, 6), (9, 2), (9, 5), (10, 8), (10, 9))
+    known = (([1, 2, 2], ([3, 7, 9], [4, 6, 9])), ([2, 0, 0], ([0, 1],)), ([1, 1, 1], ([5, 6], [0, 9], [2, 7])), ([0, 2, 2], ([3, 4, 9],)), ([2, 1, 1], ([8],)))
+    g = from_rows(spark, [(k, 0.0) for k in range(6)] + [(6, 0.07), (7, 0.27), (8, 0.34), (9, 2.1), (10, 5.62)], [(0, 1, p, c) for p, c in edges], 0, 1)
+    sites = [(s, 0.1 + 0.1 * s, i, d) for s, (dosage, _) in enumerate(known) for i, d in enumerate(dosage)]
+    schema = "site long, position double, individual long, dosage long"
+    run = lambda r: rows(mapping.map_diploid(g, closure.ancestry(g), spark.createDataFrame(r, schema)), "site", "child")
+    got = run(sites)
+    for s, (_, allowed) in enumerate(known):
+        assert [c for k, c in got if k == s] in allowed
+    for dosage, why in (([2, 2, 2], "every leaf carries"), ([2, 3, 0], "0, 1 or 2"), ([2, None, 0], "0, 1 or 2")):
+        with pytest.raises(Exception, match=why):
+            run([(0, 0.5, i, d) for i, d in enumerate(dosage)])
+
+
+def test_unphased_mapping_follows_the_definition_on_random_trees():
+    rng = np.random.default_rng(11)
+    for _ in range(300):
+        n = int(rng.integers(2, 9))
+        live, up, length, fresh = list(range(2 * n)), {}, {}, 2 * n
+        while len(live) > 1:
+            part = rng.choice(len(live), size=min(len(live), int(rng.integers(2, 4))), replace=False)
+            for k in part:
+                up[live[k]], length[live[k]] = fresh, float(rng.integers(1, 4))
+            live, fresh = [x for k, x in enumerate(live) if k not in part] + [fresh], fresh + 1
+        dosage = {i: int(d) for i, d in enumerate(rng.choice(3, size=n, p=rng.dirichlet([1, 1, 1])))}
+        if set(dosage.values()) == {2}:
+            continue
+        order = rng.permutation(len(up))
+        kids = [list(up)[k] for k in order]
+        got = mapping.place_unphased(kids, [up[c] for c in kids], [length[c] for c in kids], list(dosage), list(dosage.values()))
+        assert got == _by_sets(up, length, dosage)
+
+
 def test_hamming_distance_on_a_star(spark):
     star = from_rows(spark, [(k, 0.0) for k in range(8)] + [(8, 1.0)], [(0, 100, 8, c) for c in range(8)], 0, 100)
     got = mapping.mutation_best(star, closure.ancestry(star), _geno(spark, [[1, 1, 1, 1, 0, 0, 0, 0], [1, 1, 0, 0, 1, 1, 0, 0], [1, 0, 0, 0, 0, 0, 0, 0]]))

@@ -5,6 +5,8 @@ operators answer every site at once; the tree of a site is the ancestry at its p
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -125,6 +127,73 @@ def impute(g: Genealogy, anc: DataFrame, genotypes: DataFrame, single_best: bool
     return rows.select("site", "leaf", F.coalesce(F.col("dosage").cast("double"), filled).alias("dosage"))
 
 
+def place_unphased(children, parents, lengths, individuals, doses) -> list[int]:
+    """The nodes above which one site's mutations fall, on one tree (its edges as parallel
+    lists). Each node counts the leaves below it that may not carry the allele, and the
+    heterozygotes with both leaves below; a leaf climbs while both counts are zero. A change
+    walks one path to the root, so a site costs leaves times depth, and counts per node."""
+    up, length = dict(zip(children, parents, strict=True)), dict(zip(children, lengths, strict=True))
+    kids: dict[int, list[int]] = {}
+    for c, p in up.items():
+        kids.setdefault(p, []).append(c)
+    dosage = dict(zip(individuals, doses, strict=True))
+    if any(v not in (0, 1, 2) for v in dosage.values()):
+        raise ValueError("unphased genotypes are 0, 1 or 2")
+    leaves = {v for i in dosage for v in (2 * i, 2 * i + 1) if v in up or v in kids}
+    free = {v for v in leaves if dosage[v // 2] > 0}
+    het = {i for i in dosage if dosage[i] == 1}
+    size, barred, doubles = Counter(), Counter(), Counter()
+
+    def path(x):
+        while x is not None:
+            yield x
+            x = up.get(x)
+
+    for v in leaves:
+        for x in path(v):
+            size[x] += 1
+            barred[x] += v not in free
+    meet = {}
+    for i in het:
+        one = set(path(2 * i)) if {2 * i, 2 * i + 1} <= leaves else ()
+        meet[i] = next((x for x in path(2 * i + 1) if x in one), None)
+        doubles.update(path(meet[i]))
+
+    def highest(x):
+        while (y := up.get(x)) is not None and not barred[y] and not doubles[y]:
+            x = y
+        return x
+
+    def take(x):
+        if x not in up:
+            raise ValueError("every leaf carries the allele: there is no edge to put it on")
+        found.append(x)
+        stack = [x]
+        while stack:
+            v = stack.pop()
+            stack += kids.get(v, ())
+            if v not in leaves:
+                continue
+            both = v // 2 in het
+            for u in (v, v ^ 1) if both else (v,):
+                if u in free:
+                    free.discard(u)
+                    barred.update(path(u))
+            if both:
+                het.discard(v // 2)
+                doubles.subtract(path(meet[v // 2]))
+
+    found: list[int] = []
+    for v in sorted(leaves):
+        if dosage[v // 2] == 2 and v in free:
+            take(highest(v))
+    for i in sorted(het):
+        options = [highest(v) for v in (2 * i, 2 * i + 1) if v in leaves]
+        if i in het and options:
+            take(max(enumerate(options), key=lambda o: (size[o[1]], length.get(o[1], 0.0), o[0]))[1])
+    return sorted(found)
+
+
 def map_diploid(g: Genealogy, anc: DataFrame, genotypes: DataFrame) -> DataFrame:
     """``site, position, child``: placement of unphased genotypes (``site, position,
     individual, dosage`` 0, 1, 2 over leaf pairs 2i, 2i + 1).
@@ -132,61 +201,20 @@ def map_diploid(g: Genealogy, anc: DataFrame, genotypes: DataFrame) -> DataFrame
     Homozygotes first: maximal clades of their leaves and of heterozygotes' leaves, at
     most one of each pair; then each heterozygote not yet covered takes, of its two
     leaves, the one whose highest such clade has more carriers, then the longer branch,
-    then the second leaf. Order within a site matters, so a site is one group; its size
-    is the number of leaves times the depth of one tree."""
+    then the second leaf. Order within a site matters, so a site is one group: the edges
+    of its tree and its dosages. Other dosages, and a site that all leaves carry, are errors;
+    leaves that the tree lacks are passed over."""
     import pandas as pd
 
     pts = genotypes.select("site", "position").distinct()
     e = stab_join(pts, edge_heights(g), "position", max(g.span / 64, 1e-9))
-    tree = e.groupBy("site", "position").agg(F.collect_list("child").alias("c"), F.collect_list("parent").alias("p"), F.collect_list(F.col("height_parent") - F.col("height_child")).alias("len"))
-    dose = genotypes.groupBy("site").agg(F.collect_list("individual").alias("ind"), F.collect_list("dosage").alias("dose"))
-    sites = tree.join(dose, "site")
-
-    def place(position, children, parents, lengths, individuals, doses):
-        up = dict(zip(children, parents, strict=True))
-        length = dict(zip(children, lengths, strict=True))
-        below: dict[int, set[int]] = {}
-        ids = {2 * i + k for i in individuals for k in (0, 1)}
-        for leaf in ids:
-            x = leaf
-            while x is not None:
-                below.setdefault(x, set()).add(leaf)
-                x = up.get(x)
-        dosage = dict(zip(individuals, doses, strict=True))
-        hom = {2 * i + k for i in individuals if dosage[i] == 2 for k in (0, 1)}
-        het = {i for i in individuals if dosage[i] == 1}
-        free = hom | {2 * i + k for i in het for k in (0, 1)}
-
-        def highest(leaf):
-            x = leaf
-            while (y := up.get(x)) in below and y in up and below[y] <= free and all(not {2 * i, 2 * i + 1} <= below[y] for i in het):
-                x = y
-            return x
-
-        found, left = [], set(hom)
-        while left:
-            x = highest(min(left))
-            found.append(x)
-            taken = below[x]
-            left -= taken
-            het -= {v // 2 for v in taken}
-            free -= taken | {v ^ 1 for v in taken if v not in hom}
-        for i in sorted(het.copy()):
-            if i not in het:
-                continue
-            options = [highest(2 * i), highest(2 * i + 1)]
-            key = [(len(below[x]), length.get(x, 0.0), k) for k, x in enumerate(options)]
-            x = options[key.index(max(key))]
-            found.append(x)
-            het -= {v // 2 for v in below[x]}
-            free -= below[x] | {v ^ 1 for v in below[x]}
-        return sorted(found)
-
+    tree = e.groupBy("site", "position").agg(F.collect_list(F.struct("child", "parent", (F.col("height_parent") - F.col("height_child")).alias("len"))).alias("e"))
+    dose = genotypes.groupBy("site").agg(F.collect_list(F.struct("individual", F.coalesce(F.col("dosage").cast("int"), F.lit(-1)).alias("dosage"))).alias("d"))
+    sites = tree.join(dose, "site").select("site", "position", "e.child", "e.parent", "e.len", "d.individual", "d.dosage")
 
     def run(batches):
         for pdf in batches:
-            rows = [(s, x, int(n)) for s, x, c, p, ln, i, d in pdf[["site", "position", "c", "p", "len", "ind", "dose"]].itertuples(index=False) for n in place(x, c, p, ln, list(i), list(d))]
+            rows = [(s, x, n) for s, x, *tree in pdf.itertuples(index=False) for n in place_unphased(*map(list, tree))]
             yield pd.DataFrame(rows, columns=["site", "position", "child"])
 
     return sites.mapInPandas(run, "site long, position double, child long")
-
