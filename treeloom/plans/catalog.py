@@ -30,6 +30,8 @@ SECOND = o.genealogy(D, "supplier", 53, 2)
 
 def query(sql: str | None = None):
     def register(f):
+        if f.__name__ in QUERIES:
+            raise ValueError(f"two queries are called {f.__name__}")
         QUERIES[f.__name__] = f
         if sql is not None:
             ORACLES[f.__name__] = sql
@@ -384,10 +386,26 @@ def kc_random_resolve(spark, d):
     return resolution.special_metrics(one, two, closure.golden_stabs(one, STABS), "random_resolve", seed=5)
 
 
-@query()
+def _vectors(t: str, trees: str) -> str:
+    """Depth, height and size at the lowest common node of each pair, tree by tree."""
+    return f"""up{t} AS (SELECT k, child AS leaf, child AS node, hc AS height, 0 AS level FROM {trees} WHERE child < 1000000 UNION ALL SELECT u.k, u.leaf, e.parent, e.hp, u.level + 1 FROM up{t} u JOIN {trees} e ON e.k = u.k AND e.child = u.node),
+low{t} AS (SELECT a.k, a.leaf AS i, b.leaf AS j, min(a.level) AS level FROM up{t} a JOIN up{t} b ON a.k = b.k AND a.node = b.node AND a.leaf < b.leaf GROUP BY ALL),
+deep{t} AS (SELECT k, leaf, max(level) AS top FROM up{t} GROUP BY ALL),
+size{t} AS (SELECT k, node, count(*) AS size FROM up{t} GROUP BY ALL),
+vec{t} AS (SELECT l.k, l.i, l.j, d.top - l.level AS depth, u.height, s.size FROM low{t} l JOIN up{t} u ON u.k = l.k AND u.leaf = l.i AND u.level = l.level JOIN deep{t} d ON d.k = l.k AND d.leaf = l.i JOIN size{t} s ON s.k = l.k AND s.node = u.node)"""
+
+
+_TREES = "tree{t} AS (SELECT x.k, e.parent, e.child, e.hc, e.hp FROM stabs x JOIN eh{t} e ON e.lft <= x.x AND x.x < e.rgt)"
+_MERGED = """gone AS (SELECT k, child, parent, hp FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY 1 - hc/hp, child) AS r, count(*) OVER (PARTITION BY k) AS n FROM trees WHERE hc > 0) WHERE r <= floor(0.3::DOUBLE*n)),
+hung AS (SELECT t.k, t.parent, t.child, t.hc, t.hp FROM trees t ANTI JOIN gone g ON g.k = t.k AND g.child = t.child UNION ALL SELECT h.k, g.parent, h.child, h.hc, g.hp FROM hung h JOIN gone g ON g.k = h.k AND g.child = h.parent),
+merged AS (SELECT h.* FROM hung h ANTI JOIN gone g ON g.k = h.k AND g.child = h.parent)"""
+
+
+@query(f"{o.with_(SUPPLIER, SECOND, o.stabs(STABS), _TREES.format(t=S), _TREES.format(t=D), _MERGED, _vectors(S, 'merged'), _vectors(D, 'treed'))}, per AS (SELECT p.k, sum((p.depth - q.depth)**2) AS kc, avg((p.height - q.height)**2) AS tm, avg((p.size - q.size)**2) AS sp FROM vecs p JOIN vecd q USING (k, i, j) GROUP BY p.k) SELECT round(avg(kc), 6) AS kc, round(avg(tm), 6) AS tmrca_mse, round(avg(sp), 6) AS split FROM per")
 def kc_merge(spark, d):
     one, two = suppliers(spark, d), second(spark, d)
-    return resolution.special_metrics(one, two, closure.golden_stabs(one, STABS), "heuristic_merge", fraction=0.3)
+    r = resolution.special_metrics(one, two, closure.golden_stabs(one, STABS), "heuristic_merge", fraction=0.3)
+    return r.select(*[six(c).alias(c) for c in r.columns])
 
 
 @query()
