@@ -239,6 +239,22 @@ def test_matrix_products_equal_dense_ones(spark, three):
     z = (z / np.where(sd == 0, 1, sd))[:, (k > 0) & (k < 6)]
     got = {(r.i, r.j): r.value for r in relatedness.mutation_relationship(g, a).collect()}
     assert np.allclose([[got[i, j] for j in range(3)] for i in range(3)], z @ z.T)
+    at = [r.position for r in g.mutations.orderBy("position").collect()]
+    entries = [(p, k, float(3 * n % 5 - k)) for n, p in enumerate(at) for k in (0, 1) if k == 0 or n < 2]
+    matrix = spark.createDataFrame(entries, "position double, k int, value double")
+    for diploid, table in ((False, dense), (True, d)):
+        want = {(i, k): sum(table[i, at.index(p)] * v for p, kk, v in entries if kk == k) for i in range(len(table)) for k in (0, 1)}
+        got = {(r.sample, r.k): r.value for r in relatedness.multiply_samples(g, a, matrix, diploid=diploid).collect()}
+        assert all(want[x] == pytest.approx(got.get(x, 0.0)) for x in want) and set(got) <= set(want)
+    low = relatedness.multiply_samples(g, a, matrix, region=(0.0, at[1])).where("k = 0").collect()
+    assert {r.sample: r.value for r in low} == {i: dense[i, 0] * entries[0][2] for i in range(6) if dense[i, 0]}
+    assert relatedness.multiply_samples(g, a, matrix.limit(0)).count() == 0
+    w = spark.createDataFrame([(0, 0, 2.0), (2, 0, 1.0), (1, 1, 4.0)], "individual long, k int, value double")
+    weight = np.array([[2.0, 0.0, 1.0], [0.0, 4.0, 0.0]])
+    for centre in (True, False):
+        got = {(r.mut_id, r.k): r.value for r in relatedness.weighted_square_norm(g, a, w, centre).collect()}
+        want = weight @ (d - d.mean(0) * centre) ** 2
+        assert len(got) == 2 * len(muts) and all(got[m, k] == pytest.approx(want[k, n]) for n, m in enumerate(muts) for k in (0, 1))
     with pytest.raises(ValueError):
         relatedness.multiply(g, a, None, axis="other")
 

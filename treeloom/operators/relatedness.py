@@ -6,13 +6,14 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..model import Genealogy
+from ..storage import materialize
 from .access import allele_counts
 from .closure import at_node, branch_pieces, carrier_counts, carriers, clade_sums, pairs, paths
-from .intervals import clip
+from .intervals import clip, sweep
 from .simulation import generate_mutations
 
 #: Rows of a matrix that are summed at once.
@@ -147,15 +148,14 @@ def multiply_mutations(g: Genealogy, anc: DataFrame | None, matrix: DataFrame, s
         raise ValueError("standardised products are defined for diploid samples")
     part = g if region is None else g.with_(mutations=g.mutations.where((F.col("position") >= region[0]) & (F.col("position") < region[1])))
     ids = g.leaves.select("leaf", (F.expr("leaf div 2") if diploid else F.col("leaf")).alias("_sample"))
-    kinds, parts = sorted(r[0] for r in matrix.select("k").distinct().collect()), []
-    for at in range(0, max(len(kinds), 1), COLUMNS):
-        some = kinds[at : at + COLUMNS]
-        wide = matrix.groupBy("sample").agg(*[F.sum(F.when(F.col("k") == x, F.col("value"))).cast("double").alias(f"v{n}") for n, x in enumerate(some)])
+    parts = []
+    for some in _kinds(matrix):
+        wide = _wide(matrix, "sample", some)
         values = ids.join(wide, F.col("_sample") == F.col("sample")).select("leaf", *[f"v{n}" for n in range(len(some))])
         sums = carrier_counts(part, clade_sums(g, values)).groupBy("position").agg(*[F.sum(f"v{n}").alias(f"v{n}") for n in range(len(some))])
         cells = [F.struct(F.lit(x).cast(matrix.schema["k"].dataType).alias("k"), F.col(f"v{n}").alias("value")) for n, x in enumerate(some)]
-        parts.append(sums.select("position", F.explode(F.array(*cells)).alias("x")).select("x.k", "position", "x.value") if some else matrix.select("k", F.lit(0.0).alias("position"), "value").limit(0))
-    out = reduce(DataFrame.union, parts)
+        parts.append(sums.select("position", F.explode(F.array(*cells)).alias("x")).select("x.k", "position", "x.value"))
+    out = reduce(DataFrame.union, parts) if parts else matrix.select("k", F.lit(0.0).alias("position"), "value").limit(0)
     if not standardise:
         return out
     factor, p = _scale(alpha)
@@ -164,19 +164,49 @@ def multiply_mutations(g: Genealogy, anc: DataFrame | None, matrix: DataFrame, s
     return out.join(f, "position").join(F.broadcast(total), "k").select("k", "position", (F.col("_f") * (F.col("value") - F.col("_t") * F.col("_mean"))).alias("value"))
 
 
+def _kinds(matrix: DataFrame) -> list[list]:
+    """The rows k of a matrix, few by nature, ``COLUMNS`` at a time."""
+    kinds = sorted(r[0] for r in matrix.select("k").distinct().collect())
+    return [kinds[at : at + COLUMNS] for at in range(0, len(kinds), COLUMNS)]
+
+
+def _wide(matrix: DataFrame, key: str, some: list) -> DataFrame:
+    """``key`` with the value ``v<n>`` and the number ``c<n>`` of entries of each k."""
+    at = lambda x: F.when(F.col("k") == x, F.col("value"))
+    return matrix.groupBy(key).agg(*[F.sum(at(x)).cast("double").alias(f"v{n}") for n, x in enumerate(some)], *[F.count(at(x)).alias(f"c{n}") for n, x in enumerate(some)])
+
+
+def along_leaves(anc: DataFrame, points: DataFrame, names: list[str], sample: Column) -> DataFrame:
+    """``sample`` with the sums of the columns of ``points`` (``node, position``, ...) over the
+    points above its leaves. On [lft, rgt) of a node a leaf meets the difference of the node's
+    running sums at the two ends: a row per ancestry row and point, none per carrier."""
+    above = anc.join(points.select("node").distinct(), "node", "left_semi")
+    ends = above.select(sample.alias("sample"), "node", F.explode(F.array(F.struct(F.col("lft").alias("x"), F.lit(-1).alias("sign")), F.struct(F.col("rgt").alias("x"), F.lit(1).alias("sign")))).alias("e")).select("sample", "node", "e.x", "e.sign")
+    cuts = ends.select("node", "x").distinct().select("node", "x", F.lit(0).alias("_point"), *[F.lit(0).cast(points.schema[c].dataType).alias(c) for c in names])
+    here = points.groupBy("node", F.col("position").alias("x")).agg(*[F.sum(c).alias(c) for c in names])
+    run = Window.partitionBy("node").orderBy("x", "_point").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    steps = cuts.unionByName(here.withColumn("_point", F.lit(1))).select("node", "x", "_point", *[F.sum(c).over(run).alias(c) for c in names]).where("_point = 0")
+    return ends.join(steps, ["node", "x"]).groupBy("sample").agg(*[F.sum(F.col("sign") * F.col(c)).alias(c) for c in names])
+
+
 def multiply_samples(g: Genealogy, anc: DataFrame, matrix: DataFrame, standardise: bool = False, alpha: float = 0.0, diploid: bool = False, region: tuple[float, float] | None = None) -> DataFrame:
-    """``sample, k, value``: genotypes (sample, site) times matrix (position, k, value)."""
+    """``sample, k, value``: genotypes (sample, site) times matrix (position, k, value), by
+    running sums along the ancestry."""
     if standardise and not diploid:
         raise ValueError("standardised products are defined for diploid samples")
     part = g if region is None else g.with_(mutations=g.mutations.where((F.col("position") >= region[0]) & (F.col("position") < region[1])))
-    c = carriers(part, anc).select("position", (F.expr("leaf div 2") if diploid else F.col("leaf")).alias("sample"))
-    dose = c.groupBy("position", "sample").agg(F.count("*").alias("_d"))
     w = matrix.select(F.col("position").alias("_p"), "k", "value")
     if standardise:
         factor, p = _scale(alpha)
         f = site_frequencies(part).select("position", factor.alias("_f"), (2 * p).alias("_mean"))
         w = w.join(f, F.col("_p") == F.col("position")).select("_p", "k", (F.col("value") * F.col("_f")).alias("value"), "_mean")
-    out = dose.join(w, F.col("position") == F.col("_p")).groupBy("sample", "k").agg(F.sum(F.col("_d") * F.col("value")).alias("value"))
+    sample, parts = F.expr("leaf div 2") if diploid else F.col("leaf"), []
+    for some in _kinds(matrix):
+        names = [f"{c}{n}" for n in range(len(some)) for c in "vc"]
+        points = part.mutations.join(_wide(w, "_p", some), F.col("position") == F.col("_p")).select(F.col("child").alias("node"), "position", *[F.coalesce(c, F.lit(0)).alias(c) for c in names])
+        cells = [F.struct(F.lit(x).cast(matrix.schema["k"].dataType).alias("k"), F.col(f"v{n}").alias("value"), F.col(f"c{n}").alias("_c")) for n, x in enumerate(some)]
+        parts.append(along_leaves(anc, points, names, sample).select("sample", F.explode(F.array(*cells)).alias("x")).where("x._c > 0").select("sample", "x.k", "x.value"))
+    out = reduce(DataFrame.union, parts) if parts else matrix.select(F.lit(0).cast("long").alias("sample"), "k", "value").limit(0)
     if not standardise:
         return out
     shift = w.groupBy("k").agg(F.sum(F.col("value") * F.col("_mean")).alias("_shift"))
@@ -194,12 +224,22 @@ def multiply(g: Genealogy, anc: DataFrame, matrix: DataFrame, axis: str = "mutat
 
 def weighted_square_norm(g: Genealogy, anc: DataFrame, weights: DataFrame, centre: bool = True) -> DataFrame:
     """``mut_id, k, value``: sum over individuals of weight times (dosage - mean)^2, with
-    weights (individual, k, value)."""
-    d = carriers(g, anc).groupBy("mut_id", F.expr("leaf div 2").alias("individual")).agg(F.count("*").cast("double").alias("d"))
-    n = g.leaves.agg((F.count("*") / 2).alias("_n"))
-    mean = d.groupBy("mut_id").agg(F.sum("d").alias("_s")).crossJoin(F.broadcast(n)).select("mut_id", (F.col("_s") / F.col("_n") if centre else F.lit(0.0)).alias("m"))
-    total = weights.groupBy("k").agg(F.sum("value").alias("_w"))
-    part = d.join(mean, "mut_id").join(weights.select(F.col("individual").alias("_i"), "k", "value"), F.col("individual") == F.col("_i"))
-    part = part.groupBy("mut_id", "k").agg(F.sum(F.col("value") * (F.pow(F.col("d") - F.col("m"), 2) - F.col("m") * F.col("m"))).alias("_v"), F.max("m").alias("m"))
-    return part.join(F.broadcast(total), "k").select("mut_id", "k", (F.col("_v") + F.col("m") * F.col("m") * F.col("_w")).alias("value"))
+    weights (individual, k, value), for the mutations that have carriers.
 
+    Dosages are step functions of (individual, node); their weighted sums and squares are
+    swept per node and read at the mutations, so no carriers are listed."""
+    dose = sweep(anc.select(F.expr("leaf div 2").alias("individual"), "node", "lft", "rgt"), ["individual", "node"], {})
+    dose = materialize(dose.select("individual", "node", "lft", "rgt", F.col("n_rows").cast("double").alias("d")))
+    n = g.leaves.agg((F.count("*") / 2).alias("_n"))
+    total, parts = weights.groupBy("k").agg(F.sum("value").alias("_w")), []
+    for some in _kinds(weights):
+        rows = dose.join(_wide(weights, "individual", some), "individual", "left")
+        v = lambda k: F.coalesce(F.col(f"v{k}"), F.lit(0.0))
+        sums = {f"l{k}": v(k) * F.col("d") for k in range(len(some))} | {f"q{k}": v(k) * F.col("d") * F.col("d") for k in range(len(some))}
+        per = carrier_counts(g, sweep(rows, ["node"], {"_s": F.col("d")} | sums)).crossJoin(F.broadcast(n))
+        per = per.withColumn("m", F.col("_s") / F.col("_n") if centre else F.lit(0.0))
+        cells = [F.struct(F.lit(x).cast(weights.schema["k"].dataType).alias("k"), (F.col(f"q{k}") - 2 * F.col("m") * F.col(f"l{k}")).alias("_v")) for k, x in enumerate(some)]
+        parts.append(per.select("mut_id", "m", F.explode(F.array(*cells)).alias("x")).select("mut_id", "m", "x.k", "x._v"))
+    if not parts:
+        return weights.select(F.lit(0).cast("long").alias("mut_id"), "k", "value").limit(0)
+    return reduce(DataFrame.union, parts).join(F.broadcast(total), "k").select("mut_id", "k", (F.col("_v") + F.col("m") * F.col("m") * F.col("_w")).alias("value"))
