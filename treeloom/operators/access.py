@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..model import Genealogy
@@ -154,13 +154,28 @@ def genotype_rows(g: Genealogy, anc: DataFrame, diploid: bool = False) -> DataFr
     return m.join(dose, (F.col("_m") == F.col("_node")) & (F.col("lft") <= F.col("position")) & (F.col("position") < F.col("rgt"))).select("mut_id", "individual", "dosage")
 
 
+def ranked(g: Genealogy, anc: DataFrame) -> DataFrame:
+    """The ancestry with the ranks of leaves, from 0 in order of id, in place of their ids."""
+    r = numbered(g.leaves, ["leaf"], "_rank").withColumnRenamed("leaf", "_id")
+    return anc.join(r, F.col("leaf") == F.col("_id")).withColumn("leaf", F.col("_rank")).drop("_id", "_rank")
+
+
+def dense(ranks: Column, n: Column, zero: Column, one: Column) -> Column:
+    """The row of ``n`` cells with ``one`` at the sorted ranks, put together from the gaps
+    between them: it costs the cells, not cells times ranks."""
+    ranks, end = ranks.cast("array<int>"), F.array(n.cast("int"))
+    runs = F.zip_with(F.concat(F.array(F.lit(-1)), ranks), F.concat(ranks, end), lambda a, b: F.concat(F.array_repeat(zero, b - a - 1), F.array(one)))
+    return F.slice(F.flatten(runs), 1, n.cast("int"))  # the last run has a one too many
+
+
 def mutations_matrix(g: Genealogy, anc: DataFrame, start: float = float("-inf"), end: float = float("inf"), include_left: bool = True, include_right: bool = False) -> DataFrame:
     """Dense rows: per mutation in range an array of 0 and 1 over the sorted leaves."""
     part = g.with_(mutations=mutations_between(g, start, end, include_left, include_right))
-    every = g.leaves.agg(F.sort_array(F.collect_list("leaf")).alias("_all"))
-    have = carriers(part, anc).groupBy("mut_id", "position").agg(F.collect_set("leaf").alias("_have"))
-    rows = part.mutations.select("mut_id", "position").join(have, ["mut_id", "position"], "left").crossJoin(F.broadcast(every))
-    return rows.select("mut_id", "position", F.transform("_all", lambda x: F.coalesce(F.array_contains("_have", x), F.lit(False)).cast("tinyint")).alias("genotype"))
+    n = g.leaves.agg(F.count("*").alias("_n"))
+    have = carriers(part, ranked(g, anc)).groupBy("mut_id", "position").agg(F.sort_array(F.collect_set("leaf")).alias("_have"))
+    rows = part.mutations.select("mut_id", "position").join(have, ["mut_id", "position"], "left").crossJoin(F.broadcast(n))
+    bit = lambda v: F.lit(v).cast("tinyint")
+    return rows.select("mut_id", "position", dense(F.coalesce("_have", F.array().cast("array<long>")), F.col("_n"), bit(0), bit(1)).alias("genotype"))
 
 
 def lowest_mutated_edge(g: Genealogy, anc: DataFrame, asked: DataFrame, leaf: str = "leaf", x: str = "x", near: float = NEAR) -> DataFrame:
