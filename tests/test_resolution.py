@@ -62,3 +62,34 @@ def test_jobs(spark, tournament, tmp_path):
     assert spark.read.csv(str(tmp_path / "out"), sep="\t", header=True).count() == 14
     main(["export", "--genealogy", str(tmp_path / "g"), "--out", str(tmp_path / "tables")])
     assert spark.read.csv(str(tmp_path / "tables/edges"), sep="\t", header=True).count() == 14
+
+
+def test_jobs_round_an_association(spark, tournament, tmp_path, capsys):
+    at = lambda name: str(tmp_path / name)
+    files.write_parquet(tournament, at("g"))
+    (tmp_path / "p").write_text("FID IID y\n" + "".join(f"{k} {k} {v}\n" for k, v in enumerate((1.0, 2.5, -1.0, 0.5))))
+    (tmp_path / "c").write_text("FID IID score\n" + "".join(f"{k} {k} {v}\n" for k, v in enumerate((0.5, 0.0, 0.25, 0.0))))
+    (tmp_path / "s").write_text("ID_1 ID_2 missing\n0 0 0\n" + "".join(f"{k} {k} 0\n" for k in range(4)))
+    (tmp_path / "log").write_text("AvgPro calibration 2.0 (x)\nCalibration factor 4.0 ok\nend of calibration\n")
+    read = lambda name: spark.read.csv(at(name), sep="\t", header=True).collect()
+    main(["calibration", "--log", at("log")])
+    assert capsys.readouterr().out.strip() == "0.25"
+    main(["residual", "--phenotypes", at("p"), "--scores", at("c"), "--sites", "2", "--out", at("r")])
+    y, b = np.array([1.0, 2.5, -1.0, 0.5]), -4 * np.array([0.5, 0.0, 0.25, 0.0])
+    assert [float(r.RESIDUAL) for r in sorted(read("r"), key=lambda r: r.IID)] == pytest.approx(list(y - y.mean() - b + b.mean()))
+    main(["associate", "--genealogy", at("g"), "--phenotypes", at("r"), "--samples", at("s"), "--out", at("a")])
+    main(["tests", "--results", at("a"), "--part", "one", "--min-mafs", "0", "0.3", "--out", at("t")])
+    found = read("a")
+    for r in read("t"):
+        kept = [float(x.CHISQ) for x in found if float(x.MAF) >= float(r.min_maf)]
+        assert (int(r.tests), float(r.max_chi2)) == (len(kept), max(kept))
+    main(["scaling", "--tests", at("t"), "--null-part", "one", "--out", at("x")])
+    assert {float(r.scaling) for r in read("x")} == {1.0}
+    for name in ("n", "again"):
+        main(["null", "--genealogy", at("g"), "--replicates", "12", "--out", at(name)])
+    null = [float(r.min_p) for r in read("n")]
+    assert len(null) == 12 and sorted(null) == sorted(float(r.min_p) for r in read("again"))
+    main(["threshold", "--null", at("n"), "--scaling", "0.5", "--out", at("h")])
+    assert float(read("h")[0].threshold) == pytest.approx(0.5 * harrell_davis(null, 0.05))
+    main(["relationship", "--genealogy", at("g"), "--out", at("m")])
+    assert spark.read.text(at("m.grm.gz")).count() == 10

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import chi2_pvalue, harrell_davis, harrell_davis_interval
@@ -184,6 +184,19 @@ def genome_threshold(null: DataFrame, scaling: float, share: float = 0.05) -> Da
     return null.sparkSession.createDataFrame([(q * scaling, low * scaling, high * scaling, len(p))], "threshold double, lower double, upper double, replicates long")
 
 
+def _normal(seed: Column, key: str) -> Column:
+    """A standard normal draw of each (seed, key): the same in any retry."""
+    draw = lambda k: (F.shiftrightunsigned(F.xxhash64(seed, F.lit(k), key), 11) + 1) / float((1 << 53) + 1)
+    return F.sqrt(-2 * F.log(draw(1))) * F.cos(2 * F.pi() * draw(2))
+
+
+def null_traits(g: Genealogy, replicates: int, seed: int = 1) -> DataFrame:
+    """``seed, individual, y``: traits of chance alone, for ``null_model``."""
+    who = g.leaves.select(F.expr("leaf div 2").alias("individual")).distinct()
+    every = who.withColumn("seed", F.explode(F.sequence(F.lit(seed).cast("long"), F.lit(seed + replicates - 1).cast("long"))))
+    return every.select("seed", "individual", _normal(F.col("seed"), "individual").alias("y"))
+
+
 def example_trait(g: Genealogy, anc: DataFrame, count: int = 20, noise: float = 1.0, seed: int = 1) -> DataFrame:
     """``individual, dosage, y``: a noisy trait of the first mutation with ``count`` carriers."""
     per = carrier_counts(g, clades(anc)).where(F.col("n_desc") == count)
@@ -191,6 +204,5 @@ def example_trait(g: Genealogy, anc: DataFrame, count: int = 20, noise: float =
     m = g.mutations.join(F.broadcast(chosen), F.col("mut_id") == F.col("_chosen"), "left_semi")
     dose = carriers(g.with_(mutations=m), anc).groupBy(F.expr("leaf div 2").alias("_i")).agg(F.count("*").alias("dosage"))
     who = g.leaves.select(F.expr("leaf div 2").alias("individual")).distinct()
-    draw = lambda k: (F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.lit(k), "individual"), 11) + 1) / float((1 << 53) + 1)
-    normal = F.sqrt(-2 * F.log(draw(1))) * F.cos(2 * F.pi() * draw(2))
+    normal = _normal(F.lit(seed), "individual")
     return who.join(dose, F.col("individual") == F.col("_i"), "left").select("individual", F.coalesce("dosage", F.lit(0)).alias("dosage"), (F.coalesce("dosage", F.lit(0)) + noise * normal).alias("y"))
