@@ -90,3 +90,19 @@ def mixing(src: str, p: str, weights, cap: int, chunks: int, seed: str) -> str:
 def archives() -> str:
     return """WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages), q AS (SELECT *, max(page_id) OVER (PARTITION BY h) AS m, strlen(h) >= 1000 AS large FROM p)
 SELECT page_id, strlen(h)::BIGINT AS payload_bytes, sha1(h) AS payload_digest, CASE WHEN large AND page_id <> m THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN large AND page_id <> m THEN m END AS refers_to FROM q"""
+
+
+def filter_audit(min_words: int, distinct_percent: int, upper_percent: int) -> str:
+    """Counts of each part, order and step, straight from the definitions."""
+    return f"""WITH RECURSIVE w AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS words FROM documents),
+firsts AS (SELECT t, min(doc_id) AS lo FROM w GROUP BY t),
+marks AS (SELECT doc_id, max((quality = 1)::INT) = 1 AS good, max((toxic = 1)::INT) = 1 AS toxic FROM labels GROUP BY doc_id),
+f AS (SELECT part, len(words) < {min_words} AS a, 100*len(list_distinct(words)) < {distinct_percent}*len(words) AS b, 100*len(regexp_extract_all(t, '[A-Z]')) > {upper_percent}*length(t) AS c, regexp_matches(t, '[#$%&*|]') AS d,
+  coalesce(doc_id, 9223372036854775807) > coalesce(lo, 9223372036854775807) AS e, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic FROM w JOIN firsts USING (t) LEFT JOIN marks USING (doc_id)),
+p AS (SELECT '' AS o UNION ALL SELECT o || l FROM p, (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS l) WHERE NOT contains(o, l)),
+x AS (SELECT part, good, toxic, a::INT + b::INT + c::INT + d::INT + e::INT AS n, o AS filter_order, list_transform(string_split(o, ''), lambda l: CASE l WHEN 'A' THEN a WHEN 'B' THEN b WHEN 'C' THEN c WHEN 'D' THEN d ELSE e END) AS fails FROM f, p WHERE length(o) = 5),
+y AS (SELECT *, coalesce(list_position(fails, true), 6) AS first FROM x),
+z AS (SELECT *, unnest(range(1, 6)) AS step FROM y),
+c AS (SELECT part, filter_order, step, substr(filter_order, step, 1) AS l, count(*) FILTER (first > step) AS kept, count(*) FILTER (first = step) AS removed, count(*) FILTER (fails[step] AND first < step) AS redundant,
+  count(*) FILTER (fails[step] AND n = 1) AS unique_fails, count(*) FILTER (first = step AND good) AS good_lost, count(*) FILTER (first = step AND toxic) AS toxic_lost FROM z GROUP BY ALL)
+SELECT part, filter_order, step::INTEGER AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) OVER (PARTITION BY part, l))::BIGINT AS shapley FROM c"""

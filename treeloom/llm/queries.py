@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bwt_dedup, decontam, lang_id, line_dedup, line_rules, mixing, oracles, quality_pu, superminhash, token_hist, warc_zip
+from . import bwt_dedup, decontam, filter_audit, lang_id, line_dedup, line_rules, mixing, oracles, quality_pu, superminhash, token_hist, warc_zip
 
 
 #: Where the rank file of op8 lies.
@@ -70,8 +70,13 @@ def op10_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bwt_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), with_bytes=False)
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return filter_audit.audit(docs, table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_language_id, op2_decontaminate, op3_line_dedup, op4_quality_classifier, op5_quality_rules, op6_near_duplicates, op7_warc_archives, op8_token_counts, op9_mix_sources, op10_repeated_bytes)
+    f.__name__: f for f in (op1_language_id, op2_decontaminate, op3_line_dedup, op4_quality_classifier, op5_quality_rules, op6_near_duplicates, op7_warc_archives, op8_token_counts, op9_mix_sources, op10_repeated_bytes, op11_filter_audit)
 }
 
 PARAMETERS = {
@@ -87,4 +92,5 @@ ORACLE_SQL: dict[str, str] = {
     "op6_near_duplicates": f"WITH RECURSIVE {oracles.near_duplicates('documents', 'q_')} SELECT * FROM q_out",
     "op7_warc_archives": oracles.archives(),
     "op9_mix_sources": f"WITH {oracles.mixing('documents', 'q_', *PARAMETERS['mix'])} SELECT doc_id, size, source_size, target, copies*size AS taken FROM q_out",
+    "op11_filter_audit": oracles.filter_audit(filter_audit.MIN_WORDS, filter_audit.MIN_DISTINCT_PERCENT, filter_audit.MAX_UPPER_PERCENT),
 }
