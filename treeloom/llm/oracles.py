@@ -46,14 +46,14 @@ def quality_rules(src: str, p: str, max_docs: int, min_words: int, left_percent:
 {p}text AS (SELECT doc_id, CASE WHEN c.lines IS NULL THEN w.text ELSE array_to_string(list_filter(string_split(w.text, chr(10)), lambda x: NOT list_contains(c.lines, x)), chr(10)) END AS clean FROM {p}w w JOIN {p}out o USING (doc_id) LEFT JOIN {p}cut c USING (doc_id) WHERE o.kept)"""
 
 
-def near_duplicates(src: str, p: str) -> str:
+def near_duplicates(src: str, p: str, width: int = 5, percent: int = 75) -> str:
     """``{p}out``: doc_id, n_shingles, component_id, kept. Needs WITH RECURSIVE."""
     return f"""
 {p}w AS (SELECT doc_id, regexp_extract_all({_lower("coalesce(text, '')")}, '{_WORD}') AS w FROM {src}),
-{p}s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i+4], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM {p}w WHERE len(w) > 0)),
+{p}s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i+{width - 1}], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - {width - 2}, 2))) AS i FROM {p}w WHERE len(w) > 0)),
 {p}n AS (SELECT doc_id, count(*) AS n FROM {p}s GROUP BY doc_id),
 {p}both AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM {p}s a JOIN {p}s b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
-{p}links AS (SELECT a, b FROM {p}both JOIN {p}n x ON x.doc_id = a JOIN {p}n y ON y.doc_id = b WHERE 100*c >= 75*(x.n + y.n - c)),
+{p}links AS (SELECT a, b FROM {p}both JOIN {p}n x ON x.doc_id = a JOIN {p}n y ON y.doc_id = b WHERE 100*c >= {percent}*(x.n + y.n - c)),
 {p}reach AS (SELECT doc_id, doc_id AS r FROM {src} UNION SELECT q.doc_id, l.b FROM {p}reach q JOIN {p}links l ON l.a = q.r),
 {p}comp AS (SELECT doc_id, min(r) AS component_id FROM {p}reach GROUP BY doc_id),
 {p}out AS (SELECT c.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.component_id, c.doc_id = c.component_id AS kept FROM {p}comp c LEFT JOIN {p}n n USING (doc_id))"""
@@ -106,3 +106,19 @@ z AS (SELECT *, unnest(range(1, 6)) AS step FROM y),
 c AS (SELECT part, filter_order, step, substr(filter_order, step, 1) AS l, count(*) FILTER (first > step) AS kept, count(*) FILTER (first = step) AS removed, count(*) FILTER (fails[step] AND first < step) AS redundant,
   count(*) FILTER (fails[step] AND n = 1) AS unique_fails, count(*) FILTER (first = step AND good) AS good_lost, count(*) FILTER (first = step AND toxic) AS toxic_lost FROM z GROUP BY ALL)
 SELECT part, filter_order, step::INTEGER AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) OVER (PARTITION BY part, l))::BIGINT AS shapley FROM c"""
+
+
+def spelling(min_length: int, min_count: int, ratio: int, damaged: int) -> str:
+    """Near words by what is left when a letter is dropped; the CRC-32 by its table."""
+    return f"""WITH RECURSIVE tab AS (SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce([i::UBIGINT, 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384::UBIGINT) ELSE x // 2 END) AS c FROM range(256) r(i))),
+runs AS (SELECT doc_id, run, count(*) AS k FROM (SELECT doc_id, unnest(regexp_extract_all({_lower("coalesce(text, '')")}, '[A-Za-zÀ-ÿ]+')) AS run FROM documents) WHERE length(run) >= {min_length} GROUP BY ALL),
+keyed AS (SELECT run, k, encode(coalesce(doc_id::VARCHAR, '') || ':' || run) AS bytes FROM runs),
+hashed AS (SELECT run, k, xor(list_reduce(list_prepend(4294967295::UBIGINT, list_transform(range(0, octet_length(bytes)), lambda j: ('0x' || substr(hex(bytes), (2*j + 1)::BIGINT, 2))::UBIGINT)), lambda x, y: xor(x // 256, t[(xor(x % 256, y) + 1)::BIGINT])), 4294967295::UBIGINT) AS h FROM keyed, tab),
+words AS (SELECT word, sum(k)::BIGINT AS n FROM (SELECT CASE WHEN h % {damaged} = 0 THEN substr(run, 1, (h % length(run))::BIGINT) || substr(run, (h % length(run))::BIGINT + 2) ELSE run END AS word, k FROM hashed) WHERE length(word) >= {min_length} GROUP BY word HAVING sum(k) >= {min_count}),
+less AS (SELECT word, i, substr(word, 1, i - 1) || substr(word, i + 1) AS left_over FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM words)),
+near AS (SELECT DISTINCT * FROM (SELECT x.word, y.word AS other FROM less x JOIN less y ON x.i = y.i AND x.left_over = y.left_over AND x.word <> y.word
+  UNION ALL SELECT x.word, w.word FROM less x JOIN words w ON w.word = x.left_over UNION ALL SELECT w.word, x.word FROM less x JOIN words w ON w.word = x.left_over)),
+best AS (SELECT e.word, count(*)::BIGINT AS n_near, arg_min(w.word, (-w.n, w.word)) AS top, max(w.n) AS top_n FROM near e JOIN words w ON w.word = e.other GROUP BY e.word),
+f AS (SELECT w.word, w.n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN top_n >= {ratio}*w.n THEN top END AS form, CASE WHEN top_n >= {ratio}*w.n THEN top_n END AS form_n FROM words w LEFT JOIN best USING (word)),
+walk AS (SELECT word, word AS at, form AS next FROM f UNION ALL SELECT k.word, k.next, f.form FROM walk k JOIN f ON f.word = k.next)
+SELECT f.word, f.form, k.at AS root, f.n, f.n_near, f.form_n FROM f JOIN walk k ON k.word = f.word AND k.next IS NULL"""

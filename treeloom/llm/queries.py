@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bwt_dedup, decontam, filter_audit, lang_id, line_dedup, line_rules, mixing, oracles, quality_pu, superminhash, token_hist, warc_zip
+from . import bwt_dedup, decontam, filter_audit, lang_id, line_dedup, line_rules, mixing, oracles, quality_pu, spelling, superminhash, token_hist, trie_join, warc_zip
 
 
 #: Where the rank file of op8 lies.
@@ -75,8 +75,16 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(docs, table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic"))
 
 
+def op12_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie_join.jaccard_groups(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_language_id, op2_decontaminate, op3_line_dedup, op4_quality_classifier, op5_quality_rules, op6_near_duplicates, op7_warc_archives, op8_token_counts, op9_mix_sources, op10_repeated_bytes, op11_filter_audit)
+    f.__name__: f for f in (op1_language_id, op2_decontaminate, op3_line_dedup, op4_quality_classifier, op5_quality_rules, op6_near_duplicates, op7_warc_archives, op8_token_counts, op9_mix_sources, op10_repeated_bytes, op11_filter_audit, op12_jaccard_join, op13_spelling_variants)
 }
 
 PARAMETERS = {
@@ -93,4 +101,6 @@ ORACLE_SQL: dict[str, str] = {
     "op7_warc_archives": oracles.archives(),
     "op9_mix_sources": f"WITH {oracles.mixing('documents', 'q_', *PARAMETERS['mix'])} SELECT doc_id, size, source_size, target, copies*size AS taken FROM q_out",
     "op11_filter_audit": oracles.filter_audit(filter_audit.MIN_WORDS, filter_audit.MIN_DISTINCT_PERCENT, filter_audit.MAX_UPPER_PERCENT),
+    "op12_jaccard_join": f"WITH RECURSIVE {oracles.near_duplicates('documents', 'q_', trie_join.WIDTH, trie_join.PERCENT)} SELECT doc_id, n_shingles, component_id FROM q_out",
+    "op13_spelling_variants": oracles.spelling(spelling.MIN_LENGTH, spelling.MIN_COUNT, spelling.RATIO, spelling.DAMAGED),
 }
