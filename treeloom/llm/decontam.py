@@ -24,7 +24,8 @@ scan: one row for each candidate diagonal. A row's tokens are cut into the slice
 under its hits at once; no copy of all tokens is made for a hit.
 
 Defined results: texts without a token match nothing on either side, nor do null ones;
-repeated benchmark rows count as one item per item_id and text; of several overlaps of a row
+repeated benchmark rows count as one item per item_id and text; items without an id are
+found like others and told as one item, whose id is null; of several overlaps of a row
 with an item the one with most equal tokens, then the first, is told.
 """
 
@@ -128,9 +129,9 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text
     found = found.withColumn("_tokens", tokens_of(F.col("_text")))
     under = F.transform("_hits", lambda x: F.struct(x["item_id"].alias("item_id"), x["_it"].alias("_it"), x["shift"].alias("shift"), F.slice("_tokens", F.greatest(x["shift"], F.lit(0)) + 1, x["_n"] + F.least(x["shift"], F.lit(0))).alias("_under")))
     found = found.select("_id", "_h", F.explode(under).alias("x")).select("_id", "_h", "x.*")
-    items = items.select("item_id", F.xxhash64("_item").alias("_it"), "_item")
+    items = items.select(F.col("item_id").alias("_ii"), F.xxhash64("_item").alias("_ti"), "_item")
     n_items = F.col("_item")
-    pairs = found.join(broadcast_if_small(items, n_test, 64, BROADCAST_MB), ["item_id", "_it"])
+    pairs = found.join(broadcast_if_small(items, n_test, 64, BROADCAST_MB), (F.col("_it") == F.col("_ti")) & F.col("item_id").eqNullSafe(F.col("_ii"))).drop("_ii", "_ti")
     ahead = -F.least("shift", F.lit(0))  # tokens of the item before the document's first
     equal = F.transform(n_items, lambda h, j: F.coalesce((j >= ahead) & (F.get(F.col("_under"), j - ahead) == h), F.lit(False)).cast("int"))
     pairs = pairs.withColumn("_equal", equal)
