@@ -91,7 +91,7 @@ def test_threading_sequences_and_rebuilding(spark, four):
     anc = closure.ancestry(four)
     got = rows(editing.threading_of(anc, four.nodes, 2, four.leaves.where("leaf != 2")))
     assert got == [(0.0, 5.0, 3, 2.5), (5.0, 10.0, 0, 4.0)]
-    again = editing.rebuild_by_threading(four, anc)
+    again = editing.rebuild_by_threading(four)
     want = rows(relatedness.tmrca_distance(four, anc))
     assert rows(relatedness.tmrca_distance(again, closure.ancestry(again))) == want
     assert rows(statistics.total_volume(again)) == rows(statistics.total_volume(four))

@@ -24,7 +24,7 @@ def associate(spark: SparkSession, a: argparse.Namespace) -> None:
     anc = closure.ancestry(g)
     if a.rate:
         rows = association.associate_mutations(g, anc, y, [a.rate], a.seed, low, a.max_maf, a.calibration, a.careful)
-        export.write_table(rows, a.out)
+        export.write_table(export.mutation_association_table(rows, g.chromosome, a.prefix), a.out)
     else:
         rows = association.associate_clades(anc, y, low, a.max_maf, a.calibration, a.careful)
         export.write_table(export.association_table(rows, g.chromosome, a.prefix), a.out)

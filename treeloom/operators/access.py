@@ -32,7 +32,7 @@ def breakpoints(g: Genealogy) -> DataFrame:
 
 def edges_at(g: Genealogy, points: DataFrame, x: str = "x") -> DataFrame:
     """Every point with the edges of its marginal tree."""
-    return stab_join(points, g.edges, x, max(g.span / 64, 1e-9))
+    return stab_join(points, g.edges, x, g.span)
 
 
 def parent_edge_at(g: Genealogy, asked: DataFrame, node: str, x: str) -> DataFrame:

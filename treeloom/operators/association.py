@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import chi2_pvalue, harrell_davis, harrell_davis_interval
 from ..model import Genealogy
+from ..storage import materialize
 from .closure import branch_pieces, branches, carrier_counts, carriers, clades, volume
-from .intervals import stab_join, sweep
-from .ordering import followed, preceded, prefixes
+from .intervals import sweep
+from .ordering import preceded, prefixes
+from .windows import upper_envelope
 
 
 def standardised(phenotypes: DataFrame) -> DataFrame:
@@ -99,39 +104,68 @@ def haploid_top(g: Genealogy, anc: DataFrame, values: DataFrame, k: int = 0) ->
     return r.orderBy(*order).limit(k) if k else r
 
 
+def _merge_steps(epsilon: float):
+    """Steps of one chain in order: one that differs by more than ``epsilon`` from the value
+    of the step kept last begins the next."""
+    def merge(table: pa.Table) -> pa.Table:
+        rows = sorted(zip(*(table.column(c).to_pylist() for c in ("start", "end", "chi2")), strict=True))
+        kept: list[list[float]] = []
+        for start, end, value in rows:
+            if kept and abs(value - kept[-1][2]) <= epsilon:
+                kept[-1][1] = end
+            else:
+                kept.append([start, end, value])
+        return pa.table([list(c) for c in zip(*kept, strict=True)], names=["start", "end", "chi2"])
+
+    return merge
+
+
 def haploid_max(g: Genealogy, anc: DataFrame, values: DataFrame, compress: bool = True, epsilon: float = 1e-8) -> DataFrame:
-    """``start, end, chi2``: the largest statistic at each position as a step function;
-    steps that differ by no more than ``epsilon`` from the one before are joined. The
-    last step reaches the end of the span."""
+    """``start, end, chi2``: the largest statistic at each position as a step function
+    (``windows.upper_envelope`` of the clades); steps that differ by no more than ``epsilon``
+    from the value of the step that they would continue are joined. The last step reaches
+    the end of the span."""
     c = haploid_clades(anc, values)
-    cuts = c.select(F.col("lft").alias("x")).union(c.select(F.col("rgt").alias("x"))).distinct()
-    seg = followed(cuts, "x", "end").where(F.col("end").isNotNull()).withColumnRenamed("x", "start")
-    wide = max(g.span / 256, 1e-9)
-    s = stab_join(seg, c, "start", wide).groupBy("start", "end").agg(F.max("chi2").alias("chi2"))
+    s = upper_envelope(c.select("lft", "rgt", "chi2"), g.start, g.end, "chi2").select(F.col("lft").alias("start"), F.col("rgt").alias("end"), F.col("value").alias("chi2"))
     if not compress:
         return s
-    s = preceded(s, "start", "chi2", "_before")
+    # chains of steps each near the one before; within a chain near in all, one step is left
+    s = preceded(materialize(s, "steps"), "start", "chi2", "_before")
     new = F.col("_before").isNull() | (F.abs(F.col("chi2") - F.col("_before")) > epsilon)
-    m = prefixes(s.withColumn("_n", new.cast("long")), ["start"], {"_sum": F.col("_n")}).withColumn("_r", F.col("_sum") + F.col("_n")).drop("_before", "_sum")
-    return m.groupBy("_r").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min_by("chi2", "start").alias("chi2")).drop("_r")
-
-
-def null_model(anc: DataFrame, phenotypes: DataFrame) -> DataFrame:
-    """``seed, max_chi2, min_p`` for many traits at once (``seed, individual, y``): one
-    pass over the clades, grouped by seed."""
-    y = phenotypes.select("seed", F.col("individual").alias("_i"), "y")
-    s = phenotypes.groupBy("seed").agg(F.avg("y").alias("_m"), F.stddev_samp("y").alias("_s"), F.count("*").alias("n"))
-    y = y.join(F.broadcast(s), "seed").select("seed", "_i", ((F.col("y") - F.col("_m")) / F.col("_s")).alias("y"))
+    m = prefixes(s.withColumn("_n", new.cast("long")), ["start"], {"_sum": F.col("_n")}).withColumn("_r", F.col("_sum") + F.col("_n")).drop("_before", "_sum", "_n")
+    m = materialize(m, "chains")
+    chains = m.groupBy("_r").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min_by("chi2", "start").alias("chi2"), F.max(F.col("chi2")).alias("_hi"), F.min(F.col("chi2")).alias("_lo"))
+    flat = (F.col("_hi") - F.col("chi2") <= epsilon) & (F.col("chi2") - F.col("_lo") <= epsilon)
+    drifting = m.join(chains.where(~flat).select("_r"), "_r").groupBy("_r").applyInArrow(_merge_steps(epsilon), "start double, end double, chi2 double")
+    return chains.where(flat).select("start", "end", "chi2").union(drifting)
+
+
+def null_model(anc: DataFrame, phenotypes: DataFrame, at_once: int = 16) -> DataFrame:
+    """``seed, max_chi2, min_p`` for many traits at once (``seed, individual, y``): the clades are
+    swept once for ``at_once`` traits, with a sum and a count for each; the ancestry is
+    not multiplied by the traits."""
+    p = phenotypes.where("y is not null")
+    s = materialize(p.groupBy("seed").agg(F.avg("y").alias("_m"), F.stddev_samp("y").alias("_s"), F.count("*").alias("n")), "traits")
+    y = p.join(F.broadcast(s), "seed").select("seed", F.col("individual").alias("_i"), ((F.col("y") - F.col("_m")) / F.col("_s")).alias("y"))
+    seeds = sorted(r["seed"] for r in s.select("seed").collect())  # the traits asked for
     a = anc.withColumn("individual", F.expr("leaf div 2"))
-    one = sweep(a.join(y, F.col("individual") == F.col("_i")), ["seed", "node"], {"one_sum": F.col("y")})
     two = a.where("leaf % 2 = 1").select(F.col("individual").alias("_i2"), F.col("node").alias("_n2"), F.col("lft").alias("_l"), F.col("rgt").alias("_r"))
     both = a.where("leaf % 2 = 0").join(two, (F.col("individual") == F.col("_i2")) & (F.col("node") == F.col("_n2")) & (F.col("lft") < F.col("_r")) & (F.col("_l") < F.col("rgt")))
-    cross = sweep(both.select("node", F.greatest("lft", "_l").alias("lft"), F.least("rgt", "_r").alias("rgt")), ["node"], {}).select(F.col("node").alias("_n"), F.col("lft").alias("_cl"), F.col("rgt").alias("_cr"), F.col("n_rows").alias("cross"))
-    r = one.join(cross, (F.col("node") == F.col("_n")) & (F.col("_cl") <= F.col("lft")) & (F.col("rgt") <= F.col("_cr")), "left")
-    r = r.join(F.broadcast(s.select(F.col("seed").alias("_seed"), "n")), F.col("seed") == F.col("_seed"))
-    norm = F.col("n_rows") - F.col("n_rows") * F.col("n_rows") / F.col("n") + 2 * F.coalesce("cross", F.lit(0))
-    mac = F.least(F.col("n_rows"), 2 * F.col("n") - F.col("n_rows"))
-    best = r.where(mac > 0).groupBy("seed").agg(F.max(F.coalesce(F.try_divide(F.col("one_sum") * F.col("one_sum"), norm), F.lit(0.0))).alias("max_chi2"))
+    both = both.select("node", F.greatest("lft", "_l").alias("lft"), F.least("rgt", "_r").alias("rgt"), F.lit(1).alias("_both"))
+    parts = []
+    for k in range(0, len(seeds), at_once):
+        some = seeds[k : k + at_once]
+        wide = y.where(F.col("seed").isin(some)).groupBy("_i").agg(*[F.max(F.when(F.col("seed") == x, F.col("y"))).alias(f"v{j}") for j, x in enumerate(some)])
+        values = {f"v{j}": F.coalesce(F.col(f"v{j}"), F.lit(0.0)) for j in range(len(some))} | {f"c{j}": F.col(f"v{j}").isNotNull().cast("int") for j in range(len(some))}
+        # carriers of a clade and pairs of one individual are summed in the same sweep
+        one = a.join(wide, F.col("individual") == F.col("_i")).select("node", "lft", "rgt", F.lit(0).alias("_both"), *[v.alias(n) for n, v in values.items()])
+        c = sweep(one.unionByName(both, allowMissingColumns=True), ["node"], {"cross": F.col("_both")} | {n: F.coalesce(F.col(n), F.lit(0)) for n in values})
+        traits = F.explode(F.array(*[F.struct(F.lit(x).alias("seed"), F.col(f"v{j}").alias("one_sum"), F.col(f"c{j}").alias("count")) for j, x in enumerate(some)]))
+        r = c.select("cross", traits.alias("t")).select("cross", "t.*").join(F.broadcast(s.select(F.col("seed").alias("_seed"), "n")), F.col("seed") == F.col("_seed"))
+        norm = F.col("count") - F.col("count") * F.col("count") / F.col("n") + 2 * F.col("cross")
+        mac = F.least(F.col("count"), 2 * F.col("n") - F.col("count"))
+        parts.append(r.where(mac > 0).groupBy("seed").agg(F.max(F.coalesce(F.try_divide(F.col("one_sum") * F.col("one_sum"), norm), F.lit(0.0))).alias("max_chi2")))
+    best = reduce(DataFrame.union, parts) if parts else s.select("seed", F.lit(None).cast("double").alias("max_chi2"))
     return best.withColumn("min_p", chi2_pvalue("max_chi2"))
 
 

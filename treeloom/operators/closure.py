@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..model import Genealogy
 from ..storage import materialize
 from .intervals import as_of, clip, islands, overlap, subtract, sweep
+from .windows import MOST_LEAVES, window_sums
 
 #: Parts of a node's leaves on each side of a pair join.
 BLOCKS = 4
@@ -69,9 +70,31 @@ def ranks(g: Genealogy, edges: DataFrame) -> tuple[DataFrame, int]:
 
 def clade_sums(g: Genealogy, values: DataFrame | None = None, region: tuple[float, float] | None = None) -> DataFrame:
     """``clades`` without the ancestry: counts, and sums of the columns of ``values`` (``leaf,
-    ...``; missing leaves give 0), from the bottom up. Nodes are taken by rank, so each one's
-    children are done; what moves is a row per edge and clade interval of its child, not
-    one per leaf and ancestor."""
+    ...``; missing leaves give 0), by genome windows (``windows.window_sums``). Only where a
+    single tree is too large for a task the levels of the graph are swept one after the
+    other (``clade_sums_by_level``)."""
+    start, end = region or (g.start, g.end)
+    edges = g.edges if region is None else clip(g.edges, start, end)
+    names = [] if values is None else [c for c in values.columns if c != "leaf"]
+    leaves = g.leaves
+    if values is not None:
+        leaves = leaves.join(values, "leaf", "left").select("leaf", *[F.coalesce(c, F.lit(0)).cast(values.schema[c].dataType).alias(c) for c in names])
+    counts = edges.count(), g.leaves.count()
+    if counts[1] > MOST_LEAVES:
+        return clade_sums_by_level(g, values, region)
+    return window_sums(edges, leaves, start, end, names, counts)
+
+
+def clade_leasts(g: Genealogy) -> DataFrame:
+    """``node, lft, rgt, n_desc, least``: clades with the smallest leaf id below."""
+    counts = g.edges.count(), g.leaves.count()
+    return window_sums(g.edges, g.leaves.withColumn("least", F.col("leaf")), g.start, g.end, ["least"], counts, least=1)
+
+
+def clade_sums_by_level(g: Genealogy, values: DataFrame | None = None, region: tuple[float, float] | None = None) -> DataFrame:
+    """``clade_sums`` from the bottom up. Nodes are taken by rank, so each one's children
+    are done; what moves is a row per edge and clade interval of its child, not one per
+    leaf and ancestor."""
     start, end = region or (g.start, g.end)
     edges = g.edges if region is None else clip(g.edges, start, end)
     names = [] if values is None else [c for c in values.columns if c != "leaf"]

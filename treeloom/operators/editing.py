@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..model import EDGE_SCHEMA, NODE_SCHEMA, Genealogy
 from ..storage import materialize
-from .intervals import clip, islands, stab_join, subtract
+from .closure import branches, clade_leasts
+from .intervals import clip, islands, overlap, stab_join, subtract
 from .ordering import followed, numbered
 
 
@@ -159,25 +160,74 @@ def threading_of(anc: DataFrame, nodes: DataFrame, sample: int, others: DataFram
         return p.select("lft", "rgt", "cousin", "height")
     cuts = p.select(F.col("lft").alias("x")).union(p.select(F.col("rgt").alias("x"))).distinct()
     seg = followed(cuts, "x", "b").where("b is not null").withColumnRenamed("x", "a")
-    best = stab_join(seg, p, "a", max((ends["b"] - ends["a"]) / 256, 1e-9)).groupBy("a", "b").agg(F.min(F.struct("height", "cousin")).alias("m"))
+    best = stab_join(seg, p, "a", ends["b"] - ends["a"]).groupBy("a", "b").agg(F.min(F.struct("height", "cousin")).alias("m"))
     return islands(best.select(F.col("a").alias("lft"), F.col("b").alias("rgt"), "m.cousin", "m.height"), ["cousin", "height"]).select("lft", "rgt", "cousin", "height")
 
 
-def rebuild_by_threading(g: Genealogy, anc: DataFrame) -> Genealogy:
-    """The genealogy again, made by threading its leaves one after another in order of id,
-    each to its nearest relative among those before. For few leaves: a pass per leaf, whose
-    sections (as many as its nearest relative changes) are read by the driver."""
-    order = [r["leaf"] for r in g.leaves.orderBy("leaf").collect()]
-    made = g.with_(nodes=g.nodes.limit(0), edges=g.edges.limit(0), mutations=g.mutations.limit(0))
-    names = g.nodes.where("is_sample").select("node_id", "name", "height")
-    names = {r["node_id"]: r for r in names.collect()}
-    fresh = max(order, default=0) + 1
-    for k, sample in enumerate(order):
-        made = add_sample(made, sample, names[sample]["name"], names[sample]["height"])
-        if k == 0:
-            continue
-        earlier = g.leaves.where(F.col("leaf").isin(order[:k]))
-        rows = threading_of(anc, g.nodes, sample, earlier).orderBy("lft").collect()
-        made = thread_sample(made, sample, [r["lft"] for r in rows], [r["cousin"] for r in rows], [r["height"] for r in rows], fresh)
-        fresh += len(rows)
-    return made
+def ended_lineages(g: Genealogy) -> DataFrame:
+    """``leaf, cousin, node, height, lft, rgt``: where the lineage of a leaf ends.
+
+    Leaves thread in order of id, each onto those before it. The lineage of a leaf goes up
+    through all clades of which it is the least leaf; at the first node with a smaller one
+    it joins that leaf's lineage, its nearest earlier relative (the least of them). So the
+    least leaves of clades, swept once from the bottom up, hold the threading of all
+    leaves: a lineage ends on each branch whose child has another least leaf than its parent."""
+    least = materialize(clade_leasts(g), "least")
+    b = branches(g, least.select("node", "lft", "rgt", "least"))
+    top = least.select(F.col("node").alias("_n"), F.col("lft").alias("_l"), F.col("rgt").alias("_r"), F.col("least").alias("cousin"))
+    met = b.join(top, (F.col("parent") == F.col("_n")) & (F.col("lft") == F.col("_l")) & (F.col("rgt") == F.col("_r"))).where("least != cousin")
+    return met.select(F.col("least").alias("leaf"), "cousin", F.col("parent").alias("node"), F.col("height_parent").alias("height"), "lft", "rgt")
+
+
+def threading_of_all(g: Genealogy) -> DataFrame:
+    """``leaf, lft, rgt, cousin, height``: the threading of every leaf but the first onto those
+    of smaller id, as ``threading_of`` gives it for one; runs of the same relative and height joined."""
+    ended = ended_lineages(g).select("leaf", "cousin", "height", "lft", "rgt")
+    return islands(ended, ["leaf", "cousin", "height"]).select("leaf", "lft", "rgt", "cousin", "height")
+
+
+def rebuild_by_threading(g: Genealogy) -> Genealogy:
+    """The genealogy again, as threading its leaves one after another in order of id would make
+    it: a new node for each section of ``threading_of_all``, numbered after the leaves by
+    leaf and place. A node of the genealogy is, where a lineage ends in it, that section's
+    node; nodes that end no lineage (with one child) go. No leaf waits for another and
+    nothing is read by the driver. Where several lineages end in one node a section would meet
+    a node of its own height, which threading forbids."""
+    ended = materialize(ended_lineages(g), "ended")
+    if ended.groupBy("node", "lft", "rgt").agg(F.count("*").alias("n")).where("n > 1").limit(1).count():
+        raise ValueError("a section's height equals that of a node on its path")
+    sections = islands(ended.select("leaf", "cousin", "height", "lft", "rgt"), ["leaf", "cousin", "height"])
+    last = g.leaves.agg(F.max("leaf").alias("_last"))
+    sections = numbered(sections, ["leaf", "lft"], "_k").crossJoin(F.broadcast(last))
+    sections = materialize(sections.withColumn("new", F.col("_last") + 1 + F.col("_k")).select("new", "leaf", "cousin", "height", "lft", "rgt"), "sections")
+    own = sections.select("new", F.col("leaf").alias("_f"), F.col("lft").alias("_l"), F.col("rgt").alias("_r"))
+    named = ended.join(own, (F.col("leaf") == F.col("_f")) & (F.col("_l") <= F.col("lft")) & (F.col("rgt") <= F.col("_r"))).select("node", "lft", "rgt", "new")
+    # a node keeps its name over touching pieces of one section
+    named = materialize(islands(named, ["node", "new"]), "named")
+    first = g.nodes.select("node_id", "is_sample")
+    e = g.edges.join(first, F.col("child") == F.col("node_id")).select("child", "parent", "lft", "rgt", "is_sample")
+    p = named.select(F.col("node").alias("_n"), F.col("lft").alias("_l"), F.col("rgt").alias("_r"), F.col("new").alias("_new"))
+
+    def renamed(rows: DataFrame, column: str, name: str) -> tuple[DataFrame, DataFrame]:
+        """Pieces whose node has a name, and those whose node is passed over."""
+        keys = [c for c in rows.columns if c not in ("lft", "rgt")]
+        hit = rows.join(p, (F.col(column) == F.col("_n")) & overlap("lft", "rgt", "_l", "_r"))
+        hit = materialize(hit.withColumns({"lft": F.greatest("lft", "_l"), "rgt": F.least("rgt", "_r"), name: F.col("_new")}).select(*rows.columns, name), "named")
+        return hit, subtract(rows, hit.select(*keys, "lft", "rgt"), keys)
+
+    leaf_edges = e.where("is_sample").select(F.col("child").alias("low"), F.col("parent").alias("at"), "lft", "rgt")
+    inner, _ = renamed(e.where("not is_sample").select("child", "parent", "lft", "rgt"), "child", "low")
+    front = leaf_edges.union(inner.select("low", F.col("parent").alias("at"), "lft", "rgt"))
+    up = e.select(F.col("child").alias("_c"), F.col("parent").alias("_p"), F.col("lft").alias("_el"), F.col("rgt").alias("_er"))
+    done, level = None, 0
+    while True:
+        here, passed = renamed(front, "at", "high")
+        done = here if done is None else done.union(here)
+        over = passed.join(up, (F.col("at") == F.col("_c")) & overlap("lft", "rgt", "_el", "_er"))
+        front = materialize(over.select("low", F.col("_p").alias("at"), F.greatest("lft", "_el").alias("lft"), F.least("rgt", "_er").alias("rgt")), "passed")
+        level += 1
+        if front.isEmpty():
+            break
+    edges = islands(done.select(F.col("high").alias("parent"), F.col("low").alias("child"), "lft", "rgt"), ["parent", "child"]).select("lft", "rgt", "parent", "child")
+    nodes = g.nodes.where("is_sample").select([f.name for f in NODE_SCHEMA]).unionByName(sections.select(F.col("new").alias("node_id"), "height", F.col("lft").alias("start"), F.col("rgt").alias("stop"), F.lit(False).alias("is_sample"), F.lit(None).cast("string").alias("name")))
+    return g.with_(nodes=nodes, edges=materialize(edges, "edges"), mutations=g.mutations.limit(0))

@@ -29,7 +29,7 @@ def newick(g: Genealogy, lengths: bool = False) -> DataFrame:
     """``lft, rgt, tree`` of each marginal tree; children in order of id, branch lengths
     cut to whole numbers. Texts are built bottom up, one level of all trees at a time."""
     trees = marginal_trees(g).withColumnRenamed("lft", "a").withColumnRenamed("rgt", "b")
-    e = materialize(stab_join(trees, edge_heights(g), "a", max(g.span / 64, 1e-9)).select("a", "b", "parent", "child", (F.col("height_parent") - F.col("height_child")).cast("long").alias("len")))
+    e = materialize(stab_join(trees, edge_heights(g), "a", g.span).select("a", "b", "parent", "child", (F.col("height_parent") - F.col("height_child")).cast("long").alias("len")))
     done = materialize(e.join(e.select("a", F.col("parent").alias("child")).distinct(), ["a", "child"], "left_anti").select("a", "b", F.col("child").alias("node"), F.col("child").cast("string").alias("text")).distinct())
     kids = materialize(e.groupBy("a", "b", "parent").agg(F.count("*").alias("n")))
     tip = F.concat("text", F.concat(F.lit(":"), F.col("len").cast("string"))) if lengths else F.col("text")
@@ -51,20 +51,30 @@ def newick_lines(g: Genealogy, lengths: bool = False) -> DataFrame:
     return t.select(F.format_string("Tree in [%s, %s): %s", F.regexp_replace(F.col("lft").cast("string"), r"\.0$", ""), F.regexp_replace(F.col("rgt").cast("string"), r"\.0$", ""), "tree").alias("value"))
 
 
-def table_export(g: Genealogy, permutation: dict[int, int] | None = None) -> dict[str, DataFrame]:
+def _permuted(g: Genealogy, permutation: DataFrame) -> DataFrame:
+    """``_a, _b`` of a table ``old, new``, shown to map samples onto themselves."""
+    p = materialize(permutation.select(F.col("old").cast("long").alias("_a"), F.col("new").cast("long").alias("_b")), "permutation")
+    sides = p.select(F.col("_a").alias("id"), F.lit(1).alias("a"), F.lit(0).alias("b")).union(p.select("_b", F.lit(0), F.lit(1)))
+    wrong = sides.groupBy("id").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).where("id is null or a != 1 or b != 1")
+    strange = p.join(g.leaves, F.col("_a") == F.col("leaf"), "left_anti")
+    if not wrong.isEmpty() or not strange.isEmpty():
+        raise ValueError("a permutation maps the samples onto themselves")
+    return p
+
+
+def table_export(g: Genealogy, permutation: DataFrame | None = None) -> dict[str, DataFrame]:
     """Node, edge, site and mutation tables of a tree sequence: one site per mutation, edges
-    by parent age. Needs a span from 0 and leaves 0 to n - 1."""
+    by parent age. Needs a span from 0 and leaves 0 to n - 1. ``permutation``: a table
+    ``old, new`` of samples that take other ids."""
     if g.start != 0:
         raise ValueError("tables start at position 0")
     flag = F.when(F.col("is_sample"), NODE_IS_SAMPLE).otherwise(NODE_IS_NOT_SAMPLE)
     nodes, edges, m = g.nodes, edge_heights(g), g.mutations
     if permutation is not None:
-        if sorted(permutation) != sorted(permutation.values()):
-            raise ValueError("a permutation maps the samples onto themselves")
-        p = g.spark.createDataFrame([(int(a), int(b)) for a, b in permutation.items()], "_a long, _b long")
-        nodes = nodes.join(F.broadcast(p), F.col("node_id") == F.col("_a"), "left").withColumn("node_id", F.coalesce("_b", "node_id")).drop("_a", "_b")
-        edges = edges.join(F.broadcast(p), F.col("child") == F.col("_a"), "left").withColumn("child", F.coalesce("_b", "child")).drop("_a", "_b")
-        m = m.join(F.broadcast(p), F.col("child") == F.col("_a"), "left").withColumn("child", F.coalesce("_b", "child")).drop("_a", "_b")
+        p = _permuted(g, permutation)
+        nodes = nodes.join(p, F.col("node_id") == F.col("_a"), "left").withColumn("node_id", F.coalesce("_b", "node_id")).drop("_a", "_b")
+        edges = edges.join(p, F.col("child") == F.col("_a"), "left").withColumn("child", F.coalesce("_b", "child")).drop("_a", "_b")
+        m = m.join(p, F.col("child") == F.col("_a"), "left").withColumn("child", F.coalesce("_b", "child")).drop("_a", "_b")
     m = numbered(m, ["position", "mut_id"], "site")
     return {
         "nodes": nodes.select(F.col("node_id").alias("id"), flag.alias("flags"), F.col("height").alias("time")),

@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Levels of bins above the finest, and how many bins of a level make one of the next.
+LEVELS = 8
+FAN = 4
+
 
 def clip(df: DataFrame, start: float, end: float, lft: str = "lft", rgt: str = "rgt") -> DataFrame:
     """Rows cut to [start, end); rows outside go."""
@@ -50,27 +54,65 @@ def subtract(whole: DataFrame, holes: DataFrame, keys: list[str]) -> DataFrame:
     return islands(parts.select(*keys, "lft", "rgt"), keys)
 
 
-def stab_join(points: DataFrame, intervals: DataFrame, x: str, width: float, keys: list[str] = (), lft: str = "lft", rgt: str = "rgt") -> DataFrame:
-    """Points with the intervals that hold them (lft <= x < rgt). The genome is cut in
-    bins of ``width``; an interval goes to each bin that it meets, so the join has an
-    equality key and never becomes a nested loop."""
-    last = F.greatest(F.ceil(F.col(rgt) / width) - 1, F.floor(F.col(lft) / width))
-    binned = intervals.withColumn("_bin", F.explode(F.sequence(F.floor(F.col(lft) / width), last)))
-    p = points.withColumn("_bin", F.floor(F.col(x) / width))
-    return p.join(binned, ["_bin", *keys]).where((F.col(lft) <= F.col(x)) & (F.col(x) < F.col(rgt))).drop("_bin")
+def _level(size: Column, span: float) -> Column:
+    """The finest level whose bins are as long as the interval. Bins of level 0 are
+    ``span / FAN^LEVELS`` long, each next level's ``FAN`` times longer."""
+    level = F.ceil(F.log(float(FAN), size / (span / FAN**LEVELS)))
+    return F.greatest(F.least(level, F.lit(LEVELS)), F.lit(0)).cast("int")
+
+
+def _width(level: Column, span: float) -> Column:
+    return F.lit(span / FAN**LEVELS) * F.pow(F.lit(float(FAN)), level)
+
+
+def _bins(lft: Column, rgt: Column, width: Column) -> Column:
+    """Numbers of the bins that [lft, rgt) meets; the end's bin counts, so that no rounding
+    of a division loses a point just below it."""
+    return F.sequence(F.floor(lft / width), F.floor(rgt / width))
+
+
+def _homes(intervals: DataFrame, span: float, lft: str, rgt: str) -> DataFrame:
+    """Each interval at its own level, in the one or two bins that it meets there."""
+    d = intervals.where(F.col(lft) < F.col(rgt)).withColumn("_level", _level(F.col(rgt) - F.col(lft), span))
+    return d.withColumn("_bin", F.explode(_bins(F.col(lft), F.col(rgt), _width(F.col("_level"), span))))
+
+
+def stab_join(points: DataFrame, intervals: DataFrame, x: str, span: float, keys: list[str] = (), lft: str = "lft", rgt: str = "rgt") -> DataFrame:
+    """Points with the intervals that hold them (lft <= x < rgt).
+
+    Bins in levels: an interval lies at the one level whose bins are about as long as it
+    is, in at most two bins; a point asks one bin of each level. An interval covers a good
+    part of its bins, so what a bin compares is in proportion to what it returns, however
+    long or short the intervals are, and the join has an equality key. ``span`` is about
+    the length that all intervals lie in (it sets the finest bins, not the result)."""
+    span = max(float(span), 1e-9)
+    levels = F.array(*[F.struct(F.lit(k).alias("l"), F.floor(F.col(x) / _width(F.lit(k), span)).alias("b")) for k in range(LEVELS + 1)])
+    p = points.withColumn("_at", F.explode(levels)).withColumns({"_level": F.col("_at.l"), "_bin": F.col("_at.b")}).drop("_at")
+    met = p.join(_homes(intervals, span, lft, rgt), ["_level", "_bin", *keys])
+    return met.where((F.col(lft) <= F.col(x)) & (F.col(x) < F.col(rgt))).drop("_level", "_bin")
+
+
+def overlap_join(a: DataFrame, b: DataFrame, span: float, a_ends: tuple[str, str] = ("a", "b"), b_ends: tuple[str, str] = ("lft", "rgt"), keys: list[str] = ()) -> DataFrame:
+    """Rows of both sides whose intervals overlap, by bins in levels as in ``stab_join``: the
+    finer of two intervals asks the bins of the coarser one's level. A pair is told in the
+    first bin that both meet. Empty intervals overlap nothing."""
+    span = max(float(span), 1e-9)
 
+    def asking(df: DataFrame, lft: str, rgt: str, also: int) -> DataFrame:
+        """The interval in the one or two bins that it meets at each coarser level (with
+        ``also`` 0 at its own too)."""
+        d = df.where(F.col(lft) < F.col(rgt)).withColumn("_level", _level(F.col(rgt) - F.col(lft), span) + also)
+        d = d.where(F.col("_level") <= LEVELS).withColumn("_level", F.explode(F.sequence(F.col("_level"), F.lit(LEVELS))))
+        return d.withColumn("_bin", F.explode(_bins(F.col(lft), F.col(rgt), _width(F.col("_level"), span))))
 
-def overlap_join(a: DataFrame, b: DataFrame, width: float, a_ends: tuple[str, str] = ("a", "b"), b_ends: tuple[str, str] = ("lft", "rgt"), keys: list[str] = ()) -> DataFrame:
-    """Rows of both sides whose intervals overlap, by bins of ``width`` as in ``stab_join``;
-    a pair is told in the first bin that both meet."""
-    def binned(df, lft, rgt, name):
-        low = F.floor(F.col(lft) / width)
-        last = F.greatest(F.ceil(F.col(rgt) / width) - 1, low)
-        return df.withColumn(name, low).withColumn("_bin", F.explode(F.sequence(low, last)))
+    def met(asks: DataFrame, ask_ends: tuple[str, str], home: DataFrame, home_ends: tuple[str, str]) -> DataFrame:
+        d = asks.join(home, ["_level", "_bin", *keys])
+        first = F.floor(F.greatest(F.col(ask_ends[0]), F.col(home_ends[0])) / _width(F.col("_level"), span))
+        return d.where((F.col("_bin") == first) & overlap(*ask_ends, *home_ends)).drop("_level", "_bin")
 
-    x, y = binned(a, *a_ends, "_first"), binned(b, *b_ends, "_first2")
-    met = x.join(y, ["_bin", *keys]).where((F.col("_bin") == F.greatest("_first", "_first2")) & overlap(*a_ends, *b_ends))
-    return met.drop("_bin", "_first", "_first2")
+    fine = met(asking(a, *a_ends, 0), a_ends, _homes(b, span, *b_ends), b_ends)
+    coarse = met(asking(b, *b_ends, 1), b_ends, _homes(a, span, *a_ends), a_ends)
+    return fine.unionByName(coarse)
 
 
 def as_of(points: DataFrame, steps: DataFrame, key: str, x: str, lft: str = "lft", rgt: str = "rgt") -> DataFrame:

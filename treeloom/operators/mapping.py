@@ -19,7 +19,7 @@ def site_counts(g: Genealogy, anc: DataFrame, genotypes: DataFrame) -> DataFrame
     """Per site and node of its tree: ``n_desc``, ``n1`` carriers, ``n0`` known others;
     per site the totals ``ones, zeros, n``."""
     pts = genotypes.select("site", "position").distinct()
-    at = stab_join(pts, anc.select(F.col("leaf").alias("_leaf"), "node", "lft", "rgt"), "position", max(g.span / 64, 1e-9)).select("site", "_leaf", "node")
+    at = stab_join(pts, anc.select(F.col("leaf").alias("_leaf"), "node", "lft", "rgt"), "position", g.span).select("site", "_leaf", "node")
     w = genotypes.select(F.col("site").alias("_s"), "leaf", "dosage")
     rows = at.join(w, (F.col("site") == F.col("_s")) & (F.col("_leaf") == F.col("leaf")))
     c = rows.groupBy("site", "node").agg(F.count("*").alias("n_desc"), F.count_if(F.col("dosage") == 1).alias("n1"), F.count_if(F.col("dosage") == 0).alias("n0"))
@@ -30,7 +30,7 @@ def site_counts(g: Genealogy, anc: DataFrame, genotypes: DataFrame) -> DataFrame
 def site_edges(g: Genealogy, genotypes: DataFrame) -> DataFrame:
     """``site, parent, child, height_child, height_parent`` of the sites' trees."""
     pts = genotypes.select("site", "position").distinct()
-    return stab_join(pts, edge_heights(g), "position", max(g.span / 64, 1e-9)).select("site", "position", "parent", "child", "height_child", "height_parent")
+    return stab_join(pts, edge_heights(g), "position", g.span).select("site", "position", "parent", "child", "height_child", "height_parent")
 
 
 def map_parsimony(g: Genealogy, anc: DataFrame, genotypes: DataFrame) -> DataFrame:
@@ -118,7 +118,7 @@ def impute(g: Genealogy, anc: DataFrame, genotypes: DataFrame, single_best: bool
     best = best.withColumn("weight", F.col("len") / F.sum("len").over(least))
     base = best.groupBy("site").agg(F.sum(F.when(F.col("sign") < 0, F.col("weight")).otherwise(0.0)).alias("_base"))
     pts = genotypes.select("site", "position").distinct()
-    at = stab_join(pts, anc.select(F.col("leaf").alias("_leaf"), F.col("node").alias("_node"), "lft", "rgt"), "position", max(g.span / 64, 1e-9)).select(F.col("site").alias("_s"), "_leaf", "_node")
+    at = stab_join(pts, anc.select(F.col("leaf").alias("_leaf"), F.col("node").alias("_node"), "lft", "rgt"), "position", g.span).select(F.col("site").alias("_s"), "_leaf", "_node")
     moved = best.join(at, (F.col("site") == F.col("_s")) & (F.col("node") == F.col("_node"))).groupBy("site", F.col("_leaf").alias("leaf")).agg(F.sum(F.col("sign") * F.col("weight")).alias("_move"))
     t = genotypes.groupBy("site").agg(F.count_if(F.col("dosage") == 1).alias("_ones"), F.count_if(F.col("dosage") == 0).alias("_zeros"))
     rows = genotypes.join(t, "site").join(base, "site", "left").join(moved, ["site", "leaf"], "left")
@@ -207,7 +207,7 @@ def map_diploid(g: Genealogy, anc: DataFrame, genotypes: DataFrame) -> DataFrame
     import pandas as pd
 
     pts = genotypes.select("site", "position").distinct()
-    e = stab_join(pts, edge_heights(g), "position", max(g.span / 64, 1e-9))
+    e = stab_join(pts, edge_heights(g), "position", g.span)
     tree = e.groupBy("site", "position").agg(F.collect_list(F.struct("child", "parent", (F.col("height_parent") - F.col("height_child")).alias("len"))).alias("e"))
     dose = genotypes.groupBy("site").agg(F.collect_list(F.struct("individual", F.coalesce(F.col("dosage").cast("int"), F.lit(-1)).alias("dosage"))).alias("d"))
     sites = tree.join(dose, "site").select("site", "position", "e.child", "e.parent", "e.len", "d.individual", "d.dosage")

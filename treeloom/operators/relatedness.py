@@ -13,7 +13,9 @@ from ..model import Genealogy
 from ..storage import materialize
 from .access import allele_counts
 from .closure import at_node, branch_pieces, carrier_counts, carriers, clade_sums, pairs, paths
+from .gram import weighted_gram
 from .intervals import clip, sweep
+from .ordering import numbered
 from .simulation import generate_mutations
 
 #: Rows of a matrix that are summed at once.
@@ -97,29 +99,34 @@ def mutation_relationship(g: Genealogy, anc: DataFrame, alpha: float = -1.0, dip
     their number: z = (dosage - mean) * sd^alpha, sd over n - 1, a zero sd as 1; minor
     allele frequency not 0 and in (min, max].
 
-    With f = sd^(2 alpha): sum of f (d_i - m)(d_j - m). Only carriers are joined with
-    carriers; the terms of the mean are sums per individual and per matrix."""
+    With f = sd^(2 alpha): sum of f (d_i - m)(d_j - m). The products of carriers are summed
+    in tiles (``gram.weighted_gram``); the terms of the mean are sums per individual and
+    per matrix."""
     c = carriers(g, anc)
     n = g.leaves.agg(F.count("*").alias("_n"))
-    per = c.groupBy("mut_id").agg(F.count("*").alias("_k")).crossJoin(F.broadcast(n))
-    maf = F.least(F.col("_k"), F.col("_n") - F.col("_k")) / F.col("_n")
-    per = per.where((maf != 0) & (maf > min_maf) & (maf <= max_maf))
-    d = c.groupBy("mut_id", (F.expr("leaf div 2") if diploid else F.col("leaf")).alias("i")).agg(F.count("*").cast("double").alias("d"))
+    d = materialize(c.groupBy("mut_id", (F.expr("leaf div 2") if diploid else F.col("leaf")).alias("i")).agg(F.count("*").cast("double").alias("d")), "dosage")
+    m = d.groupBy("mut_id").agg(F.sum("d").alias("_s"), F.sum(F.col("d") * F.col("d")).alias("_q")).crossJoin(F.broadcast(n))
+    maf = F.least(F.col("_s"), F.col("_n") - F.col("_s")) / F.col("_n")  # each leaf that carries it counts one
+    m = m.where((maf != 0) & (maf > min_maf) & (maf <= max_maf))
     size = F.col("_n") / (2 if diploid else 1)
-    m = d.groupBy("mut_id").agg(F.sum("d").alias("_s"), F.sum(F.col("d") * F.col("d")).alias("_q")).join(per, "mut_id")
     mean = F.col("_s") / size
     var = (F.col("_q") - F.col("_s") * mean) / (size - 1)
-    m = m.select("mut_id", mean.alias("m"), F.when(var > 0, F.pow(var, F.lit(float(alpha)))).otherwise(F.lit(1.0)).alias("f"))
-    d = d.join(m, "mut_id")
-    other = d.select("mut_id", F.col("i").alias("j"), F.col("d").alias("dj"))
-    dot = d.join(other, "mut_id").groupBy("i", "j").agg(F.sum(F.col("f") * F.col("d") * F.col("dj")).alias("_dot"))
-    row = d.groupBy("i").agg(F.sum(F.col("f") * F.col("m") * F.col("d")).alias("_row"))
-    both = m.agg(F.sum(F.col("f") * F.col("m") * F.col("m")).alias("_mm"))
+    m = materialize(m.select("mut_id", mean.alias("m"), F.when(var > 0, F.pow(var, F.lit(float(alpha)))).otherwise(F.lit(1.0)).alias("f")), "weights")
     ids = g.leaves.select((F.expr("leaf div 2") if diploid else F.col("leaf")).alias("i")).distinct()
-    grid = ids.crossJoin(ids.withColumnRenamed("i", "j"))  # the matrix asked for
-    out = grid.join(dot, ["i", "j"], "left").join(row, "i", "left").join(row.select(F.col("i").alias("j"), F.col("_row").alias("_col")), "j", "left").crossJoin(F.broadcast(both))
-    z = F.lit(0.0)
-    return out.select("i", "j", (F.coalesce("_dot", z) - F.coalesce("_row", z) - F.coalesce("_col", z) + F.coalesce("_mm", z)).alias("value"))
+    ids = materialize(numbered(ids, ["i"], "_row"), "individuals")
+    n_ids = ids.count()
+    if not n_ids:
+        return ids.select("i", F.col("i").alias("j"), F.lit(0.0).alias("value"))
+    small = (lambda df: F.broadcast(df)) if n_ids <= 1_000_000 else (lambda df: df)
+    d = d.join(m, "mut_id")
+    row = d.groupBy(F.col("i").alias("_i")).agg(F.sum(F.col("f") * F.col("m") * F.col("d")).alias("_sum"))
+    entries = d.join(small(ids), "i").select(F.col("mut_id").alias("column"), F.col("_row").alias("row"), F.col("d").alias("value"), F.col("f").alias("weight"))
+    cells = weighted_gram(entries, n_ids, int(g.spark.conf.get("spark.sql.shuffle.partitions")))
+    both = m.agg(F.coalesce(F.sum(F.col("f") * F.col("m") * F.col("m")), F.lit(0.0)).alias("_mm"))
+    named = materialize(ids.join(row, F.col("i") == F.col("_i"), "left").select("_row", "i", F.coalesce("_sum", F.lit(0.0)).alias("_sum")), "sums")
+    one, two = (named.select(F.col("_row").alias(f"_r{k}"), F.col("i").alias(f"_{k}"), F.col("_sum").alias(f"_s{k}")) for k in "ij")
+    out = cells.join(small(one), F.col("i") == F.col("_ri")).join(small(two), F.col("j") == F.col("_rj")).crossJoin(F.broadcast(both))
+    return out.select(F.col("_i").alias("i"), F.col("_j").alias("j"), (F.col("dot") - F.col("_si") - F.col("_sj") + F.col("_mm")).alias("value"))
 
 
 def monte_carlo_relationship(g: Genealogy, anc: DataFrame, rate: float, seed: int = 1234, alpha: float = -1.0, diploid: bool = True, centred: bool = True, min_maf: float = 0.0, max_maf: float = 0.5) -> DataFrame:

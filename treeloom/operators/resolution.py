@@ -1,15 +1,16 @@
 """Comparison of trees after random resolution of polytomies or merging of branches.
 
-Trees at stab positions are edge lists ``k, parent, child, height_child, height_parent``; a
-tree is changed as one group (its size is that of one tree, not of the genome)."""
+Trees at stab positions are edge lists ``k, parent, child, height_child, height_parent``, changed
+by joins on (tree, node)."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
+from hashlib import md5
+from itertools import islice
 
-import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,58 +19,67 @@ from ..storage import materialize
 from .intervals import stab_join
 from .statistics import edge_heights, sets_at
 
-_EDGE = "k long, parent long, child long, height_child double, height_parent double"
+def trees_at(g: Genealogy, stabs: DataFrame) -> DataFrame:
+    return stab_join(stabs, edge_heights(g), "x", g.span).select("k", "parent", "child", "height_child", "height_parent")
 
 
-def trees_at(g: Genealogy, stabs: DataFrame) -> DataFrame:
-    return stab_join(stabs, edge_heights(g), "x", max(g.span / 64, 1e-9)).select("k", "parent", "child", "height_child", "height_parent")
+def draw(*key: object) -> int:
+    """32 random bits of a key, the same wherever they are drawn (SQL has the digest too)."""
+    return int(md5("|".join(map(str, key)).encode()).hexdigest()[:8], 16)
 
 
-def split_randomly(children: list, rng: np.random.Generator) -> list[tuple[list, list]]:
-    """A random binary tree over the children: (part, its two sides) from the top down."""
-    stack, out = [list(rng.permutation(len(children)))], []
+def split_ranges(size: int, *key: object) -> Iterator[tuple[int, int, int, int]]:
+    """A random binary tree over places 0 to size - 1, as ranges (above, first, stop, cut): a range
+    is cut at a place drawn from the key and its ends. Every place from 1 on is the cut of
+    just one range, so the cut names it; ``above`` is the cut of the range it is part of (0
+    at the top's halves); a single place has cut 0."""
+    stack = [(-1, 0, size)]
     while stack:
-        part = stack.pop()
-        if len(part) < 2:
-            continue
-        cut = int(rng.integers(1, len(part)))
-        a, b = part[:cut], part[cut:]
-        out.append((part, [a, b]))
-        stack += [a, b]
-    return [([children[i] for i in p], [[children[i] for i in side] for side in sides]) for p, sides in out]
+        above, a, b = stack.pop()
+        cut = a + 1 + draw(*key, a, b) % (b - a - 1) if b - a > 1 else 0
+        if above >= 0:
+            yield above, a, b, cut
+        if cut:
+            name = 0 if above < 0 else cut
+            stack += [(name, a, cut), (name, cut, b)]
+
+
+def _splitter(seed: int):
+    schema = pa.schema([(c, pa.int64()) for c in ("k", "parent", "above", "first", "cut")])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k, parent, size in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                rows = ((k, parent, above, a, cut) for above, a, _, cut in split_ranges(size, seed, k, parent))
+                while part := list(islice(rows, 100_000)):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*part, strict=True)], schema=schema)
+
+    return run
 
 
 def resolve_randomly(trees: DataFrame, seed: int) -> DataFrame:
     """Every node with more than two children becomes a random binary tree of branches of
-    no length; new nodes have negative ids."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for k, parents, kids, low, high in pdf.itertuples(index=False):
-                by: dict[int, list[tuple[int, float]]] = {}
-                top = dict(zip(parents, high, strict=True))
-                for p, c, h in zip(parents, kids, low, strict=True):
-                    by.setdefault(int(p), []).append((int(c), float(h)))
-                fresh = -1
-                for p in sorted(by):
-                    children, at = sorted(by[p]), float(top[p])
-                    if len(children) <= 2:
-                        rows += [(k, p, c, h, at) for c, h in children]
-                        continue
-                    rng = np.random.default_rng([seed, int(k), p & 0x7FFFFFFF])
-                    name = {tuple(children): p}
-                    for part, sides in split_randomly(children, rng):
-                        for side in sides:
-                            if len(side) == 1:
-                                child, height = side[0]
-                            else:
-                                child, height, fresh = fresh, at, fresh - 1
-                                name[tuple(sorted(side))] = child
-                            rows.append((k, name[tuple(sorted(part))], child, height, at))
-            yield pd.DataFrame(rows, columns=["k", "parent", "child", "height_child", "height_parent"])
-
-    lists = trees.groupBy("k").agg(*[F.collect_list(c).alias(c) for c in ("parent", "child", "height_child", "height_parent")])
-    return lists.mapInPandas(run, _EDGE)
+    no length; new nodes have negative ids.
+
+    The children of a node are ordered by digests of (seed, tree, node, child); ranges of that
+    order are cut at places that digests of their ends draw. Only a node's number of children
+    is split in one place, never a tree; and the result depends on the seed alone, not on the order of rows."""
+    w = Window.partitionBy("k", "parent")
+    order = w.orderBy(F.md5(F.concat_ws("|", F.lit(seed), "k", "parent", "child")), "child")
+    d = trees.withColumns({"_place": F.row_number().over(order).cast("long") - 1, "_m": F.count("*").over(w)})
+    d = materialize(d, "ordered")
+    sizes = d.where("_m > 2 and _place = 0").select("k", "parent", "_m")
+    split = sizes.mapInArrow(_splitter(seed), "k long, parent long, above long, first long, cut long")
+    named = lambda cut: F.when(F.col(cut) == 0, F.col("parent")).otherwise(-(F.col("parent") * (1 << 24) + F.col(cut)))
+    split = materialize(split.select("k", F.col("parent").alias("_top"), named("above").alias("_up"), "first", "cut", named("cut").alias("_down")), "split")
+    few = d.where("_m <= 2").select("k", "parent", "child", "height_child", "height_parent")
+    key = (F.col("k") == F.col("_k")) & (F.col("parent") == F.col("_top"))
+    leaves = d.where("_m > 2").join(split.where("cut = 0").withColumnRenamed("k", "_k"), key & (F.col("_place") == F.col("first")))
+    leaves = leaves.select("k", F.col("_up").alias("parent"), "child", "height_child", "height_parent")
+    tops = d.where("_m > 2 and _place = 0").select("k", "parent", "height_parent")
+    inner = tops.join(split.where("cut > 0").withColumnRenamed("k", "_k"), key)
+    inner = inner.select("k", F.col("_up").alias("parent"), F.col("_down").alias("child"), F.col("height_parent").alias("height_child"), "height_parent")
+    return few.union(leaves).union(inner)
 
 
 def merge_branches(trees: DataFrame, fraction: float, by: str = "smallest", seed: int = 1) -> DataFrame:

@@ -71,7 +71,7 @@ def generate_exactly(g: Genealogy, count: int, seed: int = 1) -> Genealogy:
     if not total:
         raise ValueError("a genealogy without volume carries no mutation")
     u = g.spark.range(count).select("id", (F.rand(seed) * total).alias("u"), F.rand(seed + 1).alias("_a"), F.rand(seed + 2).alias("_b"))
-    m = stab_join(u, e, "u", total / 4096, lft="_lo", rgt="_hi")
+    m = stab_join(u, e, "u", total, lft="_lo", rgt="_hi")
     return g.with_(mutations=m.select(F.col("id").alias("mut_id"), (F.col("lft") + F.col("_a") * (F.col("rgt") - F.col("lft"))).alias("position"), (F.col("height_child") + F.col("_b") * (F.col("height_parent") - F.col("height_child"))).alias("height"), F.lit(None).cast("long").alias("site_id"), "child", "parent"))
 
 

@@ -25,7 +25,7 @@ def total_volume(g: Genealogy) -> DataFrame:
 
 def local_volume(g: Genealogy, regions: DataFrame) -> DataFrame:
     """``a, b, volume`` of each region [a, b)."""
-    met = overlap_join(regions, edge_heights(g), max(g.span / 64, 1e-9))
+    met = overlap_join(regions, edge_heights(g), g.span)
     met = met.withColumns({"lft": F.greatest("lft", "a"), "rgt": F.least("rgt", "b")})
     return met.groupBy("a", "b").agg(F.sum(volume()).alias("volume"))
 
@@ -41,7 +41,7 @@ def frequency_spectrum(g: Genealogy, anc: DataFrame | None = None) -> DataFrame:
 def num_lineages(g: Genealogy, clade: DataFrame, asked: DataFrame) -> DataFrame:
     """``x, h, n``: branches of the tree at x that cross height h; 1 above the root."""
     rows = branch_pieces(g, clade.select("node", "lft", "rgt"))
-    hit = stab_join(asked, rows, "x", max(g.span / 64, 1e-9)).where((F.col("height_child") <= F.col("h")) & (F.col("h") < F.col("height_parent")))
+    hit = stab_join(asked, rows, "x", g.span).where((F.col("height_child") <= F.col("h")) & (F.col("h") < F.col("height_parent")))
     n = hit.groupBy("x", "h").agg(F.count("*").alias("_n"))
     return asked.join(n, ["x", "h"], "left").select("x", "h", F.coalesce("_n", F.lit(1)).alias("n"))
 
@@ -55,7 +55,7 @@ def set_volumes(g: Genealogy, anc: DataFrame) -> DataFrame:
 def set_volumes_by_tree(g: Genealogy, anc: DataFrame, breakpoints: DataFrame) -> DataFrame:
     """The same by another way, tree after tree between breakpoints: a test oracle."""
     b = followed(breakpoints, "x", "y").withColumn("y", F.coalesce("y", F.lit(g.end)))
-    a = stab_join(b, anc, "x", max(g.span / 64, 1e-9)).groupBy("x", "y", "node").agg(F.array_join(F.sort_array(F.collect_list("leaf")).cast("array<string>"), ",").alias("desc"))
+    a = stab_join(b, anc, "x", g.span).groupBy("x", "y", "node").agg(F.array_join(F.sort_array(F.collect_list("leaf")).cast("array<string>"), ",").alias("desc"))
     e = edge_heights(g).select(F.col("child").alias("_c"), F.col("lft").alias("_l"), F.col("rgt").alias("_r"), (F.col("height_parent") - F.col("height_child")).alias("_len"))
     rows = a.join(e, (F.col("node") == F.col("_c")) & (F.col("_l") <= F.col("x")) & (F.col("x") < F.col("_r")))
     return rows.groupBy("desc").agg(F.sum(F.col("_len") * (F.col("y") - F.col("x"))).alias("volume"))
@@ -96,14 +96,14 @@ def kc_topology(one: Genealogy, two: Genealogy, anc1: DataFrame, anc2: DataFrame
 
 
 def at_stabs(rows: DataFrame, stabs: DataFrame, span: float) -> DataFrame:
-    return stab_join(stabs, rows, "x", max(span / 64, 1e-9))
+    return stab_join(stabs, rows, "x", span)
 
 
 def pairs_at(g: Genealogy, anc: DataFrame, stabs: DataFrame, log2: bool = False) -> DataFrame:
     """``k, i, j, depth, height, n_desc`` of each pair's ancestor in the trees at the stabs.
     The ancestry is cut to the trees first, so pairs meet by plain equality. With ``log2`` the
     depth of a node is the sum of log2(children) over the nodes above it."""
-    at = stab_join(stabs, anc.select("leaf", "node", "via", "level", "lft", "rgt"), "x", max(g.span / 64, 1e-9)).select("k", "leaf", "node", "via", "level")
+    at = stab_join(stabs, anc.select("leaf", "node", "via", "level", "lft", "rgt"), "x", g.span).select("k", "leaf", "node", "via", "level")
     top = at.groupBy("k", "leaf").agg(F.max("level").alias("_top"))
     size = at.groupBy("k", "node").agg(F.count("*").alias("n_desc"))
     facts = size.join(g.nodes.select(F.col("node_id").alias("_id"), "height"), F.col("node") == F.col("_id")).select(F.col("k").alias("_fk"), F.col("node").alias("_fn"), "n_desc", "height")
@@ -157,7 +157,7 @@ def kc_lengths(one: Genealogy, two: Genealogy, anc1: DataFrame, anc2: DataFrame,
     pairs and pendant branches, averaged over stabs."""
     def entries(g, anc):
         top = roots(g).join(g.nodes.select(F.col("node_id").alias("_id"), F.col("height").alias("top")), F.col("node") == F.col("_id")).select("lft", "rgt", "top")
-        top = stab_join(stabs, top, "x", max(g.span / 64, 1e-9)).select("k", "x", "top")
+        top = stab_join(stabs, top, "x", g.span).select("k", "x", "top")
         p = pairs_at(g, anc, stabs).join(F.broadcast(top), "k")  # a row per stab
         p = p.select("k", "i", "j", F.col("depth").cast("double").alias("m"), (F.col("top") - F.col("height")).alias("t"))
         e = at_stabs(edge_heights(g).join(g.leaves, F.col("child") == F.col("leaf"), "left_semi"), stabs, g.span)

@@ -5,10 +5,13 @@ so sums of volumes are exact in double and do not depend on their order."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import math
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..model import Genealogy
+from ..model import MUTATION_SCHEMA, Genealogy
+from ..operators.ordering import numbered
 
 LENGTH = 100.0
 
@@ -60,11 +63,51 @@ def genealogy(spark: SparkSession, sf_dir: str, kind: str = "customer", multipli
     return Genealogy(all_nodes, all_edges, muts, 0.0, LENGTH)
 
 
+#: Levels and length of the deep genealogy.
+DEEP_LEVELS = 200
+DEEP_LENGTH = 65536.0
+
+
+def deep_genealogy(spark: SparkSession, sf_dir: str) -> Genealogy:
+    """Customers below a chain of ``DEEP_LEVELS`` nodes: each order moves its customer to
+    another node of the chain at the order's position, so there are about as many
+    breakpoints as orders, and each breaks all nodes of the chain above."""
+    who = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("leaf"))
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("leaf"), (F.col("o_orderkey") * 7919 % 65535 + 1).alias("x"))
+    cuts = o.join(who, "leaf", "left_semi").union(who.select("leaf", F.lit(0).cast("long"))).distinct()
+    rgt = F.coalesce(F.lead("x").over(Window.partitionBy("leaf").orderBy("x")), F.lit(int(DEEP_LENGTH)))
+    moves = cuts.select("leaf", "x", rgt.alias("y"), ((F.col("leaf") * 31 + F.col("x") * 17) % DEEP_LEVELS + 4000000).alias("parent"))
+    chain = spark.range(DEEP_LEVELS).select((F.col("id") + 4000000).alias("node"), (F.col("id") + 1).cast("double").alias("height"))
+    d = lambda x: F.lit(float(x))
+    edges = moves.select(F.col("x").cast("double").alias("lft"), F.col("y").cast("double").alias("rgt"), "parent", F.col("leaf").alias("child"))
+    edges = edges.union(chain.where(f"height < {DEEP_LEVELS}").select(d(0), d(DEEP_LENGTH), F.col("node") + 1, F.col("node")))
+    every = who.select("leaf", d(0).alias("height"), F.lit(True).alias("sample")).union(chain.select("node", "height", F.lit(False)))
+    nodes = every.select(F.col("leaf").alias("node_id"), "height", d(0).alias("start"), d(DEEP_LENGTH).alias("stop"), F.col("sample").alias("is_sample"), F.lit(None).cast("string").alias("name"))
+    return Genealogy(nodes, edges, spark.createDataFrame([], MUTATION_SCHEMA), 0.0, DEEP_LENGTH)
+
+
+def binary_genealogy(spark: SparkSession, sf_dir: str) -> Genealogy:
+    """Suppliers on a chain of nodes with two children each: the k-th joins at height k (the first
+    two at 1), in one order on the first half of the span and in another on the second."""
+    who = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("leaf"))
+    n = who.count()
+    if math.gcd(7, n) != 1:
+        raise ValueError("the second order needs a number of suppliers that 7 does not divide")
+    ranked = numbered(who, ["leaf"], "k")
+    at = F.explode(F.array(F.struct(F.lit(0.0).alias("lft"), F.lit(50.0).alias("rgt"), F.col("k").alias("k")), F.struct(F.lit(50.0).alias("lft"), F.lit(100.0).alias("rgt"), ((F.col("k") * 7 + 3) % n).alias("k"))))
+    edges = ranked.select("leaf", at.alias("x")).select("x.lft", "x.rgt", (F.greatest("x.k", F.lit(1).cast("long")) + 5000000).alias("parent"), F.col("leaf").alias("child"))
+    chain = spark.range(1, n).select((F.col("id") + 5000000).alias("node"), F.col("id").cast("double").alias("height"))
+    edges = edges.union(chain.where(f"height < {n - 1}").select(F.lit(0.0), F.lit(100.0), F.col("node") + 1, "node"))
+    every = who.select("leaf", F.lit(0.0).alias("height"), F.lit(True).alias("sample")).union(chain.select("node", "height", F.lit(False)))
+    nodes = every.select(F.col("leaf").alias("node_id"), "height", F.lit(0.0).alias("start"), F.lit(100.0).alias("stop"), F.col("sample").alias("is_sample"), F.lit(None).cast("string").alias("name"))
+    return Genealogy(nodes, edges, spark.createDataFrame([], MUTATION_SCHEMA), 0.0, LENGTH)
+
+
 def phenotypes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``individual, y``: integer cents of the even customer; null (masked) in part."""
-    c = table(spark, sf_dir, "customer").where(F.col("c_custkey") % 2 == 0)
-    y = F.when(F.col("c_custkey") % 11 != 0, F.round(F.col("c_acctbal") * 100).cast("long").cast("double"))
-    return c.select(F.expr("c_custkey div 2").alias("individual"), y.alias("y"))
+    """``individual, y``: integer cents of both customers of an individual together; null
+    (masked) where a customer's number is divisible by eleven."""
+    c = table(spark, sf_dir, "customer").select(F.expr("c_custkey div 2").alias("individual"), (F.col("c_custkey") % 11 == 0).alias("_masked"), F.round(F.col("c_acctbal") * 100).cast("long").alias("_cents"))
+    return c.groupBy("individual").agg(F.when(~F.max("_masked"), F.sum("_cents").cast("double")).alias("y"))
 
 
 def genotypes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -111,7 +111,7 @@ def roots(spark, d):
 
 @query(f"{o.with_(CUSTOMER)} SELECT k::DOUBLE AS x, 3000000::BIGINT AS node FROM range(0, 100) r(k)")
 def root_at(spark, d):
-    return stab_join(points(spark, range(100)), closure.roots(customers(spark, d)), "x", 10.0).select("x", "node")
+    return stab_join(points(spark, range(100)), closure.roots(customers(spark, d)), "x", canonical.LENGTH).select("x", "node")
 
 
 @query(f"{o.with_(CUSTOMER)} SELECT leaf, (leaf % 100)::DOUBLE AS x, e.parent FROM leafsc JOIN edgesc e ON e.child = leaf AND e.lft <= leaf % 100 AND leaf % 100 < e.rgt")
@@ -380,12 +380,6 @@ def stab_all_bitsets(spark, d):
     return closure.with_members(statistics.sets_at(g, anc, at), anc).select("n_desc", "length", F.col("desc").alias("leaves"))
 
 
-@query()
-def kc_random_resolve(spark, d):
-    one, two = suppliers(spark, d), second(spark, d)
-    return resolution.special_metrics(one, two, closure.golden_stabs(one, STABS), "random_resolve", seed=5)
-
-
 def _vectors(t: str, trees: str) -> str:
     """Depth, height and size at the lowest common node of each pair, tree by tree."""
     return f"""up{t} AS (SELECT k, child AS leaf, child AS node, hc AS height, 0 AS level FROM {trees} WHERE child < 1000000 UNION ALL SELECT u.k, u.leaf, e.parent, e.hp, u.level + 1 FROM up{t} u JOIN {trees} e ON e.k = u.k AND e.child = u.node),
@@ -408,10 +402,47 @@ def kc_merge(spark, d):
     return r.select(*[six(c).alias(c) for c in r.columns])
 
 
-@query()
+def _resolved(name: str, trees: str, seed: int) -> str:
+    """The trees with their polytomies split by digests: ordered children, ranges cut again and again."""
+    return f"""ord{name} AS (SELECT *, row_number() OVER (PARTITION BY k, parent ORDER BY md5('{seed}|' || k || '|' || parent || '|' || child), child) - 1 AS place, count(*) OVER (PARTITION BY k, parent) AS m FROM {trees}),
+cut{name} AS (SELECT k, parent, hp, -1 AS above, 0 AS a, m AS b FROM ord{name} WHERE m > 2 AND place = 0
+  UNION ALL SELECT k, parent, hp, CASE WHEN above < 0 THEN 0 ELSE c END, CASE side WHEN 0 THEN a ELSE c END, CASE side WHEN 0 THEN c ELSE b END FROM (SELECT *, a + 1 + ('0x' || substr(md5('{seed}|' || k || '|' || parent || '|' || a || '|' || b), 1, 8))::BIGINT % (b - a - 1) AS c, unnest([0, 1]) AS side FROM cut{name} WHERE b - a > 1)),
+own{name} AS (SELECT *, CASE WHEN b - a > 1 THEN a + 1 + ('0x' || substr(md5('{seed}|' || k || '|' || parent || '|' || a || '|' || b), 1, 8))::BIGINT % (b - a - 1) ELSE 0 END AS c FROM cut{name} WHERE above >= 0),
+res{name} AS (SELECT k, parent, child, hc, hp FROM ord{name} WHERE m <= 2
+  UNION ALL SELECT o.k, CASE WHEN above = 0 THEN o.parent ELSE -(o.parent*16777216 + above) END, o.child, o.hc, o.hp FROM ord{name} o JOIN own{name} w ON w.k = o.k AND w.parent = o.parent AND w.c = 0 AND w.a = o.place WHERE o.m > 2
+  UNION ALL SELECT k, CASE WHEN above = 0 THEN parent ELSE -(parent*16777216 + above) END, -(parent*16777216 + c), hp, hp FROM own{name} WHERE c > 0)"""
+
+
+_TREE_BOTH = (SUPPLIER, SECOND, o.stabs(STABS), _TREES.format(t=S), _TREES.format(t=D))
+
+
+@query(f"{o.with_(*_TREE_BOTH, _resolved(S, 'trees', 5), _resolved(D, 'treed', 6), _vectors(S, 'ress').replace('child < 1000000', 'child BETWEEN 0 AND 999999'), _vectors(D, 'resd').replace('child < 1000000', 'child BETWEEN 0 AND 999999'))}, per AS (SELECT p.k, sum((p.depth - q.depth)**2) AS kc, avg((p.height - q.height)**2) AS tm, avg((p.size - q.size)**2) AS sp FROM vecs p JOIN vecd q USING (k, i, j) GROUP BY p.k) SELECT round(avg(kc), 6) AS kc, round(avg(tm), 6) AS tmrca_mse, round(avg(sp), 6) AS split FROM per")
+def kc_random_resolve(spark, d):
+    one, two = suppliers(spark, d), second(spark, d)
+    r = resolution.special_metrics(one, two, closure.golden_stabs(one, STABS), "random_resolve", seed=5)
+    return r.select(*[six(c).alias(c) for c in r.columns])
+
+
+def _branch_sets(t: str, trees: str) -> str:
+    """Leaf sets of a tree's branches with their lengths."""
+    return f"""bup{t} AS (SELECT k, child AS leaf, child AS node FROM {trees} WHERE child BETWEEN 0 AND 999999 UNION ALL SELECT u.k, u.leaf, e.parent FROM bup{t} u JOIN {trees} e ON e.k = u.k AND e.child = u.node),
+bset{t} AS (SELECT k, node, count(*) AS c, string_agg(leaf::VARCHAR, ',' ORDER BY leaf) AS dsc FROM bup{t} GROUP BY k, node),
+blen{t} AS (SELECT s.k, s.dsc, s.c, sum(e.hp - e.hc) AS l FROM bset{t} s JOIN {trees} e ON e.k = s.k AND e.child = s.node GROUP BY ALL)"""
+
+
+def _rf(seed: int) -> str:
+    n, m = f"s{seed}", f"d{seed}"
+    return f"{_resolved(n, 'trees', seed)}, {_resolved(m, 'treed', seed + 1000003)}, {_branch_sets(n, 'res' + n)}, {_branch_sets(m, 'res' + m)}"
+
+
+_RF = " UNION ALL ".join(f"SELECT p.l, q.l AS l2, coalesce(p.c, q.c) AS c FROM blens{k} p FULL JOIN blend{k} q ON q.k = p.k AND q.dsc = p.dsc" for k in (1, 2))
+
+
+@query(f"{o.with_(*_TREE_BOTH, _rf(1), _rf(2))}, every AS (SELECT e.*, least(c, n - c) AS mac, n FROM ({_RF}) e, (SELECT count(*) AS n FROM leafss)) SELECT count(l) AS n1, count(l2) AS n2, count(*) FILTER (l IS NOT NULL AND l2 IS NOT NULL) AS n_common, round(sum(l), 6) AS len1, round(sum(l2), 6) AS len2, round(sum(least(l, l2)) FILTER (l IS NOT NULL AND l2 IS NOT NULL), 6) AS len_common FROM every WHERE mac >= 0 AND mac < n")
 def rf_resolve(spark, d):
     one, two, a, b = both(spark, d)
-    return resolution.resolved_overlap(one, two, a, b, closure.golden_stabs(one, STABS), [1, 2])
+    r = resolution.resolved_overlap(one, two, a, b, closure.golden_stabs(one, STABS), [1, 2])
+    return r.select("n1", "n2", "n_common", *[six(c).alias(c) for c in ("len1", "len2", "len_common")])
 
 
 # ---- genotypes ------------------------------------------------------------------------------

@@ -102,10 +102,20 @@ tree AS (SELECT p.site, p.position, e.parent, e.child, e.hc, e.hp FROM pos p JOI
 
 
 PHENOTYPES = """
-pheno AS (SELECT c_custkey // 2 AS ind, CASE WHEN c_custkey % 11 <> 0 THEN round(c_acctbal*100)::BIGINT::DOUBLE END AS y FROM customer WHERE c_custkey % 2 = 0),
+pheno AS (SELECT c_custkey // 2 AS ind, CASE WHEN bool_and(c_custkey % 11 <> 0) THEN sum(round(c_acctbal*100)::BIGINT)::DOUBLE END AS y FROM customer GROUP BY 1),
 ystat AS (SELECT avg(y) AS m, stddev_samp(y) AS s, count(y) AS n FROM pheno),
 std AS (SELECT ind, (y - m)/s AS y FROM pheno, ystat WHERE y IS NOT NULL)"""
 
 
 def with_(*parts: str) -> str:
     return "WITH RECURSIVE " + ",\n".join(parts)
+
+
+def deep(levels: int, length: float) -> str:
+    """CTEs moves (leaf, lft, rgt, k) and runs (k, lft, rgt, n): the clades of the chain, from
+    the moves that each of its nodes is above."""
+    return f"""cuts AS (SELECT DISTINCT o_custkey AS leaf, (o_orderkey*7919) % 65535 + 1 AS x FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer) UNION SELECT c_custkey, 0 FROM customer),
+moves AS (SELECT leaf, x AS lft, coalesce(lead(x) OVER (PARTITION BY leaf ORDER BY x), {int(length)}) AS rgt, (leaf*31 + x*17) % {levels} AS k FROM cuts),
+ends AS (SELECT unnest(range(k, {levels})) AS k, lft AS x, 1 AS s FROM moves UNION ALL SELECT unnest(range(k, {levels})), rgt, -1 FROM moves),
+steps AS (SELECT k, x, sum(s) AS s FROM ends GROUP BY k, x),
+runs AS (SELECT * FROM (SELECT k, x AS lft, lead(x) OVER w AS rgt, sum(s) OVER w AS n FROM steps WINDOW w AS (PARTITION BY k ORDER BY x)) WHERE n > 0)"""
