@@ -61,7 +61,7 @@ def test_hashes_of_sets_agree_with_their_ids(four):
 def test_a_cycle_is_an_error(spark, monkeypatch):
     loop = from_rows(spark, [(0, 0), (1, 1), (2, 2)], [(0, 10, 1, 0), (0, 10, 2, 1), (0, 10, 1, 2)], 0, 10)
     monkeypatch.setattr(closure, "_bounded", lambda g, level: _raise() if level > 3 else None)
-    for run in (closure.ancestry, closure.clade_sums):
+    for run in (closure.ancestry, closure.clade_sums_by_level):
         with pytest.raises(ValueError, match="cycle"):
             run(loop)
 

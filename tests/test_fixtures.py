@@ -95,7 +95,7 @@ def _geno(spark, sites):
 def test_imputation(spark, polytomy):
     g = from_rows(spark, [(k, 0.0) for k in range(8)] + [(8, 1.0), (9, 1.0), (10, 1.0), (11, 2.0)], [(0, 100, p, c) for p, kids in ((8, (0, 1, 2)), (9, (3, 4)), (10, (5, 6, 7)), (11, (8, 9, 10))) for c in kids], 0, 100)
     n = None
-    got = mapping.impute(g, closure.ancestry(g), _geno(spark, [[n, 1, n, 1, n, 0, 0, n], [1, 0, n, n, n, n, 0, n]]))
+    got = mapping.impute(g, _geno(spark, [[n, 1, n, 1, n, 0, 0, n], [1, 0, n, n, n, n, 0, n]]))
     by = {(r.site, r.leaf): r.dosage for r in got.collect()}
     assert [by[0, k] for k in range(8)] == [1, 1, 1, 1, 1, 0, 0, 0]
     assert [by[1, k] for k in range(8)] == [1, 0, 0, 0, 0, 0, 0, 0]
@@ -103,19 +103,19 @@ def test_imputation(spark, polytomy):
     e = [(0, 100, p, c) for c, p in ((2, 7), (3, 7), (1, 8), (7, 8), (4, 9), (5, 9), (0, 10), (8, 10), (6, 11), (9, 11), (10, 12), (11, 12))]
     g = from_rows(spark, h5, e, 0, 100)
     tie = _geno(spark, [[n, 1, 1, 1, 0, 0, 0]])
-    assert mapping.impute(g, closure.ancestry(g), tie).where("leaf = 0").first().dosage == pytest.approx(0.4)
-    assert mapping.impute(g, closure.ancestry(g), tie, single_best=True).where("leaf = 0").first().dosage == 0
+    assert mapping.impute(g, tie).where("leaf = 0").first().dosage == pytest.approx(0.4)
+    assert mapping.impute(g, tie, single_best=True).where("leaf = 0").first().dosage == 0
 
 
 def test_mapping(spark):
     g = from_rows(spark, [(k, 0.0) for k in range(4)] + [(4, 1.0), (5, 2.0), (6, 3.0)], [(0, 100, p, c) for p, c in ((4, 0), (4, 2), (5, 1), (5, 3), (6, 4), (6, 5))], 0, 100)
     a = closure.ancestry(g)
-    got = mapping.map_parsimony(g, a, _geno(spark, [[1, 0, 1, 0], [1, 1, 0, 0], [0, 0, 0, 0], [1, 1, 1, 0]]))
+    got = mapping.map_parsimony(g, _geno(spark, [[1, 0, 1, 0], [1, 1, 0, 0], [0, 0, 0, 0], [1, 1, 1, 0]]))
     assert rows(got, "site", "child") == [(0, 4), (1, 0), (1, 1), (3, 1), (3, 4)]
     with pytest.raises(Exception, match="every leaf carries"):
-        mapping.map_parsimony(g, a, _geno(spark, [[1, 1, 1, 1]])).collect()
+        mapping.map_parsimony(g, _geno(spark, [[1, 1, 1, 1]])).collect()
     dose = spark.createDataFrame([(0, 50.0, 0, 1), (0, 50.0, 1, 0), (1, 50.0, 0, 2), (1, 50.0, 1, 2)][:2], "site long, position double, individual long, dosage long")
-    assert len(mapping.map_diploid(g, a, dose).collect()) == 1
+    assert len(mapping.map_diploid(g, dose).collect()) == 1
     want = spark.createDataFrame([(0, 0), (0, 2), (1, 0), (1, 1), (2, 3)], "query long, leaf long")
     assert rows(statistics.mrca_of_set(g, a, want, 50.0), "query", "node") == [(0, 4), (1, 6), (2, 3)]
 
@@ -154,7 +154,7 @@ def test_unphased_mapping_on_a_known_tree(spark):
     g = from_rows(spark, [(k, 0.0) for k in range(6)] + [(6, 0.07), (7, 0.27), (8, 0.34), (9, 2.1), (10, 5.62)], [(0, 1, p, c) for p, c in edges], 0, 1)
     sites = [(s, 0.1 + 0.1 * s, i, d) for s, (dosage, _) in enumerate(known) for i, d in enumerate(dosage)]
     schema = "site long, position double, individual long, dosage long"
-    run = lambda r: rows(mapping.map_diploid(g, closure.ancestry(g), spark.createDataFrame(r, schema)), "site", "child")
+    run = lambda r: rows(mapping.map_diploid(g, spark.createDataFrame(r, schema)), "site", "child")
     got = run(sites)
     for s, (_, allowed) in enumerate(known):
         assert [c for k, c in got if k == s] in allowed
@@ -184,7 +184,7 @@ def test_unphased_mapping_follows_the_definition_on_random_trees():
 
 def test_hamming_distance_on_a_star(spark):
     star = from_rows(spark, [(k, 0.0) for k in range(8)] + [(8, 1.0)], [(0, 100, 8, c) for c in range(8)], 0, 100)
-    got = mapping.mutation_best(star, closure.ancestry(star), _geno(spark, [[1, 1, 1, 1, 0, 0, 0, 0], [1, 1, 0, 0, 1, 1, 0, 0], [1, 0, 0, 0, 0, 0, 0, 0]]))
+    got = mapping.mutation_best(star, _geno(spark, [[1, 1, 1, 1, 0, 0, 0, 0], [1, 1, 0, 0, 1, 1, 0, 0], [1, 0, 0, 0, 0, 0, 0, 0]]))
     assert rows(got, "site", "distance") == [(0, 3), (1, 3), (2, 0)]
 
 

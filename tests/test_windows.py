@@ -196,3 +196,39 @@ def test_gram_by_tiles(spark, tile, partitions, batch):
     want = (m * w) @ m.T
     assert len(got) == 169
     assert all(abs(got[i, j] - want[i, j]) < 1e-9 for i in range(13) for j in range(13))
+
+
+def test_sites_meet_the_changing_tree(spark, monkeypatch):
+    """Counts per node, imputation and unphased placement at sites of many trees, in one and in many windows."""
+    from treeloom.operators import mapping, site_trees
+
+    g = genealogy(spark, 5, ancient=True)
+    rnd = random.Random(6)
+    sites = [(s, float(x)) for s, x in enumerate([0.0, 99.5, *[rnd.randrange(200) / 2 for _ in range(25)]])]
+    geno = [(s, x, leaf, rnd.choice([0, 1, 1, None])) for s, x in sites for leaf in range(12) if rnd.random() < 0.9]
+    df = spark.createDataFrame(geno, "site long, position double, leaf long, dosage long")
+    anc = [tuple(r) for r in closure.ancestry(g).select("leaf", "node", "lft", "rgt").collect()]
+    want = {}
+    for s, x, leaf, d in geno:
+        for lf, node, a, b in anc:
+            if lf == leaf and a <= x < b:
+                c = want.setdefault((s, node), [0, 0, 0])
+                c[0] += 1
+                c[1] += d == 1
+                c[2] += d == 0
+    edges = {(r.child, r.lft, r.rgt): r.parent for r in g.edges.collect()}
+    results = []
+    for size in (10**6, 20):
+        monkeypatch.setattr(site_trees, "SITE_ROWS", size)
+        got = site_trees.site_nodes(g, df).collect()
+        assert {(r.site, r.node): [r.n_desc, r.n1, r.n0] for r in got} == want and len(got) == len(want)
+        where = dict(sites)
+        for r in got:
+            up = [p for (c, a, b), p in edges.items() if c == r.node and a <= where[r.site] < b]
+            assert [r.parent] == (up or [None])
+            if up:
+                assert [r.up_desc, r.up_n1] == want[r.site, r.parent][:2]
+        results.append(table(mapping.impute(g, df), "site", "leaf", "dosage"))
+        pairs = df.groupBy("site", "position", (F.col("leaf") / 2).cast("long").alias("individual")).agg(F.coalesce(F.max("dosage"), F.lit(0)).alias("dosage"))
+        results.append(table(mapping.map_diploid(g, pairs), "site", "child"))
+    assert results[0] == results[2] and results[1] == results[3] and results[1]

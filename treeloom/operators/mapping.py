@@ -1,57 +1,35 @@
 """Placing genotypes on a genealogy, and imputing missing ones.
 
 Genotypes are long: ``site, position, leaf, dosage`` with dosage 0, 1 or null. All
-operators answer every site at once; the tree of a site is the ancestry at its position."""
+operators answer every site at once, in order of position against the changing tree (``site_trees``)."""
 
 from __future__ import annotations
 
 from collections import Counter
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..model import Genealogy
-from .intervals import stab_join
-from .statistics import edge_heights
+from .site_trees import imputed, site_nodes, unphased
 
 
-def site_counts(g: Genealogy, anc: DataFrame, genotypes: DataFrame) -> DataFrame:
-    """Per site and node of its tree: ``n_desc``, ``n1`` carriers, ``n0`` known others;
-    per site the totals ``ones, zeros, n``."""
-    pts = genotypes.select("site", "position").distinct()
-    at = stab_join(pts, anc.select(F.col("leaf").alias("_leaf"), "node", "lft", "rgt"), "position", g.span).select("site", "_leaf", "node")
-    w = genotypes.select(F.col("site").alias("_s"), "leaf", "dosage")
-    rows = at.join(w, (F.col("site") == F.col("_s")) & (F.col("_leaf") == F.col("leaf")))
-    c = rows.groupBy("site", "node").agg(F.count("*").alias("n_desc"), F.count_if(F.col("dosage") == 1).alias("n1"), F.count_if(F.col("dosage") == 0).alias("n0"))
-    t = genotypes.groupBy("site").agg(F.count_if(F.col("dosage") == 1).alias("ones"), F.count_if(F.col("dosage") == 0).alias("zeros"), F.count("*").alias("n"))
-    return c.join(t, "site")
-
-
-def site_edges(g: Genealogy, genotypes: DataFrame) -> DataFrame:
-    """``site, parent, child, height_child, height_parent`` of the sites' trees."""
-    pts = genotypes.select("site", "position").distinct()
-    return stab_join(pts, edge_heights(g), "position", g.span).select("site", "position", "parent", "child", "height_child", "height_parent")
-
-
-def map_parsimony(g: Genealogy, anc: DataFrame, genotypes: DataFrame) -> DataFrame:
+def map_parsimony(g: Genealogy, genotypes: DataFrame) -> DataFrame:
     """``site, position, child, parent``: a mutation above each maximal clade that only
     carriers inherit. A site that all leaves carry has no edge and is an error."""
-    c = site_counts(g, anc, genotypes)
-    bad = F.raise_error(F.lit("every leaf carries the allele: there is no edge to put it on"))
-    c = c.withColumn("_full", F.when(F.col("ones") == F.col("n"), bad.cast("boolean")).otherwise(F.col("n1") == F.col("n_desc")))
-    e = site_edges(g, genotypes)
-    f = c.where("_full").select(F.col("site").alias("_s"), F.col("node").alias("_n"))
-    top = e.join(f, (F.col("site") == F.col("_s")) & (F.col("child") == F.col("_n")), "left_semi")
-    return top.join(f, (F.col("site") == F.col("_s")) & (F.col("parent") == F.col("_n")), "left_anti").select("site", "position", "child", "parent")
+    c = site_nodes(g, genotypes)
+    bad = F.raise_error(F.lit("every leaf carries the allele: there is no edge to put it on")).cast("boolean")
+    full = F.when(F.col("ones") == F.col("n"), bad).otherwise(F.col("n1") == F.col("n_desc"))
+    return c.where(full & F.col("parent").isNotNull() & (F.col("up_n1") < F.col("up_desc"))).select("site", "position", F.col("node").alias("child"), "parent")
 
 
-def map_mutations(g: Genealogy, anc: DataFrame, genotypes: DataFrame) -> Genealogy:
+def map_mutations(g: Genealogy, genotypes: DataFrame) -> Genealogy:
     """The genealogy with a batch of sites mapped and added to its mutations."""
-    m = map_parsimony(g, anc, genotypes).select(F.xxhash64("site", "child").alias("mut_id"), "position", F.lit(None).cast("double").alias("height"), F.col("site").alias("site_id"), "child", "parent")
+    m = map_parsimony(g, genotypes).select(F.xxhash64("site", "child").alias("mut_id"), "position", F.lit(None).cast("double").alias("height"), F.col("site").alias("site_id"), "child", "parent")
     return g.with_(mutations=g.mutations.unionByName(m))
 
 
-def map_approximate(g: Genealogy, anc: DataFrame, genotypes: DataFrame) -> DataFrame:
+def map_approximate(g: Genealogy, genotypes: DataFrame) -> DataFrame:
     """``site, child, penalty``: few carriers (up to 4) by parsimony, few non-carriers (up
     to 4) by parsimony of the complement, else the best single edge by the share of
     leaves it gets wrong, if below 0.03 and with overlaps above 0.7. The first of equals
@@ -59,11 +37,11 @@ def map_approximate(g: Genealogy, anc: DataFrame, genotypes: DataFrame) -> DataF
     t = genotypes.groupBy("site").agg(F.count_if(F.col("dosage") == 1).alias("_ones"), F.count("*").alias("_n"))
     rare, common = t.where("_ones <= 4").select("site"), t.where("_ones > 4 and _n - _ones <= 4").select("site")
     middle = t.where("_ones > 4 and _n - _ones > 4").select("site")
-    few = map_parsimony(g, anc, genotypes.join(rare, "site", "left_semi")).select("site", "child", F.lit(0.0).alias("penalty"))
+    few = map_parsimony(g, genotypes.join(rare, "site", "left_semi")).select("site", "child", F.lit(0.0).alias("penalty"))
     turned = genotypes.join(common, "site", "left_semi").withColumn("dosage", 1 - F.col("dosage"))
-    many = map_parsimony(g, anc, turned).select("site", "child", F.lit(0.0).alias("penalty"))
+    many = map_parsimony(g, turned).select("site", "child", F.lit(0.0).alias("penalty"))
     part = genotypes.join(middle, "site", "left_semi")
-    c = site_counts(g, anc, part).join(site_edges(g, part).select("site", F.col("child").alias("node"), "height_child"), ["site", "node"])
+    c = site_nodes(g, part).where("parent is not null")
     wrong = (F.col("ones") - F.col("n1") + F.col("n_desc") - F.col("n1")) / F.col("n")
     fits = (F.col("n1") / F.greatest("n_desc", "ones") > 0.7) & ((F.col("n") - F.col("ones") - F.col("n_desc") + F.col("n1")) / F.greatest(F.col("n") - F.col("n_desc"), F.col("n") - F.col("ones")) > 0.7)
     best = c.withColumn("penalty", wrong).where(fits & (F.col("penalty") < 0.03))
@@ -71,60 +49,41 @@ def map_approximate(g: Genealogy, anc: DataFrame, genotypes: DataFrame) -> DataF
     return few.union(many).union(best)
 
 
-def mutation_best(g: Genealogy, anc: DataFrame, genotypes: DataFrame) -> DataFrame:
+def mutation_best(g: Genealogy, genotypes: DataFrame) -> DataFrame:
     """``site, distance``: least Hamming distance of any placement on one branch, either
     way round; 0 for at most one carrier or one non-carrier."""
-    c = site_counts(g, anc, genotypes)
+    c = site_nodes(g, genotypes)
     wrong = F.col("ones") - F.col("n1") + F.col("n_desc") - F.col("n1")
     best = c.groupBy("site").agg(F.min(F.least(wrong, F.col("n") - wrong)).alias("_d"), F.max("ones").alias("_o"), F.max("n").alias("_n"))
     return best.select("site", F.when((F.col("_o") <= 1) | (F.col("_o") >= F.col("_n") - 1), 0).otherwise(F.col("_d")).alias("distance"))
 
 
-def mutation_match(g: Genealogy, anc: DataFrame, genotypes: DataFrame) -> DataFrame:
+def mutation_match(g: Genealogy, genotypes: DataFrame) -> DataFrame:
     """``site, matched``: whether a clade or its complement is exactly the carriers."""
-    c = site_counts(g, anc, genotypes)
+    c = site_nodes(g, genotypes)
     same = (F.col("n1") == F.col("n_desc")) & (F.col("n1") == F.col("ones"))
     turned = (F.col("n1") == 0) & (F.col("n_desc") == F.col("n") - F.col("ones"))
     plain = (F.col("ones") == 0) | (F.col("ones") == F.col("n"))
     return c.groupBy("site").agg(F.bool_or(same | turned | plain).alias("matched"))
 
 
-def match_binned(g: Genealogy, anc: DataFrame, genotypes: DataFrame, thresholds: list[int]) -> DataFrame:
+def match_binned(g: Genealogy, genotypes: DataFrame, thresholds: list[int]) -> DataFrame:
     """``bin, n_sites, n_wrong, distance`` by minor allele count; bin = number of
     thresholds that the count reaches."""
-    best = mutation_best(g, anc, genotypes)
+    best = mutation_best(g, genotypes)
     mac = genotypes.groupBy("site").agg(F.least(F.count_if(F.col("dosage") == 1), F.count_if(F.col("dosage") == 0)).alias("mac"))
     place = sum((F.when(F.col("mac") >= t, 1).otherwise(0) for t in thresholds), F.lit(0))
     return best.join(mac, "site").withColumn("bin", place).groupBy("bin").agg(F.count("*").alias("n_sites"), F.count_if(F.col("distance") > 0).alias("n_wrong"), F.sum("distance").alias("distance"))
 
 
-def impute(g: Genealogy, anc: DataFrame, genotypes: DataFrame, single_best: bool = False) -> DataFrame:
+def impute(g: Genealogy, genotypes: DataFrame, single_best: bool = False) -> DataFrame:
     """``site, leaf, dosage`` with nulls filled.
 
     Every branch is scored under both polarities by its mismatches; the best ones are
     weighted by branch length and added below (or taken off, if the derived state is 0).
     ``single_best`` takes the longest of them alone. Without a known 0 all are 1, without
     a known 1 all are 0."""
-    c = site_counts(g, anc, genotypes).join(site_edges(g, genotypes).select(F.col("site").alias("_s"), F.col("child").alias("_c"), (F.col("height_parent") - F.col("height_child")).alias("len")), (F.col("site") == F.col("_s")) & (F.col("node") == F.col("_c")))
-    c = c.where(F.col("n1") + F.col("n0") > 0)
-    wrong1 = F.col("ones") - F.col("n1") + F.col("n0")  # 1 below the branch, 0 elsewhere
-    ways = F.explode(F.array(F.struct(wrong1.alias("cost"), F.lit(1.0).alias("sign")), F.struct((F.col("ones") + F.col("zeros") - wrong1).alias("cost"), F.lit(-1.0).alias("sign"))))
-    scored = c.select("site", "node", "len", ways.alias("w")).select("site", "node", "len", "w.*")
-    least = Window.partitionBy("site")
-    best = scored.withColumn("_m", F.min("cost").over(least)).where("cost = _m")
-    if single_best:
-        order = Window.partitionBy("site").orderBy(F.col("len").desc(), "node", F.col("sign").desc())
-        best = best.withColumn("_r", F.row_number().over(order)).where("_r = 1")
-    best = best.withColumn("weight", F.col("len") / F.sum("len").over(least))
-    base = best.groupBy("site").agg(F.sum(F.when(F.col("sign") < 0, F.col("weight")).otherwise(0.0)).alias("_base"))
-    pts = genotypes.select("site", "position").distinct()
-    at = stab_join(pts, anc.select(F.col("leaf").alias("_leaf"), F.col("node").alias("_node"), "lft", "rgt"), "position", g.span).select(F.col("site").alias("_s"), "_leaf", "_node")
-    moved = best.join(at, (F.col("site") == F.col("_s")) & (F.col("node") == F.col("_node"))).groupBy("site", F.col("_leaf").alias("leaf")).agg(F.sum(F.col("sign") * F.col("weight")).alias("_move"))
-    t = genotypes.groupBy("site").agg(F.count_if(F.col("dosage") == 1).alias("_ones"), F.count_if(F.col("dosage") == 0).alias("_zeros"))
-    rows = genotypes.join(t, "site").join(base, "site", "left").join(moved, ["site", "leaf"], "left")
-    value = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce("_base", F.lit(0.0)) + F.coalesce("_move", F.lit(0.0))))
-    filled = F.when(F.col("_zeros") == 0, 1.0).when(F.col("_ones") == 0, 0.0).otherwise(value)
-    return rows.select("site", "leaf", F.coalesce(F.col("dosage").cast("double"), filled).alias("dosage"))
+    return imputed(g, genotypes, single_best)
 
 
 def place_unphased(children, parents, lengths, individuals, doses) -> list[int]:
@@ -194,27 +153,14 @@ def place_unphased(children, parents, lengths, individuals, doses) -> list[int]:
     return sorted(found)
 
 
-def map_diploid(g: Genealogy, anc: DataFrame, genotypes: DataFrame) -> DataFrame:
+def map_diploid(g: Genealogy, genotypes: DataFrame) -> DataFrame:
     """``site, position, child``: placement of unphased genotypes (``site, position,
     individual, dosage`` 0, 1, 2 over leaf pairs 2i, 2i + 1).
 
     Homozygotes first: maximal clades of their leaves and of heterozygotes' leaves, at
     most one of each pair; then each heterozygote not yet covered takes, of its two
     leaves, the one whose highest such clade has more carriers, then the longer branch,
-    then the second leaf. Order within a site matters, so a site is one group: the edges
-    of its tree and its dosages. Other dosages, and a site that all leaves carry, are errors;
-    leaves that the tree lacks are passed over."""
-    import pandas as pd
-
-    pts = genotypes.select("site", "position").distinct()
-    e = stab_join(pts, edge_heights(g), "position", g.span)
-    tree = e.groupBy("site", "position").agg(F.collect_list(F.struct("child", "parent", (F.col("height_parent") - F.col("height_child")).alias("len"))).alias("e"))
-    dose = genotypes.groupBy("site").agg(F.collect_list(F.struct("individual", F.coalesce(F.col("dosage").cast("int"), F.lit(-1)).alias("dosage"))).alias("d"))
-    sites = tree.join(dose, "site").select("site", "position", "e.child", "e.parent", "e.len", "d.individual", "d.dosage")
-
-    def run(batches):
-        for pdf in batches:
-            rows = [(s, x, n) for s, x, *tree in pdf.itertuples(index=False) for n in place_unphased(*map(list, tree))]
-            yield pd.DataFrame(rows, columns=["site", "position", "child"])
-
-    return sites.mapInPandas(run, "site long, position double, child long")
+    then the second leaf. Order within a site matters, so a site is one step; its tree is the
+    one before with the edges changed in between. Other dosages, and a site that all leaves
+    carry, are errors; leaves that the tree lacks are passed over."""
+    return unphased(g, genotypes, place_unphased)

@@ -47,6 +47,24 @@ def _painted(low: np.ndarray, high: np.ndarray, value: np.ndarray, n: int) -> np
     return out
 
 
+def path_ranks(down: np.ndarray, up: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """The most edges on a way to each node: from the nodes of rank above 0 (whose way it goes
+    on) along the edges ``down`` to ``up``; 0 where no way leads."""
+    order = np.argsort(down, kind="stable")
+    begin = np.searchsorted(down[order], np.arange(len(rank) + 1))
+    front = np.flatnonzero(rank)
+    for _ in range(len(rank) + 1):
+        if not len(front):
+            return rank
+        n = begin[front + 1] - begin[front]
+        e = order[np.repeat(begin[front] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+        more = rank[down[e]] + 1
+        grown = more > rank[up[e]]
+        np.maximum.at(rank, up[e[grown]], more[grown])
+        front = np.unique(up[e[grown]])
+    raise ValueError("the edges form a cycle")
+
+
 class Sweep:
     """The clades of one window [a, b), from its edges. ``values``: numpy columns of the leaf
     values on the edges above leaves; the last ``least`` of them are not summed, their
@@ -72,20 +90,7 @@ class Sweep:
     def ranks(self) -> np.ndarray:
         rank = np.zeros(len(self.nodes), np.int64)
         rank[self.up[self.direct]] = 1
-        at = np.flatnonzero(self.inner)
-        at = at[np.argsort(self.down[at], kind="stable")]
-        begin = np.searchsorted(self.down[at], np.arange(len(self.nodes) + 1))
-        front = np.flatnonzero(rank)
-        for _ in range(len(self.nodes) + 1):
-            if not len(front):
-                return rank
-            n = begin[front + 1] - begin[front]
-            e = at[np.repeat(begin[front] - np.cumsum(n) + n, n) + np.arange(n.sum())]
-            more = rank[self.down[e]] + 1
-            grown = more > rank[self.up[e]]
-            np.maximum.at(rank, self.up[e[grown]], more[grown])
-            front = np.unique(self.up[e[grown]])
-        raise ValueError("the edges form a cycle")
+        return path_ranks(self.down[self.inner], self.up[self.inner], rank)
 
     def _first_after(self, column: np.ndarray, low: np.ndarray, high: np.ndarray, x: np.ndarray, strict: bool) -> np.ndarray:
         """For each search the first place in [low, high) whose value is above x (or equal)."""

@@ -460,19 +460,19 @@ _BEST = "best AS (SELECT c.site, min(least(t.ones - 2*c.n1 + c.n_desc, t.n - (t.
 @query(f"{o.with_(*_GENO, _BEST)} SELECT site, distance FROM dist")
 def mutation_best(spark, d):
     g = suppliers(spark, d)
-    return mapping.mutation_best(g, closure.ancestry(g), _known(spark, d)).select("site", F.col("distance").cast("long").alias("distance"))
+    return mapping.mutation_best(g, _known(spark, d)).select("site", F.col("distance").cast("long").alias("distance"))
 
 
 @query(f"{o.with_(*_GENO)} SELECT c.site, bool_or((n1 = n_desc AND n1 = ones) OR (n1 = 0 AND n_desc = n - ones) OR ones = 0 OR ones = n) AS matched FROM cnt c JOIN tot t USING (site) GROUP BY c.site")
 def mutation_match(spark, d):
     g = suppliers(spark, d)
-    return mapping.mutation_match(g, closure.ancestry(g), _known(spark, d))
+    return mapping.mutation_match(g, _known(spark, d))
 
 
 @query(f"{o.with_(*_GENO, _BEST)} SELECT (CASE WHEN least(ones, zeros) >= 2 THEN 1 ELSE 0 END + CASE WHEN least(ones, zeros) >= 25 THEN 1 ELSE 0 END)::INT AS bin, count(*) AS n_sites, count(*) FILTER (distance > 0) AS n_wrong, sum(distance)::BIGINT AS distance FROM dist JOIN tot USING (site) GROUP BY 1")
 def mutation_match_binned(spark, d):
     g = suppliers(spark, d)
-    r = mapping.match_binned(g, closure.ancestry(g), _known(spark, d), [2, 25])
+    r = mapping.match_binned(g, _known(spark, d), [2, 25])
     return r.select("bin", "n_sites", "n_wrong", F.col("distance").cast("long").alias("distance"))
 
 
@@ -493,13 +493,13 @@ FROM geno g JOIN tot t USING (site) LEFT JOIN base b USING (site) LEFT JOIN mv m
 @query(_impute_sql(False))
 def impute_new(spark, d):
     g = suppliers(spark, d)
-    return mapping.impute(g, closure.ancestry(g), canonical.genotypes(spark, d)).select("site", "leaf", six("dosage").alias("dosage"))
+    return mapping.impute(g, canonical.genotypes(spark, d)).select("site", "leaf", six("dosage").alias("dosage"))
 
 
 @query(_impute_sql(True))
 def impute_old(spark, d):
     g = suppliers(spark, d)
-    return mapping.impute(g, closure.ancestry(g), canonical.genotypes(spark, d), single_best=True).select("site", "leaf", six("dosage").alias("dosage"))
+    return mapping.impute(g, canonical.genotypes(spark, d), single_best=True).select("site", "leaf", six("dosage").alias("dosage"))
 
 
 _MAP = "full_ AS (SELECT site, node FROM cnt WHERE n1 = n_desc), placed AS (SELECT t.site, t.position, t.child, t.parent FROM tree t JOIN full_ f ON f.site = t.site AND f.node = t.child WHERE NOT EXISTS (SELECT 1 FROM full_ g WHERE g.site = t.site AND g.node = t.parent))"
@@ -508,25 +508,32 @@ _MAP = "full_ AS (SELECT site, node FROM cnt WHERE n1 = n_desc), placed AS (SELE
 @query(f"{o.with_(*_GENO, _MAP)} SELECT site, position, child, parent FROM placed")
 def map_genotypes_batch(spark, d):
     g = suppliers(spark, d)
-    return mapping.map_parsimony(g, closure.ancestry(g), _known(spark, d))
+    return mapping.map_parsimony(g, _known(spark, d))
 
 
 @query(f"{o.with_(*_GENO, _MAP)} SELECT child, parent FROM placed WHERE site = 3")
 def map_genotype(spark, d):
     """One site, given by its position."""
     g = suppliers(spark, d)
-    return mapping.map_parsimony(g, closure.ancestry(g), _known(spark, d).where("site = 3")).select("child", "parent")
+    return mapping.map_parsimony(g, _known(spark, d).where("site = 3")).select("child", "parent")
 
 
-@query(f"""{o.with_(*_GENO, _MAP)}, inv AS (SELECT c.site, c.node FROM cnt c JOIN tot t USING (site) WHERE c.n1 = 0 AND t.ones > 4 AND t.n - t.ones <= 4),
+_FEW = """
+known AS (SELECT n.n_nationkey::BIGINT AS site, ((n.n_nationkey*17) % 100 + 0.5)::DOUBLE AS position, s.leaf, ((s.leaf BETWEEN n.n_nationkey + 1 AND n.n_nationkey + 3) <> (n.n_nationkey % 2 = 1))::BIGINT AS dosage FROM leafss s CROSS JOIN nation n)"""
+
+
+@query(f"""{o.with_(SUPPLIER, _FEW, o.counts("known"), _MAP)}, inv AS (SELECT c.site, c.node FROM cnt c JOIN tot t USING (site) WHERE c.n1 = 0 AND t.ones > 4 AND t.n - t.ones <= 4),
 mid AS (SELECT c.site, c.node, t.n, (t.ones - 2*c.n1 + c.n_desc)/t.n AS penalty, e.hc FROM cnt c JOIN tot t USING (site) JOIN tree e ON e.site = c.site AND e.child = c.node
  WHERE t.ones > 4 AND t.n - t.ones > 4 AND c.n1/greatest(c.n_desc, t.ones) > 0.7 AND (t.n - t.ones - c.n_desc + c.n1)/greatest(t.n - c.n_desc, t.n - t.ones) > 0.7)
 SELECT site, child, 0.0::DOUBLE AS penalty FROM placed JOIN tot USING (site) WHERE ones <= 4
 UNION ALL SELECT t.site, t.child, 0.0 FROM tree t JOIN inv f ON f.site = t.site AND f.node = t.child WHERE NOT EXISTS (SELECT 1 FROM inv g WHERE g.site = t.site AND g.node = t.parent)
 UNION ALL SELECT site, node, round(penalty, 6) FROM (SELECT *, row_number() OVER (PARTITION BY site ORDER BY penalty, hc, node) AS r FROM mid WHERE penalty < 0.03) WHERE r = 1""")
 def map_approximate(spark, d):
-    g = suppliers(spark, d)
-    return mapping.map_approximate(g, closure.ancestry(g), _known(spark, d)).select("site", "child", six("penalty").alias("penalty"))
+    """Three carriers at each even site, three others at each odd one."""
+    g, q = suppliers(spark, d), canonical.genotypes(spark, d)
+    three = F.col("leaf").between(F.col("site") + 1, F.col("site") + 3)
+    q = q.withColumn("dosage", (three != (F.col("site") % 2 == 1)).cast("long"))
+    return mapping.map_approximate(g, q).select("site", "child", six("penalty").alias("penalty"))
 
 
 @query()
@@ -534,7 +541,7 @@ def map_diploid(spark, d):
     """Unphased genotypes: the sum over each pair of suppliers."""
     g = suppliers(spark, d)
     dose = _known(spark, d).groupBy("site", "position", F.expr("leaf div 2").alias("individual")).agg(F.sum("dosage").alias("dosage"))
-    return mapping.map_diploid(g, closure.ancestry(g), dose)
+    return mapping.map_diploid(g, dose)
 
 
 # ---- matrices ---------------------------------------------------------------------------------

@@ -150,7 +150,7 @@ def map_approximate_noisy(spark, d):
     q = q.join(a, (F.col("leaf") == F.col("_leaf")) & (F.col("node") == F.col("site") % 5 + 2000000) & (F.col("lft") <= F.col("position")) & (F.col("position") < F.col("rgt")), "left")
     have = F.col("_leaf").isNotNull()
     dosage = F.when((F.col("leaf") * 7 + F.col("site")) % 61 == 0, ~have).otherwise(have).cast("long")
-    found = mapping.map_approximate(g, anc, q.select("site", "position", "leaf", dosage.alias("dosage")))
+    found = mapping.map_approximate(g, q.select("site", "position", "leaf", dosage.alias("dosage")))
     return found.where("penalty > 0 or site >= 0").select("site", "child", six("penalty").alias("penalty"))
 
 
