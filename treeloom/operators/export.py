@@ -99,6 +99,22 @@ def haplotypes(g: Genealogy, anc: DataFrame, min_maf: float = 0.0, max_maf: floa
     return have.select("mut_id", "position", line.alias("line"))
 
 
+def drawn_haplotypes(g: Genealogy, anc: DataFrame, drawn: Genealogy) -> DataFrame:
+    """``idx, position, line``: the haplotype lines of mutations drawn on ``g`` (``drawn``), numbered
+    in order of position. Draws are dealt by ranges of positions, and each range's lines are
+    put together where it lies: nothing is sorted as a whole."""
+    return numbered(haplotypes(drawn, anc), ["position", "mut_id"], "idx").select("idx", "position", "line")
+
+
+def write_drawn_haplotypes(g: Genealogy, anc: DataFrame, drawn: Genealogy, path: str) -> None:
+    """The lines as text parts in order: the parts one after another, in order of their names, are
+    the file sorted by position. The samples go beside them."""
+    lines = drawn_haplotypes(g, anc, drawn)
+    parts = int(g.spark.conf.get("spark.sql.shuffle.partitions"))
+    lines.repartitionByRange(parts, "idx").sortWithinPartitions("idx").select("line").write.text(f"{path}.haps", compression="gzip")
+    sample_lines(g).coalesce(1).write.text(f"{path}.samples")
+
+
 def sample_lines(g: Genealogy) -> DataFrame:
     """The sample file that goes with haplotypes: two header lines, then a line per
     individual."""

@@ -1,7 +1,7 @@
 """Table-generating operators: random mutations and synthetic genealogies.
 
-Streams of random numbers are Spark's and numpy's: results follow the seed, and are
-checked by invariants."""
+Random numbers are hashes of the seed and of what they are drawn for, so a result follows
+the seed alone: no order of rows, partitioning or retry changes it."""
 
 from __future__ import annotations
 
@@ -9,33 +9,70 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..model import MUTATION_SCHEMA, Genealogy
+from ..storage import materialize
 from .closure import carriers
 from .intervals import stab_join
+from .ordering import prefixes
 from .statistics import edge_heights
 
 
+#: Largest mean of a Poisson number that is drawn at once; larger ones are sums.
+MEAN = 256.0
+
+
+def _uniform(*keys: np.ndarray | int) -> np.ndarray:
+    """Numbers in [0, 1) that depend on the keys alone: a counter-based hash (the finaliser
+    of a 64-bit mixer after each key), for all rows at once."""
+    x = np.uint64(0)
+    with np.errstate(over="ignore"):
+        for k in keys:
+            x = (x + np.asarray(k).astype(np.int64).view(np.uint64)) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1)
+            x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+            x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+            x = x ^ (x >> np.uint64(31))
+    return (x >> np.uint64(11)).astype(np.float64) * 2.0**-53
+
+
+def _poisson(mean: np.ndarray, u: np.ndarray) -> np.ndarray:
+    """Poisson numbers by inversion of one uniform number each; means up to ``MEAN``."""
+    n, p = np.zeros(len(mean), np.int64), np.exp(-mean)
+    below = p.copy()
+    left = np.flatnonzero(u >= below)
+    while len(left):
+        n[left] += 1
+        p[left] *= mean[left] / n[left]
+        below[left] += p[left]
+        left = left[(u[left] >= below[left]) & (p[left] > 0)]
+    return n
+
+
 def _drawn(edges: DataFrame, rate: float, seed: int) -> DataFrame:
     """``position, height, child, parent``: Poisson counts by an edge's volume, uniform
-    places. Each edge draws from a generator of its own, so the result does not depend on
-    partitioning."""
+    places. Draws are hashes of the seed, the edge and a counter, made for a batch of edges at
+    once, so the result does not depend on partitioning."""
     schema = pa.schema([("position", pa.float64()), ("height", pa.float64()), ("child", pa.int64()), ("parent", pa.int64())])
 
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             c = {k: batch.column(k).to_numpy() for k in ("lft", "rgt", "child", "parent", "height_child", "height_parent")}
-            volume = (c["rgt"] - c["lft"]) * (c["height_parent"] - c["height_child"])
-            out = []
-            for k in range(batch.num_rows):
-                rng = np.random.default_rng([seed, int(c["child"][k]), int(np.float64(c["lft"][k]).view(np.uint64)) & 0xFFFFFFFFFFFF])
-                n = rng.poisson(rate * volume[k])
-                if n:
-                    out.append((rng.uniform(c["lft"][k], c["rgt"][k], n), rng.uniform(c["height_child"][k], c["height_parent"][k], n), np.full(n, c["child"][k]), np.full(n, c["parent"][k])))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], schema=schema)
+            mean = rate * (c["rgt"] - c["lft"]) * (c["height_parent"] - c["height_child"])
+            parts = np.maximum(np.ceil(mean / MEAN), 1).astype(np.int64)
+            edge = np.repeat(np.arange(len(mean)), parts)
+            part = np.arange(len(edge)) - np.repeat(np.cumsum(parts) - parts, parts)
+            key = [c["child"][edge], c["lft"][edge].view(np.int64), part]
+            n = _poisson((mean / parts)[edge], _uniform(seed, *key, 0))
+            for at in range(0, len(n), 4096):  # the draws of some parts at a time
+                m = n[at : at + 4096]
+                row = np.repeat(np.arange(at, at + len(m)), m)
+                count = np.arange(len(row)) - np.repeat(np.cumsum(m) - m, m) + 1
+                e, keys = edge[row], [k[row] for k in key]
+                x = c["lft"][e] + _uniform(seed, *keys, count, 1) * (c["rgt"][e] - c["lft"][e])
+                h = c["height_child"][e] + _uniform(seed, *keys, count, 2) * (c["height_parent"][e] - c["height_child"][e])
+                yield pa.RecordBatch.from_arrays([pa.array(v) for v in (x, h, c["child"][e], c["parent"][e])], schema=schema)
 
     return edges.mapInArrow(draw, "position double, height double, child long, parent long")
 
@@ -54,23 +91,24 @@ def mutation_map(g: Genealogy, anc: DataFrame, rate: float, seed: int = 1) -> Da
     return c.groupBy("position").agg(F.sort_array(F.collect_set("leaf")).alias("leaves"))
 
 
+def digest_uniform(*key: object):
+    """A number in [0, 1) of 52 bits of the MD5 of the keys: the same in any retry, at any
+    parallelism, and in SQL."""
+    text = F.concat_ws("|", *[k if isinstance(k, Column) else F.lit(str(k)) for k in key])
+    return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("long") / float(1 << 52)
+
+
 def generate_exactly(g: Genealogy, count: int, seed: int = 1) -> Genealogy:
-    """Replaces the mutations by exactly ``count``, edges chosen by volume: cumulative
-    volumes in two levels (per child, then inside it) stabbed by uniform numbers."""
+    """Replaces the mutations by exactly ``count``, edges chosen by volume: running sums of
+    volumes in order of child and place, stabbed by uniform numbers."""
     e = edge_heights(g).withColumn("_v", (F.col("height_parent") - F.col("height_child")) * (F.col("rgt") - F.col("lft"))).where("_v > 0")
-    inside = Window.partitionBy("child").orderBy("lft").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    groups = e.groupBy(F.pmod(F.xxhash64("child"), F.lit(256)).alias("_g"), "child").agg(F.sum("_v").alias("_cv"))
-    by_group = groups.groupBy("_g").agg(F.sum("_cv").alias("_gv"))
-    w = Window.orderBy("_g").rowsBetween(Window.unboundedPreceding, -1)
-    by_group = by_group.select(F.col("_g").alias("_gg"), F.coalesce(F.sum("_gv").over(w), F.lit(0.0)).alias("_gb"))
-    w = Window.partitionBy("_g").orderBy("child").rowsBetween(Window.unboundedPreceding, -1)
-    base = groups.withColumn("_off", F.coalesce(F.sum("_cv").over(w), F.lit(0.0))).join(by_group, F.col("_g") == F.col("_gg")).select(F.col("child").alias("_c"), (F.col("_off") + F.col("_gb")).alias("_base"))
-    e = e.withColumn("_hi", F.sum("_v").over(inside)).join(base, F.col("child") == F.col("_c")).withColumn("_hi", F.col("_hi") + F.col("_base"))
-    e = e.withColumn("_lo", F.col("_hi") - F.col("_v")).select("lft", "rgt", "child", "parent", "height_child", "height_parent", "_lo", "_hi")
+    e = prefixes(e, ["child", "lft"], {"_lo": F.col("_v")}).withColumn("_hi", F.col("_lo") + F.col("_v"))
+    e = materialize(e.select("lft", "rgt", "child", "parent", "height_child", "height_parent", "_lo", "_hi"), "volumes")
     total = e.agg(F.max("_hi")).first()[0] or 0.0
     if not total:
         raise ValueError("a genealogy without volume carries no mutation")
-    u = g.spark.range(count).select("id", (F.rand(seed) * total).alias("u"), F.rand(seed + 1).alias("_a"), F.rand(seed + 2).alias("_b"))
+    u, a, b = (digest_uniform(seed, F.col("id"), k) for k in "uxh")
+    u = g.spark.range(count).select("id", (u * total).alias("u"), a.alias("_a"), b.alias("_b"))
     m = stab_join(u, e, "u", total, lft="_lo", rgt="_hi")
     return g.with_(mutations=m.select(F.col("id").alias("mut_id"), (F.col("lft") + F.col("_a") * (F.col("rgt") - F.col("lft"))).alias("position"), (F.col("height_child") + F.col("_b") * (F.col("height_parent") - F.col("height_child"))).alias("height"), F.lit(None).cast("long").alias("site_id"), "child", "parent"))
 

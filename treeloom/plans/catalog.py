@@ -828,15 +828,33 @@ def generate_mutations(spark, d):
     return simulation.generate_mutations(suppliers(spark, d), 0.01, seed=11).mutations
 
 
-@query()
+def _exactly(count: int, seed: int) -> str:
+    u = lambda k: f"('0x' || substr(md5('{seed}|' || id || '|{k}'), 1, 13))::BIGINT/4503599627370496.0::DOUBLE"
+    return f"""vol AS (SELECT *, sum((hp - hc)*(rgt - lft)) OVER (ORDER BY child, lft) AS hi FROM ehs),
+dr AS (SELECT id, {u('u')} * (SELECT max(hi) FROM vol) AS u, {u('x')} AS a, {u('h')} AS b FROM range(0, {count}) r(id)),
+made AS (SELECT d.id AS mut_id, v.lft + d.a*(v.rgt - v.lft) AS position, v.hc + d.b*(v.hp - v.hc) AS height, v.child, v.parent FROM dr d JOIN vol v ON v.hi - (v.hp - v.hc)*(v.rgt - v.lft) <= d.u AND d.u < v.hi)"""
+
+
+@query(f"{o.with_(SUPPLIER, _exactly(5000, 11))} SELECT mut_id, round(position, 9) AS position, round(height, 9) AS height, child, parent FROM made")
 def generate_m_mutations(spark, d):
-    return simulation.generate_exactly(suppliers(spark, d), 5000, seed=11).mutations
+    m = simulation.generate_exactly(suppliers(spark, d), 5000, seed=11).mutations
+    return m.select("mut_id", F.round("position", 9).alias("position"), F.round("height", 9).alias("height"), "child", "parent")
+
+
+@query(f"{o.with_(SUPPLIER, _exactly(1000, 12))}, mc AS (SELECT m.mut_id, m.position, a.leaf FROM made m JOIN ancs a ON a.node = m.child AND a.lft <= m.position AND m.position < a.rgt), k AS (SELECT mut_id, count(*) AS k FROM mc GROUP BY mut_id), few AS (SELECT * FROM made JOIN k USING (mut_id) WHERE least(k, (SELECT count(*) FROM leafss) - k)/(SELECT count(*) FROM leafss) < 1), num AS (SELECT *, row_number() OVER (ORDER BY position, mut_id) - 1 AS idx FROM few) SELECT m.idx, round(m.position, 9) AS position, '1 SNP_' || m.mut_id || ' ' || trunc(m.position)::INT || ' 0 1 ' || string_agg(CASE WHEN c.leaf IS NULL THEN '0' ELSE '1' END, ' ' ORDER BY l.leaf) AS line FROM num m CROSS JOIN leafss l LEFT JOIN mc c ON c.mut_id = m.mut_id AND c.leaf = l.leaf GROUP BY m.idx, m.mut_id, m.position")
+def haps_of_draws(spark, d):
+    """Mutations drawn and told as haplotype lines in order of position."""
+    g = suppliers(spark, d)
+    found = export.drawn_haplotypes(g, closure.ancestry(g), simulation.generate_exactly(g, 1000, seed=12))
+    return found.select("idx", F.round("position", 9).alias("position"), "line")
 
 
-@query("SELECT sum(v)::DOUBLE AS total_volume FROM (SELECT unnest([sum(CASE WHEN k = 1 THEN 2.0 ELSE k + 1.0 END)]) * 100.0 AS v FROM range(1, 20) r(k))")
+@query("SELECT (SELECT sum(CASE WHEN k = 1 THEN 2.0 ELSE k + 1.0 END) FROM range(1, (SELECT count(*) FROM nation)) r(k))::DOUBLE*(SELECT count(*) FROM supplier) AS total_volume")
 def caterpillar_volume(spark, d):
-    """Volume of 200 caterpillar trees of 20 leaves: each joins two branches per height."""
-    return statistics.total_volume(simulation.caterpillar(spark, 0.0, 100.0, 20, 200))
+    """Volume of a caterpillar tree of as many leaves as nations for each supplier: each
+    joins two branches per height, over a length of one."""
+    leaves, trees = (canonical.table(spark, d, t).count() for t in ("nation", "supplier"))
+    return statistics.total_volume(simulation.caterpillar(spark, 0.0, float(trees), leaves, trees))
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:
