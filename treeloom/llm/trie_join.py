@@ -244,7 +244,7 @@ def second_round(ranked: DataFrame, groups: DataFrame) -> DataFrame:
     """Links between components, of all blocks that hold several."""
     d = ranked.join(groups, F.col("rep") == F.col("node"), "left").withColumn("comp", F.coalesce("component", "rep")).drop("node", "component")
     d = materialize(d, "ranked")
-    slim = d.select("rep", "f1", "comp", F.explode("prefix").alias("t"))
+    slim = materialize(d.select("rep", "f1", "comp", F.explode("prefix").alias("t")), "prefixes")  # read twice
     sizes = slim.groupBy("t", "comp").agg(F.count("*").alias("size"), F.sum(F.xxhash64("rep", "f1").cast("decimal(38,0)")).alias("sig"))
     torn = sizes.groupBy("t").agg(F.max(F.struct("size", "comp")).alias("main"), F.sum("size").alias("m"), F.sum("sig").alias("sig"), F.count("*").alias("parts")).where("parts > 1")
     torn = torn.groupBy("m", "sig").agg(F.min(F.struct("t", "main")).alias("x"))  # equal members, one block
