@@ -129,9 +129,11 @@ def haploid_max(g: Genealogy, anc: DataFrame, values: DataFrame, compress: bool
     s = upper_envelope(c.select("lft", "rgt", "chi2"), g.start, g.end, "chi2").select(F.col("lft").alias("start"), F.col("rgt").alias("end"), F.col("value").alias("chi2"))
     if not compress:
         return s
-    # chains of steps each near the one before; within a chain near in all, one step is left
+    # A step is within epsilon of the value kept before it, or is kept itself; so one that is over
+    # twice epsilon from the step before surely is. Chains begin there; where all of a chain is
+    # near its first value one step is left.
     s = preceded(materialize(s, "steps"), "start", "chi2", "_before")
-    new = F.col("_before").isNull() | (F.abs(F.col("chi2") - F.col("_before")) > epsilon)
+    new = F.col("_before").isNull() | (F.abs(F.col("chi2") - F.col("_before")) > 2 * epsilon)
     m = prefixes(s.withColumn("_n", new.cast("long")), ["start"], {"_sum": F.col("_n")}).withColumn("_r", F.col("_sum") + F.col("_n")).drop("_before", "_sum", "_n")
     m = materialize(m, "chains")
     chains = m.groupBy("_r").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min_by("chi2", "start").alias("chi2"), F.max(F.col("chi2")).alias("_hi"), F.min(F.col("chi2")).alias("_lo"))
