@@ -215,3 +215,16 @@ def test_workflow_helpers(spark, four):
     assert t.lower <= t.threshold <= t.upper and t.threshold == pytest.approx(0.025, abs=0.01) and t.replicates == 99
     trait = {r.individual: r for r in association.example_trait(four, closure.ancestry(four), count=2, noise=0.0).collect()}
     assert {k: (r.dosage, r.y) for k, r in trait.items()} == {0: (2, 2.0), 1: (0, 0.0)}
+
+
+def test_joined_steps_follow_the_value_kept(spark, four):
+    """A step far from the one before, but near the value kept, begins nothing."""
+    steps = [(0, 10, 3.36), (10, 20, 2.94), (20, 30, 3.6), (30, 40, 4.5), (40, 50, 4.1), (50, 60, 3.9)]
+    clades = spark.createDataFrame([(float(a), float(b), v) for a, b, v in steps], "lft double, rgt double, chi2 double")
+    original = association.haploid_clades
+    association.haploid_clades = lambda anc, values: clades
+    try:
+        got = rows(association.haploid_max(four.with_(end=60.0), None, None, epsilon=0.5))
+    finally:
+        association.haploid_clades = original
+    assert got == [(0.0, 30.0, 3.36), (30.0, 50.0, 4.5), (50.0, 60.0, 3.9)]
