@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..model import Genealogy
 from ..storage import materialize
 from .intervals import stab_join
-from .statistics import edge_heights, sets_at
+from .statistics import edge_heights, met_at, sets_at
 
 def trees_at(g: Genealogy, stabs: DataFrame) -> DataFrame:
     return stab_join(stabs, edge_heights(g), "x", g.span).select("k", "parent", "child", "height_child", "height_parent")
@@ -118,16 +118,13 @@ def tree_ancestors(trees: DataFrame, leaves: DataFrame) -> DataFrame:
         every.append(front)
 
 
-def pair_vectors(up: DataFrame) -> DataFrame:
-    """``k, i, j, depth, tmrca, size`` of each pair's lowest common node."""
-    depth = up.groupBy("k", "leaf").agg(F.max("level").alias("_top"))
+def node_facts(up: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``k, leaf, node, via`` above the leaves, and ``k, node, depth, tmrca, size`` of their nodes."""
+    top = up.groupBy("k", "leaf").agg(F.max("level").alias("_top"))
     size = up.groupBy("k", "node").agg(F.count("*").alias("size"))
     up = up.where("level > 0")
-    a = up.join(depth, ["k", "leaf"]).select("k", F.col("leaf").alias("i"), "node", F.col("via").alias("_vi"), F.col("height").alias("tmrca"), (F.col("_top") - F.col("level")).alias("depth"))
-    b = up.select(F.col("k").alias("_k"), F.col("leaf").alias("j"), F.col("node").alias("_n"), F.col("via").alias("_vj"))
-    # two leaves come to their lowest common node through different children
-    low = a.join(b, (F.col("k") == F.col("_k")) & (F.col("node") == F.col("_n")) & (F.col("i") < F.col("j")) & (F.col("_vi") != F.col("_vj"))).select("k", "i", "j", "depth", "node", "tmrca")
-    return low.join(size, ["k", "node"])
+    depth = up.join(top, ["k", "leaf"]).groupBy("k", "node").agg(F.max(F.col("_top") - F.col("level")).alias("depth"), F.max("height").alias("tmrca"))
+    return up.select("k", "leaf", "node", "via"), materialize(depth.join(size, ["k", "node"]), "facts")
 
 
 def special_metrics(one: Genealogy, two: Genealogy, stabs: DataFrame, behaviour: str, fraction: float = 0.0, seed: int = 1) -> DataFrame:
@@ -142,9 +139,9 @@ def special_metrics(one: Genealogy, two: Genealogy, stabs: DataFrame, behaviour:
         first = merge_branches(first, fraction, "smallest" if behaviour == "heuristic_merge" else "random", seed)
     else:
         raise ValueError("unknown behaviour")
-    a = pair_vectors(tree_ancestors(materialize(first), one.leaves))
-    b = pair_vectors(tree_ancestors(materialize(second), two.leaves)).select("k", "i", "j", F.col("depth").alias("d2"), F.col("tmrca").alias("t2"), F.col("size").alias("s2"))
-    per = a.join(b, ["k", "i", "j"]).groupBy("k").agg(F.sum(F.pow(F.col("depth") - F.col("d2"), 2)).alias("kc"), F.avg(F.pow(F.col("tmrca") - F.col("t2"), 2)).alias("tmrca_mse"), F.avg(F.pow(F.col("size") - F.col("s2"), 2)).alias("split"))
+    met = met_at(*(node_facts(tree_ancestors(materialize(trees), g.leaves)) for trees, g in ((first, one), (second, two))))
+    squares = {c: F.sum(F.pow(F.col(c) - F.col(f"{c}2"), 2) * F.col("n")) for c in ("depth", "tmrca", "size")}
+    per = met.groupBy("k").agg(squares["depth"].alias("kc"), (squares["tmrca"] / F.sum("n")).alias("tmrca_mse"), (squares["size"] / F.sum("n")).alias("split"))
     return per.agg(F.avg("kc").alias("kc"), F.avg("tmrca_mse").alias("tmrca_mse"), F.avg("split").alias("split"))
 
 
