@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import materialize
+from .ordering import followed, prefixes, ranges
+
 #: Levels of bins above the finest, and how many bins of a level make one of the next.
 LEVELS = 8
 FAN = 4
@@ -115,6 +118,67 @@ def overlap_join(a: DataFrame, b: DataFrame, span: float, a_ends: tuple[str, str
     return fine.unionByName(coarse)
 
 
+def running(intervals: DataFrame, sums: dict[str, Column], lft: str = "lft", rgt: str = "rgt") -> DataFrame:
+    """``x, y`` and, for each of ``sums``, its total over the intervals that hold the points
+    of [x, y), from each end of an interval to the next (null after the last). Ends are
+    added up first, then ranges of them: no task holds them all."""
+    d = intervals.where(F.col(lft) < F.col(rgt))
+    ends = d.select(F.explode(F.array(
+        F.struct(F.col(lft).alias("x"), *[v.alias(k) for k, v in sums.items()]),
+        F.struct(F.col(rgt).alias("x"), *[(-v).alias(k) for k, v in sums.items()]),
+    )).alias("p")).select("p.*").groupBy("x").agg(*[F.sum(k).alias(f"_{k}") for k in sums])
+    run = prefixes(ends, ["x"], {k: F.col(f"_{k}") for k in sums})
+    return followed(run.select("x", *[(F.col(k) + F.col(f"_{k}")).alias(k) for k in sums]), "x", "y")
+
+
+def held_totals(points: DataFrame, intervals: DataFrame, x: str, sums: dict[str, Column]) -> DataFrame:
+    """Points with the totals of ``sums`` over the intervals that hold them (null where none
+    ever began before): ``stab_join`` and a sum, without a row for each point and interval."""
+    return _looked_up(points, running(intervals, sums), x, list(sums))
+
+
+def _looked_up(points: DataFrame, steps: DataFrame, x: str, names: list[str]) -> DataFrame:
+    """Points with the columns of the last step at or before them. Points and steps are dealt
+    by ranges; each range gets the last step of those before."""
+    own = points.columns
+    none = lambda df, c: F.lit(None).cast(df.schema[c].dataType).alias(c)
+    s = steps.select(F.col("x").alias("_x"), F.lit(0).alias("_point"), F.struct("x", *names).alias("_step"), *[none(points, c) for c in own])
+    p = points.select(F.col(x).alias("_x"), F.lit(1).alias("_point"), F.lit(None).cast(s.schema["_step"].dataType).alias("_step"), *own)
+    d = ranges(s.union(p), ["_x"])
+    lasts = d.groupBy("_part").agg(F.max("_step").alias("_last"))
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row per range
+    lasts = lasts.select(F.col("_part").alias("_tp"), F.max("_last").over(earlier).alias("_prev"))
+    w = Window.partitionBy("_part").orderBy("_x", "_point").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = d.withColumn("_held", F.last("_step", ignorenulls=True).over(w)).where("_point = 1").join(F.broadcast(lasts), F.col("_part") == F.col("_tp"))
+    step = F.coalesce("_held", "_prev")
+    return found.select(*own, *[step[c].alias(c) for c in names], step["x"].alias("_from"))
+
+
+def overlap_totals(spans: DataFrame, intervals: DataFrame, ends: tuple[str, str] = ("a", "b")) -> DataFrame:
+    """Spans with ``n``, how many intervals overlap each, and ``shared``, the sum of the lengths
+    that they share; spans that meet none go. ``overlap_join`` and a sum, without a row for
+    each pair: n is what begins before the span's end less what ended by its start, and
+    shared the coverage integrated up to both ends."""
+    d = intervals.where(F.col("lft") < F.col("rgt"))
+    ticks = d.select(F.col("lft").alias("x"), F.lit(1).cast("long").alias("o"), F.lit(0).cast("long").alias("c")).union(d.select("rgt", F.lit(0).cast("long"), F.lit(1).cast("long")))
+    ticks = materialize(ticks.groupBy("x").agg(F.sum("o").alias("_o"), F.sum("c").alias("_c")), "ticks")
+    run = prefixes(ticks, ["x"], {"opened": F.col("_o"), "closed": F.col("_c")})
+    # before x, and with what begins or ends at x
+    run = followed(run.select("x", (F.col("opened") + F.col("_o")).alias("opened"), (F.col("closed") + F.col("_c")).alias("closed"), "_o"), "x", "_y")
+    cover = (F.col("opened") - F.col("closed")) * (F.coalesce("_y", F.col("x")) - F.col("x"))
+    run = prefixes(run, ["x"], {"area": cover})
+    run = materialize(run.select("x", "opened", "closed", "_o", "area"), "coverage")
+    names = ["opened", "closed", "_o", "area"]
+    s = spans.where(F.col(ends[0]) < F.col(ends[1]))
+    key = spans.columns
+    low = _looked_up(s, run, ends[0], names)
+    level = lambda x: F.coalesce(F.col("area") + (F.col("opened") - F.col("closed")) * (F.col(x) - F.col("_from")), F.lit(0.0))
+    low = low.select(*key, F.coalesce("closed", F.lit(0)).alias("_gone"), level(ends[0]).alias("_low"))
+    high = _looked_up(low, run, ends[1], names)
+    begun = F.when(F.col("_from") == F.col(ends[1]), F.col("opened") - F.col("_o")).otherwise(F.coalesce("opened", F.lit(0)))
+    return high.select(*key, (begun - F.col("_gone")).alias("n"), (level(ends[1]) - F.col("_low")).alias("shared")).where("n > 0")
+
+
 def as_of(points: DataFrame, steps: DataFrame, key: str, x: str, lft: str = "lft", rgt: str = "rgt") -> DataFrame:
     """Points with the columns of the step of their key that holds them; a key's steps do
     not overlap. One sorted pass over points and steps together, no join, so neither many
